@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memvault.llm import line_dedup, quality_rules
+from memvault.llm import line_dedup, packing, quality_rules, token_counts
 from memvault.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer(name: str) -> str:
+    """The file of a public tokenizer; it lies at the same place on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.with_token_counts(documents, tokenizer("word_bpe_49k.json")).drop("text")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(
@@ -27,10 +39,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op3_line_dedup": op3_line_dedup,
         "op6_quality_rules": op6_quality_rules,
+        "op9_packing": op9_packing,
     }
 
 
