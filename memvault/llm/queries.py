@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memvault.llm import jaccard_join, line_dedup, packing, quality_rules, token_counts
+from memvault.llm import fingerprints, jaccard_join, line_dedup, packing, quality_rules, sharding, token_counts, url_filter
 from memvault.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,10 +39,27 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+#: The rules of op5_url_filter.
+URL_RULES = url_filter.Rules(allow=("org/", "com/fr/"), block=("example.org/es/", "example.org/en/1", "com/de/"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"))
+    return placed.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -52,7 +69,10 @@ def queries() -> dict[str, Query]:
         "op1_token_counts": op1_token_counts,
         "op3_line_dedup": op3_line_dedup,
         "op4_jaccard_join": op4_jaccard_join,
+        "op5_url_filter": op5_url_filter,
         "op6_quality_rules": op6_quality_rules,
+        "op7_fingerprints": op7_fingerprints,
+        "op8_sharding": op8_sharding,
         "op9_packing": op9_packing,
     }
 
@@ -78,6 +98,23 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_
 FROM marked GROUP BY doc_id
 """
 
+OP5 = f"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS u FROM pages),
+q AS (
+  SELECT page_id,
+         translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), {_AZ}) AS host,
+         regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM p),
+rules(rh, rp, verdict) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+         ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+hits AS (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC, length(rh) DESC) AS n
+  FROM q LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT page_id, host, path, rh || rp AS rule, coalesce(verdict, 'allow') AS verdict FROM hits WHERE n = 1
+"""
+
 OP6 = f"""
 WITH split AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -113,4 +150,4 @@ FROM b
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3, "op6_quality_rules": OP6}
+    return {"op3_line_dedup": OP3, "op5_url_filter": OP5, "op6_quality_rules": OP6}
