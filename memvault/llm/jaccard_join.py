@@ -12,9 +12,10 @@ Documents are linked when the Jaccard similarity of their shingle sets is at lea
    traversal drops node pairs whose largest possible overlap is too small; members
    that are left without a partner leave the block. Blocks of more than ``PART``
    members are dealt out as pairs of parts.
-3. Links. The remaining members' sets meet block by block; members are compared
-   with others of another component only, so a group of n near copies costs about n
-   comparisons and gives at most n - 1 links.
+3. Links. Each remaining member's set first meets those of one hub, the least member of
+   one of its blocks; then the blocks that still hold members of different components meet
+   in full. Members are compared with members of another component only, so a group of n
+   near copies costs about n comparisons and gives at most n - 1 links a part.
 4. Connected components of the links.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing; fewer
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from memvault.llm.common import written
 from memvault.llm.components import components
-from memvault.llm.shingles import set_id, shingle_set
+from memvault.llm.shingles import mix, set_id, shingle_set
 
 #: At most so many shingles are known as frequent (16 bytes each are broadcast).
 FREQUENT = 1_000_000
@@ -42,6 +43,8 @@ FREQUENT = 1_000_000
 GATHER = 4_000_000
 #: Members of a block that meet in one task; a larger block is dealt out in parts of this size.
 PART = 1_000
+#: Members of a block that a task holds at once while it names the block; 8 bytes each.
+NAMED = 1_000_000
 #: Children of a tree node.
 FAN = 16
 #: Bits of the filter that tells which documents' sets are needed.
@@ -144,21 +147,65 @@ def signatures(documents: DataFrame, percent: int, size: int) -> DataFrame:
 
 
 def blocks(signed: DataFrame) -> DataFrame:
-    """Written: (block, members, id): the sets that share a prefix shingle, where there are two or more."""
+    """Written: (block, members, id): the sets that share a prefix shingle, where there are two or more.
+
+    The rows are shuffled once; sorted by shingle, they are read in turn. A block is named by
+    its members, so that blocks of the same members become one; beyond ``NAMED``
+    members it keeps its shingle's name and its rows are handed on as they come.
+    """
+
+    def rows_of(name: np.ndarray, members: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        columns = (np.asarray(c, dtype=np.int64) for c in (name, members, ids))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "members", "id"])
+
+    def named(shingle: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        """Whole blocks, sorted: those of two or more different ids, under the name of their members."""
+        if len(ids):
+            new = np.append(True, (shingle[1:] != shingle[:-1]) | (ids[1:] != ids[:-1]))
+            shingle, ids = shingle[new], ids[new]
+            first = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
+            size = np.diff(first, append=len(ids))
+            name = np.repeat(np.bitwise_xor.reduceat(mix(ids.view(np.uint64)), first).view(np.int64), size)
+            size = np.repeat(size, size)
+            more = size > 1
+            return rows_of(name[more], size[more], ids[more])
+        return rows_of(ids, ids, ids)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, held, large = None, np.empty(0, np.int64), False  # the block that is open
+
+        def closed() -> pa.RecordBatch:
+            if large:
+                return rows_of(np.full(len(held), shingle), np.full(len(held), -1), held)
+            return named(np.full(len(held), shingle or 0), held)
+
+        for batch in batches:
+            of, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(of):
+                continue
+            starts = np.flatnonzero(of[1:] != of[:-1]) + 1
+            begin = 0
+            if shingle is not None and of[0] == shingle:
+                begin = int(starts[0]) if len(starts) else len(of)
+                held = np.concatenate([held, ids[:begin]])
+                if begin == len(of):
+                    if len(held) > NAMED:
+                        large = True
+                        yield closed()
+                        held = held[:0]
+                    continue
+            yield closed()
+            last = int(starts[-1]) if len(starts) else 0
+            yield named(of[begin:last], ids[begin:last])
+            shingle, held, large = of[last], ids[last:], False
+        yield closed()
+
     rows = signed.where("n > 0").select(F.explode("prefix").alias("block"), F.col("set_id").alias("id"))
-    found = rows.groupBy("block").agg(
-        F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("members"), F.bit_xor("id").alias("x")
-    )
-    found = found.where("lo <> hi").groupBy("lo", "hi", "members", "x").agg(F.min("block").alias("block"))
-    found = written(found, "blocks")
-    pairs = found.where("members = 2").select("block", "members", F.explode(F.array("lo", "hi")).alias("id"))
-    many = found.where("members > 2").select("block", "members")
-    # rows of a block with more than one in 20,000 of them all meet it by broadcast: there are at most 20,000 such
-    total = signed.agg(F.sum(F.size("prefix").cast("long"))).first()[0] or 0
-    hot = F.col("members") > max(1_000, total // 20_000)
-    large = rows.join(F.broadcast(many.where(hot)), "block")
-    small = rows.join(many.where(~hot), "block")
-    return written(pairs.unionByName(large.unionByName(small).distinct().select("block", "members", "id")), "members")
+    dealt = rows.repartition("block").sortWithinPartitions("block", "id")
+    found = written(dealt.mapInArrow(gather, "block long, members long, id long").distinct(), "members")
+    large = found.where("members < 0").groupBy("block").agg(F.count("*").alias("members"))  # a row for NAMED rows at most
+    sized = found.where("members < 0").drop("members").join(F.broadcast(large), "block").select("block", "members", "id")
+    return found.where("members > 0").unionByName(sized)
 
 
 def parted(members: DataFrame) -> DataFrame:
@@ -267,20 +314,34 @@ def survivors(members: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
             ok = _across(i, j, side, a, b)
             alive[a[ok]] = alive[b[ok]] = True
         kept = tree.order[alive]
-        return tuple(group[c].to_numpy()[kept].astype(np.int64) for c in ("block", "i", "j", "side", "id"))
+        columns = [group[c].to_numpy()[kept].astype(np.int64) for c in ("block", "i", "j", "side", "id")]
+        return *columns, np.full(len(kept), columns[-1].min(initial=1 << 62))
+
+    names = ["block", "i", "j", "side", "id", "hub"]
+    return written(by_part(rows, prune, names, ", ".join(f"{n} long" for n in names)), "survivors")
+
 
-    names = ["block", "i", "j", "side", "id"]
-    return written(by_part(rows, prune, names, "block long, i long, j long, side long, id long"), "survivors")
+def hub_groups(left: DataFrame) -> DataFrame:
+    """Written: (id, hub, part, parts, own): each id in the group of one hub, its own first, hubs in every part of their group.
+
+    own marks the one row of an id that is not there as a hub.
+    """
+    chosen = left.groupBy("id").agg(F.min("hub").alias("hub"))
+    parts = chosen.groupBy("hub").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    own = chosen.join(parts, "hub").select("id", "hub", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(True).alias("own"))
+    hubs = parts.select(
+        F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("own")
+    )
+    return written(own.unionByName(hubs), "hubs")
 
 
-def needed_sets(documents: DataFrame, signed: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """Written: (id, items) for ids, made again from one document each.
+def needed_sets(documents: DataFrame, signed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """Written: wanted (id, ...) with items, the sets made again from one document each.
 
     A bit filter of fixed size tells which documents to read; those it lets pass needlessly are dropped by the join.
     """
-    wanted = ids.distinct()
     first = signed.where("n > 0").groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("doc_id"))
-    docs = first.join(wanted, "id")
+    docs = first.join(wanted.select("id").distinct(), "id")
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(NEED_BITS))
     marked = docs.select(bit.alias("bit")).selectExpr("bit div 64 AS w", "shiftleft(1L, cast(bit % 64 AS int)) AS b")
     words = marked.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most NEED_BITS / 64 rows
@@ -291,22 +352,27 @@ def needed_sets(documents: DataFrame, signed: DataFrame, ids: DataFrame, size: i
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value
         for batch in batches:
-            at = batch.column(0).to_numpy()
+            doc_ids, at = batch.column(0), batch.column(1).to_numpy()
             hit = (table[at >> 6] >> (at & 63)) & 1
-            ids, items = [], []
-            for k in np.flatnonzero(hit):
-                s = shingle_set(batch.column(1)[int(k)].as_buffer(), size)
+            taken, ids, items = [], [], []
+            for k in np.flatnonzero(hit).tolist():
+                s = shingle_set(batch.column(2)[k].as_buffer(), size)
                 if len(s):
+                    taken.append(doc_ids[k])
                     ids.append(set_id(s))
                     items.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], names=["id", "items"])
+            columns = [pa.array([x.as_py() for x in taken], pa.int64()), pa.array(ids, pa.int64()), pa.array(items, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "id", "items"])
 
-    rows = documents.where(F.col("_body").isNotNull()).select(bit.alias("bit"), "_body").mapInArrow(sets, "id long, items binary")
-    return written(rows.join(wanted, "id").dropDuplicates(["id"]), "sets")
+    rows = documents.where(F.col("_body").isNotNull()).select("doc_id", bit.alias("bit"), "_body")
+    made = rows.mapInArrow(sets, "doc_id long, id long, items binary")
+    # one document per set; rows that repeat a doc_id and a text give the set twice, which does no harm
+    chosen = docs.join(wanted, "id")
+    return written(made.join(chosen, made["id"].eqNullSafe(chosen["id"]) & made["doc_id"].eqNullSafe(chosen["doc_id"])).select(chosen["*"], "items").drop("doc_id"), "sets")
 
 
-def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that span each block's components."""
+def block_links(full: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that span the components of each part's rows (block, i, j, side, id, items)."""
 
     def link(group: pa.Table) -> tuple:
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
@@ -336,7 +402,6 @@ def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 compare(x, y)
         return np.array(ends[0], np.int64), np.array(ends[1], np.int64)
 
-    full = rows.join(sets, "id").select("block", "i", "j", "side", "id", "items")
     return by_part(full, link, ["a", "b"], "a long, b long")
 
 
@@ -345,8 +410,17 @@ def jaccard_components(documents: DataFrame, *, text: str = "text", percent: int
     docs = documents.select(F.col("doc_id"), F.col(f"`{text}`").cast("binary").alias("_body"))
     signed = signatures(docs, percent, size)
     left = survivors(blocks(signed), signed, percent)
-    sets = needed_sets(docs, signed, left.select("id"), size)
-    links = written(block_links(left, sets, percent), "links")
+    sets = needed_sets(docs, signed, hub_groups(left), size)
+    zero = F.lit(0).cast("long")
+    stars = sets.select(F.col("hub").alias("block"), F.col("part").cast("long").alias("i"), F.col("part").cast("long").alias("j"), zero.alias("side"), "id", "items")
+    near_hubs = written(block_links(stars, percent), "links")
+    # the blocks whose members are not yet of one component
+    known = components(near_hubs)
+    at = left.join(known, "id", "left").withColumn("c", F.coalesce("root", "id"))
+    split = at.groupBy("block", "i", "j").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("block", "i", "j")
+    rest = left.join(split, ["block", "i", "j"]).select("block", "i", "j", "side", "id")
+    full = rest.join(sets.where("own").select("id", "items"), "id").select("block", "i", "j", "side", "id", "items")
+    links = near_hubs.unionByName(written(block_links(full, percent), "links"))
     roots = components(links)
     base = signed.select("doc_id", "n", "set_id")
     placed = written(
