@@ -38,10 +38,11 @@ def frequent_parts(documents: DataFrame, text: str = "text") -> list[str]:
         .where((F.col("part") != "") & (F.octet_length("part") <= LONGEST))
         .groupBy("k")
         .agg(F.expr(f"approx_top_k_accumulate(part, {TRACKED})").alias("sketch"))
+        .groupBy(F.pmod("k", F.lit(1)))  # one group; a global aggregate would also merge the sketch of an empty partition, which has no type
         .agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED}), {FREQUENT})").alias("top"))
-        .first()["top"]
+        .first()
     )
-    return [row["item"] for row in found or []]
+    return [row["item"] for row in found["top"]] if found else []
 
 
 @cache
