@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memvault.llm import fingerprints, jaccard_join, line_dedup, packing, quality_rules, sharding, token_counts, url_filter
+from memvault.llm import (
+    fingerprints,
+    jaccard_join,
+    line_dedup,
+    lm_scoring,
+    packing,
+    quality_rules,
+    sentencepieces,
+    sharding,
+    token_counts,
+    url_filter,
+)
 from memvault.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +36,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_token_counts(documents, tokenizer("word_bpe_49k.json")).drop("text")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: pieces, a checksum of their ids, and the text that they decode to, by its hash."""
+    model = tokenizer("piece_bpe_32k.model")
+    done = sentencepieces.joined(sentencepieces.decode(sentencepieces.encode(table(spark, sf_dir, "documents"), model), model))
+    return done.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(
@@ -64,9 +87,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_line_dedup": op3_line_dedup,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_url_filter": op5_url_filter,
@@ -74,6 +102,7 @@ def queries() -> dict[str, Query]:
         "op7_fingerprints": op7_fingerprints,
         "op8_sharding": op8_sharding,
         "op9_packing": op9_packing,
+        "op10_lm_scoring": op10_lm_scoring,
     }
 
 
