@@ -429,3 +429,13 @@ def jaccard_components(documents: DataFrame, *, text: str = "text", percent: int
     least = placed.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
     out = placed.join(least, "c", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, *, text: str = "text", percent: int = 80, size: int = 5) -> DataFrame:
+    """documents without those of a component but its smallest doc_id.
+
+    Rows without a doc_id and rows that repeat the smallest doc_id stay.
+    """
+    groups = jaccard_components(documents, text=text, percent=percent, size=size)
+    others = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return documents.join(others, "doc_id", "left_anti").select(*[f"`{c}`" for c in documents.columns])

@@ -12,7 +12,7 @@ any order gives the same state.
 Defined cases: a null or empty text is one empty line and loses nothing. Rows
 without a doc_id are not counted and keep all lines. Rows that repeat a doc_id
 count as one document, and each is rewritten on its own. Extra columns pass
-through where they are asked for.
+through, whatever their names.
 """
 
 from __future__ import annotations
@@ -152,9 +152,16 @@ def _rewriter(min_chars: int):
 
 
 def dedup_lines(
-    documents: DataFrame, *, text: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 4
+    documents: DataFrame,
+    *,
+    text: str = "text",
+    min_chars: int = 20,
+    min_docs: int = 3,
+    batches: int = 4,
+    fanout: int = 4,
+    names: tuple[str, str] = ("n_lines", "n_dropped"),
 ) -> DataFrame:
-    """documents with text rewritten, and n_lines (before) and n_dropped.
+    """documents with text rewritten, and under names its lines before and those dropped (in place of columns so called).
 
     Keys of min_chars or more found in min_docs documents or more lose all their
     lines except in the largest doc_id that holds them. The keys are taken from
@@ -170,8 +177,13 @@ def dedup_lines(
     runs = LineRuns(spark, fanout)
     for i in range(len(cuts), -1, -1):
         runs.add(keys.where(F.col("batch") == i).select("doc_id", "h"))
-    gone = drops(keys.select("doc_id", "h"), runs, min_docs).withColumnRenamed("drop", "_drop").withColumnRenamed("doc_id", "_id")
-    joined = documents.join(gone, F.col("doc_id") == F.col("_id"), "left")
-    others = [F.col(f"`{c}`") for c in documents.columns if c != text]
-    done = joined.withColumn("_new", _rewriter(min_chars)(F.col(f"`{text}`").cast("binary"), F.col("_drop")))
-    return done.select(*others, F.col("_new.kept").alias(text), F.col("_new.n_lines").alias("_n_lines"), F.col("_new.n_dropped").alias("_n_dropped"))
+    gone = drops(keys.select("doc_id", "h"), runs, min_docs).select(F.col("doc_id").alias("_id"), F.col("drop").alias("_drop"))
+    rows = documents.select(
+        F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.col(f"`{text}`").cast("binary").alias("_body")
+    )
+    joined = rows.join(gone, F.col("_doc") == F.col("_id"), "left")
+    done = joined.withColumn("_new", _rewriter(min_chars)(F.col("_body"), F.col("_drop")))
+    kept = [
+        F.col("_new.kept").alias(text) if c == text else F.col(f"_row.`{c}`") for c in documents.columns if c not in names
+    ]
+    return done.select(*kept, F.col("_new.n_lines").alias(names[0]), F.col("_new.n_dropped").alias(names[1]))

@@ -162,6 +162,13 @@ def ablate(rows: DataFrame, policies: tuple[Policy, ...]) -> DataFrame:
     )
 
 
+def kept_documents(documents: DataFrame, policy: Policy = STANDARD, *, text: str = "text") -> DataFrame:
+    """The rows of documents that pass the base rules and a policy, with all their columns."""
+    whole = documents.select(F.struct("*").alias("_row"), F.col(f"`{text}`").alias("_text_"))
+    rows = ledger(whole, text="_text_", keep=("_row",)).where(passes(BASE) & passes(policy))
+    return rows.select(*[F.col(f"_row.`{c}`") for c in documents.columns])
+
+
 def judge(documents: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     """The ledger with base_failed and kept under a policy."""
     return ledger(documents).select(

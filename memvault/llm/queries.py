@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from memvault.llm import (
     fingerprints,
     jaccard_join,
@@ -19,18 +20,11 @@ from memvault.llm import (
     token_counts,
     url_filter,
 )
-from memvault.llm.common import table
+from memvault.llm.common import table, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def tokenizer(name: str) -> str:
-    """The file of a public tokenizer; it lies at the same place on all machines."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.with_token_counts(documents, tokenizer("word_bpe_49k.json")).drop("text")
@@ -52,8 +46,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(
         "doc_id",
-        F.col("_n_lines").alias("n_lines"),
-        F.col("_n_dropped").alias("n_dropped"),
+        "n_lines",
+        "n_dropped",
         F.sha2("text", 256).alias("kept_sha256"),
     )
 
@@ -93,6 +87,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_token_counts": op1_token_counts,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_line_dedup": op3_line_dedup,
@@ -179,4 +174,5 @@ FROM b
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3, "op5_url_filter": OP5, "op6_quality_rules": OP6}
+    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return whole | {"op3_line_dedup": OP3, "op5_url_filter": OP5, "op6_quality_rules": OP6}
