@@ -1,21 +1,389 @@
-"""The registered queries of the record store and their DuckDB twins."""
+"""The registered queries of the record store; their DuckDB twins are in oracles.py."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from memvault.functions import media, rules, text
+from memvault.operators import answer, conflict, dedup, filters, fusion, graph, lexical, observe, stats, vectors
+from memvault.plans import oracles
+from memvault.sources import corpus, exporters, importers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+DAY = "2024-01-01"
+LATER = "2024-01-31 06:00:00"
+
+
+def _mem(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.memories(spark, sf)
+
+
+def _vector(spark: SparkSession, sf: str) -> list[float]:
+    """The stored vector 0, as a query vector."""
+    return corpus.table(spark, sf, "embeddings").where("vec_id = 0").select("embedding").first()[0]
+
+
+def _request(spark: SparkSession, sf: str, query: str = oracles.HYBRID_QUERY, **more) -> fusion.Request:
+    return fusion.Request(query=query, vector=_vector(spark, sf), **more)
+
+
+def recall_vector_topk(spark, sf):
+    return vectors.nearest(corpus.vectors(spark, sf), _vector(spark, sf), 10)
+
+
+def recall_vector_filtered(spark, sf):
+    seen = _mem(spark, sf).where((F.col("category") == "decision") & filters.found_as_of(LATER)).select("id")
+    return vectors.nearest(corpus.vectors(spark, sf).join(seen, "id", "left_semi"), _vector(spark, sf), 10)
+
+
+def recall_bm25_topk(spark, sf):
+    return lexical.top(_mem(spark, sf), oracles.LEXICAL_QUERY, 20, F.col("status") == "active").select("id", "bm25")
+
+
+def recall_bm25_pair_fallback(spark, sf):
+    return lexical.top(_mem(spark, sf), oracles.PAIR_QUERY, 20, F.col("status") == "active").select("id", "bm25")
+
+
+def lexical_postings(spark, sf):
+    index = lexical.postings(_mem(spark, sf))
+    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df > 1")
+
+
+def _hits(spark, sf, **more):
+    return fusion.recall(_mem(spark, sf), corpus.vectors(spark, sf), _request(spark, sf, **more)).select("id", "score", "bm25_rank", "vector_rank")
+
+
+def recall_hybrid(spark, sf):
+    return _hits(spark, sf)
+
+
+def recall_as_of(spark, sf):
+    return _hits(spark, sf, as_of=LATER)
+
+
+def recall_day(spark, sf):
+    return _hits(spark, sf, day=DAY)
+
+
+def recall_min_similarity(spark, sf):
+    return _hits(spark, sf, min_similarity=0.1)
+
+
+def recall_category(spark, sf):
+    return _hits(spark, sf, category="decision")
+
+
+def recall_expanded(spark, sf):
+    return fusion.expanded(_hits(spark, sf), _mem(spark, sf), corpus.links(spark, sf), 12)
+
+
+def list_page(spark, sf):
+    return filters.page(filters.select(_mem(spark, sf), status="active"), 2, 20).select("id", "category", "created_at")
+
+
+def list_as_of(spark, sf):
+    return filters.select(_mem(spark, sf), as_of="2024-01-15", status="active").select("id", "status")
+
+
+def search_as_of(spark, sf):
+    return filters.select(_mem(spark, sf), as_of="2024-01-15", search=True).select("id", "status")
+
+
+def list_day(spark, sf):
+    return filters.select(_mem(spark, sf), day=DAY).select("id")
+
+
+def list_media(spark, sf):
+    files = _files(spark, sf)
+    return filters.with_media(_mem(spark, sf).where("status = 'active'"), files, "code").select("id")
+
+
+def count_filtered(spark, sf):
+    return filters.select(_mem(spark, sf), category="decision", status="active").agg(F.count("*").alias("n"))
+
+
+def ttl_expire(spark, sf):
+    rows = _mem(spark, sf)
+    ttl = text.ttl_ms(F.concat((F.col("doc_id") % 50).cast("string"), F.element_at(F.array(*map(F.lit, ("ms", "s", "m", "h", "d", "w"))), (F.col("doc_id") % 6 + 1).cast("int"))))
+    due = rows.withColumn("ttl_ms", ttl)
+    due = due.withColumn("expired_at", F.col("created_at") + F.make_dt_interval(secs=(F.col("ttl_ms") / 1000).cast("decimal(18,6)")))
+    return filters.expire_due(due, "2024-01-03 00:00:00").select("id", "ttl_ms", "status")
+
+
+def _files(spark, sf):
+    found = corpus.attachments(spark, sf).withColumn("_d", media.detected(F.col("data"), F.col("filename")))
+    return found.withColumn("mime_type", F.col("_d.mime")).withColumn("media_kind", F.col("_d.kind")).drop("_d")
+
+
+def mime_detect(spark, sf):
+    return _files(spark, sf).select("memory_id", "mime_type", "media_kind", media.dimensions(F.col("data"), F.col("mime_type")).alias("dimensions"))
+
+
+def sha_base64(spark, sf):
+    files = filters.verified(corpus.attachments(spark, sf))
+    return files.select("memory_id", "sha256", "size_bytes", F.md5(F.regexp_replace(F.base64("data"), "\r\n", "")).alias("base64_md5"))
+
+
+def media_breakdown(spark, sf):
+    return stats.media_breakdown(_files(spark, sf))
+
+
+def bundle_manifest(spark, sf):
+    return exporters.manifest(_mem(spark, sf), _files(spark, sf), corpus.links(spark, sf))
+
+
+def stats_overview(spark, sf):
+    return stats.overview(_mem(spark, sf), corpus.vectors(spark, sf))
+
+
+def stats_by_category(spark, sf):
+    return stats.by_category(_mem(spark, sf))
+
+
+def vault_overview(spark, sf):
+    return stats.per_scope(_mem(spark, sf), F.element_at("tags", 2))
+
+
+def get_by_prefix(spark, sf):
+    return filters.by_id_or_prefix(_mem(spark, sf), "doc-0000012").select("id")
+
+
+def get_by_title(spark, sf):
+    rows = _mem(spark, sf)
+    return filters.by_id_or_title(rows, rows.where("doc_id = 5").select("title").first()[0]).select("id", "title")
+
+
+def find_by_entity(spark, sf):
+    return filters.by_entity(_mem(spark, sf), corpus.entities(spark, sf), "SOURCE", "src3").select("id")
+
+
+def find_by_sha(spark, sf):
+    files = corpus.attachments(spark, sf)
+    wanted = files.where("memory_id = 'doc-00000003'").select("sha256")
+    return files.join(wanted, "sha256", "left_semi").select("memory_id", "filename")
+
+
+def hydrated(spark, sf):
+    rows = filters.hydrated(_mem(spark, sf), corpus.attachments(spark, sf), corpus.entities(spark, sf))
+    slots = F.array_join(F.transform("entities", lambda e: F.concat_ws("=", e["entity_name"], e["entity_val"])), ";")
+    return rows.select("id", F.array_join("attachment_hashes", ",").alias("hashes"), slots.alias("slots"))
+
+
+def dedup_groups(spark, sf):
+    return dedup.groups(_mem(spark, sf).withColumn("category", F.lit("fact")))
+
+
+def dedup_merged(spark, sf):
+    rows = dedup.merged(_mem(spark, sf).withColumn("category", F.lit("fact")))
+    return rows.select("id", "title", F.array_join("tags", ",").alias("tags"), "confidence", "created_at", "updated_at", "n_merged")
+
+
+def ingest_merge(spark, sf):
+    """Odd documents arrive in a vault that holds the even ones."""
+    rows = _mem(spark, sf).withColumn("category", F.lit("fact"))
+    held = dedup.merged(rows.where("doc_id % 2 = 0")).withColumn("status", F.lit("active"))
+    both = held.unionByName(rows.where("doc_id % 2 = 1").drop("doc_id"), allowMissingColumns=True)
+    return dedup.merged(both).select("id", "confidence", "created_at", "n_merged")
+
+
+def rehomed_links(spark, sf):
+    groups = dedup.groups(_mem(spark, sf).withColumn("category", F.lit("fact")))
+    return dedup.rehomed(corpus.links(spark, sf), groups)
+
+
+def meaningful_tokens(spark, sf):
+    tokens = text.meaningful_tokens(F.col("content"))
+    return _mem(spark, sf).select("id", F.size(tokens).alias("n_tokens"), F.size(text.word_tokens(tokens)).alias("n_words"))
+
+
+def conflicts_pairs(spark, sf):
+    rows = conflict.content_pairs(_mem(spark, sf))
+    return rows.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), "similarity", F.round("overlap_ratio", 6).alias("overlap_ratio"))
+
+
+def conflicts_nearest(spark, sf):
+    return conflict.nearest(_mem(spark, sf))
+
+
+def conflicts_resolved(spark, sf):
+    return conflict.resolved(conflict.nearest(_mem(spark, sf)))
+
+
+def links_all(spark, sf):
+    return corpus.links(spark, sf)
+
+
+def graph_related(spark, sf):
+    starts = _mem(spark, sf).where("doc_id % 100 = 1").select("id")
+    return graph.related(_mem(spark, sf), corpus.links(spark, sf), starts, 3).select("start", "id", "distance")
+
+
+def graph_related_paths(spark, sf):
+    return graph.related(_mem(spark, sf), corpus.links(spark, sf), _mem(spark, sf).where("doc_id % 100 = 1").select("id"), 2)
+
+
+def graph_snapshot(spark, sf):
+    active = _mem(spark, sf).where("status = 'active'").select("id")
+    return graph.snapshot_edges(corpus.links(spark, sf), active)
+
+
+def node_degree(spark, sf):
+    return graph.degrees(corpus.links(spark, sf), _mem(spark, sf).where("status = 'active'").select("id"))
+
+
+def node_cards(spark, sf):
+    return graph.cards(_mem(spark, sf))
+
+
+def link_upsert(spark, sf):
+    links = corpus.links(spark, sf)
+    new = links.where("weight = 1.0").withColumn("weight", F.lit(99.0))
+    return graph.add_links(links, new)
+
+
+def autolink_titles(spark, sf):
+    return graph.title_mentions(_mem(spark, sf))
+
+
+def autolink_tags(spark, sf):
+    return graph.shared_tags(_mem(spark, sf))
+
+
+def autolink_semantic(spark, sf):
+    return graph.semantic(corpus.vectors(spark, sf), 0.35)
+
+
+def wikilinks(spark, sf):
+    return graph.wiki_edges(corpus.memories(spark, sf, decorated=True))
+
+
+def dangling_links(spark, sf):
+    return exporters.dangling(_mem(spark, sf).where("doc_id % 7 <> 0"), corpus.links(spark, sf)).select("source_id", "target_id")
+
+
+def categorize(spark, sf):
+    rows = corpus.memories(spark, sf, decorated=True)
+    return rows.select("id", rules.category_of(F.col("content")).alias("category"))
+
+
+def lenient_categories(spark, sf):
+    return corpus.table(spark, sf, "events").select("event_id", rules.lenient_category(F.col("event_type")).alias("category"))
+
+
+def observe_conversations(spark, sf):
+    turns = corpus.table(spark, sf, "conversations")
+    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("We decided "), "text")).when(F.col("turn") % 3 == 1, F.concat(F.lit("I prefer "), "text")).otherwise(F.col("text"))
+    found = observe.candidates(turns.withColumn("text", said))
+    return found.select("conv_id", "turn", "place", "category", "title", "content", F.array_join("tags", ",").alias("tags"), "confidence")
+
+
+def answer_top1(spark, sf):
+    return answer.top_answer(_hits(spark, sf).join(_mem(spark, sf).select("id", "title"), "id"))
+
+
+def answer_gate(spark, sf):
+    return answer.gated(_hits(spark, sf)).select("id", "score")
+
+
+def answer_entity_index(spark, sf):
+    slots = corpus.entities(spark, sf)
+    return answer.entity_answer(_hits(spark, sf, limit=1), slots, "what is the source and the lang of it?")
+
+
+def grounding_check(spark, sf):
+    rows = _mem(spark, sf)
+    said = F.concat_ws(" ", F.slice(F.split("content", " "), 2, 2))
+    return rows.select("id", answer.grounded(said, F.col("content")).alias("grounded"), F.size(text.content_tokens(F.col("content"))).alias("n_tokens"))
+
+
+def history_filter(spark, sf):
+    return stats.history_page(corpus.history(spark, sf), status="failed", limit=50).select("id", "subcommand", "status", "total")
+
+
+def history_prune(spark, sf):
+    return stats.pruned(corpus.history(spark, sf), 700).agg(F.count("*").alias("kept"), F.min("id").alias("oldest"))
+
+
+def history_latency(spark, sf):
+    return stats.latency(corpus.history(spark, sf))
+
+
+def _two_vaults(spark, sf):
+    rows = _mem(spark, sf)
+    held = rows.where("doc_id % 3 <> 0")
+    other = rows.where("doc_id % 3 <> 1").withColumn("title", F.concat(F.lit("new "), "title"))
+    return held, other
+
+
+def merge_vaults_skip(spark, sf):
+    held, other = _two_vaults(spark, sf)
+    return dedup.merge_vaults(held, other, replace=False)[0].select("id", "title")
+
+
+def merge_vaults_replace(spark, sf):
+    held, other = _two_vaults(spark, sf)
+    return dedup.merge_vaults(held, other, replace=True)[0].select("id", "title")
+
+
+def merge_vaults_links(spark, sf):
+    held, other = _two_vaults(spark, sf)
+    links = corpus.links(spark, sf)
+    accepted = dedup.merge_vaults(held, other, replace=False)[1]
+    return dedup.accepted_links(links.where("weight = 1.0"), links, accepted)
+
+
+def hash_embedding(spark, sf):
+    cards = _mem(spark, sf).select("id", text.card_text(F.col("category"), F.col("title"), F.substring("title", 1, 40), F.col("tags")).alias("card"))
+    found = vectors.embedded(cards, vectors.HashEmbedder())
+    return found.select("id", F.size("embedding").alias("dims"), F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 3).alias("norm"))
+
+
+def card_texts(spark, sf):
+    return _mem(spark, sf).select("id", F.md5(text.card_text(F.col("category"), F.col("title"), F.col("content"), F.col("tags"))).alias("card_md5"))
+
+
+def import_json(spark, sf):
+    """Events as foreign JSON lines."""
+    events = corpus.table(spark, sf, "events")
+    line = F.to_json(F.struct(F.col("event_id").cast("string").alias("uuid"), F.col("event_type").alias("type"), F.struct(F.concat(F.lit("we decided on "), "event_type").alias("body")).alias("payload")))
+    files = events.select(F.col("event_id").cast("string").alias("path"), line.alias("text"))
+    return importers.json_candidates(importers.json_objects(files)).select("path", "id", "category", "title", "content", F.array_join("tags", ",").alias("tags"))
+
+
+def export_markdown(spark, sf):
+    rows = exporters.markdown(_mem(spark, sf))
+    return rows.groupBy("category", "place").agg(F.count("*").alias("blocks"))
+
+
+def export_json_roundtrip(spark, sf):
+    lines = exporters.json_lines(_mem(spark, sf).select("id", "category", "title", "content", "tags"))
+    files = lines.select(F.md5("value").alias("path"), F.col("value").alias("text"))
+    back = importers.json_candidates(importers.json_objects(files))
+    return back.select("id", "category", "title", F.md5("content").alias("content_md5"), F.array_join("tags", ",").alias("tags"))
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    found = (
+        recall_vector_topk, recall_vector_filtered, recall_bm25_topk, recall_bm25_pair_fallback, lexical_postings, recall_hybrid,
+        recall_as_of, recall_day, recall_min_similarity, recall_category, recall_expanded, list_page, list_as_of, search_as_of, list_day,
+        list_media, count_filtered, ttl_expire, mime_detect, sha_base64, media_breakdown, bundle_manifest, stats_overview,
+        stats_by_category, vault_overview, get_by_prefix, get_by_title, find_by_entity, find_by_sha, hydrated, dedup_groups, dedup_merged,
+        ingest_merge, rehomed_links, meaningful_tokens, conflicts_pairs, conflicts_nearest, conflicts_resolved, links_all, graph_related,
+        graph_related_paths, graph_snapshot, node_degree, node_cards, link_upsert, autolink_titles, autolink_tags, autolink_semantic,
+        wikilinks, dangling_links, categorize, lenient_categories, observe_conversations, answer_top1, answer_gate,
+        answer_entity_index, grounding_check, history_filter, history_prune, history_latency, merge_vaults_skip,
+        merge_vaults_replace, merge_vaults_links, hash_embedding, card_texts, import_json, export_markdown, export_json_roundtrip,
+    )
+    return {q.__name__: q for q in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.SQL
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return recall_hybrid(spark, sf_dir)
