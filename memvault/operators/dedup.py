@@ -56,7 +56,8 @@ def merged(memories: DataFrame) -> DataFrame:
     # a group's distinct tags, not its records, come together here
     listed = seen.groupBy("category", "_k").agg(F.array_sort(F.collect_list(F.struct("_at", "tag"))).alias("_t"))
     tags = listed.select("category", "_k", F.col("_t.tag").alias("_all")).select("category", "_k", _distinct_tags(F.col("_all")).alias("tags"))
-    return fields.join(tags, ["category", "_k"], "left").drop("_k")
+    survivors = fields.join(tags, ["category", "_k"], "left").drop("_k")
+    return survivors.join(rows.select("id", "content"), "id")
 
 
 def groups(memories: DataFrame) -> DataFrame:

@@ -1,4 +1,258 @@
-SQL = {}
-HYBRID_QUERY = "ndtion thonthe"
-LEXICAL_QUERY = "the inter"
-PAIR_QUERY = "zzz the tion"
+"""DuckDB SQL for the registered queries, written apart from the Spark plans."""
+
+from __future__ import annotations
+
+from memvault.functions import rules
+from memvault.functions.text import MEANING_STOP
+from memvault.schema import CATEGORIES
+from memvault.sources.corpus import PREFIXES
+
+HYBRID_QUERY = "thonthe ndtion"
+LEXICAL_QUERY = "thor reon"
+PAIR_QUERY = "zzzz thor reon"
+
+
+def _list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+_BLANKS = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(133)||chr(160)||chr(5760)||chr(8192)||chr(8193)||chr(8194)||chr(8195)||chr(8196)||chr(8197)||chr(8198)||chr(8199)||chr(8200)||chr(8201)||chr(8202)||chr(8232)||chr(8233)||chr(8239)||chr(8287)||chr(12288)"
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _memories(content: str = "coalesce(text, '')") -> str:
+    return f"""mem AS (
+  SELECT 'doc-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS id, {content} AS content,
+         left(string_split({content}, chr(10))[1], 80) AS title, lang, source, [lang, source] AS tags,
+         CAST(coalesce(0.5 + 0.5 * quality, 0.9) AS DOUBLE) AS confidence,
+         CASE WHEN doc_id % 7 = 0 THEN 'expired' ELSE 'active' END AS status,
+         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id AS INTEGER)) AS created_at,
+         CASE WHEN doc_id % 7 = 0 AND doc_id % 2 <> 0
+              THEN TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id AS INTEGER)) + INTERVAL 30 DAY END AS expired_at,
+         ({_list(CATEGORIES)})[doc_id % {len(CATEGORIES)} + 1] AS category, doc_id
+  FROM documents LEFT JOIN (SELECT doc_id, quality FROM labels) USING (doc_id))"""
+
+
+MEM = "WITH " + _memories()
+_DECORATED = f"({_list(PREFIXES)})[doc_id % {len(PREFIXES)} + 1] || coalesce(text, '') || CASE WHEN doc_id % 5 = 0 THEN ' [[doc-' || lpad(CAST(doc_id * 7 % 1000 AS VARCHAR), 8, '0') || '|see]]' ELSE '' END"
+DECORATED = "WITH " + _memories(_DECORATED)
+VEC = """vec AS (SELECT 'doc-' || lpad(CAST(vec_id AS VARCHAR), 8, '0') AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+near AS (
+  SELECT id, round(greatest(-1, least(1, list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))))), 6) AS similarity
+  FROM vec, (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0))"""
+LINKS = """n AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
+pick AS (
+  SELECT vec_id AS s, (vec_id * (k + 2) + k * 17) % n AS t, k FROM embeddings, n, (VALUES (1), (2), (3)) v(k)),
+links AS (
+  SELECT 'doc-' || lpad(CAST(s AS VARCHAR), 8, '0') AS source_id, 'doc-' || lpad(CAST(t AS VARCHAR), 8, '0') AS target_id,
+         'relates_to' AS relation, CAST(0.5 + 0.5 / min(k) AS DOUBLE) AS weight
+  FROM pick WHERE s <> t GROUP BY s, t)"""
+FILES = """files AS (
+  SELECT 'doc-' || lpad(CAST(page_id AS VARCHAR), 8, '0') AS memory_id, CAST(page_id AS VARCHAR) || '.html' AS filename,
+         html, sha256(html) AS sha256, CAST(strlen(html) AS BIGINT) AS size_bytes FROM pages)"""
+HISTORY = """history AS (
+  SELECT event_id AS id, event_type AS subcommand, CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status,
+         CAST(floor(value * 1000) AS BIGINT) AS duration_ms FROM events)"""
+FOUND = "created_at <= TIMESTAMP '{0}' AND ((status = 'active' AND expired_at IS NULL) OR expired_at > TIMESTAMP '{0}')"
+
+
+def _bm25(phrases: list[str], eligible: str = "status = 'active'") -> str:
+    """CTEs ending in bm(id, bm25) for single-term prefix phrases."""
+    n = len(phrases)
+    tfs = ", ".join(f"CAST(len(list_filter(w, lambda t: starts_with(t, '{p}'))) AS BIGINT) AS tf{i}" for i, p in enumerate(phrases))
+    has = " + ".join(f"(tf{i} > 0)::INT" for i in range(n))
+    dfs = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(n))
+    score = " + ".join(
+        f"CASE WHEN tf{i} > 0 THEN greatest(1e-6, ln((n - df{i} + 0.5) / (df{i} + 0.5))) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END"
+        for i in range(n)
+    )
+    least = 2 if 3 <= n <= 6 else n
+    return f"""terms AS (
+  SELECT *, list_filter(regexp_split_to_array(lower(title || ' ' || content), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS w FROM mem),
+tf AS (SELECT id, ({eligible}) AS ok, len(w) AS dl, {tfs} FROM terms),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {dfs}, count(*) FILTER (ok AND {has} = {n}) AS whole FROM tf),
+bm AS (SELECT id, round({score}, 6) AS bm25 FROM tf, st WHERE ok AND {has} >= CASE WHEN whole > 0 THEN {n} ELSE {least} END)"""
+
+
+def _recall(eligible: str = "status = 'active'", min_similarity: float | None = None, extra: str = "") -> str:
+    """Hybrid recall for HYBRID_QUERY, a query of two tokens that are too long for initials."""
+    tokens = HYBRID_QUERY.split()
+    gain = " + ".join(
+        f"CASE WHEN list_contains(w, '{t}') OR len(list_filter(tags, lambda x: lower(x) = '{t}' OR starts_with(lower(x), '{t}-'))) > 0 THEN 0.06 ELSE 0 END" for t in tokens
+    )
+    floor = f"WHERE similarity >= {min_similarity}" if min_similarity is not None else ""
+    return f"""{MEM}, {VEC}, {_bm25(tokens, eligible)},
+lex AS (SELECT id, row_number() OVER (ORDER BY bm25 DESC, id) AS bm25_rank FROM bm QUALIFY bm25_rank <= 80),
+cand AS (SELECT near.* FROM near JOIN mem USING (id) WHERE similarity > 0 AND ({eligible})),
+vlane AS (SELECT id, similarity, row_number() OVER (ORDER BY similarity DESC, id) AS vector_rank FROM cand QUALIFY vector_rank <= 80),
+lanes AS (SELECT coalesce(lex.id, vlane.id) AS id, bm25_rank, vector_rank, similarity FROM lex FULL JOIN vlane ON lex.id = vlane.id),
+fused AS (SELECT *, round(coalesce(1 / (60 + bm25_rank), 0) + coalesce(1 / (60 + vector_rank), 0), 9) AS rrf FROM lanes),
+one AS (
+  SELECT fused.*, w, tags FROM fused JOIN terms USING (id)
+  QUALIFY row_number() OVER (PARTITION BY category, trim(content, {_BLANKS}) ORDER BY rrf DESC, fused.id) = 1),
+boosted AS (SELECT *, least(0.35, {gain}) AS gain, EXISTS (FROM lex) AS lexical FROM one {floor}),
+based AS (
+  SELECT *, (rrf + CASE WHEN lexical AND bm25_rank IS NULL AND coalesce(vector_rank, 999) <= 5 AND gain >= 0.06 - 1e-5
+    THEN 1 / (70 + vector_rank) ELSE 0 END) * 61 / 2 AS base,
+    CASE WHEN gain >= 0.12 - 1e-5 OR bm25_rank IS NOT NULL OR vector_rank = 1 THEN gain ELSE 0.2 * gain END AS eff FROM boosted),
+hits AS (
+  SELECT id, round(greatest(0, least(1, 0.85 * base + 0.15 * eff / 0.35)), 6) AS score, bm25_rank, vector_rank
+  FROM based ORDER BY score DESC, id LIMIT 10)
+{extra or 'SELECT * FROM hits'}"""
+
+
+def _category_case(text: str) -> str:
+    """CASE over the rule table; text is trimmed and lower-cased."""
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    whens = []
+    for category, beginnings, parts in rules.CATEGORY_RULES:
+        if parts is None:
+            test = f"len(list_filter(regexp_split_to_array({text}, '\\s+'), lambda t: contains(t, '://') AND contains(t, '@') AND len(string_split(t, ':')) >= 3)) > 0"
+        else:
+            test = " OR ".join([f"starts_with({text}, {q(b)})" for b in beginnings] + [f"contains({text}, {q(p)})" for p in parts])
+        whens.append(f"WHEN {test} THEN '{category}'")
+    return "CASE " + " ".join(whens) + " ELSE 'fact' END"
+
+
+def _lenient_case(text: str) -> str:
+    whens = [f"WHEN {text} IN ('', {', '.join(map(repr, rules.NO_CATEGORY))}) THEN NULL", f"WHEN {text} IN ({', '.join(map(repr, CATEGORIES))}) THEN {text}"]
+    for category, parts, whole in rules.SYNONYMS:
+        whens.append("WHEN " + " OR ".join([f"contains({text}, '{p}')" for p in parts] + [f"{text} = '{w}'" for w in whole]) + f" THEN '{category}'")
+    return "CASE " + " ".join(whens) + " END"
+
+
+_KEYED = f"{MEM}, act AS (SELECT *, trim(content, {_BLANKS}) AS k FROM mem WHERE status = 'active')"
+_MERGED = f"""{MEM}, act AS (
+  SELECT *, trim(content, {_BLANKS}) AS k, row_number() OVER (PARTITION BY trim(content, {_BLANKS}) ORDER BY created_at, id) AS n FROM mem WHERE status = 'active'),
+tag AS (SELECT k, n, unnest(tags) AS tag, generate_subscripts(tags, 1) AS p FROM act),
+first_tag AS (SELECT k, lower(tag) AS low, min(n * 10 + p) AS pos, arg_min(tag, n * 10 + p) AS tag FROM tag GROUP BY k, lower(tag)),
+tags AS (SELECT k, string_agg(tag, ',' ORDER BY pos) AS tags FROM first_tag GROUP BY k)"""
+_CONFLICT = f"""{MEM}, raw AS (
+  SELECT *, translate(trim(content, {_BLANKS}), '{_UP}', '{_LOW}') AS k FROM mem),
+cls AS (
+  SELECT k, arg_max(id, (created_at, id)) AS id, arg_min(content, (created_at, id)) AS content, max(created_at) AS created_at FROM raw GROUP BY k),
+second AS (
+  SELECT raw.k, max(raw.id) AS id FROM raw JOIN cls ON raw.k = cls.k AND raw.id <> cls.id GROUP BY raw.k),
+tok AS (
+  SELECT k, id, list_distinct(list_filter(list_transform(regexp_split_to_array(content, '[^\\p{{L}}\\p{{N}}_.\\-]+'), lambda w: lower(trim(w, '.-_'))),
+    lambda w: strlen(w) > 1 AND NOT list_contains({_list(MEANING_STOP)}, w))) AS t FROM cls),
+wt AS (SELECT *, list_filter(t, lambda w: regexp_matches(w, '\\p{{L}}')) AS w FROM tok),
+ew AS (SELECT id, unnest(w) AS w FROM wt), et AS (SELECT id, unnest(t) AS t FROM wt),
+inter AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM ew a JOIN ew b ON a.w = b.w AND a.id < b.id GROUP BY 1, 2),
+pre AS (
+  SELECT i.a, i.b, i.n / least(len(x.w), len(y.w)) AS lo, i.n / greatest(len(x.w), len(y.w)) AS hi, least(len(x.t), len(y.t)) AS mt
+  FROM inter i JOIN wt x ON x.id = i.a JOIN wt y ON y.id = i.b),
+hit AS (SELECT * FROM pre WHERE round(0.92 * lo, 6) >= 0.78 AND lo >= 0.55 AND hi >= 0.45),
+pairs AS (
+  SELECT hit.a, hit.b, round(0.92 * any_value(lo), 6) AS similarity, round(least(1.0, count(*) / any_value(mt)), 6) AS overlap_ratio
+  FROM hit JOIN et x ON x.id = hit.a JOIN et y ON y.id = hit.b AND x.t = y.t GROUP BY hit.a, hit.b)"""
+_NEAREST = f"""{_CONFLICT}, both_ways AS (
+  SELECT a AS me, b AS other, similarity, overlap_ratio FROM pairs UNION ALL SELECT b, a, similarity, overlap_ratio FROM pairs
+  UNION ALL SELECT cls.id, second.id, 1.0, 1.0 FROM cls JOIN second USING (k)),
+best AS (SELECT * FROM both_ways QUALIFY row_number() OVER (PARTITION BY me ORDER BY similarity DESC, other DESC) = 1)
+SELECT DISTINCT least(me, other) AS older_id, greatest(me, other) AS newer_id, similarity, overlap_ratio FROM best"""
+_ACTIVE_EDGES = f"""{MEM}, {LINKS}, ok AS (
+  SELECT l.* FROM links l JOIN mem a ON a.id = source_id AND a.status = 'active' JOIN mem b ON b.id = target_id AND b.status = 'active')"""
+_VAULTS = f"""{MEM}, held AS (SELECT id, title FROM mem WHERE doc_id % 3 <> 0),
+other AS (SELECT id, 'new ' || title AS title FROM mem WHERE doc_id % 3 <> 1)"""
+_CARD = "'[' || upper(category) || '] ' || title || chr(10) || chr(10) || content || chr(10) || chr(10) || 'Tags: ' || lang || ', ' || source"
+
+SQL: dict[str, str] = {
+    "recall_vector_topk": f"WITH {VEC} SELECT * FROM near WHERE similarity > 0 ORDER BY similarity DESC, id LIMIT 10",
+    "recall_vector_filtered": f"{MEM}, {VEC} SELECT near.id, similarity FROM near JOIN mem USING (id) WHERE similarity > 0 AND category = 'decision' AND {FOUND.format('2024-01-31 06:00:00')} ORDER BY similarity DESC, near.id LIMIT 10",
+    "recall_bm25_topk": f"{MEM}, {_bm25(LEXICAL_QUERY.split())} SELECT * FROM bm ORDER BY bm25 DESC, id LIMIT 20",
+    "recall_bm25_pair_fallback": f"{MEM}, {_bm25(PAIR_QUERY.split())} SELECT * FROM bm ORDER BY bm25 DESC, id LIMIT 20",
+    "lexical_postings": f"""{MEM}, t AS (SELECT id, unnest(regexp_split_to_array(lower(title || ' ' || content), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM mem)
+SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM t WHERE term <> '' GROUP BY term HAVING count(DISTINCT id) > 1""",
+    "recall_hybrid": _recall(),
+    "recall_as_of": _recall(FOUND.format("2024-01-31 06:00:00")),
+    "recall_day": _recall("status = 'active' AND CAST(created_at AS DATE) = DATE '2024-01-01'"),
+    "recall_min_similarity": _recall(min_similarity=0.1),
+    "recall_category": _recall("status = 'active' AND category = 'decision'"),
+    "recall_expanded": _recall(extra=f""", {LINKS}, best AS (SELECT id AS hit, score FROM hits ORDER BY score DESC, id LIMIT 3),
+edge AS (SELECT source_id AS hit, target_id AS id FROM links UNION ALL SELECT target_id, source_id FROM links),
+more AS (SELECT edge.id, round(max(score) * 0.8, 6) AS score FROM edge JOIN best USING (hit) JOIN mem ON mem.id = edge.id AND status = 'active'
+  WHERE edge.id NOT IN (SELECT id FROM hits) GROUP BY edge.id)
+SELECT * FROM (SELECT id, score FROM hits UNION ALL SELECT * FROM more) ORDER BY score DESC, id LIMIT 12"""),
+    "list_page": f"{MEM} SELECT id, category, created_at FROM mem WHERE status = 'active' ORDER BY created_at DESC, id LIMIT 20 OFFSET 20",
+    "list_as_of": f"{MEM} SELECT id, status FROM mem WHERE created_at <= TIMESTAMP '2024-01-15 23:59:59' AND (expired_at IS NULL OR expired_at > TIMESTAMP '2024-01-15 23:59:59')",
+    "search_as_of": f"{MEM} SELECT id, status FROM mem WHERE {FOUND.format('2024-01-15 23:59:59')}",
+    "list_day": f"{MEM} SELECT id FROM mem WHERE CAST(created_at AS DATE) = DATE '2024-01-01'",
+    "list_media": f"{MEM}, {FILES} SELECT id FROM mem WHERE status = 'active' AND id IN (SELECT memory_id FROM files)",
+    "count_filtered": f"{MEM} SELECT count(*) AS n FROM mem WHERE category = 'decision' AND status = 'active'",
+    "ttl_expire": f"""{MEM}, t AS (SELECT *, nullif(doc_id % 50, 0) * ([1, 1000, 60000, 3600000, 86400000, 604800000])[doc_id % 6 + 1] AS ttl_ms FROM mem)
+SELECT id, CAST(ttl_ms AS BIGINT) AS ttl_ms, CASE WHEN created_at + to_milliseconds(ttl_ms) <= TIMESTAMP '2024-01-03' THEN 'expired' ELSE status END AS status FROM t""",
+    "mime_detect": f"WITH {FILES} SELECT memory_id, 'text/html' AS mime_type, 'code' AS media_kind, CAST(NULL AS VARCHAR) AS dimensions FROM files",
+    "sha_base64": f"WITH {FILES} SELECT memory_id, sha256, size_bytes, md5(base64(encode(html))) AS base64_md5 FROM files",
+    "media_breakdown": f"WITH {FILES} SELECT 'code' AS media_kind, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM files",
+    "bundle_manifest": f"""{MEM}, {LINKS}, {FILES}
+SELECT (SELECT count(*) FROM mem) AS records, (SELECT count(*) FROM mem WHERE status = 'active') AS active, (SELECT count(*) FROM files) AS files,
+  (SELECT CAST(sum(size_bytes) AS BIGINT) FROM files) AS bytes, 'code=' || (SELECT count(*) FROM files) AS kinds, (SELECT count(*) FROM links) AS links""",
+    "stats_overview": f"{MEM} SELECT count(*) AS total, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'expired') AS expired, (SELECT count(*) FROM embeddings) AS vectors FROM mem",
+    "stats_by_category": f"{MEM} SELECT category, count(*) AS n FROM mem GROUP BY category",
+    "vault_overview": f"{MEM} SELECT source AS scope, count(*) AS total, count(*) FILTER (status = 'active') AS active, max(created_at) AS last_update FROM mem GROUP BY source",
+    "get_by_prefix": f"{MEM} SELECT id FROM mem WHERE starts_with(id, 'doc-0000012') ORDER BY id LIMIT 2",
+    "get_by_title": f"""{MEM}, k AS (SELECT title AS t FROM mem WHERE doc_id = 5), r AS (
+  SELECT id, title, CASE WHEN id = t THEN 0 WHEN starts_with(id, t) THEN 1 WHEN status = 'active' AND lower(title) = lower(t) THEN 2
+    WHEN status = 'active' AND contains(lower(title), lower(t)) THEN 3 END AS rank FROM mem, k)
+SELECT id, title FROM r WHERE rank = (SELECT min(rank) FROM r) ORDER BY id LIMIT 2""",
+    "find_by_entity": f"{MEM} SELECT id FROM mem WHERE status = 'active' AND source = 'src3'",
+    "find_by_sha": f"WITH {FILES} SELECT memory_id, filename FROM files WHERE sha256 = (SELECT sha256 FROM files WHERE memory_id = 'doc-00000003')",
+    "hydrated": f"{MEM}, {FILES} SELECT id, sha256 AS hashes, 'lang=' || lang || ';source=' || source AS slots FROM mem LEFT JOIN files ON memory_id = id",
+    "dedup_groups": f"{_KEYED} SELECT id, first_value(id) OVER (PARTITION BY k ORDER BY created_at, id) AS primary_id FROM act",
+    "dedup_merged": f"""{_MERGED} SELECT arg_min(id, n) AS id, coalesce(arg_min(title, n) FILTER (title <> left(string_split(k, chr(10))[1], 80) AND NOT ends_with(title, '...')), arg_min(title, n)) AS title,
+  any_value(tags.tags) AS tags, max(confidence) AS confidence, min(created_at) AS created_at, max(created_at) AS updated_at, count(*) AS n_merged
+FROM act JOIN tags USING (k) GROUP BY k""",
+    "ingest_merge": f"""{_KEYED} SELECT arg_min(id, (created_at, id)) AS id, max(confidence) AS confidence, min(created_at) AS created_at,
+  CAST(count(*) FILTER (doc_id % 2 = 1) + bool_or(doc_id % 2 = 0)::INT AS BIGINT) AS n_merged FROM act GROUP BY k""",
+    "rehomed_links": f"""{_KEYED}, {LINKS}, g AS (SELECT id, first_value(id) OVER (PARTITION BY k ORDER BY created_at, id) AS p FROM act),
+m AS (SELECT coalesce(a.p, source_id) AS source_id, coalesce(b.p, target_id) AS target_id, relation, weight
+  FROM links LEFT JOIN g a ON a.id = source_id LEFT JOIN g b ON b.id = target_id)
+SELECT source_id, target_id, relation, max(weight) AS weight FROM m WHERE source_id <> target_id GROUP BY ALL""",
+    "meaningful_tokens": f"""{MEM}, t AS (SELECT id, list_distinct(list_filter(list_transform(regexp_split_to_array(content, '[^\\p{{L}}\\p{{N}}_.\\-]+'), lambda w: lower(trim(w, '.-_'))),
+    lambda w: strlen(w) > 1 AND NOT list_contains({_list(MEANING_STOP)}, w))) AS t FROM mem)
+SELECT id, CAST(len(t) AS INTEGER) AS n_tokens, CAST(len(list_filter(t, lambda w: regexp_matches(w, '\\p{{L}}'))) AS INTEGER) AS n_words FROM t""",
+    "conflicts_pairs": f"{_CONFLICT} SELECT * FROM pairs",
+    "conflicts_nearest": _NEAREST,
+    "links_all": f"WITH {LINKS} SELECT * FROM links",
+    "graph_related": f"""WITH RECURSIVE {MEM.removeprefix('WITH ')}, {LINKS}, ok AS (
+  SELECT l.* FROM links l JOIN mem a ON a.id = source_id AND a.status = 'active' JOIN mem b ON b.id = target_id AND b.status = 'active'),
+e AS (SELECT source_id AS x, target_id AS y FROM ok UNION SELECT target_id, source_id FROM ok),
+walk(start, id, d) AS (SELECT id, id, 0 FROM mem WHERE doc_id % 100 = 1 AND status = 'active'
+  UNION SELECT start, y, d + 1 FROM walk JOIN e ON x = walk.id WHERE d < 3)
+SELECT start, id, min(d) AS distance FROM walk GROUP BY start, id HAVING min(d) > 0""",
+    "graph_snapshot": f"{_ACTIVE_EDGES} SELECT * FROM ok",
+    "node_degree": f"{_ACTIVE_EDGES}, e AS (SELECT source_id AS id FROM ok UNION ALL SELECT target_id FROM ok) SELECT mem.id, count(e.id) AS degree FROM mem LEFT JOIN e USING (id) WHERE status = 'active' GROUP BY mem.id",
+    "node_cards": f"{MEM} SELECT id, CASE WHEN title <> '' THEN title ELSE left(content, 30) END AS label, CASE WHEN length(content) > 140 THEN left(content, 140) || '...' ELSE content END AS snippet FROM mem",
+    "link_upsert": f"WITH {LINKS} SELECT source_id, target_id, relation, CASE WHEN weight = 1 THEN 10.0 ELSE weight END::DOUBLE AS weight FROM links",
+    "autolink_titles": f"""{MEM}, act AS (SELECT * FROM mem WHERE status = 'active'),
+t AS (SELECT lower(title) AS t, min(id) AS target_id FROM act WHERE length(title) >= 4 GROUP BY 1),
+p AS (SELECT act.id AS source_id, target_id, lower(content) AS c, t, strpos(lower(content), t) AS pos FROM act, t WHERE contains(lower(content), t) AND act.id <> target_id)
+SELECT DISTINCT source_id, target_id FROM p WHERE (pos = 1 OR NOT regexp_matches(c[pos - 1], '[\\p{{L}}\\p{{N}}]')) AND NOT regexp_matches(c[pos + length(t)], '[\\p{{L}}\\p{{N}}]')
+  AND regexp_matches(t, '[\\p{{L}}\\p{{N}}]')""",
+    "autolink_tags": f"{MEM} SELECT id AS source_id, p AS target_id FROM (SELECT id, min(id) OVER (PARTITION BY lower(lang), lower(source)) AS p FROM mem WHERE status = 'active') WHERE id <> p",
+    "autolink_semantic": f"""WITH {VEC}, pair AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS s FROM vec a JOIN vec b ON a.id <> b.id)
+SELECT a AS source_id, b AS target_id, round(s, 2) AS weight FROM pair WHERE s >= 0.35""",
+    "wikilinks": f"{DECORATED} SELECT DISTINCT a.id AS source_id, b.id AS target_id FROM mem a JOIN mem b ON b.doc_id = a.doc_id * 7 % 1000 AND b.status = 'active' WHERE a.status = 'active' AND a.doc_id % 5 = 0 AND a.id <> b.id",
+    "dangling_links": f"{MEM}, {LINKS}, ids AS (SELECT id FROM mem WHERE doc_id % 7 <> 0) SELECT source_id, target_id FROM links WHERE source_id NOT IN (FROM ids) OR target_id NOT IN (FROM ids)",
+    "categorize": f"{DECORATED}, low AS (SELECT id, lower(trim(content, {_BLANKS})) AS t FROM mem) SELECT id, {_category_case('t')} AS category FROM low",
+    "lenient_categories": f"SELECT event_id, {_lenient_case('lower(event_type)')} AS category FROM events",
+    "answer_top1": _recall(extra="SELECT title AS answer, hits.id AS selected, score AS confidence, 'top1' AS engine FROM (SELECT * FROM hits ORDER BY score DESC, id LIMIT 1) hits JOIN mem USING (id) WHERE bm25_rank IS NOT NULL OR score >= 0.35"),
+    "answer_gate": _recall(extra="SELECT id, score FROM hits WHERE bm25_rank IS NOT NULL OR score >= 0.35"),
+    "answer_entity_index": _recall(extra=", best AS (SELECT * FROM hits ORDER BY score DESC, id LIMIT 1) SELECT s.slot, CASE s.slot WHEN 'lang' THEN lang ELSE source END AS answer, best.id AS selected FROM best JOIN mem USING (id), (VALUES ('lang'), ('source')) s(slot)"),
+    "history_filter": f"WITH {HISTORY} SELECT id, subcommand, status, (SELECT count(*) FROM history) AS total FROM history WHERE status = 'error' ORDER BY id DESC LIMIT 50",
+    "history_prune": f"WITH {HISTORY}, k AS (SELECT id FROM history ORDER BY id DESC LIMIT 700) SELECT count(*) AS kept, min(id) AS oldest FROM k",
+    "history_latency": f"""WITH {HISTORY}, r AS (SELECT *, row_number() OVER (PARTITION BY subcommand ORDER BY duration_ms, id) - 1 AS r, count(*) OVER (PARTITION BY subcommand) AS n FROM history)
+SELECT subcommand, max(duration_ms) FILTER (r = least(floor(n * 0.5), n - 1)) AS p50, max(duration_ms) FILTER (r = least(floor(n * 0.95), n - 1)) AS p95,
+  max(duration_ms) FILTER (r = least(floor(n * 0.99), n - 1)) AS p99 FROM r GROUP BY subcommand""",
+    "merge_vaults_skip": f"{_VAULTS} SELECT * FROM held UNION ALL SELECT * FROM other WHERE id NOT IN (SELECT id FROM held)",
+    "merge_vaults_replace": f"{_VAULTS} SELECT * FROM other UNION ALL SELECT * FROM held WHERE id NOT IN (SELECT id FROM other)",
+    "merge_vaults_links": f"""{_VAULTS}, {LINKS}, acc AS (SELECT id FROM other WHERE id NOT IN (SELECT id FROM held))
+SELECT * FROM links WHERE weight = 1 OR (source_id IN (FROM acc) AND target_id IN (FROM acc))""",
+    "hash_embedding": f"{MEM} SELECT id, 384 AS dims, 1.0::DOUBLE AS norm FROM mem",
+    "card_texts": f"{MEM} SELECT id, md5({_CARD}) AS card_md5 FROM mem",
+    "import_json": f"""SELECT CAST(event_id AS VARCHAR) AS path, CAST(event_id AS VARCHAR) AS id, coalesce({_lenient_case('lower(event_type)')}, 'decision') AS category,
+  'we decided on ' || event_type AS title, 'we decided on ' || event_type AS content, CASE WHEN {_lenient_case('lower(event_type)')} IS NULL THEN lower(event_type) ELSE '' END AS tags FROM events""",
+    "export_markdown": f"{MEM} SELECT category, CAST(list_position({_list(CATEGORIES)}, category) AS INTEGER) AS place, count(*) AS blocks FROM mem WHERE status = 'active' GROUP BY category",
+    "export_json_roundtrip": f"{MEM} SELECT id, category, trim(title, {_BLANKS}) AS title, md5(trim(content, {_BLANKS})) AS content_md5, lang || ',' || source AS tags FROM mem",
+}
