@@ -38,7 +38,9 @@ def json_objects(files: DataFrame) -> DataFrame:
     tries.append(F.when(F.size(both) > 0, both))
     tries.append(F.when(whole.isNotNull() & F.col("text").startswith("{"), F.array(whole)))
     lines = F.transform(F.filter(F.split("text", r"\r?\n"), lambda x: trim(x).startswith("{")), lambda x: F.parse_json(x))
-    found = F.when(whole.isNull(), lines).otherwise(F.coalesce(*tries))
+    # the parser stops after a first object, so several on lines of their own are told apart by their braces
+    by_line = whole.isNull() | F.col("text").rlike(r"(?s)^\{.*\}\s*\n\s*\{")
+    found = F.when(by_line, lines).otherwise(F.coalesce(*tries))
     return parsed.select("path", F.posexplode(found).alias("place", "object"))
 
 
