@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -37,6 +38,12 @@ def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished steps now, not when the driver next happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value worked out once although body's lambdas use it again and again."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -9,13 +9,13 @@ Documents are linked when the Jaccard similarity of their shingle sets is at lea
    their hash, so exact copies are one member; blocks of the same members are one.
 2. Signature trees. In each block a tree over the members' token bitmaps, in order
    of size: nodes hold the OR of their bitmaps and the range of sizes. A dual
-   traversal drops node pairs whose largest possible overlap is too small; members
-   that are left without a partner leave the block. Blocks of more than ``PART``
-   members are dealt out as pairs of parts.
-3. Links. Each remaining member's set first meets those of one hub, the least member of
-   one of its blocks; then the blocks that still hold members of different components meet
-   in full. Members are compared with members of another component only, so a group of n
-   near copies costs about n comparisons and gives at most n - 1 links a part.
+   traversal drops node pairs whose largest possible overlap is too small. Blocks of
+   more than ``PART`` members are dealt out as pairs of parts.
+3. Links. The pairs that the trees leave make families, by connected components;
+   each family's sets meet once (large families in parts, with the least member in each
+   part, and then in pairs of parts if they are not one component yet). Members are
+   compared with members of another component only, so a group of n near copies costs
+   about n comparisons and gives at most n - 1 links a part.
 4. Connected components of the links.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing; fewer
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memvault.llm.common import written
+from memvault.llm.common import release, written
 from memvault.llm.components import components
 from memvault.llm.shingles import mix, set_id, shingle_set
 
@@ -47,6 +47,8 @@ PART = 1_000
 NAMED = 1_000_000
 #: Children of a tree node.
 FAN = 16
+#: Bits a shingle at least in bitmaps that are sent to blocks, and in those that a task makes for sets it holds.
+SENT_BITS, HELD_BITS = 2, 16
 #: Bits of the filter that tells which documents' sets are needed.
 NEED_BITS = 1 << 24
 
@@ -93,9 +95,9 @@ def frequent_shingles(documents: DataFrame, size: int) -> tuple[np.ndarray, np.n
     return h[order], top["c"].to_numpy(np.int64)[order]
 
 
-def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """A set's bits: a power of two of at least two bits a shingle, as 64-bit words."""
-    bits = max(64, 1 << int(2 * len(hashes) - 1).bit_length())
+def bitmap(hashes: np.ndarray, share: int) -> np.ndarray:
+    """A set's bits: a power of two of at least share bits a shingle, as 64-bit words."""
+    bits = max(64, 1 << int(share * len(hashes) - 1).bit_length())
     at = hashes & np.uint64(bits - 1)
     out = np.zeros(bits // 64, dtype=np.uint64)
     np.bitwise_or.at(out, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
@@ -138,7 +140,7 @@ def signatures(documents: DataFrame, percent: int, size: int) -> DataFrame:
                     if count.any():
                         order = s[np.lexsort((s, count))]
                 prefixes.append(order[:first].view(np.int64))
-                bits.append(bitmap(s).tobytes())
+                bits.append(bitmap(s, SENT_BITS).tobytes())
             columns = [batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -300,8 +302,11 @@ def by_part(rows: DataFrame, work: Callable[[pa.Table], tuple], names: list[str]
     return dealt.mapInArrow(run, ddl)
 
 
-def survivors(members: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Written: the rows of members (by part) that may have a partner in their block."""
+def may_be_linked(members: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Written: (id, other): members that may be linked, each with one other of its group in a block.
+
+    Groups are the components of the pairs that a block's tree leaves.
+    """
     sketch = signed.where("n > 0").select(F.col("set_id").alias("id"), "n", "bits").dropDuplicates(["id"])
     rows = parted(members).join(sketch, "id").select("block", "i", "j", "side", "id", "n", "bits")
 
@@ -309,30 +314,39 @@ def survivors(members: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
         tree = Tree(group["n"].to_numpy(), [x.as_buffer() for x in group["bits"]])
         side = group["side"].to_numpy()[tree.order]
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        alive = np.zeros(len(group), bool)
+        root = np.arange(len(group))
         for a, b in tree.pairs(percent):
             ok = _across(i, j, side, a, b)
-            alive[a[ok]] = alive[b[ok]] = True
-        kept = tree.order[alive]
-        columns = [group[c].to_numpy()[kept].astype(np.int64) for c in ("block", "i", "j", "side", "id")]
-        return *columns, np.full(len(kept), columns[-1].min(initial=1 << 62))
+            merge(root, a[ok], b[ok])
+        alive = np.bincount(root, minlength=len(root))[root] > 1
+        ids = group["id"].to_numpy()[tree.order]
+        return ids[alive], ids[root[alive]]
+
+    return written(by_part(rows, prune, ["id", "other"], "id long, other long").where("id <> other").distinct(), "maybe")
 
-    names = ["block", "i", "j", "side", "id", "hub"]
-    return written(by_part(rows, prune, names, ", ".join(f"{n} long" for n in names)), "survivors")
 
+def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the groups (named by a member each) of the pairs (a, b)."""
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        if root[x] != root[y]:
+            root[root == root[y]] = root[x]
 
-def hub_groups(left: DataFrame) -> DataFrame:
-    """Written: (id, hub, part, parts, own): each id in the group of one hub, its own first, hubs in every part of their group.
 
-    own marks the one row of an id that is not there as a hub.
+def families(maybe: DataFrame) -> DataFrame:
+    """Written: (id, family, part, parts, own): the components of pairs that may be linked.
+
+    A family of more than PART members is dealt into parts, each with the family's least
+    member besides; own marks the one row of an id that is not there in that role.
     """
-    chosen = left.groupBy("id").agg(F.min("hub").alias("hub"))
-    parts = chosen.groupBy("hub").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    own = chosen.join(parts, "hub").select("id", "hub", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(True).alias("own"))
+    members = written(components(maybe.select(F.col("id").alias("a"), F.col("other").alias("b"))), "families")
+    parts = members.groupBy(F.col("root").alias("family")).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    own = members.join(parts, F.col("root") == F.col("family")).select(
+        "id", "family", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "parts", F.lit(True).alias("own")
+    )
     hubs = parts.select(
-        F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("own")
+        F.col("family").alias("id"), "family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", F.lit(False).alias("own")
     )
-    return written(own.unionByName(hubs), "hubs")
+    return written(own.unionByName(hubs.where("parts > 1")), "parts")
 
 
 def needed_sets(documents: DataFrame, signed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -377,7 +391,7 @@ def block_links(full: DataFrame, percent: int) -> DataFrame:
     def link(group: pa.Table) -> tuple:
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
         items = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group["items"]]
-        tree = Tree(np.array(list(map(len, items))), [bitmap(x).tobytes() for x in items])
+        tree = Tree(np.array(list(map(len, items))), [bitmap(x, HELD_BITS).tobytes() for x in items])
         ids, side = group["id"].to_numpy()[tree.order], group["side"].to_numpy()[tree.order]
         items = [items[k] for k in tree.order]
         root = np.arange(len(ids))
@@ -386,11 +400,14 @@ def block_links(full: DataFrame, percent: int) -> DataFrame:
         def compare(x: int, y: int) -> None:
             if root[x] == root[y]:
                 return
-            shared = len(np.intersect1d(items[x], items[y], assume_unique=True))
+            small, big = sorted((items[x], items[y]), key=len)
+            at = np.searchsorted(big, small)
+            at[at == len(big)] = 0
+            shared = int((big[at] == small).sum())
             if shared >= least_overlap(len(items[x]), len(items[y]), percent):
                 ends[0].append(ids[x])
                 ends[1].append(ids[y])
-                root[root == root[y]] = root[x]
+                merge(root, np.array([x]), np.array([y]))
 
         if i == j:  # most groups hang on one member: it is tried first
             hub = len(ids) // 2
@@ -409,19 +426,28 @@ def jaccard_components(documents: DataFrame, *, text: str = "text", percent: int
     """(doc_id, n_shingles, component_id) per row of documents."""
     docs = documents.select(F.col("doc_id"), F.col(f"`{text}`").cast("binary").alias("_body"))
     signed = signatures(docs, percent, size)
-    left = survivors(blocks(signed), signed, percent)
-    sets = needed_sets(docs, signed, hub_groups(left), size)
-    zero = F.lit(0).cast("long")
-    stars = sets.select(F.col("hub").alias("block"), F.col("part").cast("long").alias("i"), F.col("part").cast("long").alias("j"), zero.alias("side"), "id", "items")
-    near_hubs = written(block_links(stars, percent), "links")
-    # the blocks whose members are not yet of one component
-    known = components(near_hubs)
-    at = left.join(known, "id", "left").withColumn("c", F.coalesce("root", "id"))
-    split = at.groupBy("block", "i", "j").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("block", "i", "j")
-    rest = left.join(split, ["block", "i", "j"]).select("block", "i", "j", "side", "id")
-    full = rest.join(sets.where("own").select("id", "items"), "id").select("block", "i", "j", "side", "id", "items")
-    links = near_hubs.unionByName(written(block_links(full, percent), "links"))
-    roots = components(links)
+    spark = documents.sparkSession
+    members = blocks(signed)
+    release(spark)
+    wanted = families(may_be_linked(members, signed, percent))
+    release(spark)
+    sets = needed_sets(docs, signed, wanted, size)
+    release(spark)
+    columns = ["block", "i", "j", "side", "id", "items"]
+    family, part = F.col("family").alias("block"), F.col("part").cast("long")
+    inside = sets.select(family, part.alias("i"), part.alias("j"), F.lit(0).cast("long").alias("side"), "id", "items")
+    links = written(block_links(inside, percent), "links")
+    release(spark)
+    # families of several parts that are not yet one component: pairs of their parts
+    large = sets.where(F.col("own") & (F.col("parts") > 1))
+    at = large.select("id", "family").join(components(links), "id", "left")
+    split = at.groupBy("family").agg(F.countDistinct(F.coalesce("root", "id")).alias("c")).where("c > 1").select("family")
+    side = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")
+    dealt = large.join(split, "family").select("family", "part", side, "id", "items").where("part <> o")
+    pairs = dealt.select(
+        family, F.least("part", "o").cast("long").alias("i"), F.greatest("part", "o").cast("long").alias("j"), part.alias("side"), "id", "items"
+    )
+    roots = components(links.unionByName(written(block_links(pairs.select(*columns), percent), "links")))
     base = signed.select("doc_id", "n", "set_id")
     placed = written(
         base.join(roots, base["set_id"] == roots["id"], "left").select("doc_id", "n", F.coalesce("root", "set_id").alias("c")), "placed"
