@@ -153,13 +153,13 @@ def with_next(documents: DataFrame, columns: dict[str, Column]) -> DataFrame:
     firsts = {row["k"]: row["first"] for row in found.collect()}  # a row per range
     order = sorted(firsts, reverse=True)
     after = {k: order[(i + 1) % len(order)] for i, k in enumerate(order)} if order else {}
-    # the guest of range k comes from range after[k]; a lone range follows itself
-    guests = None
-    for k, source in after.items():
-        first = F.col("doc_id").eqNullSafe(F.lit(firsts[source]).cast("long")) & (F.col("_range") == source)
-        guests = F.when(first, F.lit(k)).otherwise(guests) if guests is not None else F.when(first, F.lit(k))
-    if guests is None:
-        guests = F.lit(None).cast("int")
+    # the guest of range k comes from after[k]; a lone range follows itself
+    hosts = {firsts[source]: k for k, source in after.items()}
+    known = [F.lit(x) for first, k in hosts.items() if first is not None for x in (first, k)]
+    guests = F.when(F.col("doc_id").isNull(), F.lit(hosts.get(None)))
+    if known:
+        ids = [first for first in hosts if first is not None]
+        guests = guests.when(F.col("doc_id").isin(ids), F.try_element_at(F.create_map(*known), F.col("doc_id")))
     invited = ranged.withColumn("_host", guests).where("_host is not null")
     invited = invited.withColumn("_range", F.col("_host")).withColumn("_guest", F.lit(True)).drop("_host")
     by = Window.partitionBy("_range").orderBy("_guest", F.col("doc_id").desc_nulls_last(), "_tie")
