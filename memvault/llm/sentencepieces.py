@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from memvault.llm.common import written
 
 CHUNK = 32_768
+#: Chunks that are encoded or decoded at a time.
+SLICE = 64
 _MARK = "▁"
 _CUT = re.compile(rf"(?<=[^\s{_MARK}]) (?=[^\s{_MARK}])")
 
@@ -55,6 +57,13 @@ def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
     yield text[start:]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of SLICE rows: Python lists of ids take many times the memory of the texts."""
+    for batch in batches:
+        for start in range(0, len(batch), SLICE):
+            yield batch.slice(start, SLICE)
+
+
 def encode(documents: DataFrame, model: str, *, text: str = "text", size: int = CHUNK) -> DataFrame:
     """Written: (row, doc_id, chunk, chunks, ids): each chunk's ids as little-endian unsigned 32-bit numbers."""
 
@@ -72,7 +81,7 @@ def encode(documents: DataFrame, model: str, *, text: str = "text", size: int =
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = load(model)
-        for batch in batches:
+        for batch in _slices(batches):
             found = sp.encode(batch.column(4).to_pylist(), num_threads=1)
             ids = pa.array([np.array(x, dtype="<u4").tobytes() for x in found], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], ids], names=["row", "doc_id", "chunk", "chunks", "ids"])
@@ -87,7 +96,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = load(model)
-        for batch in batches:
+        for batch in _slices(batches):
             ids = [np.frombuffer(x.as_buffer(), dtype="<u4").tolist() for x in batch.column(4)]
             parts = pa.array(sp.decode(ids) if ids else [], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, parts], names=["row", "doc_id", "chunk", "chunks", "ids", "part"])
