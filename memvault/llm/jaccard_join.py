@@ -11,8 +11,9 @@ Documents are linked when the Jaccard similarity of their shingle sets is at lea
    of size: nodes hold the OR of their bitmaps and the range of sizes. A dual
    traversal drops node pairs whose largest possible overlap is too small. Blocks of
    more than ``PART`` members are dealt out as pairs of parts.
-3. Links. The pairs that the trees leave make families, by connected components;
-   each family's sets meet once (large families in parts, with the least member in each
+   What is left meets once more with finer bitmaps.
+3. Links. The pairs that the trees leave make families, by connected components; each
+   family's sets meet once (large families in parts, with the least member in each
    part, and then in pairs of parts if they are not one component yet). Members are
    compared with members of another component only, so a group of n near copies costs
    about n comparisons and gives at most n - 1 links a part.
@@ -43,12 +44,14 @@ FREQUENT = 1_000_000
 GATHER = 4_000_000
 #: Members of a block that meet in one task; a larger block is dealt out in parts of this size.
 PART = 1_000
+#: Shingles of a family that meet in one task, of two parts at most twice as many; 8 bytes each.
+PART_SHINGLES = 4_000_000
 #: Members of a block that a task holds at once while it names the block; 8 bytes each.
 NAMED = 1_000_000
 #: Children of a tree node.
 FAN = 16
-#: Bits a shingle at least in bitmaps that are sent to blocks, and in those that a task makes for sets it holds.
-SENT_BITS, HELD_BITS = 2, 16
+#: Bits a shingle at least in bitmaps that are sent to blocks at first, sent again, and made for sets that a task holds.
+SENT_BITS, FINE_BITS, HELD_BITS = 2, 4, 16
 #: Bits of the filter that tells which documents' sets are needed.
 NEED_BITS = 1 << 24
 
@@ -112,15 +115,15 @@ def folded(words: np.ndarray, n_words: int) -> np.ndarray:
 
 
 def signatures(documents: DataFrame, percent: int, size: int) -> DataFrame:
-    """Written: (doc_id, set_id, n, prefix, bits) per row; an empty set has n 0 and set_id null."""
+    """Written: (doc_id, set_id, n, prefix, bits, fine) per row; an empty set has n 0 and set_id null."""
     hashes, counts = frequent_shingles(documents, size)
     known = documents.sparkSession.sparkContext.broadcast((hashes, counts))
-    names = ["doc_id", "set_id", "n", "prefix", "bits"]
+    names = ["doc_id", "set_id", "n", "prefix", "bits", "fine"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, times = known.value
         for batch in batches:
-            ids, sizes, prefixes, bits = [], [], [], []
+            ids, sizes, prefixes, bits, fine = [], [], [], [], []
             for body in batch.column(1):
                 s = shingle_set(body.as_buffer() if body.is_valid else b"", size)
                 n = len(s)
@@ -129,6 +132,7 @@ def signatures(documents: DataFrame, percent: int, size: int) -> DataFrame:
                     ids.append(None)
                     prefixes.append(None)
                     bits.append(None)
+                    fine.append(None)
                     continue
                 ids.append(set_id(s))
                 first = n - -(-percent * n // 100) + 1
@@ -140,12 +144,14 @@ def signatures(documents: DataFrame, percent: int, size: int) -> DataFrame:
                     if count.any():
                         order = s[np.lexsort((s, count))]
                 prefixes.append(order[:first].view(np.int64))
-                bits.append(bitmap(s, SENT_BITS).tobytes())
-            columns = [batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+                fine.append(bitmap(s, FINE_BITS))
+                bits.append(folded(fine[-1], len(fine[-1]) * SENT_BITS // FINE_BITS or 1).tobytes())
+                fine[-1] = fine[-1].tobytes()
+            columns = [batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(fine, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = documents.select("doc_id", "_body")
-    return written(rows.mapInArrow(sign, "doc_id long, set_id long, n long, prefix array<long>, bits binary"), "signatures")
+    return written(rows.mapInArrow(sign, "doc_id long, set_id long, n long, prefix array<long>, bits binary, fine binary"), "signatures")
 
 
 def blocks(signed: DataFrame) -> DataFrame:
@@ -302,27 +308,49 @@ def by_part(rows: DataFrame, work: Callable[[pa.Table], tuple], names: list[str]
     return dealt.mapInArrow(run, ddl)
 
 
-def may_be_linked(members: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Written: (id, other): members that may be linked, each with one other of its group in a block.
+def sketched(rows: DataFrame, signed: DataFrame, bits: str) -> DataFrame:
+    """rows (block, i, j, side, id) with n and a bitmap of each set."""
+    ids = rows.select("id").distinct()
+    sketch = signed.where("n > 0").select(F.col("set_id").alias("id"), "n", F.col(bits).alias("bits")).join(ids, "id", "left_semi")
+    return rows.join(sketch.dropDuplicates(["id"]), "id").select("block", "i", "j", "side", "id", "n", "bits")
+
+
+def _groups(group: pa.Table, percent: int) -> tuple[Tree, np.ndarray]:
+    """A part's tree, and for each place in its order one member of its group: members that pairs it leaves connect."""
+    tree = Tree(group["n"].to_numpy(), [x.as_buffer() for x in group["bits"]])
+    side = group["side"].to_numpy()[tree.order]
+    i, j = group["i"][0].as_py(), group["j"][0].as_py()
+    root = np.arange(len(group))
+    for a, b in tree.pairs(percent):
+        ok = _across(i, j, side, a, b)
+        merge(root, a[ok], b[ok])
+    return tree, root
 
-    Groups are the components of the pairs that a block's tree leaves.
-    """
-    sketch = signed.where("n > 0").select(F.col("set_id").alias("id"), "n", "bits").dropDuplicates(["id"])
-    rows = parted(members).join(sketch, "id").select("block", "i", "j", "side", "id", "n", "bits")
+
+def survivors(members: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Written: the rows of members, by part, that may have a partner there."""
+    names = ["block", "i", "j", "side", "id"]
 
     def prune(group: pa.Table) -> tuple:
-        tree = Tree(group["n"].to_numpy(), [x.as_buffer() for x in group["bits"]])
-        side = group["side"].to_numpy()[tree.order]
-        i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        root = np.arange(len(group))
-        for a, b in tree.pairs(percent):
-            ok = _across(i, j, side, a, b)
-            merge(root, a[ok], b[ok])
+        tree, root = _groups(group, percent)
+        kept = tree.order[np.bincount(root, minlength=len(root))[root] > 1]
+        return tuple(group[c].to_numpy()[kept].astype(np.int64) for c in names)
+
+    rows = sketched(parted(members), signed, "bits")
+    return written(by_part(rows, prune, names, ", ".join(f"{n} long" for n in names)), "survivors")
+
+
+def may_be_linked(left: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Written: (id, other): members that finer bitmaps leave, each with one other of its group in a part."""
+
+    def pair(group: pa.Table) -> tuple:
+        tree, root = _groups(group, percent)
         alive = np.bincount(root, minlength=len(root))[root] > 1
         ids = group["id"].to_numpy()[tree.order]
         return ids[alive], ids[root[alive]]
 
-    return written(by_part(rows, prune, ["id", "other"], "id long, other long").where("id <> other").distinct(), "maybe")
+    found = by_part(sketched(left, signed, "fine"), pair, ["id", "other"], "id long, other long")
+    return written(found.where("id <> other").distinct(), "maybe")
 
 
 def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -332,14 +360,16 @@ def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[root == root[y]] = root[x]
 
 
-def families(maybe: DataFrame) -> DataFrame:
+def families(maybe: DataFrame, signed: DataFrame) -> DataFrame:
     """Written: (id, family, part, parts, own): the components of pairs that may be linked.
 
-    A family of more than PART members is dealt into parts, each with the family's least
+    A family of more than PART_SHINGLES is dealt into parts, each with the family's least
     member besides; own marks the one row of an id that is not there in that role.
     """
     members = written(components(maybe.select(F.col("id").alias("a"), F.col("other").alias("b"))), "families")
-    parts = members.groupBy(F.col("root").alias("family")).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    sizes = signed.where("n > 0").groupBy(F.col("set_id").alias("id")).agg(F.max("n").alias("n"))
+    shingles = members.join(sizes, "id").groupBy(F.col("root").alias("family")).agg(F.sum("n").alias("n"))
+    parts = shingles.select("family", F.ceil(F.col("n") / PART_SHINGLES).cast("int").alias("parts"))
     own = members.join(parts, F.col("root") == F.col("family")).select(
         "id", "family", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "parts", F.lit(True).alias("own")
     )
@@ -350,7 +380,7 @@ def families(maybe: DataFrame) -> DataFrame:
 
 
 def needed_sets(documents: DataFrame, signed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """Written: wanted (id, ...) with items, the sets made again from one document each.
+    """wanted (id, ...) with items, the sets made again from one document each.
 
     A bit filter of fixed size tells which documents to read; those it lets pass needlessly are dropped by the join.
     """
@@ -382,7 +412,8 @@ def needed_sets(documents: DataFrame, signed: DataFrame, wanted: DataFrame, size
     made = rows.mapInArrow(sets, "doc_id long, id long, items binary")
     # one document per set; rows that repeat a doc_id and a text give the set twice, which does no harm
     chosen = docs.join(wanted, "id")
-    return written(made.join(chosen, made["id"].eqNullSafe(chosen["id"]) & made["doc_id"].eqNullSafe(chosen["doc_id"])).select(chosen["*"], "items").drop("doc_id"), "sets")
+    here = made["id"].eqNullSafe(chosen["id"]) & made["doc_id"].eqNullSafe(chosen["doc_id"])
+    return made.join(chosen, here).select(chosen["*"], "items").drop("doc_id")
 
 
 def block_links(full: DataFrame, percent: int) -> DataFrame:
@@ -429,21 +460,23 @@ def jaccard_components(documents: DataFrame, *, text: str = "text", percent: int
     spark = documents.sparkSession
     members = blocks(signed)
     release(spark)
-    wanted = families(may_be_linked(members, signed, percent))
+    left = survivors(members, signed, percent)
     release(spark)
-    sets = needed_sets(docs, signed, wanted, size)
+    wanted = families(may_be_linked(left, signed, percent), signed)
     release(spark)
+    sets = needed_sets(docs, signed, wanted, size)
     columns = ["block", "i", "j", "side", "id", "items"]
     family, part = F.col("family").alias("block"), F.col("part").cast("long")
     inside = sets.select(family, part.alias("i"), part.alias("j"), F.lit(0).cast("long").alias("side"), "id", "items")
     links = written(block_links(inside, percent), "links")
     release(spark)
     # families of several parts that are not yet one component: pairs of their parts
-    large = sets.where(F.col("own") & (F.col("parts") > 1))
+    large = wanted.where(F.col("own") & (F.col("parts") > 1))
     at = large.select("id", "family").join(components(links), "id", "left")
     split = at.groupBy("family").agg(F.countDistinct(F.coalesce("root", "id")).alias("c")).where("c > 1").select("family")
     side = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")
-    dealt = large.join(split, "family").select("family", "part", side, "id", "items").where("part <> o")
+    more = needed_sets(docs, signed, large.join(split, "family").select("id", "family", "part", "parts"), size)
+    dealt = more.select("family", "part", side, "id", "items").where("part <> o")
     pairs = dealt.select(
         family, F.least("part", "o").cast("long").alias("i"), F.greatest("part", "o").cast("long").alias("j"), part.alias("side"), "id", "items"
     )

@@ -152,6 +152,7 @@ def test_jaccard_components(df, docs):
 def test_jaccard_groups_in_parts(spark, monkeypatch, part):
     """Chains and groups of near copies, whole and dealt out in parts of three."""
     monkeypatch.setattr(jaccard_join, "PART", part)
+    monkeypatch.setattr(jaccard_join, "PART_SHINGLES", 70 * part)
     rng = random.Random(5)
     rows, text = [], [f"t{i}" for i in range(60)]
     for i in range(40):
