@@ -1,0 +1,241 @@
+"""Language-model scores with n-gram tables that grow with the corpus.
+
+The model is that of ``lm_scoring`` (interpolated absolute discounting down to add-one
+unigrams, order 3) without its cuts: all words count, and so does every n-gram that occurs
+at least ``LEAST`` times, whatever the size of the corpus. Counts, discounted shares and the weights
+of failure arcs are written tables that shuffle joins on n-gram keys make from each other.
+
+What a token pays telescopes: its unigram, plus for each longer arc that is kept what that
+arc gains over the failure path below it, plus the failure weights of the contexts before it.
+So each key has one gain per occurrence, and a text's score is a sum over its keys. The
+most frequent keys (at most ``TIER`` per order) are broadcast with their gains; a bitmap of
+fixed size drops n-grams that no table holds; all other keys are looked up by a shuffle join.
+Neither changes a result: the bitmap has no false negatives.
+
+Defined cases are those of ``lm_scoring``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from memvault.llm.common import parallelism, release, written
+from memvault.llm.lm_scoring import DISCOUNT, GATHER, _counts, find, gram, held_out, tokens_of
+
+#: Occurrences that an n-gram of two or three words needs; the same for every corpus.
+LEAST = 2
+#: Keys of each order that are broadcast at most; bits of the bitmap, as a power of two.
+TIER, BITS = 1 << 19, 28
+_SEGMENT = 15  # bitmap_construct_agg makes bitmaps of 2^15 bits
+
+
+def ends(t: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a text's k-grams, of their first k - 1 words and of their last k - 1 words."""
+    key = t
+    for _ in range(k - 1):
+        start, rest = key[:-1], key[1:]
+        key = gram(start, rest)
+    return key, start, rest
+
+
+def counted(bodies: DataFrame, k: int) -> DataFrame:
+    """(h, c, a, b) of the k-grams that occur LEAST times: key, occurrences, keys of both shorter ends."""
+    parts = max(64, 2 * parallelism(bodies.sparkSession))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
+
+        def dealt() -> pa.RecordBatch:
+            h, a, b = (np.concatenate(c) for c in zip(*held, strict=True)) if held else (np.empty(0, np.uint64),) * 3
+            h, first, c = np.unique(h, return_index=True, return_counts=True)
+            a, b, c = a[first], b[first], c.astype(np.uint32)
+            edges = np.searchsorted((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+            spans = [(p, x, y) for p, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if x < y]
+            columns = [pa.array([p for p, _, _ in spans], pa.int32())]
+            columns += [pa.array([z[x:y].tobytes() for _, x, y in spans], pa.binary()) for z in (a, b, c)]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "a", "b", "c"])
+
+        for batch in batches:
+            for body in batch.column(0):
+                t = tokens_of(body)
+                if len(t) >= k:
+                    held.append(ends(t, k))
+                    n += len(t)
+                if n >= GATHER:
+                    yield dealt()
+                    held, n = [], 0
+        yield dealt()
+
+    def add(group: pa.Table) -> pa.Table:
+        a, b, c = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in group[name]]) for name, kind in (("a", "<u8"), ("b", "<u8"), ("c", "<u4")))
+        h, first, place = np.unique(gram(a, b), return_index=True, return_inverse=True)
+        total = np.bincount(place, weights=c, minlength=len(h)).astype(np.int64)
+        kept = total >= LEAST
+        columns = [h[kept].view(np.int64), total[kept], a[first[kept]].view(np.int64), b[first[kept]].view(np.int64)]
+        return pa.Table.from_arrays([pa.array(x) for x in columns], names=["h", "c", "a", "b"])
+
+    dealt = bodies.mapInArrow(deal, "part int, a binary, b binary, c binary")
+    return dealt.groupBy("part").applyInArrow(add, "h long, c long, a long, b long")
+
+
+def _with_back(below: DataFrame, above: DataFrame) -> DataFrame:
+    """below with the log10 weights of the failure arcs from its keys as contexts of above."""
+    after = above.groupBy(F.col("a").alias("h")).agg((F.sum("c") - DISCOUNT * F.count("*")).alias("kept"))
+    # rounding may take the kept shares of a context past 1
+    back = F.log10(F.greatest(1 - F.coalesce("kept", F.lit(0.0)) / F.col("c"), F.lit(1e-12)))
+    return below.join(after, "h", "left").withColumn("back", back).drop("kept")
+
+
+def _with_gain(above: DataFrame, below: DataFrame) -> DataFrame:
+    """above with logp, and gain: what its arcs add to the failure path from their contexts."""
+    context = below.select(F.col("h").alias("a"), F.col("c").alias("n"), "back")
+    rest = below.select(F.col("h").alias("b"), F.col("logp").alias("low"))
+    path = F.col("back") + F.col("low")
+    share = (F.col("c") - DISCOUNT) / F.col("n")
+    found = above.join(context, "a").join(rest, "b").withColumn("logp", F.log10(share + F.pow(F.lit(10.0), path)))
+    return found.select("h", "c", "logp", (F.col("logp") - path).alias("gain"))
+
+
+def _drop(df: DataFrame) -> None:
+    """Deletes a scratch table that no later step reads."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def train(bodies: DataFrame) -> tuple[int, int, DataFrame, DataFrame]:
+    """Training tokens, distinct words, words (h, c, logp, back), and n-grams (h, c, k, gain), from one binary column."""
+    spark = bodies.sparkSession
+    words = written(_counts(bodies, lambda t: (t, t, t)).select("h", "c"), "lm-words")
+    total = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    n, v = total["n"] or 0, total["v"]
+    release(spark)
+    two = written(counted(bodies, 2), "lm-two")
+    release(spark)
+    three = written(counted(bodies, 3), "lm-three")
+    release(spark)
+    one = written(_with_back(words.withColumn("logp", F.log10((F.col("c") + 1) / F.lit(n + v + 1.0))), two), "lm-one")
+    pairs = written(_with_back(_with_gain(two, one), three), "lm-pairs")
+    _drop(words)
+    _drop(two)
+    release(spark)
+    # the last n-gram of a text is a context of nothing, so its back is 0
+    longer = pairs.select("h", "c", F.lit(2).alias("k"), (F.col("gain") + F.col("back")).alias("gain"))
+    grams = longer.unionByName(_with_gain(three, pairs).select("h", "c", F.lit(3).alias("k"), "gain"))
+    grams = written(grams, "lm-grams")
+    _drop(three)
+    _drop(pairs)
+    release(spark)
+    return n, v, one, grams
+
+
+def _frequent(keys: DataFrame) -> Column:
+    """Whether a key is among the at most TIER most frequent."""
+    size = F.least(F.floor(F.log2("c") * 16), F.lit(1023)).cast("int")
+    least, sum_ = 1024, 0
+    for row in sorted(keys.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):  # at most 1,024 rows
+        sum_ += row["count"]
+        if sum_ > TIER:
+            break
+        least = row["size"]
+    return size >= least
+
+
+def _tier(rows: DataFrame, values: list[str]) -> tuple[np.ndarray, ...]:
+    found = rows.select("h", *values).toPandas()  # at most TIER rows
+    h = found["h"].to_numpy(np.int64).view(np.uint64)
+    o = np.argsort(h)
+    return h[o], *(found[x].to_numpy(np.float64)[o] for x in values)
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """2^BITS bits, set where a key's first BITS bits point."""
+    at = F.shiftrightunsigned("h", 64 - BITS)
+    dealt = keys.groupBy(F.shiftright(at, _SEGMENT).alias("segment"))
+    bits = np.zeros((1 << BITS - _SEGMENT, 1 << _SEGMENT - 3), np.uint8)
+    for row in dealt.agg(F.bitmap_construct_agg(at.bitwiseAND((1 << _SEGMENT) - 1)).alias("bits")).toLocalIterator():  # 2^BITS bits at most
+        bits[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
+    return bits.reshape(-1)
+
+
+def score(documents: DataFrame, *, text: str = "text") -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of documents."""
+    docs = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(f"`{text}`").cast("binary").alias("body"))
+    n, v, words, grams = train(docs.where(~F.col("held_out")).select("body"))
+    often = _frequent(words)
+    tiers = [_tier(words.where(often), ["logp", "back"])]
+    rare = [words.where(~often).select("h", "logp", F.col("back").alias("gain"))]
+    for k in (2, 3):
+        some = grams.where(F.col("k") == k)
+        often = _frequent(some)
+        tiers.append(_tier(some.where(often), ["gain"]))
+        rare.append(some.where(~often).select("h", F.lit(None).cast("double").alias("logp"), "gain"))
+    known = documents.sparkSession.sparkContext.broadcast((tiers, _bitmap(rare[1].select("h").unionByName(rare[2].select("h")))))
+    fields = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, h long, word boolean"
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per text, and a row for each occurrence of a key that the broadcast tables lack."""
+        tiers, bits = known.value
+        number = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            rows: list[tuple] = []
+            left: list[tuple[np.ndarray, ...]] = []
+            for doc_id, out, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                t = tokens_of(body)
+                at, there = find(tiers[0][0], t)
+                base = float(tiers[0][1][at[there]].sum())
+                value = base + float(tiers[0][2][at[there]].sum())
+                missing = [t[~there]]
+                key = t
+                for keys, gain in tiers[1:]:
+                    key = gram(key[:-1], key[1:])
+                    at, found = find(keys, key)
+                    value += float(gain[at[found]].sum())
+                    other = key[~found]
+                    place = other >> np.uint64(64 - BITS)
+                    missing.append(other[(bits[(place >> np.uint64(3)).view(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1])
+                rows.append((number, doc_id, out, len(t), int(there.sum()), base, value))
+                for word, some in ((True, missing[0]), (False, np.concatenate(missing[1:]))):
+                    left.append((np.full(len(some), number), some.view(np.int64), np.full(len(some), word)))
+                number += 1
+            if rows:
+                own = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]
+                yield pa.RecordBatch.from_arrays(own + [pa.nulls(len(rows), k) for k in kinds[7:]], names=names)
+                row, h, word = (np.concatenate(c) for c in zip(*left, strict=True))
+                empty = [pa.nulls(len(h), k) for k in kinds[1:7]]
+                yield pa.RecordBatch.from_arrays([pa.array(row), *empty, pa.array(h), pa.array(word)], names=names)
+
+    rows = written(docs.mapInArrow(read, fields), "lm-rows")
+    asked = rows.where("h is not null").select("row", "h", "word")
+    unseen = F.log10(F.lit(1.0) / F.lit(n + v + 1.0))
+    of_words = asked.where("word").join(rare[0], "h", "left").select(
+        "row",
+        F.when(F.col("logp").isNotNull(), 1).otherwise(0).alias("more"),
+        F.coalesce("logp", unseen).alias("log"),
+        F.coalesce("gain", F.lit(0.0)).alias("gain"),
+    )
+    # a key without a row was let through by the bitmap only
+    of_grams = asked.where("not word").join(rare[1].unionByName(rare[2]).drop("logp"), "h").select(
+        "row", F.lit(0).alias("more"), F.lit(0.0).alias("log"), "gain"
+    )
+    added = of_words.unionByName(of_grams).groupBy("row").agg(F.sum("more").alias("more"), F.sum("log").alias("log"), F.sum("gain").alias("gain"))
+    log, gain = F.coalesce("log", F.lit(0.0)), F.coalesce("gain", F.lit(0.0))
+    return rows.where("h is null").drop("h", "word").join(added, "row", "left").select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") + log).alias("base_score"),
+        (F.col("score") + log + gain).alias("score"),
+    )
