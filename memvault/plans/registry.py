@@ -201,16 +201,16 @@ def meaningful_tokens(spark, sf):
 
 
 def conflicts_pairs(spark, sf):
-    rows = conflict.content_pairs(_mem(spark, sf))
+    rows = conflict.content_pairs(_mem(spark, sf), vectors=corpus.vectors(spark, sf))
     return rows.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), "similarity", F.round("overlap_ratio", 6).alias("overlap_ratio"))
 
 
 def conflicts_nearest(spark, sf):
-    return conflict.nearest(_mem(spark, sf))
+    return conflict.nearest(_mem(spark, sf), vectors=corpus.vectors(spark, sf))
 
 
 def conflicts_resolved(spark, sf):
-    return conflict.resolved(conflict.nearest(_mem(spark, sf)))
+    return conflict.resolved(conflict.nearest(_mem(spark, sf), vectors=corpus.vectors(spark, sf)))
 
 
 def links_all(spark, sf):
