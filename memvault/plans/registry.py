@@ -210,7 +210,7 @@ def conflicts_nearest(spark, sf):
 
 
 def conflicts_resolved(spark, sf):
-    return conflict.resolved(conflict.nearest(_mem(spark, sf), vectors=corpus.vectors(spark, sf)))
+    return conflict.resolved(conflict.conflicts(_mem(spark, sf), vectors=corpus.vectors(spark, sf)))
 
 
 def links_all(spark, sf):

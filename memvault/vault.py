@@ -178,7 +178,7 @@ class Vault:
         return filters.by_id_or_title(self.table("memories"), key)
 
     def conflicts(self, threshold: float = 0.78) -> DataFrame:
-        return conflict.nearest(self.table("memories").where("status = 'active'"), threshold, self.table("vectors"))
+        return conflict.conflicts(self.table("memories").where("status = 'active'"), threshold, self.table("vectors"))
 
     def related(self, key: str, hops: int = 2) -> DataFrame:
         return graph.related(self.table("memories"), self.table("links"), self.get(key).select("id"), hops)
