@@ -336,9 +336,14 @@ def merge_vaults_links(spark, sf):
     return dedup.accepted_links(links.where("weight = 1.0"), links, accepted)
 
 
+def card_vectors(memories: DataFrame) -> DataFrame:
+    """(id, embedding) of records' cards, whole contents included."""
+    cards = memories.select("id", text.card_text(F.col("category"), F.col("title"), F.col("content"), F.col("tags")).alias("card"))
+    return vectors.embedded(cards, vectors.HashEmbedder())
+
+
 def hash_embedding(spark, sf):
-    cards = _mem(spark, sf).select("id", text.card_text(F.col("category"), F.col("title"), F.substring("title", 1, 40), F.col("tags")).alias("card"))
-    found = vectors.embedded(cards, vectors.HashEmbedder())
+    found = card_vectors(_mem(spark, sf))
     return found.select("id", F.size("embedding").alias("dims"), F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 3).alias("norm"))
 
 
