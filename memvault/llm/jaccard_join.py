@@ -10,11 +10,11 @@ Documents are linked when the Jaccard similarity of their shingle sets is at lea
 2. Signature trees. In each block a tree over the members' token bitmaps, in order
    of size: nodes hold the OR of their bitmaps and the range of sizes. A dual
    traversal drops node pairs whose largest possible overlap is too small. Blocks of
-   more than ``PART`` members are dealt out as pairs of parts.
+   more than ``PART`` members are dealt out by bands of size, in pairs of parts.
    What is left meets once more with finer bitmaps.
 3. Links. The pairs that the trees leave make families, by connected components; each
    family's sets meet once (large families in parts, with the least member in each
-   part, and then in pairs of parts if they are not one component yet). Members are
+   part; then sets outside the family's largest component visit the other parts). Members are
    compared with members of another component only, so a group of n near copies costs
    about n comparisons and gives at most n - 1 links a part.
 4. Connected components of the links.
@@ -27,11 +27,12 @@ Rows that repeat a doc_id are rows of their own. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memvault.llm.common import release, written
@@ -42,8 +43,10 @@ from memvault.llm.shingles import mix, set_id, shingle_set
 FREQUENT = 1_000_000
 #: Shingles that pass 1 gathers before it counts them.
 GATHER = 4_000_000
-#: Members of a block that meet in one task; a larger block is dealt out in parts of this size.
+#: Members of a block that meet in one task; a larger block is dealt out in parts of about this size.
 PART = 1_000
+#: Parts of a band have names of their own up to so many.
+BAND = 1 << 32
 #: Shingles of a family that meet in one task, of two parts at most twice as many; 8 bytes each.
 PART_SHINGLES = 4_000_000
 #: Members of a block that a task holds at once while it names the block; 8 bytes each.
@@ -52,8 +55,8 @@ NAMED = 1_000_000
 FAN = 16
 #: Bits a shingle at least in bitmaps that are sent to blocks at first, sent again, and made for sets that a task holds.
 SENT_BITS, FINE_BITS, HELD_BITS = 2, 4, 16
-#: Bits of the filter that tells which documents' sets are needed.
-NEED_BITS = 1 << 24
+#: Bits of the filter that tells which documents' sets are needed: NEED_SHARE for each of them, from 2^20 to 2^30.
+NEED_SHARE = 16
 
 
 def least_overlap(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -216,22 +219,34 @@ def blocks(signed: DataFrame) -> DataFrame:
     return found.where("members > 0").unionByName(sized)
 
 
-def parted(members: DataFrame) -> DataFrame:
-    """members with (i, j): a block of more than PART members as pairs i <= j of parts; others are one part."""
-    n = F.ceil(F.col("members") / PART).cast("int")
-    mine = F.pmod(F.xxhash64("id"), n).cast("int")
-    dealt = members.withColumn("k", mine).withColumn("o", F.explode(F.sequence(F.lit(0), n - 1)))
-    return dealt.select("block", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), F.col("k").alias("side"), "id")
+def parted(members: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """members as (block, i, j, side, id): a block of at most PART members is one part (0, 0).
 
+    A larger one is dealt out by size: members of a band of sizes, in parts of about PART,
+    meet each other and those of the next band, for linked sets are less than a band apart.
+    """
+    small = members.where(f"members <= {PART}").select("block", *(F.lit(0).cast("long").alias(c) for c in ("i", "j", "side")), "id")
+    width = math.log(100 / percent) * 1.001 if percent < 100 else 0.1  # a little more than the largest ratio of linked sizes
+    sizes = signed.where("n > 0").select(F.col("set_id").alias("id"), F.floor(F.log("n") / width).alias("band")).distinct()
+    large = members.where(f"members > {PART}").select("block", "id").join(sizes, "id")
+    counts = large.groupBy("block", "band").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    near = large.join(counts, ["block", "band"])
+    for name, step in (("above", 1), ("below", -1)):
+        near = near.join(counts.select("block", (F.col("band") - step).alias("band"), F.col("parts").alias(name)), ["block", "band"], "left")
 
-class Tree:
+    def places(band: Column, parts: Column) -> Column:
+        return F.when(parts.isNull(), F.array().cast("array<long>")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda x: band * BAND + x))
+
+    band = F.col("band")
+    met = F.concat(places(band, F.col("parts")), places(band + 1, F.col("above")), places(band - 1, F.col("below")))
+    dealt = near.select("block", "id", (band * BAND + F.pmod(F.xxhash64("id"), "parts")).alias("k"), F.explode(met).alias("o"))
+    return small.unionByName(dealt.select("block", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), F.col("k").alias("side"), "id"))
+
+
+class Levels:
     """A signature tree over members in order of size: levels of (OR bitmaps, smallest size, largest size, most hidden)."""
 
-    def __init__(self, sizes: np.ndarray, bits: list):
-        self.order = np.argsort(sizes, kind="stable")
-        sizes = sizes[self.order]
-        words = [np.frombuffer(bits[i], dtype=np.uint64) for i in self.order]
-        width = min(map(len, words))
+    def __init__(self, sizes: np.ndarray, words: list[np.ndarray], width: int):
         matrix = np.stack([folded(w, width) for w in words])
         hidden = sizes - np.bitwise_count(matrix).sum(axis=1).astype(np.int64)
         self.levels = [(matrix, sizes, sizes, hidden)]
@@ -276,6 +291,36 @@ class Tree:
                 stack.append((level - 1, x[ok], y[ok]))
 
 
+class Tree:
+    """Signature trees over all members of a part, in order of size.
+
+    Members of one bitmap width have a tree of their own; those that are near enough in size to
+    wider ones share another, with bitmaps folded to the lesser width. So long texts
+    are never folded to the width of a short one that is in the same block.
+    """
+
+    def __init__(self, sizes: np.ndarray, bits: list):
+        self.order = np.argsort(sizes, kind="stable")
+        self.sizes = sizes[self.order]
+        self.words = [np.frombuffer(bits[i], dtype=np.uint64) for i in self.order]
+
+    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Batches of member pairs (a < b in order of size) that may be linked."""
+        widths = np.array([len(w) for w in self.words])
+        for width in np.unique(widths).tolist():
+            own = np.flatnonzero(widths == width)
+            wide = np.flatnonzero((widths > width) & (100 * self.sizes[own[-1]] >= percent * self.sizes))
+            if len(own) > 1:
+                for a, b in Levels(self.sizes[own], [self.words[i] for i in own], width).pairs(percent):
+                    yield own[a], own[b]
+            if len(wide):
+                near = own[100 * self.sizes[own] >= percent * self.sizes[wide[0]]]
+                both = np.append(near, wide)
+                for a, b in Levels(self.sizes[both], [self.words[i] for i in both], width).pairs(percent):
+                    across = (a < len(near)) & (b >= len(near))
+                    yield both[a[across]], both[b[across]]
+
+
 def _across(i: int, j: int, side: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """In a pair of different parts, only members of different parts are compared."""
     return np.ones(len(a), bool) if i == j else side[a] != side[b]
@@ -336,7 +381,7 @@ def survivors(members: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
         kept = tree.order[np.bincount(root, minlength=len(root))[root] > 1]
         return tuple(group[c].to_numpy()[kept].astype(np.int64) for c in names)
 
-    rows = sketched(parted(members), signed, "bits")
+    rows = sketched(parted(members, signed, percent), signed, "bits")
     return written(by_part(rows, prune, names, ", ".join(f"{n} long" for n in names)), "survivors")
 
 
@@ -380,16 +425,17 @@ def families(maybe: DataFrame, signed: DataFrame) -> DataFrame:
 
 
 def needed_sets(documents: DataFrame, signed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """wanted (id, ...) with items, the sets made again from one document each.
+    """Written: wanted (id, ...) with items, the sets made again from one document each.
 
-    A bit filter of fixed size tells which documents to read; those it lets pass needlessly are dropped by the join.
+    A bit filter tells which documents to read; those it lets pass needlessly are dropped by the join.
     """
     first = signed.where("n > 0").groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("doc_id"))
-    docs = first.join(wanted.select("id").distinct(), "id")
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(NEED_BITS))
+    docs = written(first.join(wanted.select("id").distinct(), "id"), "needed")
+    need_bits = 1 << min(30, max(20, (NEED_SHARE * docs.count()).bit_length()))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(need_bits))
     marked = docs.select(bit.alias("bit")).selectExpr("bit div 64 AS w", "shiftleft(1L, cast(bit % 64 AS int)) AS b")
-    words = marked.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most NEED_BITS / 64 rows
-    table = np.zeros(NEED_BITS // 64, dtype=np.int64)
+    words = marked.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most need_bits / 64 rows
+    table = np.zeros(need_bits // 64, dtype=np.int64)
     table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
     known = documents.sparkSession.sparkContext.broadcast(table)
 
@@ -413,7 +459,7 @@ def needed_sets(documents: DataFrame, signed: DataFrame, wanted: DataFrame, size
     # one document per set; rows that repeat a doc_id and a text give the set twice, which does no harm
     chosen = docs.join(wanted, "id")
     here = made["id"].eqNullSafe(chosen["id"]) & made["doc_id"].eqNullSafe(chosen["doc_id"])
-    return made.join(chosen, here).select(chosen["*"], "items").drop("doc_id")
+    return written(made.join(chosen, here).select(chosen["*"], "items").drop("doc_id"), "sets")
 
 
 def block_links(full: DataFrame, percent: int) -> DataFrame:
@@ -453,6 +499,42 @@ def block_links(full: DataFrame, percent: int) -> DataFrame:
     return by_part(full, link, ["a", "b"], "a long, b long")
 
 
+_TO_MEET = ["block", "i", "j", "side", "id", "items"]
+
+
+def _inside(sets: DataFrame) -> DataFrame:
+    """The sets of each part of a family, to meet there."""
+    part = F.col("part").cast("long")
+    return sets.select(F.col("family").alias("block"), part.alias("i"), part.alias("j"), F.lit(0).cast("long").alias("side"), "id", "items")
+
+
+def _between(sets: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """The sets that are still to meet across the parts of families that aren't one component yet; None if there are none.
+
+    Two sets of a component need not meet. So those outside their family's largest component
+    are guests in the other parts, in lots of about PART_SHINGLES; all sets of the family are hosts
+    at home, once for each lot.
+    """
+    large = sets.where(F.col("own") & (F.col("parts") > 1))
+    placed = large.select("family", "id", "part", "parts", F.expr("octet_length(items) div 8").alias("n")).join(roots, "id", "left")
+    placed = written(placed.select("family", "id", "part", "parts", "n", F.coalesce("root", "id").alias("root")), "placed-sets")
+    sizes = placed.groupBy("family", "root").agg(F.count("*").alias("c"))
+    most = sizes.groupBy("family").agg(F.max(F.struct("c", "root")).alias("most")).select("family", F.col("most.root").alias("most"))
+    outside = placed.join(most, "family").where("root <> most")
+    lots = outside.groupBy("family").agg(F.ceil(F.sum("n") / PART_SHINGLES).alias("lots"))
+    guests = written(outside.join(lots, "family").select("family", "id", "part", "parts", F.pmod(F.xxhash64("id"), "lots").alias("lot")), "guests")
+    if guests.isEmpty():
+        return None
+    items, home = large.select("id", "items"), F.col("part").cast("long")
+    other = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1), lambda o: o != home))
+    as_guests = guests.select(F.col("family").alias("block"), other.alias("i"), F.col("parts") + F.col("lot"), F.lit(1).cast("long").alias("side"), "id")
+    at_home = placed.join(lots, "family").select(
+        F.col("family").alias("block"), home.alias("i"), F.explode(F.sequence(F.col("parts").cast("long"), F.col("parts") + F.col("lots") - 1)), F.lit(0).cast("long").alias("side"), "id"
+    )
+    both = as_guests.toDF(*_TO_MEET[:-1]).unionByName(at_home.toDF(*_TO_MEET[:-1]))
+    return both.join(items, "id").select(*_TO_MEET)
+
+
 def jaccard_components(documents: DataFrame, *, text: str = "text", percent: int = 80, size: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of documents."""
     docs = documents.select(F.col("doc_id"), F.col(f"`{text}`").cast("binary").alias("_body"))
@@ -465,22 +547,14 @@ def jaccard_components(documents: DataFrame, *, text: str = "text", percent: int
     wanted = families(may_be_linked(left, signed, percent), signed)
     release(spark)
     sets = needed_sets(docs, signed, wanted, size)
-    columns = ["block", "i", "j", "side", "id", "items"]
-    family, part = F.col("family").alias("block"), F.col("part").cast("long")
-    inside = sets.select(family, part.alias("i"), part.alias("j"), F.lit(0).cast("long").alias("side"), "id", "items")
-    links = written(block_links(inside, percent), "links")
     release(spark)
-    # families of several parts that are not yet one component: pairs of their parts
-    large = wanted.where(F.col("own") & (F.col("parts") > 1))
-    at = large.select("id", "family").join(components(links), "id", "left")
-    split = at.groupBy("family").agg(F.countDistinct(F.coalesce("root", "id")).alias("c")).where("c > 1").select("family")
-    side = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")
-    more = needed_sets(docs, signed, large.join(split, "family").select("id", "family", "part", "parts"), size)
-    dealt = more.select("family", "part", side, "id", "items").where("part <> o")
-    pairs = dealt.select(
-        family, F.least("part", "o").cast("long").alias("i"), F.greatest("part", "o").cast("long").alias("j"), part.alias("side"), "id", "items"
-    )
-    roots = components(links.unionByName(written(block_links(pairs.select(*columns), percent), "links")))
+    links = written(block_links(_inside(sets), percent), "links")
+    release(spark)
+    rows = _between(sets, components(links))
+    if rows is not None:
+        links = links.unionByName(written(block_links(rows, percent), "links"))
+        release(spark)
+    roots = components(links)
     base = signed.select("doc_id", "n", "set_id")
     placed = written(
         base.join(roots, base["set_id"] == roots["id"], "left").select("doc_id", "n", F.coalesce("root", "set_id").alias("c")), "placed"
