@@ -1,24 +1,32 @@
 """Language-model scores by a weighted backoff automaton trained on the corpus.
 
-Training counts every token of every training text: words, then one end per text.
-The automaton's arcs are the words, and the n-grams up to ``ORDER`` that occur at
-least N / ``TABLE`` times (N: training tokens) and whose words each occur at least
-N / ``STATE_WORDS`` times; so each table has at most ``TABLE`` rows whatever the corpus,
-and can be broadcast. Probabilities are interpolated absolute discounting
-down to add-one unigrams, hence p(. | context) sums to 1. A state is the longest suffix
-that is a context; a missing arc follows the failure arc to the next shorter
-one and pays its weight. Texts are read once, left to right, in blocks that carry the
-last words on. Words below N / TABLE occurrences always end at the root; their counts are
-looked up by a shuffle join on the words' hashes and added afterwards.
-
-Words are compared by 64-bit hash. Defined cases: a null or blank text is its end alone;
+Training counts every token of every training text: words, then one end per text. The arcs
+are all words, and all pairs and triples that occur at least ``LEAST`` times; no bound depends on the
+size of the corpus. Probabilities are interpolated absolute discounting down to add-one
+unigrams, hence p(. | context) sums to 1. A state is the longest suffix of the tokens read (two at
+most) that is a context; a missing arc follows the failure arc to the next shorter state and
+pays its weight.
+
+No table is held whole anywhere. Texts become blocks of about ``BLOCK`` tokens, written once; a
+longer text is cut, and each of its blocks carries the state that it starts in: the last two tokens before it.
+For each order a block sends its distinct n-grams, with their counts, to the parts that own ranges
+of their hashes; a part of about ``PART`` n-grams adds up what all blocks sent and answers each in the
+order of its question. So a hot n-gram is one entry a block, however often it occurs. Steps:
+
+1. Pairs are asked for by 32 bits (hash and count) each: which occur ``LEAST`` times? False
+   positives only cost a later question.
+2. Triples whose two pairs both pass, then the passed pairs, then words: full hashes, counts, and
+   the key of the context; each part hands on what the contexts of its arcs keep.
+3. A block has the automaton of its own tokens then, and reads them left to right once.
+
+Words and n-grams are compared by 64-bit hash. Defined cases: a null or blank text is its end alone;
 a null doc_id counts as the empty text in the fold; repeated rows are trained on and
-scored as often as they occur. With no training rows N and V are 0.
+scored as often as they occur. With no training rows N and V are 0. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,203 +35,317 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memvault.llm.common import written
-from memvault.llm.shingles import mix, word_hashes
+from memvault.llm.common import drop, parallelism, release, written
+from memvault.llm.shingles import batch_words, mix
 
-ORDER = 3
-#: Rows of each broadcast table at most; words that n-gram states may hold at most.
-TABLE, STATE_WORDS = 1 << 20, 1 << 14
+#: Occurrences that an n-gram of two or three words needs; the same for every corpus.
+LEAST = 2
 DISCOUNT = 0.75
-#: Tokens that a training task gathers before it counts them.
-GATHER = 4_000_000
+#: Tokens of a block, and n-grams of a part, about.
+BLOCK, PART = 2_000_000, 2_000_000
 END = np.array([0x9E3779B97F4A7C15], dtype=np.uint64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Tokens of context that a state holds.
+_CARRIED = 2
+#: Kinds of rows that parts give: answers to blocks, what contexts keep, numbers of tokens and words.
+_ANSWER, _KEPT, _TOTAL = 0, 1, 2
+_GIVEN = "kind int, block long, part int, n long, a binary, b binary, c binary"
+_GIVEN_NAMES = [x.split()[0] for x in _GIVEN.split(", ")]
+_GIVEN_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+_ASKED = "part int, block long, h binary, start binary, c binary"
+_ASKED_NAMES = [x.split()[0] for x in _ASKED.split(", ")]
+_ASKED_TYPES = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def tokens_of(body: pa.Scalar) -> np.ndarray:
-    """The token hashes of a text, its end included."""
-    return np.append(word_hashes(body.as_buffer()), END) if body.is_valid else END
-
-
 def gram(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The keys of n-grams from those of their first n - 1 words and their last words."""
+    """The keys of n-grams from those of their first n - 1 words and of their last n - 1 words."""
     return mix(context * _STEP + word)
 
 
-def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of wanted in sorted keys, and whether they are there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return at, keys[at] == wanted
+def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-def _counts(bodies: DataFrame, keys_of) -> DataFrame:
-    """(h, c, a, b): occurrences of the keys that keys_of gives for a text's tokens, with two of its columns."""
+def _array(buffer: pa.Scalar, kind: str) -> np.ndarray:
+    return np.frombuffer(buffer.as_buffer(), kind)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        n = 0
 
-        def counted() -> pa.RecordBatch:
-            h, a, b = (np.concatenate(c) for c in zip(*held, strict=True)) if held else (np.empty(0, np.uint64),) * 3
-            h, first, c = np.unique(h, return_index=True, return_counts=True)
-            columns = [h.view(np.int64), c.astype(np.int64), a[first].view(np.int64), b[first].view(np.int64)]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "c", "a", "b"])
+# --- blocks -----------------------------------------------------------------------------------
 
-        for batch in batches:
-            for body in batch.column(0):
-                held.append(keys_of(tokens_of(body)))
-                n += len(held[-1][0])
-                if n >= GATHER:
-                    yield counted()
-                    held, n = [], 0
-        yield counted()
 
-    found = bodies.mapInArrow(count, "h long, c long, a long, b long")
-    return found.groupBy("h").agg(F.sum("c").alias("c"), F.min("a").alias("a"), F.min("b").alias("b"))
+def blocks(documents: DataFrame) -> DataFrame:
+    """Written: rows of (doc_id, held_out, body) as blocks of segments, each with its distinct tokens and their codes.
 
+    A segment is a text, or a piece of one with the tokens carried into it.
+    """
+    ddl = "block long, n long, rows binary, ids array<long>, held array<boolean>, sizes binary, carried binary, pieces binary, words binary, codes binary"
+    names = [x.split()[0] for x in ddl.split(", ")]
 
-@dataclass
-class Arcs:
-    """The n-grams of one order: sorted keys, log10 p(word | context), log10 weight of the failure arc from them as a context."""
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = block = TaskContext.get().partitionId() << 36
+        held: list[tuple] = []  # (row, doc_id, held out, tokens, carried, pieces)
+        n = 0
+
+        def built() -> pa.RecordBatch:
+            rows, ids, out, tokens, carried, pieces = zip(*held, strict=True)
+            flat = np.concatenate(tokens)
+            words, codes = np.unique(flat, return_inverse=True)
+            sizes = np.array([len(t) for t in tokens], "<i8")
+            values = [block, len(flat), np.array(rows, "<i8").tobytes(), list(ids), list(out), sizes.tobytes(), np.array(carried, "<i8").tobytes(), np.array(pieces, "<i8").tobytes(), words.tobytes(), codes.astype("<u4").tobytes()]
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
-    keys: np.ndarray
-    counts: np.ndarray
-    logp: np.ndarray
-    back: np.ndarray
+        for batch in batches:
+            for first, tokens, counts in batch_words(batch.column(2)):
+                stops = np.cumsum(counts)
+                for k, (stop, count) in enumerate(zip(stops.tolist(), counts.tolist(), strict=True), start=first):
+                    t = np.append(tokens[stop - count : stop], END)
+                    doc_id, out = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                    pieces = -(-len(t) // BLOCK)
+                    for start in range(0, len(t), BLOCK):
+                        carried = min(start, _CARRIED)
+                        held.append((number, doc_id, out, t[start - carried : start + BLOCK], carried, pieces))
+                        n += len(held[-1][3])
+                        if n >= BLOCK:
+                            yield built()
+                            held, n, block = [], 0, block + 1
+                    number += 1
+        if held:
+            yield built()
+
+    return written(documents.mapInArrow(build, ddl), "lm-blocks")
 
 
 @dataclass
-class Model:
-    n_tokens: int
-    n_distinct: int
-    orders: list[Arcs]  # the first holds the frequent words
-    state_words: np.ndarray  # sorted hashes
-
-    def unigram(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 1.0) / (self.n_tokens + self.n_distinct + 1.0))
-
-
-def _table(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    rows = df.toPandas()  # at most TABLE rows
-    h = rows["h"].to_numpy(np.int64).view(np.uint64)
-    o = np.argsort(h)
-    return h[o], rows["c"].to_numpy(np.int64)[o], rows["a"].to_numpy(np.int64).view(np.uint64)[o], rows["b"].to_numpy(np.int64).view(np.uint64)[o]
-
-
-def train(bodies: DataFrame, order: int = ORDER) -> tuple[Model, DataFrame]:
-    """The automaton of training texts (one binary column), and the written counts (h, c) of all words."""
-    words = written(_counts(bodies, lambda t: (t, t, t)).select("h", "c"), "lm-words")
-    total = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = total["n"] or 0, total["v"]
-    keys, counts, _, _ = _table(words.where(F.col("c") >= n // TABLE + 1).select("h", "c", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
-    model = Model(n, v, [], keys[counts >= n // STATE_WORDS + 1])
-    model.orders.append(Arcs(keys, counts, model.unigram(counts), np.zeros(len(keys))))
-    spark = bodies.sparkSession
-    for k in range(2, order + 1):
-        known = spark.sparkContext.broadcast((model.state_words, model.orders[-1].keys))
-
-        def grams(t: np.ndarray, k: int = k, known=known) -> tuple[np.ndarray, ...]:
-            """Keys of k-grams both of whose shorter ends are arcs, with the keys of their contexts and of the rest."""
-            allowed, below = known.value
-            ok = find(allowed, t)[1]
-            context = t
-            for i in range(2, k):
-                context, ok = gram(context[:-1], t[i - 1 :]), ok[:-1] & ok[1:]
-            if k > 2:
-                ok &= find(below, context)[1]
-            both = np.flatnonzero(ok[:-1] & ok[1:])
-            start, rest = context[both], context[both + 1]
-            return gram(start, t[both + k - 1]), start, rest
-
-        least = max(2, n // TABLE + 1)
-        keys, counts, start, rest = _table(_counts(bodies, grams).where(F.col("c") >= least))
-        below = model.orders[-1]
-        at, _ = find(below.keys, start)
-        share = (counts - DISCOUNT) / below.counts[at] if len(keys) else np.empty(0)
-        kept = np.bincount(at, weights=share, minlength=len(below.keys)) if len(keys) else np.zeros(len(below.keys))
-        # rounding may take the kept shares of a context past 1
-        below.back = np.log10(np.maximum(1 - kept, 1e-12)) * (kept > 0)
-        p = share + 10 ** (below.back[at] + below.logp[find(below.keys, rest)[0]]) if len(keys) else share
-        model.orders.append(Arcs(keys, counts, np.log10(p), np.zeros(len(keys))))
-    return model, words
-
-
-def walk(model: Model, t: np.ndarray) -> np.ndarray:
-    """log10 p of each token given those before it; words that the tables lack count 0 at the root."""
-    words = model.orders[0]
-    at, there = find(words.keys, t)
-    log = np.where(there, words.logp[at] if len(words.keys) else 0.0, 0.0)
-    back = np.where(there, words.back[at] if len(words.keys) else 0.0, 0.0)
-    context, arrives = t, there
-    for k, arcs in enumerate(model.orders[1:], start=2):
-        if len(t) < k:
-            break
-        longer = gram(context[:-1], t[k - 1 :])
-        at, there = find(arcs.keys, longer)
-        there &= arrives[:-1]
-        # from the context that ends before each token: take the arc, or pay for the failure arc
-        failed = log[k - 1 :] + np.where(arrives[:-1], back[:-1], 0.0)
-        log[k - 1 :] = np.where(there, arcs.logp[at] if len(arcs.keys) else 0.0, failed)
-        back = np.where(there, arcs.back[at] if len(arcs.keys) else 0.0, 0.0)
-        context, arrives = longer, there
-    return log
-
-
-def score(documents: DataFrame, *, text: str = "text", order: int = ORDER) -> DataFrame:
+class Block:
+    """One block's tokens and n-grams, each n-gram by the place of its last token."""
+
+    name: int
+    words: np.ndarray
+    codes: np.ndarray
+    sizes: np.ndarray
+    place: np.ndarray  # of each token in its segment
+    own: np.ndarray  # tokens that aren't carried
+    counts: np.ndarray  # own tokens of training texts
+    keys: list[np.ndarray]  # of the words, pairs and triples that end here, where there are that many tokens
+
+    @classmethod
+    def of(cls, row: pa.Table) -> Block:
+        sizes, carried = _array(row["sizes"][0], "<i8"), _array(row["carried"][0], "<i8")
+        words, codes = _array(row["words"][0], "<u8"), _array(row["codes"][0], "<u4")
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        own = place >= np.repeat(carried, sizes)
+        trained = ~np.array(row["held"][0].as_py(), bool)
+        keys = [words[codes]]
+        for _ in range(_CARRIED):
+            keys.append(np.append(keys[-1][:1], gram(keys[-1][:-1], keys[-1][1:])))
+        return cls(row["block"][0].as_py(), words, codes, sizes, place, own, own & np.repeat(trained, sizes), keys)
+
+    def distinct(self, k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the k-grams that end at the places at: sorted keys, which of them each is, training counts, keys of contexts."""
+        keys, which = np.unique(self.keys[k - 1][at], return_inverse=True)
+        counts = np.bincount(which, weights=self.counts[at], minlength=len(keys)).astype(np.int64)
+        start = np.zeros(len(keys), np.uint64)
+        if k > 1:
+            start[which] = self.keys[k - 2][at - 1]
+        return keys, which, counts, start
+
+    def pairs(self) -> np.ndarray:
+        return np.flatnonzero(self.place >= 1)
+
+    def passed(self, mask: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of pairs that pass, and of triples both of whose pairs do. mask, which: of the distinct pairs."""
+        at = self.pairs()
+        passes = np.zeros(len(self.codes), bool)
+        passes[at] = mask[which]
+        return np.flatnonzero(passes), np.flatnonzero(passes & np.append(False, passes[:-1]) & (self.place >= 2))
+
+
+# --- questions and answers --------------------------------------------------------------------
+
+
+def _spans(h: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(part, from, to) of sorted hashes: parts are equal ranges."""
+    edges = np.searchsorted((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+    return [(p, x, y) for p, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if x < y]
+
+
+def _questions(block: int, parts: int, h: np.ndarray, start: np.ndarray, c: np.ndarray) -> pa.Table:
+    rows = [(p, block, h[x:y].tobytes(), start[x:y].tobytes(), c[x:y].tobytes()) for p, x, y in _spans(h, parts)]
+    return _table(rows, _ASKED_NAMES, _ASKED_TYPES)
+
+
+def _answers_for(answers: pa.Table, column: str, kind: str) -> np.ndarray:
+    """A block's answers, in the order in which it asked."""
+    parts = np.argsort(answers["part"].to_numpy())
+    return np.concatenate([_array(answers[column][i], kind) for i in parts.tolist()] or [np.empty(0, kind)])
+
+
+def _mask_for(answers: pa.Table) -> np.ndarray:
+    parts = np.argsort(answers["part"].to_numpy()).tolist()
+    bits = [np.unpackbits(_array(answers["a"][i], "u1"), count=answers["n"][i].as_py()) for i in parts]
+    return np.concatenate(bits or [np.empty(0, "u1")]).astype(bool)
+
+
+def _ask_whether(parts: int) -> Callable[[pa.Table], pa.Table]:
+    def ask(row: pa.Table) -> pa.Table:
+        block = Block.of(row)
+        keys, _, counts, _ = block.distinct(2, block.pairs())
+        short = (keys & np.uint64(0x3FFFFFFF)) << np.uint64(2) | np.minimum(counts, 3).astype(np.uint64)
+        rows = [(p, block.name, short[x:y].astype("<u4").tobytes(), None, None) for p, x, y in _spans(keys, parts)]
+        return _table(rows, _ASKED_NAMES, _ASKED_TYPES)
+
+    return ask
+
+
+def _tell_whether(asked: pa.Table) -> pa.Table:
+    short = [_array(x, "<u4") for x in asked["h"]]
+    flat = np.concatenate(short)
+    _, which = np.unique(flat >> 2, return_inverse=True)
+    often = (np.bincount(which, weights=flat & 3) >= LEAST)[which]
+    ends = np.cumsum([len(x) for x in short]).tolist()
+    part = asked["part"][0].as_py()
+    rows = [(_ANSWER, b, part, len(x), np.packbits(often[e - len(x) : e]).tobytes(), None, None) for b, x, e in zip(asked["block"].to_pylist(), short, ends, strict=True)]
+    return _table(rows, _GIVEN_NAMES, _GIVEN_TYPES)
+
+
+def _ask(k: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def ask(row: pa.Table, answers: pa.Table) -> pa.Table:
+        if not row.num_rows:
+            return _table([], _ASKED_NAMES, _ASKED_TYPES)
+        block = Block.of(row)
+        if k == 1:
+            counts = np.bincount(block.codes, weights=block.counts, minlength=len(block.words)).astype(np.int64)
+            return _questions(block.name, parts, block.words, np.empty(0, np.uint64), counts)
+        which = block.distinct(2, block.pairs())[1]
+        at = block.passed(_mask_for(answers), which)[k - 2]
+        keys, _, counts, start = block.distinct(k, at)
+        return _questions(block.name, parts, keys, start, counts)
+
+    return ask
+
+
+def _tell(k: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """One part's totals: answers for the blocks, and what contexts keep for the next shorter order."""
+
+    def tell(asked: pa.Table, kept: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return _table([], _GIVEN_NAMES, _GIVEN_TYPES)
+        hashes = [_array(x, "<u8") for x in asked["h"]]
+        keys, which = np.unique(np.concatenate(hashes), return_inverse=True)
+        total = np.bincount(which, weights=np.concatenate([_array(x, "<i8") for x in asked["c"]]), minlength=len(keys)).astype(np.int64)
+        arc = total >= (LEAST if k > 1 else 1)
+        total[~arc] = 0
+        stays = np.zeros(len(keys))
+        if kept.num_rows:
+            context, at = np.unique(np.concatenate([_array(x, "<u8") for x in kept["a"]]), return_inverse=True)
+            sums = [np.bincount(at, weights=np.concatenate([_array(x, "<i8") for x in kept[c]])) for c in ("b", "c")]
+            place = np.searchsorted(context, keys)
+            place[place == len(context)] = 0
+            stays = np.where(context[place] == keys, (sums[0] - DISCOUNT * sums[1])[place], 0.0)
+        # the weight of the failure arc; rounding may take the kept shares of a context past 1
+        back = np.where(stays > 0, np.log10(np.maximum(1 - stays / np.maximum(total, 1), 1e-12)), 0.0)
+        part, rows = asked["part"][0].as_py(), []
+        ends = np.cumsum([len(x) for x in hashes]).tolist()
+        for block, h, end in zip(asked["block"].to_pylist(), hashes, ends, strict=True):
+            own = which[end - len(h) : end]
+            rows.append((_ANSWER, block, part, len(h), total[own].tobytes(), back[own].tobytes(), None))
+        if k > 1:
+            starts = np.zeros(len(keys), np.uint64)
+            starts[which] = np.concatenate([_array(x, "<u8") for x in asked["start"]])
+            context, at = np.unique(starts[arc], return_inverse=True)
+            sums, kinds = np.bincount(at, weights=total[arc]).astype(np.int64), np.bincount(at)
+            rows += [(_KEPT, None, p, y - x, context[x:y].tobytes(), sums[x:y].tobytes(), kinds[x:y].astype(np.int64).tobytes()) for p, x, y in _spans(context, parts)]
+        else:
+            rows.append((_TOTAL, None, part, 0, np.array([total.sum(), arc.sum()], "<i8").tobytes(), None, None))
+        return _table(rows, _GIVEN_NAMES, _GIVEN_TYPES)
+
+    return tell
+
+
+# --- scores -----------------------------------------------------------------------------------
+
+
+def _walk(block: Block, mask: np.ndarray, answers: dict[int, tuple[np.ndarray, np.ndarray]], n: int, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per token: whether it is known, log10 of its add-one share, log10 p given the state before it.
+
+    The state after a token is known from what ends there, so places are read side by side.
+    """
+    size = len(block.codes)
+    at2, which2 = block.pairs(), block.distinct(2, block.pairs())[1]
+    pairs, triples = block.passed(mask, which2)
+    c, back = np.zeros((3, size), np.int64), np.zeros((2, size))
+    c[0], back[0] = answers[1][0][block.codes], answers[1][1][block.codes]
+    for k, at in ((2, pairs), (3, triples)):
+        which = block.distinct(k, at)[1]
+        c[k - 1, at] = answers[k][0][which]
+        if k < 3:
+            back[k - 1, at] = answers[k][1][which]
+    base = np.log10((c[0] + 1) / (n + v + 1))
+    log = base.copy()
+    for k, at in ((1, at2), (2, np.flatnonzero(block.place >= 2))):
+        failed = log[at] + back[k - 1, at - 1]
+        arc = c[k, at] > 0
+        share = (c[k, at[arc]] - DISCOUNT) / c[k - 1, at[arc] - 1]
+        failed[arc] = np.log10(share + 10 ** failed[arc])
+        log[at] = failed
+    return c[0] > 0, base, log
+
+
+def _read(n: int, v: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    names = ["row", "doc_id", "held_out", "pieces", "n_tokens", "n_known", "base_score", "score"]
+
+    def read(row: pa.Table, answers: pa.Table) -> pa.Table:
+        if not row.num_rows:
+            return _table([], names, [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64()])
+        block = Block.of(row)
+        order = answers["k"].to_numpy()
+        of = {k: answers.filter(pa.array(order == k)) for k in range(4)}
+        found = {k: (_answers_for(of[k], "a", "<i8"), _answers_for(of[k], "b", "<f8")) for k in (1, 2, 3)}
+        known, base, log = _walk(block, _mask_for(of[0]), found, n, v)
+        first = np.cumsum(block.sizes) - block.sizes
+        sums = [np.add.reduceat(np.where(block.own, x, 0), first) for x in (np.ones(len(known), np.int64), known.astype(np.int64), base, log)]
+        columns = [pa.array(_array(row["rows"][0], "<i8")), row["ids"][0].values, row["held"][0].values, pa.array(_array(row["pieces"][0], "<i8")), *map(pa.array, sums)]
+        return pa.Table.from_arrays(columns, names=names)
+
+    return read
+
+
+def score(documents: DataFrame, *, text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of documents."""
-    docs = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(f"`{text}`").cast("binary").alias("body"))
-    model, counts = train(docs.where(~F.col("held_out")).select("body"), order)
-    known = documents.sparkSession.sparkContext.broadcast(model)
-    fields = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, h long, times long"
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
-    names = [f.split()[0] for f in fields.split(", ")]
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per text, and a row for each of its words that the tables lack."""
-        model = known.value
-        number = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            rows: list[tuple] = []
-            rare: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for doc_id, out, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                t = tokens_of(body)
-                words = model.orders[0]
-                at, there = find(words.keys, t)
-                base = float(words.logp[at[there]].sum())
-                rows.append((number, doc_id, out, len(t), int(there.sum()), base, float(walk(model, t).sum())))
-                h, times = np.unique(t[~there], return_counts=True)
-                rare.append((np.full(len(h), number), h.view(np.int64), times))
-                number += 1
-            own = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]
-            if rows:
-                blank = [pa.nulls(len(rows), k) for k in kinds[7:]]
-                yield pa.RecordBatch.from_arrays(own + blank, names=names)
-                row, h, times = (np.concatenate(c) for c in zip(*rare, strict=True))
-                empty = [pa.nulls(len(h), k) for k in kinds[1:7]]
-                yield pa.RecordBatch.from_arrays([pa.array(row), *empty, pa.array(h), pa.array(times.astype(np.int64))], names=names)
-
-    rows = written(docs.mapInArrow(read, fields), "lm-rows")
-    rare = rows.where("h is not null").select("row", "h", "times").join(counts, "h", "left")
-    c = F.coalesce("c", F.lit(0))
-    log = F.log10((c + 1) / F.lit(float(model.n_tokens + model.n_distinct + 1)))
-    added = rare.groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * log).alias("log")
-    )
-    texts = rows.where("h is null").drop("h", "times")
-    more = F.coalesce("log", F.lit(0.0))
-    return texts.join(added, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(model.n_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+    spark = documents.sparkSession
+    made = blocks(documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(f"`{text}`").cast("binary").alias("body")))
+    tokens = made.agg(F.sum("n")).first()[0] or 0
+    parts = max(parallelism(spark), -(-tokens // PART))
+    own = made.groupBy("block")
+    asked = own.applyInArrow(_ask_whether(parts), _ASKED)
+    mask = written(asked.groupBy("part").applyInArrow(_tell_whether, _GIVEN), "lm-mask")
+    release(spark)
+    given: dict[int, DataFrame] = {}
+    kept = spark.createDataFrame([], _GIVEN)
+    for k in (3, 2, 1):
+        asked = own.cogroup(mask.groupBy("block")).applyInArrow(_ask(k, parts), _ASKED)
+        told = asked.groupBy("part").cogroup(kept.groupBy("part")).applyInArrow(_tell(k, parts), _GIVEN)
+        given[k] = written(told, f"lm-order{k}")
+        kept = given[k].where(F.col("kind") == _KEPT)
+        release(spark)
+    sums = given[1].where(F.col("kind") == _TOTAL).select("a").collect()  # two numbers a part
+    n, v = (int(x) for x in sum((np.frombuffer(r["a"], "<i8") for r in sums), np.zeros(2, np.int64)))
+    answers = mask.select(F.lit(0).alias("k"), "block", "part", "n", "a", "b")
+    for k, rows in given.items():
+        answers = answers.unionByName(rows.where(F.col("kind") == _ANSWER).select(F.lit(k).alias("k"), "block", "part", "n", "a", "b"))
+    ddl = "row long, doc_id long, held_out boolean, pieces long, n_tokens long, n_known long, base_score double, score double"
+    rows = written(own.cogroup(answers.groupBy("block")).applyInArrow(_read(n, v), ddl), "lm-rows")
+    for table in (made, mask, *given.values()):
+        drop(table)
+    release(spark)
+    cut = rows.where("pieces > 1").groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score"))
     )
+    whole = rows.where("pieces = 1").drop("pieces").unionByName(cut)
+    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

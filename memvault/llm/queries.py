@@ -12,7 +12,7 @@ from memvault.llm import (
     fingerprints,
     jaccard_join,
     line_dedup,
-    lm_tables,
+    lm_scoring,
     packing,
     quality_rules,
     sentencepieces,
@@ -82,7 +82,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_tables.score(table(spark, sf_dir, "documents"))
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:

@@ -8,7 +8,10 @@ as equal when their 64-bit hashes are.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 _U = np.uint64
@@ -30,17 +33,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _block_hashes(raw: np.ndarray) -> np.ndarray:
+def _block_hashes(raw: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of raw; with starts, where texts begin (its end last), also each text's number of words."""
     at = np.flatnonzero(~_BLANK[raw])
     if not len(at):
-        return np.empty(0, dtype=_U)
-    first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+        return np.empty(0, dtype=_U) if starts is None else (np.empty(0, dtype=_U), np.zeros(len(starts) - 1, dtype=np.int64))
+    new = np.diff(at, prepend=-2) > 1
+    if starts is not None:
+        begins = np.zeros(len(raw) + 1, dtype=bool)
+        begins[starts] = True
+        new |= begins[at]
+    first = np.flatnonzero(new)
     sizes = np.diff(first, append=len(at))
     place = np.arange(len(at)) - np.repeat(first, sizes)
     value = _TABLE[place & (_PLACES - 1), raw[at]]
     if sizes.max() > _PLACES:
         value = value * (_U(2) * (place // _PLACES).astype(_U) + _U(1))
-    return mix(np.add.reduceat(value, first) + sizes.astype(_U))
+    hashes = mix(np.add.reduceat(value, first) + sizes.astype(_U))
+    return hashes if starts is None else (hashes, np.diff(np.searchsorted(at[first], starts)))
 
 
 def word_hashes(body: bytes | memoryview) -> np.ndarray:
@@ -59,6 +69,24 @@ def word_hashes(body: bytes | memoryview) -> np.ndarray:
     return np.concatenate(out)
 
 
+def batch_words(bodies: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, word hashes, words of each text) for runs of texts of about _BLOCK bytes; null: none."""
+    lengths = [len(x.as_buffer()) if x.is_valid else 0 for x in bodies]
+    k = 0
+    while k < len(lengths):
+        stop, size = k + 1, lengths[k]
+        while stop < len(lengths) and size + lengths[stop] <= _BLOCK:
+            size += lengths[stop]
+            stop += 1
+        if stop == k + 1:
+            hashes = word_hashes(bodies[k].as_buffer()) if lengths[k] else np.empty(0, dtype=_U)
+            yield k, hashes, np.array([len(hashes)])
+        else:
+            raw = np.frombuffer(b"".join(x.as_buffer() for x in bodies[k:stop] if x.is_valid), dtype=np.uint8)
+            yield k, *_block_hashes(raw, np.append(0, np.cumsum(lengths[k:stop])))
+        k = stop
+
+
 def shingle_set(body: bytes | memoryview, size: int = 5) -> np.ndarray:
     """The sorted distinct shingle hashes of a text; fewer words than size make one shingle, none make none."""
     words = word_hashes(body)

@@ -11,7 +11,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
-from memvault.llm import lm_scoring, lm_tables, queries  # noqa: E402
+from memvault.llm import lm_scoring, queries  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,9 +44,11 @@ def expected(docs):
     return out
 
 
-@pytest.mark.parametrize("tier", [lm_tables.TIER, 50])
-def test_no_count_is_lost(spark, monkeypatch, tier):
-    monkeypatch.setattr(lm_tables, "TIER", tier)
+@pytest.mark.parametrize("block", [lm_scoring.BLOCK, 70])
+def test_no_count_is_lost(spark, monkeypatch, block):
+    """Whole texts in a block, and texts cut into blocks that carry the state on; parts of few n-grams."""
+    monkeypatch.setattr(lm_scoring, "BLOCK", block)
+    monkeypatch.setattr(lm_scoring, "PART", 3 * block)
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = expected(docs)
     got = queries.op10_lm_scoring(spark, SF).collect()
@@ -59,6 +61,6 @@ def test_no_count_is_lost(spark, monkeypatch, tier):
 
 def test_awkward_rows(spark):
     frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
-    assert lm_tables.score(frame([])).count() == 0
+    assert lm_scoring.score(frame([])).count() == 0
     rows = [(None, "some text here with words"), (None, None), (1, None), *[(2, "same row " * 4)] * 3, (3, "last"), (4, " \t\n")]
-    assert lm_tables.score(frame(rows)).count() == len(rows)
+    assert lm_scoring.score(frame(rows)).count() == len(rows)

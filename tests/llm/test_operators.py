@@ -344,8 +344,7 @@ def test_lm_scores(df, docs):
     grams = [None, {(w,): c for w, c in count.items()}]
     for k in (2, 3):
         found = Counter(tuple(t[i : i + k]) for d, t in token.items() if not held[d] for i in range(len(t) - k + 1))
-        state = {w for w, c in count.items() if c >= n // lm_scoring.STATE_WORDS + 1}
-        grams.append({g: c for g, c in found.items() if c >= 2 and set(g) <= state and g[:-1] in grams[-1] and g[1:] in grams[-1]})
+        grams.append({g: c for g, c in found.items() if c >= 2})
     left = defaultdict(lambda: 1.0)
     for k in (2, 3):
         for g, c in grams[k].items():
