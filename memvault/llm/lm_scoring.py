@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from memvault.llm.common import drop, parallelism, release, written
 from memvault.llm.shingles import batch_words, mix
@@ -75,6 +76,24 @@ def _array(buffer: pa.Scalar, kind: str) -> np.ndarray:
     return np.frombuffer(buffer.as_buffer(), kind)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The values' bytes, all lowest ones first: small numbers compress better so."""
+    return np.ascontiguousarray(values.view("u1").reshape(len(values), -1).T).tobytes()
+
+
+def _from_planes(buffer: pa.Scalar, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(_array(buffer, "u1").reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def _steps(sorted_keys: np.ndarray) -> bytes:
+    return _planes(np.diff(sorted_keys, prepend=np.uint64(0)))
+
+
+def _from_steps(buffer: pa.Scalar) -> np.ndarray:
+    return np.cumsum(_from_planes(buffer, "<u8"), dtype=np.uint64)
+
+
 # --- blocks -----------------------------------------------------------------------------------
 
 
@@ -94,9 +113,12 @@ def blocks(documents: DataFrame) -> DataFrame:
         def built() -> pa.RecordBatch:
             rows, ids, out, tokens, carried, pieces = zip(*held, strict=True)
             flat = np.concatenate(tokens)
-            words, codes = np.unique(flat, return_inverse=True)
+            words, codes, often = np.unique(flat, return_inverse=True, return_counts=True)
+            by_count = np.argsort(-often, kind="stable")  # frequent words get small codes, which compress
+            place = np.empty_like(by_count)
+            place[by_count] = np.arange(len(words))
             sizes = np.array([len(t) for t in tokens], "<i8")
-            values = [block, len(flat), np.array(rows, "<i8").tobytes(), list(ids), list(out), sizes.tobytes(), np.array(carried, "<i8").tobytes(), np.array(pieces, "<i8").tobytes(), words.tobytes(), codes.astype("<u4").tobytes()]
+            values = [block, len(flat), np.array(rows, "<i8").tobytes(), list(ids), list(out), sizes.tobytes(), np.array(carried, "<i8").tobytes(), np.array(pieces, "<i8").tobytes(), words[by_count].tobytes(), _planes(place[codes].astype("<u4"))]
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
@@ -135,9 +157,13 @@ class Block:
     keys: list[np.ndarray]  # of the words, pairs and triples that end here, where there are that many tokens
 
     @classmethod
-    def of(cls, row: pa.Table) -> Block:
+    def of(cls, row: pa.Table | pa.RecordBatch) -> Block:
         sizes, carried = _array(row["sizes"][0], "<i8"), _array(row["carried"][0], "<i8")
-        words, codes = _array(row["words"][0], "<u8"), _array(row["codes"][0], "<u4")
+        words, codes = _array(row["words"][0], "<u8"), _from_planes(row["codes"][0], "<u4")
+        order = np.argsort(words)
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        words, codes = words[order], place[codes]
         place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         own = place >= np.repeat(carried, sizes)
         trained = ~np.array(row["held"][0].as_py(), bool)
@@ -158,11 +184,9 @@ class Block:
     def pairs(self) -> np.ndarray:
         return np.flatnonzero(self.place >= 1)
 
-    def passed(self, mask: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The places of pairs that pass, and of triples both of whose pairs do. mask, which: of the distinct pairs."""
-        at = self.pairs()
-        passes = np.zeros(len(self.codes), bool)
-        passes[at] = mask[which]
+    def passed(self, row: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """The places of pairs that pass, and of triples both of whose pairs do."""
+        passes = np.unpackbits(_array(row["passes"][0], "u1"), count=len(self.codes)).astype(bool)
         return np.flatnonzero(passes), np.flatnonzero(passes & np.append(False, passes[:-1]) & (self.place >= 2))
 
 
@@ -176,14 +200,17 @@ def _spans(h: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
 
 
 def _questions(block: int, parts: int, h: np.ndarray, start: np.ndarray, c: np.ndarray) -> pa.Table:
-    rows = [(p, block, h[x:y].tobytes(), start[x:y].tobytes(), c[x:y].tobytes()) for p, x, y in _spans(h, parts)]
+    rows = [(p, block, _steps(h[x:y]), start[x:y].tobytes(), _planes(c[x:y])) for p, x, y in _spans(h, parts)]
     return _table(rows, _ASKED_NAMES, _ASKED_TYPES)
 
 
-def _answers_for(answers: pa.Table, column: str, kind: str) -> np.ndarray:
-    """A block's answers, in the order in which it asked."""
-    parts = np.argsort(answers["part"].to_numpy())
-    return np.concatenate([_array(answers[column][i], kind) for i in parts.tolist()] or [np.empty(0, kind)])
+def _answers_for(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """A block's counts, and the log10 weights of the failure arcs from its n-grams, in the order in which it asked."""
+    parts = np.argsort(answers["part"].to_numpy()).tolist()
+    c, sums, kinds = (np.concatenate([_from_planes(answers[x][i], "<i8") for i in parts] or [np.empty(0, np.int64)]) for x in "abc")
+    stays = sums - DISCOUNT * kinds
+    # rounding may take the kept shares of a context past 1
+    return c, np.where(stays > 0, np.log10(np.maximum(1 - stays / np.maximum(c, 1), 1e-12)), 0.0)
 
 
 def _mask_for(answers: pa.Table) -> np.ndarray:
@@ -192,8 +219,19 @@ def _mask_for(answers: pa.Table) -> np.ndarray:
     return np.concatenate(bits or [np.empty(0, "u1")]).astype(bool)
 
 
-def _ask_whether(parts: int) -> Callable[[pa.Table], pa.Table]:
-    def ask(row: pa.Table) -> pa.Table:
+def asked(blocks: DataFrame, ask: Callable[[pa.RecordBatch], pa.Table]) -> DataFrame:
+    """The questions of all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield from ask(batch.slice(k, 1)).to_batches()
+
+    return blocks.mapInArrow(run, _ASKED)
+
+
+def _ask_whether(parts: int) -> Callable[[pa.RecordBatch], pa.Table]:
+    def ask(row: pa.RecordBatch) -> pa.Table:
         block = Block.of(row)
         keys, _, counts, _ = block.distinct(2, block.pairs())
         short = (keys & np.uint64(0x3FFFFFFF)) << np.uint64(2) | np.minimum(counts, 3).astype(np.uint64)
@@ -214,17 +252,24 @@ def _tell_whether(asked: pa.Table) -> pa.Table:
     return _table(rows, _GIVEN_NAMES, _GIVEN_TYPES)
 
 
-def _ask(k: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def ask(row: pa.Table, answers: pa.Table) -> pa.Table:
-        if not row.num_rows:
-            return _table([], _ASKED_NAMES, _ASKED_TYPES)
+def _with_passes(row: pa.Table, answers: pa.Table) -> pa.Table:
+    """A block with a bit for each place: whether the pair that ends there passes."""
+    if not row.num_rows:
+        return row.append_column("passes", pa.array([], pa.binary()))
+    block = Block.of(row)
+    passes, at = np.zeros(len(block.codes), bool), block.pairs()
+    if len(at):
+        passes[at] = _mask_for(answers)[block.distinct(2, at)[1]]
+    return row.append_column("passes", pa.array([np.packbits(passes).tobytes()], pa.binary()))
+
+
+def _ask(k: int, parts: int) -> Callable[[pa.RecordBatch], pa.Table]:
+    def ask(row: pa.RecordBatch) -> pa.Table:
         block = Block.of(row)
         if k == 1:
             counts = np.bincount(block.codes, weights=block.counts, minlength=len(block.words)).astype(np.int64)
             return _questions(block.name, parts, block.words, np.empty(0, np.uint64), counts)
-        which = block.distinct(2, block.pairs())[1]
-        at = block.passed(_mask_for(answers), which)[k - 2]
-        keys, _, counts, start = block.distinct(k, at)
+        keys, _, counts, start = block.distinct(k, block.passed(row)[k - 2])
         return _questions(block.name, parts, keys, start, counts)
 
     return ask
@@ -236,31 +281,30 @@ def _tell(k: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def tell(asked: pa.Table, kept: pa.Table) -> pa.Table:
         if not asked.num_rows:
             return _table([], _GIVEN_NAMES, _GIVEN_TYPES)
-        hashes = [_array(x, "<u8") for x in asked["h"]]
+        hashes = [_from_steps(x) for x in asked["h"]]
         keys, which = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(which, weights=np.concatenate([_array(x, "<i8") for x in asked["c"]]), minlength=len(keys)).astype(np.int64)
+        total = np.bincount(which, weights=np.concatenate([_from_planes(x, "<i8") for x in asked["c"]]), minlength=len(keys)).astype(np.int64)
         arc = total >= (LEAST if k > 1 else 1)
         total[~arc] = 0
-        stays = np.zeros(len(keys))
+        stays = np.zeros((2, len(keys)), np.int64)
         if kept.num_rows:
-            context, at = np.unique(np.concatenate([_array(x, "<u8") for x in kept["a"]]), return_inverse=True)
-            sums = [np.bincount(at, weights=np.concatenate([_array(x, "<i8") for x in kept[c]])) for c in ("b", "c")]
+            context, at = np.unique(np.concatenate([_from_steps(x) for x in kept["a"]]), return_inverse=True)
             place = np.searchsorted(context, keys)
             place[place == len(context)] = 0
-            stays = np.where(context[place] == keys, (sums[0] - DISCOUNT * sums[1])[place], 0.0)
-        # the weight of the failure arc; rounding may take the kept shares of a context past 1
-        back = np.where(stays > 0, np.log10(np.maximum(1 - stays / np.maximum(total, 1), 1e-12)), 0.0)
+            for row, column in enumerate(("b", "c")):
+                sums = np.bincount(at, weights=np.concatenate([_from_planes(x, "<i8") for x in kept[column]])).astype(np.int64)
+                stays[row] = np.where(context[place] == keys, sums[place], 0)
         part, rows = asked["part"][0].as_py(), []
         ends = np.cumsum([len(x) for x in hashes]).tolist()
         for block, h, end in zip(asked["block"].to_pylist(), hashes, ends, strict=True):
             own = which[end - len(h) : end]
-            rows.append((_ANSWER, block, part, len(h), total[own].tobytes(), back[own].tobytes(), None))
+            rows.append((_ANSWER, block, part, len(h), *(_planes(x[own]) for x in (total, *stays))))
         if k > 1:
             starts = np.zeros(len(keys), np.uint64)
             starts[which] = np.concatenate([_array(x, "<u8") for x in asked["start"]])
             context, at = np.unique(starts[arc], return_inverse=True)
             sums, kinds = np.bincount(at, weights=total[arc]).astype(np.int64), np.bincount(at)
-            rows += [(_KEPT, None, p, y - x, context[x:y].tobytes(), sums[x:y].tobytes(), kinds[x:y].astype(np.int64).tobytes()) for p, x, y in _spans(context, parts)]
+            rows += [(_KEPT, None, p, y - x, _steps(context[x:y]), _planes(sums[x:y]), _planes(kinds[x:y].astype(np.int64))) for p, x, y in _spans(context, parts)]
         else:
             rows.append((_TOTAL, None, part, 0, np.array([total.sum(), arc.sum()], "<i8").tobytes(), None, None))
         return _table(rows, _GIVEN_NAMES, _GIVEN_TYPES)
@@ -271,14 +315,13 @@ def _tell(k: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 # --- scores -----------------------------------------------------------------------------------
 
 
-def _walk(block: Block, mask: np.ndarray, answers: dict[int, tuple[np.ndarray, np.ndarray]], n: int, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _walk(block: Block, row: pa.Table, answers: dict[int, tuple[np.ndarray, np.ndarray]], n: int, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per token: whether it is known, log10 of its add-one share, log10 p given the state before it.
 
     The state after a token is known from what ends there, so places are read side by side.
     """
     size = len(block.codes)
-    at2, which2 = block.pairs(), block.distinct(2, block.pairs())[1]
-    pairs, triples = block.passed(mask, which2)
+    pairs, triples = block.passed(row)
     c, back = np.zeros((3, size), np.int64), np.zeros((2, size))
     c[0], back[0] = answers[1][0][block.codes], answers[1][1][block.codes]
     for k, at in ((2, pairs), (3, triples)):
@@ -288,7 +331,7 @@ def _walk(block: Block, mask: np.ndarray, answers: dict[int, tuple[np.ndarray, n
             back[k - 1, at] = answers[k][1][which]
     base = np.log10((c[0] + 1) / (n + v + 1))
     log = base.copy()
-    for k, at in ((1, at2), (2, np.flatnonzero(block.place >= 2))):
+    for k, at in ((1, block.pairs()), (2, np.flatnonzero(block.place >= 2))):
         failed = log[at] + back[k - 1, at - 1]
         arc = c[k, at] > 0
         share = (c[k, at[arc]] - DISCOUNT) / c[k - 1, at[arc] - 1]
@@ -305,9 +348,8 @@ def _read(n: int, v: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             return _table([], names, [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64()])
         block = Block.of(row)
         order = answers["k"].to_numpy()
-        of = {k: answers.filter(pa.array(order == k)) for k in range(4)}
-        found = {k: (_answers_for(of[k], "a", "<i8"), _answers_for(of[k], "b", "<f8")) for k in (1, 2, 3)}
-        known, base, log = _walk(block, _mask_for(of[0]), found, n, v)
+        found = {k: _answers_for(answers.filter(pa.array(order == k))) for k in (1, 2, 3)}
+        known, base, log = _walk(block, row, found, n, v)
         first = np.cumsum(block.sizes) - block.sizes
         sums = [np.add.reduceat(np.where(block.own, x, 0), first) for x in (np.ones(len(known), np.int64), known.astype(np.int64), base, log)]
         columns = [pa.array(_array(row["rows"][0], "<i8")), row["ids"][0].values, row["held"][0].values, pa.array(_array(row["pieces"][0], "<i8")), *map(pa.array, sums)]
@@ -322,26 +364,27 @@ def score(documents: DataFrame, *, text: str = "text") -> DataFrame:
     made = blocks(documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(f"`{text}`").cast("binary").alias("body")))
     tokens = made.agg(F.sum("n")).first()[0] or 0
     parts = max(parallelism(spark), -(-tokens // PART))
-    own = made.groupBy("block")
-    asked = own.applyInArrow(_ask_whether(parts), _ASKED)
-    mask = written(asked.groupBy("part").applyInArrow(_tell_whether, _GIVEN), "lm-mask")
+    mask = written(asked(made, _ask_whether(parts)).groupBy("part").applyInArrow(_tell_whether, _GIVEN), "lm-mask")
+    release(spark)
+    fields = StructType([*made.schema.fields, StructField("passes", BinaryType())])
+    masked = written(made.groupBy("block").cogroup(mask.groupBy("block")).applyInArrow(_with_passes, fields), "lm-masked")
+    for table in (made, mask):
+        drop(table)
     release(spark)
     given: dict[int, DataFrame] = {}
     kept = spark.createDataFrame([], _GIVEN)
     for k in (3, 2, 1):
-        asked = own.cogroup(mask.groupBy("block")).applyInArrow(_ask(k, parts), _ASKED)
-        told = asked.groupBy("part").cogroup(kept.groupBy("part")).applyInArrow(_tell(k, parts), _GIVEN)
+        told = asked(masked, _ask(k, parts)).groupBy("part").cogroup(kept.groupBy("part")).applyInArrow(_tell(k, parts), _GIVEN)
         given[k] = written(told, f"lm-order{k}")
         kept = given[k].where(F.col("kind") == _KEPT)
         release(spark)
     sums = given[1].where(F.col("kind") == _TOTAL).select("a").collect()  # two numbers a part
     n, v = (int(x) for x in sum((np.frombuffer(r["a"], "<i8") for r in sums), np.zeros(2, np.int64)))
-    answers = mask.select(F.lit(0).alias("k"), "block", "part", "n", "a", "b")
-    for k, rows in given.items():
-        answers = answers.unionByName(rows.where(F.col("kind") == _ANSWER).select(F.lit(k).alias("k"), "block", "part", "n", "a", "b"))
+    answers = [rows.where(F.col("kind") == _ANSWER).select(F.lit(k).alias("k"), "block", "part", "a", "b", "c") for k, rows in given.items()]
+    answers = answers[0].unionByName(answers[1]).unionByName(answers[2])
     ddl = "row long, doc_id long, held_out boolean, pieces long, n_tokens long, n_known long, base_score double, score double"
-    rows = written(own.cogroup(answers.groupBy("block")).applyInArrow(_read(n, v), ddl), "lm-rows")
-    for table in (made, mask, *given.values()):
+    rows = written(masked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_read(n, v), ddl), "lm-rows")
+    for table in (masked, *given.values()):
         drop(table)
     release(spark)
     cut = rows.where("pieces > 1").groupBy("row").agg(
