@@ -65,7 +65,7 @@ def least_overlap(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.
 
 
 def frequent_shingles(documents: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes, and counts, of the shingles with more than one in FREQUENT of all occurrences.
+    """Sorted hashes, and counts, of the most frequent shingles: at most FREQUENT, whatever the corpus.
 
     Counts leave out occurrences that are alone in their task's gathering; they set an order and nothing else.
     """
@@ -76,11 +76,7 @@ def frequent_shingles(documents: DataFrame, size: int) -> tuple[np.ndarray, np.n
         def counted() -> pa.RecordBatch:
             found, times = np.unique(np.concatenate(held or [np.empty(0, np.uint64)]), return_counts=True)
             more = times > 1
-            h = np.append(found[more].view(np.int64), 0)
-            c = np.append(times[more], 0)
-            total = np.zeros(len(h), np.int64)
-            total[-1] = n
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c.astype(np.int64)), pa.array(total)], names=["h", "c", "total"])
+            return pa.RecordBatch.from_arrays([pa.array(found[more].view(np.int64)), pa.array(times[more].astype(np.int64))], names=["h", "c"])
 
         for batch in batches:
             for body in batch.column(0):
@@ -91,11 +87,16 @@ def frequent_shingles(documents: DataFrame, size: int) -> tuple[np.ndarray, np.n
                     held, n = [], 0
         yield counted()
 
-    rows = documents.where(F.col("_body").isNotNull()).select("_body").mapInArrow(count, "h long, c long, total long")
-    counts = written(rows.groupBy("h").agg(F.sum("c").alias("c"), F.sum("total").alias("total")), "frequent")
-    occurrences = counts.agg(F.sum("total")).first()[0] or 0
-    least = max(16, occurrences // FREQUENT + 1)
-    top = counts.where(F.col("c") >= least).select("h", "c").toPandas()  # at most FREQUENT rows
+    rows = documents.where(F.col("_body").isNotNull()).select("_body").mapInArrow(count, "h long, c long")
+    step = F.least(F.floor(F.log2("c") * 8), F.lit(511)).cast("int")
+    counts = written(rows.groupBy("h").agg(F.sum("c").alias("c")).where("c >= 4").withColumn("step", step), "frequent")
+    least, found = 512, 0
+    for row in sorted(counts.groupBy("step").count().collect(), key=lambda r: -r["step"]):  # at most 512 rows
+        found += row["count"]
+        if found > FREQUENT:
+            break
+        least = row["step"]
+    top = counts.where(F.col("step") >= least).select("h", "c").toPandas()  # at most FREQUENT rows
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], top["c"].to_numpy(np.int64)[order]
@@ -550,11 +551,11 @@ def jaccard_components(documents: DataFrame, *, text: str = "text", percent: int
     release(spark)
     links = written(block_links(_inside(sets), percent), "links")
     release(spark)
-    rows = _between(sets, components(links))
-    if rows is not None:
-        links = links.unionByName(written(block_links(rows, percent), "links"))
-        release(spark)
     roots = components(links)
+    rows = _between(sets, roots)
+    if rows is not None:
+        roots = components(links.unionByName(written(block_links(rows, percent), "links")))
+    release(spark)
     base = signed.select("doc_id", "n", "set_id")
     placed = written(
         base.join(roots, base["set_id"] == roots["id"], "left").select("doc_id", "n", F.coalesce("root", "set_id").alias("c")), "placed"
