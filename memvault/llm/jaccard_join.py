@@ -11,7 +11,6 @@ Documents are linked when the Jaccard similarity of their shingle sets is at lea
    of size: nodes hold the OR of their bitmaps and the range of sizes. A dual
    traversal drops node pairs whose largest possible overlap is too small. Blocks of
    more than ``PART`` members are dealt out by bands of size, in pairs of parts.
-   What is left meets once more with finer bitmaps.
 3. Links. The pairs that the trees leave make families, by connected components; each
    family's sets meet once (large families in parts, with the least member in each
    part; then sets outside the family's largest component visit the other parts). Members are
@@ -53,8 +52,8 @@ PART_SHINGLES = 4_000_000
 NAMED = 1_000_000
 #: Children of a tree node.
 FAN = 16
-#: Bits a shingle at least in bitmaps that are sent to blocks at first, sent again, and made for sets that a task holds.
-SENT_BITS, FINE_BITS, HELD_BITS = 2, 4, 16
+#: Bits a shingle at least in bitmaps that are sent to blocks, and in those made for sets that a task holds.
+SENT_BITS, HELD_BITS = 2, 16
 #: Bits of the filter that tells which documents' sets are needed: NEED_SHARE for each of them, from 2^20 to 2^30.
 NEED_SHARE = 16
 
@@ -119,15 +118,15 @@ def folded(words: np.ndarray, n_words: int) -> np.ndarray:
 
 
 def signatures(documents: DataFrame, percent: int, size: int) -> DataFrame:
-    """Written: (doc_id, set_id, n, prefix, bits, fine) per row; an empty set has n 0 and set_id null."""
+    """Written: (doc_id, set_id, n, prefix, bits) per row; an empty set has n 0 and set_id null."""
     hashes, counts = frequent_shingles(documents, size)
     known = documents.sparkSession.sparkContext.broadcast((hashes, counts))
-    names = ["doc_id", "set_id", "n", "prefix", "bits", "fine"]
+    names = ["doc_id", "set_id", "n", "prefix", "bits"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, times = known.value
         for batch in batches:
-            ids, sizes, prefixes, bits, fine = [], [], [], [], []
+            ids, sizes, prefixes, bits = [], [], [], []
             for body in batch.column(1):
                 s = shingle_set(body.as_buffer() if body.is_valid else b"", size)
                 n = len(s)
@@ -136,7 +135,6 @@ def signatures(documents: DataFrame, percent: int, size: int) -> DataFrame:
                     ids.append(None)
                     prefixes.append(None)
                     bits.append(None)
-                    fine.append(None)
                     continue
                 ids.append(set_id(s))
                 first = n - -(-percent * n // 100) + 1
@@ -148,14 +146,12 @@ def signatures(documents: DataFrame, percent: int, size: int) -> DataFrame:
                     if count.any():
                         order = s[np.lexsort((s, count))]
                 prefixes.append(order[:first].view(np.int64))
-                fine.append(bitmap(s, FINE_BITS))
-                bits.append(folded(fine[-1], len(fine[-1]) * SENT_BITS // FINE_BITS or 1).tobytes())
-                fine[-1] = fine[-1].tobytes()
-            columns = [batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(fine, pa.binary())]
+                bits.append(bitmap(s, SENT_BITS).tobytes())
+            columns = [batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = documents.select("doc_id", "_body")
-    return written(rows.mapInArrow(sign, "doc_id long, set_id long, n long, prefix array<long>, bits binary, fine binary"), "signatures")
+    return written(rows.mapInArrow(sign, "doc_id long, set_id long, n long, prefix array<long>, bits binary"), "signatures")
 
 
 def blocks(signed: DataFrame) -> DataFrame:
@@ -354,10 +350,10 @@ def by_part(rows: DataFrame, work: Callable[[pa.Table], tuple], names: list[str]
     return dealt.mapInArrow(run, ddl)
 
 
-def sketched(rows: DataFrame, signed: DataFrame, bits: str) -> DataFrame:
+def sketched(rows: DataFrame, signed: DataFrame) -> DataFrame:
     """rows (block, i, j, side, id) with n and a bitmap of each set."""
     ids = rows.select("id").distinct()
-    sketch = signed.where("n > 0").select(F.col("set_id").alias("id"), "n", F.col(bits).alias("bits")).join(ids, "id", "left_semi")
+    sketch = signed.where("n > 0").select(F.col("set_id").alias("id"), "n", "bits").join(ids, "id", "left_semi")
     return rows.join(sketch.dropDuplicates(["id"]), "id").select("block", "i", "j", "side", "id", "n", "bits")
 
 
@@ -373,21 +369,8 @@ def _groups(group: pa.Table, percent: int) -> tuple[Tree, np.ndarray]:
     return tree, root
 
 
-def survivors(members: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Written: the rows of members, by part, that may have a partner there."""
-    names = ["block", "i", "j", "side", "id"]
-
-    def prune(group: pa.Table) -> tuple:
-        tree, root = _groups(group, percent)
-        kept = tree.order[np.bincount(root, minlength=len(root))[root] > 1]
-        return tuple(group[c].to_numpy()[kept].astype(np.int64) for c in names)
-
-    rows = sketched(parted(members, signed, percent), signed, "bits")
-    return written(by_part(rows, prune, names, ", ".join(f"{n} long" for n in names)), "survivors")
-
-
-def may_be_linked(left: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Written: (id, other): members that finer bitmaps leave, each with one other of its group in a part."""
+def may_be_linked(members: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Written: (id, other): members that may have a partner in a part, each with one other of its group there."""
 
     def pair(group: pa.Table) -> tuple:
         tree, root = _groups(group, percent)
@@ -395,8 +378,8 @@ def may_be_linked(left: DataFrame, signed: DataFrame, percent: int) -> DataFrame
         ids = group["id"].to_numpy()[tree.order]
         return ids[alive], ids[root[alive]]
 
-    found = by_part(sketched(left, signed, "fine"), pair, ["id", "other"], "id long, other long")
-    return written(found.where("id <> other").distinct(), "maybe")
+    rows = sketched(parted(members, signed, percent), signed)
+    return written(by_part(rows, pair, ["id", "other"], "id long, other long").where("id <> other").distinct(), "maybe")
 
 
 def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -543,9 +526,7 @@ def jaccard_components(documents: DataFrame, *, text: str = "text", percent: int
     spark = documents.sparkSession
     members = blocks(signed)
     release(spark)
-    left = survivors(members, signed, percent)
-    release(spark)
-    wanted = families(may_be_linked(left, signed, percent), signed)
+    wanted = families(may_be_linked(members, signed, percent), signed)
     release(spark)
     sets = needed_sets(docs, signed, wanted, size)
     release(spark)
