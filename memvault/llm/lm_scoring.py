@@ -36,14 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from memvault.llm.common import drop, parallelism, release, written
+from memvault.llm.common import drop, parallelism, written
 from memvault.llm.shingles import batch_words, mix
 
 #: Occurrences that an n-gram of two or three words needs; the same for every corpus.
 LEAST = 2
 DISCOUNT = 0.75
 #: Tokens of a block, and n-grams of a part, about.
-BLOCK, PART = 2_000_000, 2_000_000
+BLOCK, PART = 1_000_000, 1_000_000
 END = np.array([0x9E3779B97F4A7C15], dtype=np.uint64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Tokens of context that a state holds.
@@ -365,19 +365,16 @@ def score(documents: DataFrame, *, text: str = "text") -> DataFrame:
     tokens = made.agg(F.sum("n")).first()[0] or 0
     parts = max(parallelism(spark), -(-tokens // PART))
     mask = written(asked(made, _ask_whether(parts)).groupBy("part").applyInArrow(_tell_whether, _GIVEN), "lm-mask")
-    release(spark)
     fields = StructType([*made.schema.fields, StructField("passes", BinaryType())])
     masked = written(made.groupBy("block").cogroup(mask.groupBy("block")).applyInArrow(_with_passes, fields), "lm-masked")
     for table in (made, mask):
         drop(table)
-    release(spark)
     given: dict[int, DataFrame] = {}
     kept = spark.createDataFrame([], _GIVEN)
     for k in (3, 2, 1):
         told = asked(masked, _ask(k, parts)).groupBy("part").cogroup(kept.groupBy("part")).applyInArrow(_tell(k, parts), _GIVEN)
         given[k] = written(told, f"lm-order{k}")
         kept = given[k].where(F.col("kind") == _KEPT)
-        release(spark)
     sums = given[1].where(F.col("kind") == _TOTAL).select("a").collect()  # two numbers a part
     n, v = (int(x) for x in sum((np.frombuffer(r["a"], "<i8") for r in sums), np.zeros(2, np.int64)))
     answers = [rows.where(F.col("kind") == _ANSWER).select(F.lit(k).alias("k"), "block", "part", "a", "b", "c") for k, rows in given.items()]
@@ -386,7 +383,6 @@ def score(documents: DataFrame, *, text: str = "text") -> DataFrame:
     rows = written(masked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_read(n, v), ddl), "lm-rows")
     for table in (masked, *given.values()):
         drop(table)
-    release(spark)
     cut = rows.where("pieces > 1").groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score"))
     )
