@@ -251,8 +251,12 @@ SELECT subcommand, max(duration_ms) FILTER (r = least(floor(n * 0.5), n - 1)) AS
 SELECT * FROM links WHERE weight = 1 OR (source_id IN (FROM acc) AND target_id IN (FROM acc))""",
     "hash_embedding": f"{MEM} SELECT id, 384 AS dims, 1.0::DOUBLE AS norm FROM mem",
     "card_texts": f"{MEM} SELECT id, md5({_CARD}) AS card_md5 FROM mem",
-    "import_json": f"""SELECT CAST(event_id AS VARCHAR) AS path, CAST(event_id AS VARCHAR) AS id, coalesce({_lenient_case('lower(event_type)')}, 'decision') AS category,
-  'we decided on ' || event_type AS title, 'we decided on ' || event_type AS content, CASE WHEN {_lenient_case('lower(event_type)')} IS NULL THEN lower(event_type) ELSE '' END AS tags FROM events""",
+    "import_json": f"""WITH e AS (SELECT CAST(event_id AS VARCHAR) AS id, event_type AS kind, event_id % 4 AS turn, 'we decided on ' || event_type AS said FROM events)
+SELECT id AS path, id,
+  CASE turn WHEN 0 THEN coalesce({_lenient_case('lower(kind)')}, 'decision') WHEN 3 THEN 'relationship' ELSE 'decision' END AS category,
+  CASE turn WHEN 1 THEN 'S ' || kind WHEN 2 THEN said || '; twice' WHEN 3 THEN kind || ' -> Y' ELSE said END AS title,
+  CASE turn WHEN 2 THEN said || '; twice' WHEN 3 THEN kind || ' leads to Y' ELSE said END AS content,
+  CASE turn WHEN 1 THEN 'a,' || kind WHEN 2 THEN lower(kind) ELSE '' END AS tags FROM e""",
     "export_markdown": f"{MEM} SELECT category, CAST(list_position({_list(CATEGORIES)}, category) AS INTEGER) AS place, count(*) AS blocks FROM mem WHERE status = 'active' GROUP BY category",
     "export_json_roundtrip": f"{MEM} SELECT id, category, trim(title, {_BLANKS}) AS title, md5(trim(content, {_BLANKS})) AS content_md5, lang || ',' || source AS tags FROM mem",
 }

@@ -354,7 +354,16 @@ def card_texts(spark, sf):
 def import_json(spark, sf):
     """Events as foreign JSON lines."""
     events = corpus.table(spark, sf, "events")
-    line = F.to_json(F.struct(F.col("event_id").cast("string").alias("uuid"), F.col("event_type").alias("type"), F.struct(F.concat(F.lit("we decided on "), "event_type").alias("body")).alias("payload")))
+    ident, kind = F.col("event_id").cast("string"), F.col("event_type")
+    said = F.concat(F.lit("we decided on "), kind)
+    shapes = (
+        F.struct(ident.alias("uuid"), kind.alias("type"), F.struct(said.alias("body")).alias("payload")),
+        F.struct(ident.alias("_id"), F.concat(F.lit("S "), kind).alias("summary"), said.alias("value"), F.lit("shadowed").alias("message"), F.concat(F.lit("a, "), kind).alias("categories")),
+        F.struct(ident.alias("id"), F.upper(kind).alias("entityType"), F.array(said, F.lit(" twice ")).alias("observations")),
+        F.struct(ident.alias("memory_id"), kind.alias("from"), F.lit("leads to").alias("relation_type"), F.lit("Y").alias("to")),
+    )
+    turn = F.pmod("event_id", F.lit(4))
+    line = F.coalesce(*(F.when(turn == k, F.to_json(shape)) for k, shape in enumerate(shapes)))
     files = events.select(F.col("event_id").cast("string").alias("path"), line.alias("text"))
     return importers.json_candidates(importers.json_objects(files)).select("path", "id", "category", "title", "content", F.array_join("tags", ",").alias("tags"))
 

@@ -6,16 +6,26 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memvault.functions import rules
-from memvault.functions.text import tag_list, title_of, trim
-
-# fixed values: keys under which others keep contents, titles, categories, tags, ids; wrappers; nested objects
-CONTENT_KEYS = ("content", "memory", "text", "body", "observation", "value", "description", "message")
-TITLE_KEYS = ("title", "name", "subject", "heading")
-CATEGORY_KEYS = ("category", "type", "entityType", "kind")
-TAG_KEYS = ("tags", "labels", "keywords")
-ID_KEYS = ("id", "uuid", "memory_id")
+from memvault.functions.text import title_of, trim
+
+# fixed values: keys under which others keep contents, titles, categories, tags, ids and more, the first one first
+CONTENT_KEYS = ("content", "memory", "text", "value", "document", "body", "message", "data", "statement")
+TITLE_KEYS = ("title", "name", "summary", "heading", "subject")
+CATEGORY_KEYS = ("category", "memory_type", "type", "kind", "type_name")
+ENTITY_KEYS = ("entityType", "entity_type")
+RELATION_KEYS = ("relationType", "relation_type")
+TAG_KEYS = ("tags", "labels", "keywords", "categories")
+ID_KEYS = ("id", "memory_id", "uuid", "_id")
+PROVENANCE_KEYS = ("provenance", "source")
+CREATED_KEYS = ("created_at", "timestamp", "date", "created")
+CONFIDENCE_KEYS = ("confidence", "score", "weight")
+# fixed values: keys whose strings are never taken as a content for want of another
+NO_CONTENT = (*ID_KEYS, *TITLE_KEYS, *CATEGORY_KEYS, *ENTITY_KEYS, *RELATION_KEYS, *PROVENANCE_KEYS, *CREATED_KEYS)
+# fixed values: keys that wrap an array of records; nested objects that are searched too
 WRAPPERS = ("memories", "data", "items", "results", "documents", "records", "messages")
 NESTED = ("metadata", "payload", "meta", "attributes", "info")
+#: Bytes up to which another string of an object becomes a tag.
+TAG_BYTES = 32
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -30,54 +40,99 @@ def json_objects(files: DataFrame) -> DataFrame:
     text = trim(F.col("text"))
     parsed = files.select("path", text.alias("text"), F.try_parse_json(text).alias("whole"))
     whole, array = F.col("whole"), "array<variant>"
-    tries = [F.try_variant_get(whole, "$", array)]
-    tries += [F.try_variant_get(whole, f"$.{w}", array) for w in WRAPPERS]
     entities, relations = F.try_variant_get(whole, "$.entities", array), F.try_variant_get(whole, "$.relations", array)
     none = F.array().cast(array)
-    both = F.concat(F.coalesce(entities, none), F.coalesce(relations, none))
-    tries.append(F.when(F.size(both) > 0, both))
+    graph = F.when(entities.isNotNull() | relations.isNotNull(), F.concat(F.coalesce(entities, none), F.coalesce(relations, none)))
+    tries = [F.try_variant_get(whole, "$", array), graph, *(F.try_variant_get(whole, f"$.{w}", array) for w in WRAPPERS)]
     tries.append(F.when(whole.isNotNull() & F.col("text").startswith("{"), F.array(whole)))
-    lines = F.transform(F.filter(F.split("text", r"\r?\n"), lambda x: trim(x).startswith("{")), lambda x: F.parse_json(x))
-    # the parser stops after a first object, so several on lines of their own are told apart by their braces
-    by_line = whole.isNull() | F.col("text").rlike(r"(?s)^\{.*\}\s*\n\s*\{")
+    wrong = lambda i: F.raise_error(F.concat(F.lit("Invalid JSON at line "), (i + 1).cast("string"), F.lit(" of "), F.col("path"))).cast("variant")
+    read = lambda x, i: F.when(trim(x) != "", F.coalesce(F.try_parse_json(x), wrong(i)))
+    lines = F.filter(F.transform(F.split("text", r"\r?\n"), read), lambda v: v.isNotNull())
+    # the parser stops after a first object, so objects on lines of their own are told by the first line
+    first = F.substring_index("text", "\n", 1)
+    by_line = whole.isNull() | (first.startswith("{") & F.try_parse_json(first).isNotNull() & (first != F.col("text")))
     found = F.when(by_line, lines).otherwise(F.coalesce(*tries))
     return parsed.select("path", F.posexplode(found).alias("place", "object"))
 
 
+def _text(obj: Column, path: str) -> Column:
+    """The filled string, number or boolean at a path; null if there is none."""
+    plain = ~F.schema_of_variant(F.try_variant_get(obj, path, "variant")).rlike("^(OBJECT|ARRAY)")
+    return F.when(plain, F.nullif(trim(F.try_variant_get(obj, path, "string")), F.lit("")))
+
+
 def _field(obj: Column, keys: tuple[str, ...]) -> Column:
-    """The first of keys that holds a filled string or a number, here or in a nested object."""
-    places = [f"$.{k}" for k in keys] + [f"$.{n}.{k}" for n in NESTED for k in keys]
-    return F.coalesce(*[F.nullif(trim(F.try_variant_get(obj, p, "string")), F.lit("")) for p in places])
+    """The first of keys that holds a filled string, a number or a boolean, here or in a nested object."""
+    return F.coalesce(*[_text(obj, f"$.{k}") for k in keys], *[_text(obj, f"$.{n}.{k}") for n in NESTED for k in keys])
+
+
+def _strings(obj: Column, path: str) -> Column:
+    """The strings of the array at a path; null if there is none."""
+    listed = F.filter(F.try_variant_get(obj, path, "array<variant>"), lambda v: F.schema_of_variant(v) == "STRING")
+    return F.transform(listed, lambda v: F.variant_get(v, "$", "string"))
+
+
+def _tags(obj: Column, path: str) -> Column:
+    """The strings of an array, or the parts of a string; empty if there is neither."""
+    is_text = F.schema_of_variant(F.try_variant_get(obj, path, "variant")) == "STRING"
+    parts = F.filter(F.transform(F.split(F.try_variant_get(obj, path, "string"), ","), trim), lambda x: x != "")
+    return F.coalesce(_strings(obj, path), F.when(is_text, parts), F.array().cast("array<string>"))
+
+
+def _longest(obj: Column) -> Column:
+    """(content, tags): the longest string of an object under no key of NO_CONTENT, the first one of equals; others that are short."""
+    entries = F.map_entries(F.try_variant_get(obj, "$", "map<string, variant>"))
+    own = F.filter(entries, lambda e: ~e["key"].isin(*NO_CONTENT) & (F.schema_of_variant(e["value"]) == "STRING"))
+    named = F.transform(own, lambda e: F.struct(e["key"].alias("key"), trim(F.variant_get(e["value"], "$", "string")).alias("v")))
+    filled = F.array_sort(F.filter(named, lambda e: e["v"] != ""))
+    best = F.array_max(F.transform(filled, lambda e, i: F.struct(F.octet_length(e["v"]).alias("n"), (-i).alias("i"))))
+    short = F.filter(filled, lambda e, i: (i != -best["i"]) & (F.octet_length(e["v"]) <= TAG_BYTES))
+    return F.struct(F.get(filled, -best["i"])["v"].alias("content"), F.transform(short, lambda e: F.lower(e["v"])).alias("tags"))
 
 
 def json_candidates(objects: DataFrame) -> DataFrame:
-    """(path, place, id, category, title, content, tags): objects as records; those without any text are dropped."""
-    obj = F.col("object")
-    get = lambda path, kind: F.try_variant_get(obj, path, kind)
-    values = F.filter(F.map_values(get("$", "map<string, string>")), lambda v: v.isNotNull())
-    longest = F.array_max(F.transform(values, lambda v: F.struct(F.char_length(v).alias("n"), v.alias("v"))))["v"]
-    fields = objects.select(
+    """(path, place, id, category, title, content, tags, confidence, provenance, created_at) of objects that hold any text.
+
+    A content is the first filled of its keys, else the observations, else what a relation says, else the longest other string.
+    created_at is null unless it is a time with its offset.
+    """
+    obj, blank = F.col("object"), F.array().cast("array<string>")
+    observed = F.filter(F.transform(_strings(obj, "$.observations"), trim), lambda x: x != "")
+    start, end, relation = _field(obj, ("from",)), _field(obj, ("to",)), _field(obj, RELATION_KEYS)
+    found = objects.select(
         "path",
         "place",
         _field(obj, ID_KEYS).alias("id"),
         _field(obj, TITLE_KEYS).alias("t"),
         _field(obj, CATEGORY_KEYS).alias("kind"),
-        _field(obj, TAG_KEYS).alias("raw"),
-        F.coalesce(*[get(f"$.{k}", "array<string>") for k in TAG_KEYS]).alias("listed"),
-        F.coalesce(
-            _field(obj, CONTENT_KEYS),
-            F.array_join(get("$.observations", "array<string>"), "; "),
-            F.concat(get("$.from", "string"), F.lit(" -> "), get("$.to", "string")),
-            longest,
-        ).alias("content"),
-        (get("$.from", "string").isNotNull() & get("$.to", "string").isNotNull()).alias("relates"),
-    ).where("content is not null")
-    named = fields.withColumn("named", rules.lenient_category(F.col("kind")))
-    kind = F.when(F.col("named").isNull() & F.col("kind").isNotNull(), F.array(F.lower("kind")))
-    tags = F.coalesce("listed", F.when(F.col("raw").isNotNull(), tag_list(F.col("raw"))), kind, F.array().cast("array<string>"))
-    category = F.coalesce("named", F.when(F.col("relates"), "relationship"), rules.category_of(F.col("content")))
-    title = F.coalesce("t", title_of(F.col("content")))
-    return named.select("path", "place", "id", category.alias("category"), title.alias("title"), "content", tags.alias("tags"))
+        _field(obj, CONTENT_KEYS).alias("plain"),
+        F.when(F.size(observed) > 0, F.array_join(observed, "; ")).alias("observed"),
+        F.lower(_field(obj, ENTITY_KEYS)).alias("entity"),
+        F.concat(start, F.lit(" "), relation, F.lit(" "), end).alias("related"),
+        F.concat(start, F.lit(" -> "), end).alias("ends"),
+        _longest(obj).alias("longest"),
+        F.concat(*[_tags(obj, f"$.{k}") for k in TAG_KEYS]).alias("tags"),
+        _tags(obj, "$.metadata.tags").alias("more_tags"),
+        F.coalesce(_field(obj, CONFIDENCE_KEYS).try_cast("double"), F.lit(0.9)).alias("confidence"),
+        F.coalesce(_field(obj, PROVENANCE_KEYS), F.lit("imported")).alias("provenance"),
+        _field(obj, CREATED_KEYS).alias("made"),
+    )
+    by_observation, by_relation = F.col("plain").isNull() & F.col("observed").isNotNull(), F.coalesce("plain", "observed").isNull() & F.col("related").isNotNull()
+    content = F.coalesce("plain", "observed", "related", "longest.content")
+    guessed = F.when(by_observation & F.col("entity").isNotNull(), F.array("entity")).when(F.coalesce("plain", "observed", "related").isNull(), F.col("longest.tags")).otherwise(blank)
+    made = F.when(F.col("made").rlike(r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"), F.col("made").try_cast("timestamp"))
+    return found.where(content.isNotNull()).select(
+        "path",
+        "place",
+        "id",
+        F.coalesce(rules.lenient_category(F.col("kind")), F.when(by_relation, "relationship"), rules.category_of(content)).alias("category"),
+        F.coalesce("t", F.when(by_relation, F.col("ends")), title_of(content)).alias("title"),
+        content.alias("content"),
+        F.when(F.size("tags") > 0, F.col("tags")).when(F.size("more_tags") > 0, F.col("more_tags")).otherwise(guessed).alias("tags"),
+        "confidence",
+        "provenance",
+        made.alias("created_at"),
+    )
 
 
 def json_links(objects: DataFrame) -> DataFrame:
