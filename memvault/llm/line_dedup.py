@@ -53,8 +53,9 @@ def line_keys(documents: DataFrame, *, text: str = "text", min_chars: int = 20)
                 hashes += found
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary())], schema=schema)
 
-    rows = documents.where(F.col("doc_id").isNotNull() & F.col(text).isNotNull())
-    return rows.select("doc_id", F.col(text).cast("binary").alias("b")).mapInArrow(keys, "doc_id long, h binary")
+    body = F.col(f"`{text}`")
+    rows = documents.where(F.col("doc_id").isNotNull() & body.isNotNull())
+    return rows.select("doc_id", body.cast("binary").alias("b")).mapInArrow(keys, "doc_id long, h binary")
 
 
 class LineRuns:

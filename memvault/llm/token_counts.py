@@ -30,6 +30,10 @@ FREQUENT, LONGEST = 32_768, 48
 TRACKED, SKETCHES = 65_536, 64
 
 
+#: Characters of a part that a cache holds at most; so a cache of KEPT_PARTS parts has bounded bytes.
+KEPT_LENGTH = 128
+
+
 def frequent_parts(documents: DataFrame, text: str = "text") -> list[str]:
     """About the most frequent parts of all texts, by sketches of bounded size."""
     part = F.explode(F.split(F.col(f"`{text}`"), "[ \n]+")).alias("part")
@@ -63,6 +67,10 @@ def count_tokens(text: str, path: str, frequent: dict[str, int]) -> int:
         found = list(map(frequent.get, parts))
         if None in found:
             rest = [p for p, n in zip(parts, found, strict=True) if n is None]
+            long = [p for p in rest if len(p) > KEPT_LENGTH]
+            if long:
+                total += sum(lengths(path, long))
+                rest = [p for p in rest if len(p) <= KEPT_LENGTH]
             new = list(set(rest).difference(missed))
             if new:
                 if len(missed) > tokens.KEPT_PARTS:

@@ -78,9 +78,9 @@ def path(url: Column) -> Column:
 
 
 def candidate_keys(host_: Column, path_: Column, rules: Rules) -> Column:
-    """The keys that could be a rule for this host and path, the longest first."""
+    """The keys that could be a rule for this host and path, the longest first; of equally long ones that with the longer host."""
     found = []
-    for k in rules.labels:
+    for k in sorted(rules.labels, reverse=True):  # the sort below is stable
         has = (F.size(F.split(host_, r"\.")) >= k) & (host_ != "")
         for n in rules.lengths:
             fits = has & (F.char_length(path_) >= n)
@@ -167,21 +167,25 @@ def cascade(listed: DataFrame, universe: DataFrame) -> list[Level]:
 
 
 def judge(pages: DataFrame, rules: Rules, *, url: str = "url", default: str = "allow") -> DataFrame:
-    """pages with host, path, rule and verdict."""
+    """pages with host, path, rule and verdict.
+
+    Columns of pages with one of these names are replaced; names that begin with two underscores
+    are kept for the operator. A null url, or one without ://, has an empty host and path and fits no rule.
+    """
     session = pages.sparkSession
     link = F.col(f"`{url}`")
-    parsed = pages.withColumn("host", host(link)).withColumn("path", path(link))
-    keyed = parsed.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), rules))
-    universe = keyed.select(F.explode("_keys").alias("key"))
+    parsed = pages.withColumns({"__host": host(link), "__path": path(link)}).drop("host", "path", "rule", "verdict").withColumnsRenamed({"__host": "host", "__path": "path"})
+    keyed = parsed.withColumn("__keys", candidate_keys(F.col("host"), F.col("path"), rules))
+    universe = keyed.select(F.explode("__keys").alias("key"))
     hashed = lambda df: df.select("key", F.xxhash64("key").alias("a"), F.xxhash64(F.lit("second"), F.col("key")).alias("b"))
     found = keyed
-    for name, keys in (("_allow", rules.allow), ("_block", rules.block)):
+    for name, keys in (("__allow", rules.allow), ("__block", rules.block)):
         listed = hashed(session.createDataFrame([(k,) for k in keys], "key string"))
         levels = cascade(listed, hashed(universe))
-        found = found.withColumn(name, member(levels, _hashes(F.col("_keys")), session))
+        found = found.withColumn(name, member(levels, _hashes(F.col("__keys")), session))
     hits = F.filter(
-        F.arrays_zip("_keys", "_allow", "_block"), lambda x: F.coalesce(x["_allow"], F.lit(False)) | F.coalesce(x["_block"], F.lit(False))
+        F.arrays_zip("__keys", "__allow", "__block"), lambda x: F.coalesce(x["__allow"], F.lit(False)) | F.coalesce(x["__block"], F.lit(False))
     )
     best = F.get(hits, F.lit(0))
-    verdict = F.when(best.isNull(), F.lit(default)).when(best["_allow"], F.lit("allow")).otherwise(F.lit("block"))
-    return found.select(*parsed.columns, best["_keys"].alias("rule"), verdict.alias("verdict"))
+    verdict = F.when(best.isNull(), F.lit(default)).when(best["__allow"], F.lit("allow")).otherwise(F.lit("block"))
+    return found.select(*parsed.columns, best["__keys"].alias("rule"), verdict.alias("verdict"))

@@ -224,6 +224,20 @@ def test_url_filter(spark):
     assert url_filter.judge(got.limit(0).select("page_id", F.lit("").alias("url")), queries.URL_RULES).count() == 0
 
 
+def test_url_ties_and_clashing_names(spark):
+    rules = url_filter.Rules(allow=("org/bcd",), block=("a.org/b",))
+    pages = spark.createDataFrame([(1, "http://a.org/bcdef"), (2, "http://org/bcdef"), (2, "http://org/bcdef"), (None, None)], "page_id long, url string")
+    extra = {c: F.lit("x") for c in ("host", "path", "rule", "verdict", "key", "a", "b", "_keys", "_allow")}
+    got = url_filter.judge(pages.withColumns(extra), rules).orderBy("page_id").collect()
+    assert [(r["host"], r["rule"], r["verdict"], r["_keys"]) for r in got] == [("", None, "allow", "x"), ("a.org", "a.org/b", "block", "x"), *[("org", "org/bcd", "allow", "x")] * 2]
+
+
+def test_line_dedup_of_a_dotted_column(spark):
+    rows = spark.createDataFrame([(i, LINE + f"\nrest {i}") for i in range(3)], "doc_id long, `my.text` string")
+    got = {r["doc_id"]: r["my.text"] for r in line_dedup.dedup_lines(rows, text="my.text").collect()}
+    assert got == {0: "rest 0", 1: "rest 1", 2: LINE + "\nrest 2"}
+
+
 def test_cascade_is_exact_over_its_universe(spark, monkeypatch):
     """A first level that is far too small, so that several levels are needed."""
     monkeypatch.setattr(url_filter, "MAX_BITS", 256)
