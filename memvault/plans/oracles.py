@@ -218,7 +218,7 @@ SELECT id, CAST(len(t) AS INTEGER) AS n_tokens, CAST(len(list_filter(t, lambda w
     "graph_related": f"""WITH RECURSIVE {MEM.removeprefix('WITH ')}, {LINKS}, ok AS (
   SELECT l.* FROM links l JOIN mem a ON a.id = source_id AND a.status = 'active' JOIN mem b ON b.id = target_id AND b.status = 'active'),
 e AS (SELECT source_id AS x, target_id AS y FROM ok UNION SELECT target_id, source_id FROM ok),
-walk(start, id, d) AS (SELECT id, id, 0 FROM mem WHERE doc_id % 100 = 1 AND status = 'active'
+walk(start, id, d) AS (SELECT id, id, 0 FROM mem WHERE doc_id % 100 = 0 AND status = 'active'
   UNION SELECT start, y, d + 1 FROM walk JOIN e ON x = walk.id WHERE d < 3)
 SELECT start, id, min(d) AS distance FROM walk GROUP BY start, id HAVING min(d) > 0""",
     "graph_snapshot": f"{_ACTIVE_EDGES} SELECT * FROM ok",
