@@ -52,8 +52,16 @@ def pruned(history: DataFrame, keep: int = KEPT) -> DataFrame:
 
 
 def latency(history: DataFrame) -> DataFrame:
-    """p50, p95 and p99 of each command's duration, by sorted place, with no interpolation."""
+    """p50, p95 and p99 of each command's duration, by sorted place, with no interpolation.
+
+    Durations are counted first, so a command's window holds its different durations, not its rows.
+    """
+    counts = history.groupBy("subcommand", "duration_ms").agg(F.count("*").alias("_c"))
     by = Window.partitionBy("subcommand")
-    ranked = history.withColumn("_n", F.count("*").over(by)).withColumn("_r", F.row_number().over(by.orderBy("duration_ms", "id")) - 1)
-    at = lambda p: F.max(F.when(F.col("_r") == F.least(F.floor(F.col("_n") * p), F.col("_n") - 1), F.col("duration_ms")))
-    return ranked.groupBy("subcommand").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    placed = counts.withColumn("_n", F.sum("_c").over(by)).withColumn("_end", F.sum("_c").over(by.orderBy("duration_ms")))
+
+    def at(p: float) -> Column:
+        place = F.least(F.floor(F.col("_n") * p), F.col("_n") - 1)
+        return F.max(F.when((F.col("_end") - F.col("_c") <= place) & (place < F.col("_end")), F.col("duration_ms")))
+
+    return placed.groupBy("subcommand").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
