@@ -85,6 +85,34 @@ def rehomed(links: DataFrame, mapping: DataFrame) -> DataFrame:
     return moved.where("source_id <> target_id").groupBy("source_id", "target_id", "relation").agg(F.max("weight").alias("weight"))
 
 
+def rehomed_children(children: DataFrame, mapping: DataFrame, key: list[str]) -> DataFrame:
+    """Attachments (key: sha256) or entities (key: name and value) moved from id to primary_id, once per record and key."""
+    to = mapping.select(F.col("id").alias("memory_id"), F.col("primary_id").alias("_p"))
+    moved = children.join(to, "memory_id", "left").withColumn("memory_id", F.coalesce("_p", "memory_id")).drop("_p")
+    return moved.dropDuplicates(["memory_id", *key])
+
+
+def batch_files(files: DataFrame, held: DataFrame) -> DataFrame:
+    """(memory_id, sha256, filename, media_kind, copies, known): the files of a batch, once per record and content.
+
+    The least file name stays; copies counts the files that were one; known says that the vault has the content already.
+    """
+    one = files.groupBy("memory_id", "sha256").agg(F.min(F.struct("filename", "media_kind")).alias("f"), F.count("*").alias("copies"))
+    have = held.select("sha256").distinct().withColumn("known", F.lit(True))
+    return one.join(have, "sha256", "left").select("memory_id", "sha256", "f.filename", "f.media_kind", "copies", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def file_tags(memories: DataFrame, files: DataFrame) -> DataFrame:
+    """memories with the kinds and extensions of their files as tags, each once in any case, after the tags that they have."""
+    extension = F.lower(F.regexp_extract("filename", r"[^.]\.([^./\\]+)$", 1))
+    listed = files.select(F.col("memory_id").alias("id"), F.explode(F.array("media_kind", extension)).alias("_t")).where("_t <> ''")
+    # a record's distinct kinds and extensions
+    added = listed.groupBy("id").agg(F.array_sort(F.collect_set("_t")).alias("_more"))
+    low = F.transform("tags", lambda t: F.lower(t))
+    more = F.filter(F.coalesce("_more", F.array().cast("array<string>")), lambda t: ~F.array_contains(low, F.lower(t)))
+    return memories.join(added, "id", "left").withColumn("tags", F.concat("tags", more)).drop("_more")
+
+
 def merge_vaults(target: DataFrame, source: DataFrame, replace: bool) -> tuple[DataFrame, DataFrame]:
     """(records, accepted ids): source rows whose id is new, or all of them if replace."""
     accepted = source if replace else source.join(target.select("id"), "id", "left_anti")

@@ -88,6 +88,23 @@ def by_id_or_title(memories: DataFrame, key: str) -> DataFrame:
     return _best(memories.withColumn("_rank", rank).where("_rank is not null"), 2)
 
 
+def by_ids(memories: DataFrame, ids: DataFrame) -> DataFrame:
+    """The records whose id is among ids, once each."""
+    return memories.join(ids.select("id"), "id", "left_semi")
+
+
+def for_restore(memories: DataFrame, key: str) -> DataFrame:
+    """The record to restore, archived ones too: by id, id prefix or whole title. A blank key finds none; several records fail."""
+    clean = key.strip()
+    if not clean:
+        return memories.limit(0)
+    rank = F.when(F.col("id") == clean, 0).when(F.col("id").startswith(clean), 1).when(F.lower("title") == clean.lower(), 2)
+    found = _best(memories.withColumn("_rank", rank).where("_rank is not null"), 2)
+    several = found.agg(F.count("*").alias("_several"))
+    one = F.when(F.col("_several") > 1, F.raise_error(F.lit(f"several records match {clean!r}; name a whole id"))).otherwise(True)
+    return found.join(F.broadcast(several)).where(one).drop("_several")  # one row
+
+
 def _best(ranked: DataFrame, n: int) -> DataFrame:
     """Of the rows of the least rank, the first n by id; one pass finds them."""
     found = ranked.orderBy("_rank", "id").limit(n)

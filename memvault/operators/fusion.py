@@ -34,6 +34,14 @@ class Request:
     day: str | None = None
     min_similarity: float | None = None
 
+    def __post_init__(self) -> None:
+        if not self.query.strip():
+            raise ValueError("a query can't be blank")
+        if self.min_similarity is not None and not 0 <= self.min_similarity <= 1:
+            raise ValueError("min_similarity lies between 0 and 1")
+        if self.limit < 0:
+            raise ValueError("limit can't be negative")
+
     @property
     def bare_acronym(self) -> bool:
         word = self.query.strip().lower()
@@ -111,8 +119,11 @@ def recall(memories: DataFrame, vecs: DataFrame, request: Request) -> DataFrame:
     return rows.select("id", "category", "title", "score", "bm25_rank", "vector_rank", "similarity").orderBy(F.col("score").desc(), "id").limit(request.limit)
 
 
-def expanded(hits: DataFrame, memories: DataFrame, links: DataFrame, limit: int, category: str | None = None) -> DataFrame:
-    """(id, score) with the active neighbours of the three best hits, at 0.8 of their score."""
+def expanded(hits: DataFrame, memories: DataFrame, links: DataFrame, limit: int, category: str | None = None, as_of: str | None = None, day: str | None = None) -> DataFrame:
+    """(id, score) with the neighbours of the three best hits, at 0.8 of their score.
+
+    Neighbours are active now, under as_of too, and pass the request's category, as_of and day; min_similarity isn't asked again.
+    """
     best = hits.orderBy(F.col("score").desc(), "id").limit(3).select(F.col("id").alias("hit"), "score")
     edges = links.select(F.col("source_id").alias("hit"), F.col("target_id").alias("id")).unionByName(
         links.select(F.col("target_id").alias("hit"), F.col("source_id").alias("id"))
@@ -120,5 +131,28 @@ def expanded(hits: DataFrame, memories: DataFrame, links: DataFrame, limit: int,
     near = edges.join(F.broadcast(best), "hit").groupBy("id").agg(F.round(F.max("score") * 0.8, 6).alias("score"))  # three rows
     active = memories.where(F.col("status") == "active")
     active = active if category is None else active.where(F.col("category") == category)
+    active = active if as_of is None else active.where(filters.listed_as_of(as_of))
+    active = active if day is None else active.where(filters.on_day(day))
     near = active.select("id").join(near, "id").join(hits.select("id"), "id", "left_anti")
     return hits.select("id", "score").unionByName(near.select("id", "score")).orderBy(F.col("score").desc(), "id").limit(limit)
+
+
+def media_limit(limit: int) -> int:
+    """How many hits to fetch before a media filter."""
+    return max(limit, 100)
+
+
+def with_media(hits: DataFrame, files: DataFrame, kind: str, limit: int, part_of_mime: bool = False) -> DataFrame:
+    """The first hits that have a file of a kind or MIME type (part_of_mime: a type that contains it); any and all: with any file."""
+    k = kind.strip().lower()
+    mime = F.lower("mime_type")
+    fits = (F.lower("media_kind") == k) | (mime.contains(k) if part_of_mime else mime == k)
+    wanted = files if k in ("any", "all") else files.where(fits)
+    return hits.join(wanted.select(F.col("memory_id").alias("id")), "id", "left_semi").orderBy(F.col("score").desc(), "id").limit(limit)
+
+
+def selected_first(hits: DataFrame, selected: DataFrame) -> DataFrame:
+    """hits, with the record that an answer selected (one row with id) raised to score 1 and first."""
+    mark = selected.select("id", F.lit(True).alias("_sel")).limit(1)
+    rows = hits.join(F.broadcast(mark), "id", "left").withColumn("score", F.when(F.col("_sel"), 1.0).otherwise(F.col("score")))
+    return rows.orderBy(F.col("_sel").desc_nulls_last(), F.col("score").desc(), "id").drop("_sel")

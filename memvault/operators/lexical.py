@@ -12,9 +12,23 @@ K1, B = 1.2, 0.75
 FLOOR = 1e-6
 
 
+def file_texts(memories: DataFrame, attachments: DataFrame) -> DataFrame:
+    """memories with file_text, what the index knows of a record's files: name, kind, type, dimensions and hash, in order of name."""
+    line = F.concat_ws(" ", "filename", "media_kind", "mime_type", "dimensions", "sha256")
+    # a record's own file lines come together, never their bytes
+    listed = attachments.groupBy(F.col("memory_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(line)), " ").alias("file_text"))
+    return memories.join(listed, "id", "left")
+
+
+def indexed_text(memories: DataFrame) -> Column:
+    """Title, content, the text of files if memories have file_text, and tags."""
+    files = ["file_text"] if "file_text" in memories.columns else []
+    return F.concat_ws(" ", "title", "content", *files, F.array_join("tags", " "))
+
+
 def postings(memories: DataFrame) -> DataFrame:
     """(term, id, tf): the index as a table; write it partitioned by a hash of the term to serve many queries."""
-    words = F.explode(terms(F.concat_ws(" ", "title", "content"))).alias("term")
+    words = F.explode(terms(indexed_text(memories))).alias("term")
     return memories.select("id", words).groupBy("term", "id").agg(F.count("*").alias("tf"))
 
 
@@ -41,7 +55,7 @@ def scored(memories: DataFrame, query: str, eligible: Column | None = None) -> D
     phrases = lexical_query(query)
     if not phrases:
         return memories.select("id", F.lit(0.0).alias("bm25"), F.lit(0).alias("matched")).limit(0)
-    words = terms(F.concat_ws(" ", "title", "content"))
+    words = terms(indexed_text(memories))
     base = memories.select("id", (F.lit(True) if eligible is None else eligible).alias("_ok"), words.alias("_w"))
     tf = base.select("id", "_ok", F.size("_w").alias("dl"), *[_hits(F.col("_w"), p).alias(f"tf{i}") for i, p in enumerate(phrases)])
     cols = [F.col(f"tf{i}") for i in range(len(phrases))]

@@ -68,23 +68,24 @@ def _bm25(phrases: list[str], eligible: str = "status = 'active'") -> str:
     )
     least = 2 if 3 <= n <= 6 else n
     return f"""terms AS (
-  SELECT *, list_filter(regexp_split_to_array(lower(title || ' ' || content), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS w FROM mem),
+  SELECT *, list_filter(regexp_split_to_array(lower(title || ' ' || content || ' ' || lang || ' ' || source), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS w FROM mem),
 tf AS (SELECT id, ({eligible}) AS ok, len(w) AS dl, {tfs} FROM terms),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {dfs}, count(*) FILTER (ok AND {has} = {n}) AS whole FROM tf),
 bm AS (SELECT id, round({score}, 6) AS bm25 FROM tf, st WHERE ok AND {has} >= CASE WHEN whole > 0 THEN {n} ELSE {least} END)"""
 
 
-def _recall(eligible: str = "status = 'active'", min_similarity: float | None = None, extra: str = "") -> str:
+def _recall(eligible: str = "status = 'active'", min_similarity: float | None = None, extra: str = "", limit: int = 10) -> str:
     """Hybrid recall for HYBRID_QUERY, a query of two tokens that are too long for initials."""
     tokens = HYBRID_QUERY.split()
     gain = " + ".join(
         f"CASE WHEN list_contains(w, '{t}') OR len(list_filter(tags, lambda x: lower(x) = '{t}' OR starts_with(lower(x), '{t}-'))) > 0 THEN 0.06 ELSE 0 END" for t in tokens
     )
+    fetch = max(80, 6 * limit)
     floor = f"WHERE similarity >= {min_similarity}" if min_similarity is not None else ""
     return f"""{MEM}, {VEC}, {_bm25(tokens, eligible)},
-lex AS (SELECT id, row_number() OVER (ORDER BY bm25 DESC, id) AS bm25_rank FROM bm QUALIFY bm25_rank <= 80),
+lex AS (SELECT id, row_number() OVER (ORDER BY bm25 DESC, id) AS bm25_rank FROM bm QUALIFY bm25_rank <= {fetch}),
 cand AS (SELECT near.* FROM near JOIN mem USING (id) WHERE similarity > 0 AND ({eligible})),
-vlane AS (SELECT id, similarity, row_number() OVER (ORDER BY similarity DESC, id) AS vector_rank FROM cand QUALIFY vector_rank <= 80),
+vlane AS (SELECT id, similarity, row_number() OVER (ORDER BY similarity DESC, id) AS vector_rank FROM cand QUALIFY vector_rank <= {fetch}),
 lanes AS (SELECT coalesce(lex.id, vlane.id) AS id, bm25_rank, vector_rank, similarity FROM lex FULL JOIN vlane ON lex.id = vlane.id),
 fused AS (SELECT *, round(coalesce(1 / (60 + bm25_rank), 0) + coalesce(1 / (60 + vector_rank), 0), 9) AS rrf FROM lanes),
 one AS (
@@ -97,7 +98,7 @@ based AS (
     CASE WHEN gain >= 0.12 - 1e-5 OR bm25_rank IS NOT NULL OR vector_rank = 1 THEN gain ELSE 0.2 * gain END AS eff FROM boosted),
 hits AS (
   SELECT id, round(greatest(0, least(1, 0.85 * base + 0.15 * eff / 0.35)), 6) AS score, bm25_rank, vector_rank
-  FROM based ORDER BY score DESC, id LIMIT 10)
+  FROM based ORDER BY score DESC, id LIMIT {limit})
 {extra or 'SELECT * FROM hits'}"""
 
 
@@ -157,23 +158,31 @@ _VAULTS = f"""{MEM}, held AS (SELECT id, title FROM mem WHERE doc_id % 3 <> 0),
 other AS (SELECT id, 'new ' || title AS title FROM mem WHERE doc_id % 3 <> 1)"""
 _CARD = "'[' || upper(category) || '] ' || title || chr(10) || chr(10) || content || chr(10) || chr(10) || 'Tags: ' || lang || ', ' || source"
 
+_EXPANDED = f""", {LINKS}, best AS (SELECT id AS hit, score FROM hits ORDER BY score DESC, id LIMIT 3),
+edge AS (SELECT source_id AS hit, target_id AS id FROM links UNION ALL SELECT target_id, source_id FROM links),
+more AS (SELECT edge.id, round(max(score) * 0.8, 6) AS score FROM edge JOIN best USING (hit) JOIN mem ON mem.id = edge.id AND status = 'active' {{}}
+  WHERE edge.id NOT IN (SELECT id FROM hits) GROUP BY edge.id)
+SELECT * FROM (SELECT id, score FROM hits UNION ALL SELECT * FROM more) ORDER BY score DESC, id LIMIT 12"""
+_WITH_FILES = ", files AS (SELECT 'doc-' || lpad(CAST(page_id AS VARCHAR), 8, '0') AS memory_id FROM pages) SELECT id, score FROM hits WHERE id IN (SELECT memory_id FROM files) ORDER BY score DESC, id LIMIT 10"
+_KHOP = f"""WITH RECURSIVE {MEM.removeprefix('WITH ')}, {LINKS}, ok AS (
+  SELECT l.* FROM links l JOIN mem a ON a.id = source_id AND a.status = 'active' JOIN mem b ON b.id = target_id AND b.status = 'active'),
+e AS (SELECT source_id AS x, target_id AS y FROM ok UNION SELECT target_id, source_id FROM ok),
+walk(id, d) AS (SELECT id, 0 FROM mem WHERE doc_id % 100 = 0 AND status = 'active' UNION SELECT y, d + 1 FROM walk JOIN e ON x = walk.id WHERE d < 2),
+near AS (SELECT DISTINCT id FROM walk), inside AS (SELECT * FROM links WHERE source_id IN (FROM near) AND target_id IN (FROM near))"""
+
 SQL: dict[str, str] = {
     "recall_vector_topk": f"WITH {VEC} SELECT * FROM near WHERE similarity > 0 ORDER BY similarity DESC, id LIMIT 10",
     "recall_vector_filtered": f"{MEM}, {VEC} SELECT near.id, similarity FROM near JOIN mem USING (id) WHERE similarity > 0 AND category = 'decision' AND {FOUND.format('2024-01-31 06:00:00')} ORDER BY similarity DESC, near.id LIMIT 10",
     "recall_bm25_topk": f"{MEM}, {_bm25(LEXICAL_QUERY.split())} SELECT * FROM bm ORDER BY bm25 DESC, id LIMIT 20",
     "recall_bm25_pair_fallback": f"{MEM}, {_bm25(PAIR_QUERY.split())} SELECT * FROM bm ORDER BY bm25 DESC, id LIMIT 20",
-    "lexical_postings": f"""{MEM}, t AS (SELECT id, unnest(regexp_split_to_array(lower(title || ' ' || content), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM mem)
+    "lexical_postings": f"""{MEM}, t AS (SELECT id, unnest(regexp_split_to_array(lower(title || ' ' || content || ' ' || lang || ' ' || source), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM mem)
 SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM t WHERE term <> '' GROUP BY term HAVING count(DISTINCT id) > 1""",
     "recall_hybrid": _recall(),
     "recall_as_of": _recall(FOUND.format("2024-01-31 06:00:00")),
     "recall_day": _recall("status = 'active' AND CAST(created_at AS DATE) = DATE '2024-01-01'"),
     "recall_min_similarity": _recall(min_similarity=0.1),
     "recall_category": _recall("status = 'active' AND category = 'decision'"),
-    "recall_expanded": _recall(extra=f""", {LINKS}, best AS (SELECT id AS hit, score FROM hits ORDER BY score DESC, id LIMIT 3),
-edge AS (SELECT source_id AS hit, target_id AS id FROM links UNION ALL SELECT target_id, source_id FROM links),
-more AS (SELECT edge.id, round(max(score) * 0.8, 6) AS score FROM edge JOIN best USING (hit) JOIN mem ON mem.id = edge.id AND status = 'active'
-  WHERE edge.id NOT IN (SELECT id FROM hits) GROUP BY edge.id)
-SELECT * FROM (SELECT id, score FROM hits UNION ALL SELECT * FROM more) ORDER BY score DESC, id LIMIT 12"""),
+    "recall_expanded": _recall(extra=_EXPANDED.format("")),
     "list_page": f"{MEM} SELECT id, category, created_at FROM mem WHERE status = 'active' ORDER BY created_at DESC, id LIMIT 20 OFFSET 20",
     "list_as_of": f"{MEM} SELECT id, status FROM mem WHERE created_at <= TIMESTAMP '2024-01-15 23:59:59' AND (expired_at IS NULL OR expired_at > TIMESTAMP '2024-01-15 23:59:59')",
     "search_as_of": f"{MEM} SELECT id, status FROM mem WHERE {FOUND.format('2024-01-15 23:59:59')}",
@@ -259,4 +268,52 @@ SELECT id AS path, id,
   CASE turn WHEN 1 THEN 'a,' || kind WHEN 2 THEN lower(kind) ELSE '' END AS tags FROM e""",
     "export_markdown": f"{MEM} SELECT category, CAST(list_position({_list(CATEGORIES)}, category) AS INTEGER) AS place, count(*) AS blocks FROM mem WHERE status = 'active' GROUP BY category",
     "export_json_roundtrip": f"{MEM} SELECT id, category, trim(title, {_BLANKS}) AS title, md5(trim(content, {_BLANKS})) AS content_md5, lang || ',' || source AS tags FROM mem",
+    "get_many": f"{MEM}, {LINKS} SELECT id, title FROM mem WHERE id IN (SELECT target_id FROM links WHERE weight = 1)",
+    "restore_lookup": f"{MEM} SELECT id, status FROM mem WHERE id = 'doc-00000007'",
+    "node_links": f"""{MEM}, {LINKS}, side AS (SELECT source_id AS node, target_id AS other, links.* FROM links UNION ALL SELECT target_id, source_id, links.* FROM links)
+SELECT node, source_id, target_id, relation, weight FROM side JOIN mem a ON a.id = node LEFT JOIN mem b ON b.id = other
+WHERE a.doc_id % 100 = 0 AND (a.status <> 'active' OR b.status = 'active')""",
+    "links_restored": f"""{MEM}, {LINKS}, ok AS (SELECT source_id, target_id, 'relates_to' AS relation, weight * 3 AS weight FROM links
+  WHERE CAST(source_id[5:] AS INTEGER) % 5 > 1 AND source_id IN (SELECT id FROM mem) AND target_id IN (SELECT id FROM mem))
+SELECT * FROM ok UNION ALL SELECT * FROM links l WHERE NOT EXISTS (FROM ok WHERE ok.source_id = l.source_id AND ok.target_id = l.target_id)""",
+    "graph_khop_nodes": f"{_KHOP} SELECT near.id, (SELECT count(*) FROM inside WHERE source_id = near.id) + (SELECT count(*) FROM inside WHERE target_id = near.id) AS degree FROM near",
+    "graph_khop_edges": f"{_KHOP} SELECT source_id, target_id, weight FROM inside",
+    "backlinks": f"""{MEM}, act AS (
+  SELECT a.id, a.status, trim(translate(a.title, '{_UP}', '{_LOW}')) AS t, translate(a.content || ' [[' || trim(b.title) || ']]', '{_UP}', '{_LOW}') AS c
+  FROM mem a LEFT JOIN mem b ON b.doc_id = a.doc_id * 7 % (SELECT count(*) FROM mem) WHERE a.status = 'active')
+SELECT a.id AS source_id, b.id AS target_id FROM act a JOIN act b ON a.id <> b.id AND b.t <> '' AND contains(a.c, '[[' || b.t || ']]')""",
+    "write_time_peers": f"""{MEM}, {VEC}, tok AS (
+  SELECT id, doc_id, status, translate(trim(content, {_BLANKS}), '{_UP}', '{_LOW}') AS same,
+    list_distinct(list_filter(list_transform(regexp_split_to_array(content, '[^\\p{{L}}\\p{{N}}_.\\-]+'), lambda w: lower(trim(w, '.-_'))),
+    lambda w: strlen(w) > 1 AND NOT list_contains({_list(MEANING_STOP)}, w) AND regexp_matches(w, '\\p{{L}}'))) AS w FROM mem),
+x AS (SELECT id, unnest(w) AS w FROM tok WHERE doc_id % 100 = 0), y AS (SELECT id, unnest(w) AS w FROM tok WHERE status = 'active'),
+shared AS (SELECT x.id, y.id AS older_id, count(*) AS n FROM x JOIN y ON x.w = y.w AND y.id < x.id GROUP BY ALL),
+sized AS (
+  SELECT s.id, older_id, n / least(len(a.w), len(b.w)) AS lo, n / greatest(len(a.w), len(b.w)) AS hi, a.same = b.same AS same, c.e AS e1, d.e AS e2
+  FROM shared s JOIN tok a ON a.id = s.id JOIN tok b ON b.id = older_id LEFT JOIN vec c ON c.id = s.id LEFT JOIN vec d ON d.id = older_id),
+hit AS (
+  SELECT id, older_id, round(CASE WHEN same THEN 1.0 ELSE greatest(0.92 * lo,
+    coalesce(list_dot_product(e1, e2) / (sqrt(list_dot_product(e1, e1)) * sqrt(list_dot_product(e2, e2))), 0)) END::DOUBLE, 6) AS similarity
+  FROM sized WHERE lo >= 0.55 AND hi >= 0.45)
+SELECT id, older_id, similarity FROM hit WHERE similarity >= 0.72 QUALIFY row_number() OVER (PARTITION BY id ORDER BY similarity DESC, older_id) = 1""",
+    "conflict_merged": f"""{MEM} SELECT n.id, CASE WHEN o.id IS NOT NULL AND trim(n.title, {_BLANKS}) = '' THEN o.title ELSE n.title END AS title,
+  md5(CASE WHEN o.id IS NOT NULL AND trim(n.content, {_BLANKS}) = '' THEN o.content ELSE n.content END) AS content_md5,
+  n.lang || ',' || n.source || CASE WHEN lower(o.lang) NOT IN (lower(n.lang), lower(n.source)) THEN ',' || o.lang ELSE '' END
+    || CASE WHEN lower(o.source) NOT IN (lower(n.lang), lower(n.source)) THEN ',' || o.source ELSE '' END AS tags,
+  greatest(n.confidence, coalesce(o.confidence, 0)) AS confidence, CASE WHEN n.doc_id % 2 = 0 AND n.doc_id + 1 IN (SELECT doc_id FROM mem) THEN 'expired' ELSE n.status END AS status
+FROM mem n LEFT JOIN mem o ON n.doc_id % 2 = 1 AND o.doc_id = n.doc_id - 1""",
+    "rehomed_entities": f"""{_KEYED}, g AS (SELECT id, first_value(id) OVER (PARTITION BY k ORDER BY created_at, id) AS p FROM act),
+m AS (SELECT coalesce(p, mem.id) AS memory_id, lang, source FROM mem LEFT JOIN g ON g.id = mem.id)
+SELECT memory_id, 'lang' AS entity_name, lang AS entity_val FROM m UNION SELECT memory_id, 'source', source FROM m""",
+    "batch_files": f"WITH {FILES} SELECT memory_id, sha256, min(filename) AS filename, 'code' AS media_kind, 2 * count(*) AS copies, sha256 IN (SELECT sha256 FROM files WHERE CAST(memory_id[5:] AS INTEGER) % 2 = 0) AS known FROM files GROUP BY memory_id, sha256",
+    "file_tags": f"""{MEM}, {FILES} SELECT DISTINCT id, lang || ',' || source || CASE WHEN memory_id IS NULL THEN '' ELSE
+  (CASE WHEN 'code' IN (lower(lang), lower(source)) THEN '' ELSE ',code' END) || (CASE WHEN 'html' IN (lower(lang), lower(source)) THEN '' ELSE ',html' END) END AS tags FROM mem LEFT JOIN files ON memory_id = id""",
+    "file_texts": f"{MEM}, {FILES}, f AS (SELECT memory_id, string_agg(filename || ' code text/html ' || sha256, ' ' ORDER BY filename) AS t FROM files GROUP BY memory_id) SELECT id, md5(t) AS text_md5 FROM mem LEFT JOIN f ON memory_id = id",
+    "recall_expanded_as_of": _recall(FOUND.format("2024-01-31 06:00:00"), extra=_EXPANDED.format("AND created_at <= TIMESTAMP '2024-01-31 06:00:00' AND (expired_at IS NULL OR expired_at > TIMESTAMP '2024-01-31 06:00:00')")),
+    "recall_media": _recall(limit=100, extra=_WITH_FILES),
+    "recall_media_part": _recall(limit=100, extra=_WITH_FILES),
+    "recall_precision": _recall(extra="SELECT id, CASE WHEN row_number() OVER (ORDER BY score DESC, id) = 1 AND (bm25_rank IS NOT NULL OR score >= 0.35) THEN 1.0 ELSE score END::DOUBLE AS score FROM hits"),
+    "backup_roundtrip": f"{MEM} SELECT id, category, status, md5(content) AS content_md5, lang || ',' || source AS tags, confidence, created_at, expired_at FROM mem",
+    "entity_json": f"""{MEM}, e AS (SELECT id, 'lang_code' AS entity_name, lang AS v FROM mem UNION ALL SELECT id, 'source', source FROM mem UNION ALL SELECT id, 'n', CAST(doc_id AS VARCHAR) FROM mem)
+SELECT id, entity_name, v AS entity_val FROM e WHERE v <> '' AND lower(v) NOT IN (entity_name, replace(entity_name, '_', ' '))""",
 }

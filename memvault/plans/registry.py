@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memvault.functions import media, rules, text
+from memvault.functions import media, modeltext, rules, text
 from memvault.operators import answer, conflict, dedup, filters, fusion, graph, lexical, observe, stats, vectors
 from memvault.plans import oracles
 from memvault.sources import corpus, exporters, importers
@@ -380,6 +380,118 @@ def export_json_roundtrip(spark, sf):
     return back.select("id", "category", "title", F.md5("content").alias("content_md5"), F.array_join("tags", ",").alias("tags"))
 
 
+def get_many(spark, sf):
+    wanted = corpus.links(spark, sf).where("weight = 1.0").select(F.col("target_id").alias("id"))
+    return filters.by_ids(_mem(spark, sf), wanted).select("id", "title")
+
+
+def restore_lookup(spark, sf):
+    return filters.for_restore(_mem(spark, sf), "doc-00000007").select("id", "status")
+
+
+def node_links(spark, sf):
+    return graph.links_of(_mem(spark, sf), corpus.links(spark, sf), _mem(spark, sf).where("doc_id % 100 = 0"))
+
+
+def links_restored(spark, sf):
+    """A backup of all links whose ends and relations are damaged in turn."""
+    links = corpus.links(spark, sf)
+    turn = F.substring("source_id", 5, 8).cast("int") % 5
+    target = F.when(turn == 0, "doc-99999999").when(turn == 1, F.col("source_id")).otherwise(F.col("target_id"))
+    relation = F.when(turn == 2, " ").otherwise(F.col("relation"))
+    back = links.select("source_id", target.alias("target_id"), relation.alias("relation"), (F.col("weight") * 3).alias("weight"))
+    return graph.restored(links, _mem(spark, sf), back)
+
+
+def graph_khop_nodes(spark, sf):
+    rows = _mem(spark, sf)
+    return graph.neighbourhood(rows, corpus.links(spark, sf), rows.where("doc_id % 100 = 0"))[0]
+
+
+def graph_khop_edges(spark, sf):
+    rows = _mem(spark, sf)
+    return graph.neighbourhood(rows, corpus.links(spark, sf), rows.where("doc_id % 100 = 0"))[1].select("source_id", "target_id", "weight")
+
+
+def backlinks(spark, sf):
+    """Each content ends in another record's title, in capitals, as a wikilink."""
+    rows = _mem(spark, sf)
+    n = rows.agg(F.count("*").alias("_n"))
+    titles = rows.select(F.col("doc_id").alias("_t"), F.concat(F.lit(" [["), F.translate(F.trim("title"), graph.LOWER, graph.UPPER), F.lit("]]")).alias("_link"))
+    named = rows.join(F.broadcast(n)).withColumn("_t", F.col("doc_id") * 7 % F.col("_n")).join(titles, "_t", "left")  # one row
+    return graph.backlinks(named.withColumn("content", F.concat("content", F.coalesce("_link", F.lit("")))))
+
+
+def write_time_peers(spark, sf):
+    rows = _mem(spark, sf).withColumn("category", F.lit("fact"))
+    return conflict.peers(rows.where("doc_id % 100 = 0"), rows, vectors=corpus.vectors(spark, sf))
+
+
+def conflict_merged(spark, sf):
+    """Every record with an odd doc_id takes the one before it."""
+    rows = _mem(spark, sf)
+    pairs = rows.where("doc_id % 2 = 1").withColumn("_before", F.col("doc_id") - 1).select(corpus.doc_key("_before").alias("older_id"), F.col("id").alias("newer_id"))
+    return conflict.merged_pairs(pairs, rows, LATER).select("id", "title", F.md5("content").alias("content_md5"), F.array_join("tags", ",").alias("tags"), "confidence", "status")
+
+
+def rehomed_entities(spark, sf):
+    groups = dedup.groups(_mem(spark, sf).withColumn("category", F.lit("fact")))
+    return dedup.rehomed_children(corpus.entities(spark, sf), groups, ["entity_name", "entity_val"])
+
+
+def batch_files(spark, sf):
+    """Every file comes twice, under two names."""
+    files = _files(spark, sf)
+    held = files.where(F.substring("memory_id", 5, 8).cast("int") % 2 == 0)
+    return dedup.batch_files(files.unionByName(files.withColumn("filename", F.concat(F.lit("x"), "filename"))), held)
+
+
+def file_tags(spark, sf):
+    return dedup.file_tags(_mem(spark, sf), _files(spark, sf)).select("id", F.array_join("tags", ",").alias("tags"))
+
+
+def file_texts(spark, sf):
+    files = _files(spark, sf).withColumn("dimensions", media.dimensions(F.col("data"), F.col("mime_type")))
+    return lexical.file_texts(_mem(spark, sf), files).select("id", F.md5("file_text").alias("text_md5"))
+
+
+def recall_expanded_as_of(spark, sf):
+    return fusion.expanded(_hits(spark, sf, as_of=LATER), _mem(spark, sf), corpus.links(spark, sf), 12, as_of=LATER)
+
+
+def recall_media(spark, sf):
+    hits = _hits(spark, sf, limit=fusion.media_limit(10))
+    return fusion.with_media(hits, _files(spark, sf), "text/html", 10).select("id", "score")
+
+
+def recall_media_part(spark, sf):
+    hits = _hits(spark, sf, limit=fusion.media_limit(10))
+    return fusion.with_media(hits, _files(spark, sf), "HTM", 10, part_of_mime=True).select("id", "score")
+
+
+def recall_precision(spark, sf):
+    hits = _hits(spark, sf)
+    selected = answer.top_answer(hits.join(_mem(spark, sf).select("id", "title"), "id")).select(F.col("selected").alias("id"))
+    return fusion.selected_first(hits, selected).select("id", "score")
+
+
+def backup_roundtrip(spark, sf):
+    lines = exporters.backup(_mem(spark, sf).drop("doc_id"))
+    back = importers.backup(lines.select(F.md5("value").alias("path"), F.col("value").alias("text")))
+    return back.select("id", "category", "status", F.md5("content").alias("content_md5"), F.array_join("tags", ",").alias("tags"), "confidence", "created_at", "expired_at")
+
+
+def entity_json(spark, sf):
+    """Entities of each document as a model might tell them."""
+    docs = corpus.table(spark, sf, "documents")
+    code = F.to_json(F.struct(F.lit("Lang Code").alias("name"), F.concat(F.lit(" "), "lang").alias("val")))
+    source = F.to_json(F.struct(F.lit("source").alias("key"), F.col("source").alias("value")))
+    same = F.lit('{"entity": "x y", "val": "X Y"}')
+    number = F.to_json(F.struct(F.lit("n").alias("name"), F.col("doc_id").alias("val")))
+    listed = F.concat(F.lit("<think>[1, 2]</think> [not json] Here: ["), F.concat_ws(", ", code, source, same, number, code), F.lit("] and ]"))
+    return modeltext.entities_of(docs.select(corpus.doc_key("doc_id").alias("id"), listed.alias("raw")), "raw", "id")
+
+
 def queries() -> dict[str, Query]:
     found = (
         recall_vector_topk, recall_vector_filtered, recall_bm25_topk, recall_bm25_pair_fallback, lexical_postings, recall_hybrid,
@@ -391,6 +503,9 @@ def queries() -> dict[str, Query]:
         wikilinks, dangling_links, categorize, lenient_categories, observe_conversations, answer_top1, answer_gate,
         answer_entity_index, grounding_check, history_filter, history_prune, history_latency, merge_vaults_skip,
         merge_vaults_replace, merge_vaults_links, hash_embedding, card_texts, import_json, export_markdown, export_json_roundtrip,
+        get_many, restore_lookup, node_links, links_restored, graph_khop_nodes, graph_khop_edges, backlinks, write_time_peers, conflict_merged,
+        rehomed_entities, batch_files, file_tags, file_texts, recall_expanded_as_of, recall_media, recall_media_part, recall_precision,
+        backup_roundtrip, entity_json,
     )
     return {q.__name__: q for q in found}
 

@@ -21,5 +21,8 @@ ATTACHMENTS = (
 )
 HISTORY = "id long, command string, subcommand string, status string, duration_ms long, error_message string, created_at timestamp_ntz"
 
+#: What an envelope of a backup calls itself.
+BACKUP_FORMAT = "memvault-backup-v1"
+
 #: Least and greatest weight of a link.
 WEIGHTS = (0.01, 10.0)

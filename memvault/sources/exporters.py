@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memvault.operators import stats
-from memvault.schema import CATEGORIES
+from memvault.schema import BACKUP_FORMAT, CATEGORIES
 
 
 def json_lines(memories: DataFrame, attachments: DataFrame | None = None) -> DataFrame:
@@ -20,6 +20,12 @@ def json_lines(memories: DataFrame, attachments: DataFrame | None = None) -> Dat
     return rows.select(F.to_json(F.struct("*")).alias("value"))
 
 
+def backup(memories: DataFrame) -> DataFrame:
+    """(value): versioned envelopes as importers.backup reads them, one per record, so that none gathers a vault."""
+    record = F.struct(*[c for c in memories.columns])
+    return memories.select(F.to_json(F.struct(F.lit(BACKUP_FORMAT).alias("format"), F.array(record).alias("memories"))).alias("value"))
+
+
 def markdown(memories: DataFrame) -> DataFrame:
     """(place, category, id, value): active records as Markdown blocks, in category order, each with its record as a comment.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memvault.functions import rules
 from memvault.functions.text import title_of, trim
+from memvault.schema import BACKUP_FORMAT, MEMORIES
 
 # fixed values: keys under which others keep contents, titles, categories, tags, ids and more, the first one first
 CONTENT_KEYS = ("content", "memory", "text", "value", "document", "body", "message", "data", "statement")
@@ -135,6 +136,14 @@ def json_candidates(objects: DataFrame) -> DataFrame:
     )
 
 
+def backup(files: DataFrame, name: str = BACKUP_FORMAT) -> DataFrame:
+    """The records in files (path, text) that each hold one envelope {format, memories}; any other format fails with the path."""
+    read = files.select("path", F.from_json("text", f"format string, memories array<struct<{MEMORIES}>>").alias("b"))
+    known = F.when(F.coalesce(F.col("b.format"), F.lit("")) != name, F.raise_error(F.concat(F.lit("unsupported backup format in "), "path")))
+    known = known.when(F.col("b.memories").isNull(), F.raise_error(F.concat(F.lit("backup without memories: "), "path"))).otherwise(True)
+    return read.where(known).select(F.explode("b.memories").alias("m")).select("m.*")
+
+
 def json_links(objects: DataFrame) -> DataFrame:
     """(source_id, target_id, relation) of objects that relate two others."""
     get = lambda *keys: F.coalesce(*[F.try_variant_get(F.col("object"), f"$.{k}", "string") for k in keys])

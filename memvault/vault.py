@@ -169,7 +169,7 @@ class Vault:
     def recall(self, query: str, limit: int = 10, expand: bool = False, **filters_) -> DataFrame:
         request = fusion.Request(query=query, vector=[float(x) for x in self.embedder.embed_batch([query])[0]], limit=limit, **filters_)
         hits = fusion.recall(self.table("memories"), self.table("vectors"), request)
-        return fusion.expanded(hits, self.table("memories"), self.table("links"), limit, request.category) if expand else hits
+        return fusion.expanded(hits, self.table("memories"), self.table("links"), limit, request.category, request.as_of, request.day) if expand else hits
 
     def list(self, page: int = 1, size: int = 20, **filters_) -> DataFrame:
         return filters.page(filters.select(self.table("memories"), **filters_), page, size)
