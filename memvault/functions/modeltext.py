@@ -46,7 +46,11 @@ def json_slice(raw: Column, opening: str = "[") -> Column:
     def find(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else first_json(t, opening) for t in texts.to_pylist()], pa.string())
 
-    return F.arrow_udf(find, "string")(F.element_at(F.split(raw, "</think>"), -1))
+    # what follows the last thought, or what stands before its end if nothing follows
+    parts = F.split(raw, "</think>")
+    after = F.element_at(parts, -1)
+    before = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1))), "</think>")
+    return F.arrow_udf(find, "string")(F.when(after.rlike(r"\S"), after).otherwise(before))
 
 
 def entities_of(rows: DataFrame, raw: str, key: str) -> DataFrame:

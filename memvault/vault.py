@@ -97,16 +97,33 @@ class Vault:
         held = self.table("memories")
         active = dedup.merged(dedup.upserted(held.where("status = 'active'"), rows)).withColumn("status", F.lit("active"))
         records = held.where("status <> 'active'").unionByName(active.drop("n_merged"), allowMissingColumns=True)
-        mapping = dedup.groups(dedup.upserted(held, rows))
-        links = dedup.rehomed(self.table("links"), mapping)
-        self.commit(memories=records, links=links)
-        return self.reindex()
+        mapping = graph.cut(dedup.groups(dedup.upserted(held, rows)))
+        return self.commit(memories=graph.cut(records), vectors=self._vectors_of(records), **self._rehomed(mapping))
+
+    def _rehomed(self, mapping: DataFrame) -> dict[str, DataFrame]:
+        """The tables of children with those of id given to primary_id."""
+        return {
+            "links": dedup.rehomed(self.table("links"), mapping),
+            "attachments": dedup.rehomed_children(self.table("attachments"), mapping, ["sha256"]),
+            "entities": dedup.rehomed_children(self.table("entities"), mapping, ["entity_name", "entity_val"]),
+        }
+
+    @staticmethod
+    def _cards(rows: DataFrame) -> DataFrame:
+        card = text.card_text(F.col("category"), F.col("title"), F.col("content"), F.col("tags"))
+        return rows.where("status = 'active'").select("id", card.alias("card"))
+
+    def _vectors_of(self, records: DataFrame) -> DataFrame:
+        """Vectors of the active records; only cards that are new or changed are embedded."""
+        cards, stored = self._cards(records), self.table("vectors")
+        same = self._cards(self.table("memories")).join(stored.select("id"), "id", "left_semi")
+        kept = cards.join(same, ["id", "card"], "left_semi")
+        changed = cards.join(kept.select("id"), "id", "left_anti")
+        return stored.join(kept.select("id"), "id", "left_semi").unionByName(vectors.embedded(changed, self.embedder))
 
     def reindex(self) -> int:
         """Embeds the cards of all active records anew."""
-        rows = self.table("memories").where("status = 'active'")
-        cards = rows.select("id", text.card_text(F.col("category"), F.col("title"), F.col("content"), F.col("tags")).alias("card"))
-        return self.commit(vectors=vectors.embedded(cards, self.embedder))
+        return self.commit(vectors=vectors.embedded(self._cards(self.table("memories")), self.embedder))
 
     def forget(self, ids: DataFrame, now: str, hard: bool = False) -> int:
         """Soft: records become expired. Hard: they go, with their vectors, links, attachments and entities."""
@@ -129,8 +146,8 @@ class Vault:
         back = ids.select("id", F.lit(True).alias("_back"))
         out = self.table("memories").join(back, "id", "left")
         out = out.withColumn("status", F.when(F.col("_back"), "active").otherwise(F.col("status")))
-        self.commit(memories=out.withColumn("expired_at", F.when(F.col("_back"), F.lit(None)).otherwise(F.col("expired_at"))))
-        return self.reindex()
+        out = out.withColumn("expired_at", F.when(F.col("_back"), F.lit(None)).otherwise(F.col("expired_at"))).drop("_back")
+        return self.commit(memories=out, vectors=self._vectors_of(out))
 
     def expire(self, now: str) -> int:
         return self.commit(memories=filters.expire_due(self.table("memories"), now))
@@ -152,17 +169,26 @@ class Vault:
         self.commit(links=self.table("links").unionByName(new, allowMissingColumns=True))
         return new
 
+    def restore_links(self, back: DataFrame) -> int:
+        return self.commit(links=graph.restored(self.table("links"), self.table("memories"), back))
+
     def resolve_conflicts(self, now: str) -> DataFrame:
-        """Retires the older record of each conflict; returns the pairs."""
+        """Merges the older record of each conflict into the newer one and retires it; returns the pairs."""
         pairs = graph.cut(conflict.resolved(self.conflicts()))
-        self.forget(pairs.select(F.col("older_id").alias("id")).distinct(), now)
+        into = graph.cut(conflict.survivors(pairs))
+        records = conflict.merged_pairs(into, self.table("memories"), now)
+        mapping = into.select(F.col("older_id").alias("id"), F.col("newer_id").alias("primary_id"))
+        self.commit(memories=records, vectors=self._vectors_of(records), **self._rehomed(mapping))
         return pairs
 
     def merge(self, other: Vault, replace: bool = False) -> int:
+        """Takes over the other vault's records (new ones only, unless replace) with all that hangs on them."""
         rows, accepted = dedup.merge_vaults(self.table("memories"), other.table("memories"), replace)
         links = dedup.accepted_links(self.table("links"), other.table("links"), accepted)
         vecs = dedup.upserted(self.table("vectors"), other.table("vectors").join(accepted, "id", "left_semi"))
-        return self.commit(memories=rows, links=links, vectors=vecs)
+        owned = accepted.select(F.col("id").alias("memory_id"))
+        taken = lambda name: self.table(name).join(owned, "memory_id", "left_anti").unionByName(other.table(name).join(owned, "memory_id", "left_semi"))
+        return self.commit(memories=rows, links=links, vectors=vecs, attachments=taken("attachments"), entities=taken("entities"))
 
     # reading
 
@@ -177,6 +203,25 @@ class Vault:
     def get(self, key: str) -> DataFrame:
         return filters.by_id_or_title(self.table("memories"), key)
 
+    def get_many(self, ids: DataFrame) -> DataFrame:
+        return filters.by_ids(self.table("memories"), ids)
+
+    def for_restore(self, key: str) -> DataFrame:
+        return filters.for_restore(self.table("memories"), key)
+
+    def hydrated(self, key: str) -> DataFrame:
+        return filters.hydrated(self.get(key), self.table("attachments"), self.table("entities"))
+
+    def links_of(self, key: str) -> DataFrame:
+        return graph.links_of(self.table("memories"), self.table("links"), self.get(key)).orderBy(F.col("created_at").desc())
+
+    def neighbourhood(self, key: str, hops: int = 2) -> tuple[DataFrame, DataFrame]:
+        return graph.neighbourhood(self.table("memories"), self.table("links"), self.get(key), hops)
+
+    def peers(self, ids: DataFrame, threshold: float = 0.72) -> DataFrame:
+        """(id, older_id, similarity): what records just written may contradict."""
+        return conflict.peers(self.get_many(ids), self.table("memories"), threshold, self.table("vectors"))
+
     def conflicts(self, threshold: float = 0.78) -> DataFrame:
         return conflict.conflicts(self.table("memories").where("status = 'active'"), threshold, self.table("vectors"))
 
