@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,14 +61,131 @@ def _number(data: Column, at: int, size: int, little: bool) -> Column:
     return whole
 
 
+def _sized(width: Column, height: Column) -> Column:
+    """WxH, null unless both are positive."""
+    return F.when((width > 0) & (height > 0), F.concat_ws("x", width.cast("string"), height.cast("string")))
+
+
+def _webp(data: Column) -> Column:
+    """WxH of the three kinds of WebP frames, told apart by the first chunk."""
+    chunk, length = F.hex(F.substring(data, 13, 4)), F.octet_length(data)
+    bits = _number(data, 21, 4, True)
+    low = lambda at: _number(data, at, 2, True).bitwiseAND(0x3FFF)
+    return (
+        F.when((chunk == "56503858") & (length >= 30), _sized(_number(data, 24, 3, True) + 1, _number(data, 27, 3, True) + 1))
+        .when((chunk == "56503820") & (length >= 30) & (F.hex(F.substring(data, 24, 3)) == "9D012A"), _sized(low(26), low(28)))
+        .when((chunk == "5650384C") & (length >= 25) & (F.hex(F.substring(data, 21, 1)) == "2F"), _sized(bits.bitwiseAND(0x3FFF) + 1, F.shiftright(bits, 14).bitwiseAND(0x3FFF) + 1))
+    )
+
+
+def _segments(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(marker, body with its length) of a JPEG's segments up to its image data."""
+    at = 2
+    while at + 9 < len(data):
+        if data[at] != 0xFF:
+            at += 1
+            continue
+        at += len(data) - at - len(data[at:].lstrip(b"\xff"))
+        if at + 3 > len(data) or data[at] in (0xD9, 0xDA):
+            return
+        marker, size = data[at], int.from_bytes(data[at + 1 : at + 3], "big")
+        if size < 2 or at + 1 + size > len(data):
+            return
+        yield marker, data[at + 1 : at + 1 + size]
+        at += 1 + size
+
+
+def _jpeg(data: bytes) -> dict:
+    """The size in the first frame header (SOF0 to SOF3)."""
+    for marker, body in _segments(data):
+        if 0xC0 <= marker <= 0xC3 and len(body) >= 7:
+            height, width = struct.unpack(">HH", body[3:7])
+            if width and height:
+                return {"dimensions": f"{width}x{height}"}
+    return {}
+
+
+def _boxes(data: memoryview) -> Iterator[tuple[bytes, memoryview]]:
+    """(type, body) of the boxes of an ISO media file, those in moov and trak included, until one is damaged."""
+    at = 0
+    while at + 8 <= len(data):
+        size, head = int.from_bytes(data[at : at + 4], "big"), 8
+        if size == 0:
+            size = len(data) - at
+        elif size == 1:
+            size, head = int.from_bytes(data[at + 8 : at + 16], "big"), 16
+        if size < head or at + size > len(data):
+            return
+        kind, body = bytes(data[at + 4 : at + 8]), data[at + head : at + size]
+        if kind in (b"moov", b"trak"):
+            yield from _boxes(body)
+        else:
+            yield kind, body
+        at += size
+
+
+#: By version: the shortest header, where its time scale and its duration lie.
+MVHD = {0: (20, ">12xII"), 1: (32, ">20xIQ")}
+#: By version: where width and height of a track lie, as 16.16 numbers.
+TKHD = {0: (84, ">76xII"), 1: (96, ">88xII")}
+
+
+def _mp4(data: bytes) -> dict:
+    """The first positive track size and the first positive duration."""
+    found = {}
+    for kind, body in _boxes(memoryview(data)):
+        table = {b"mvhd": MVHD, b"tkhd": TKHD}.get(kind, {})
+        least, layout = table.get(body[0], (0, "")) if len(body) else (0, "")
+        if not least or len(body) < least:
+            continue
+        one, two = struct.unpack_from(layout, body)
+        if kind == b"mvhd" and one and two:
+            found.setdefault("seconds", two / one)
+        elif kind == b"tkhd" and one >> 16 and two >> 16:
+            found.setdefault("dimensions", f"{one >> 16}x{two >> 16}")
+    return found
+
+
+def _wav(data: bytes) -> dict:
+    """Bytes of the data chunk over bytes a second; chunks before it are passed over."""
+    at, rate = 12, 0
+    while len(data) >= 44 and at + 8 <= len(data):
+        name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+        if name == b"data":
+            return {"seconds": size / rate} if rate and size else {}
+        if name == b"fmt " and at + 20 <= len(data):
+            rate = int.from_bytes(data[at + 16 : at + 20], "little")
+        at += 8 + size + size % 2
+    return {}
+
+
+#: Types whose headers must be walked through.
+WALKED = {"image/jpeg": _jpeg, "video/mp4": _mp4, "video/quicktime": _mp4, "audio/mp4": _mp4, "audio/wav": _wav}
+
+
+def _walked(data: Column, mime: Column) -> Column:
+    """struct(dimensions, seconds) of files that must be walked through; others don't reach Python."""
+    fields = pa.struct([("dimensions", pa.string()), ("seconds", pa.float64())])
+
+    def read(files: pa.Array, kinds: pa.Array) -> pa.Array:
+        pairs = zip(files.to_pylist(), kinds.to_pylist(), strict=True)
+        return pa.array([None if f is None or k not in WALKED else {"dimensions": None, "seconds": None} | WALKED[k](f) for f, k in pairs], fields)
+
+    return F.arrow_udf(read, "dimensions string, seconds double")(F.when(mime.isin(*WALKED), data), mime)
+
+
 def dimensions(data: Column, mime: Column) -> Column:
-    """WxH of PNG and GIF."""
-    png = F.concat_ws("x", _number(data, 16, 4, False).cast("string"), _number(data, 20, 4, False).cast("string"))
-    gif = F.concat_ws("x", _number(data, 6, 2, True).cast("string"), _number(data, 8, 2, True).cast("string"))
-    return F.when((mime == "image/png") & (F.octet_length(data) >= 24), png).when((mime == "image/gif") & (F.octet_length(data) >= 10), gif)
+    """WxH of PNG, GIF, WebP, JPEG and MP4; null for other types and for damaged headers."""
+    png = _sized(_number(data, 16, 4, False), _number(data, 20, 4, False))
+    gif = _sized(_number(data, 6, 2, True), _number(data, 8, 2, True))
+    return (
+        F.when((mime == "image/png") & (F.octet_length(data) >= 24) & (F.hex(F.substring(data, 13, 4)) == "49484452"), png)
+        .when((mime == "image/gif") & (F.octet_length(data) >= 10), gif)
+        .when(mime == "image/webp", _webp(data))
+        .otherwise(_walked(data, mime)["dimensions"])
+    )
 
 
-def wav_seconds(data: Column, mime: Column) -> Column:
-    """Seconds of a WAV file with its data after a 44-byte header: data bytes over bytes a second."""
-    rate = _number(data, 28, 4, True)
-    return F.when((mime == "audio/wav") & (F.octet_length(data) >= 44) & (rate > 0), _number(data, 40, 4, True) / rate)
+def seconds(data: Column, mime: Column) -> Column:
+    """Seconds of WAV and MP4."""
+    return _walked(data, mime)["seconds"]

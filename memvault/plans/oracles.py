@@ -192,6 +192,10 @@ SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM t WHERE term <> '' GR
     "ttl_expire": f"""{MEM}, t AS (SELECT *, nullif(doc_id % 50, 0) * ([1, 1000, 60000, 3600000, 86400000, 604800000])[doc_id % 6 + 1] AS ttl_ms FROM mem)
 SELECT id, CAST(ttl_ms AS BIGINT) AS ttl_ms, CASE WHEN created_at + to_milliseconds(ttl_ms) <= TIMESTAMP '2024-01-03' THEN 'expired' ELSE status END AS status FROM t""",
     "mime_detect": f"WITH {FILES} SELECT memory_id, 'text/html' AS mime_type, 'code' AS media_kind, CAST(NULL AS VARCHAR) AS dimensions FROM files",
+    "media_headers": """SELECT CAST(page_id AS BIGINT) AS page_id,
+  (['image/jpeg', 'image/webp', 'video/mp4', 'audio/wav', 'image/gif'])[page_id % 5 + 1] AS mime_type,
+  CASE WHEN page_id % 5 <> 3 THEN (page_id % 3000 + 1) || 'x' || (page_id % 2000 + 1) END AS dimensions,
+  CASE WHEN page_id % 5 IN (2, 3) THEN CAST((page_id % 3000 + 1) / 2 AS DOUBLE) END AS seconds FROM pages""",
     "sha_base64": f"WITH {FILES} SELECT memory_id, sha256, size_bytes, md5(base64(encode(html))) AS base64_md5 FROM files",
     "media_breakdown": f"WITH {FILES} SELECT 'code' AS media_kind, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM files",
     "bundle_manifest": f"""{MEM}, {LINKS}, {FILES}

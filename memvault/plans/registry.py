@@ -123,6 +123,12 @@ def mime_detect(spark, sf):
     return _files(spark, sf).select("memory_id", "mime_type", "media_kind", media.dimensions(F.col("data"), F.col("mime_type")).alias("dimensions"))
 
 
+def media_headers(spark, sf):
+    files = corpus.media_files(spark, sf).withColumn("x", media.detected(F.col("data"), F.col("filename")))
+    length = F.round(media.seconds(F.col("data"), F.col("x.mime")), 6)
+    return files.select("page_id", F.col("x.mime").alias("mime_type"), media.dimensions(F.col("data"), F.col("x.mime")).alias("dimensions"), length.alias("seconds"))
+
+
 def sha_base64(spark, sf):
     files = filters.verified(corpus.attachments(spark, sf))
     return files.select("memory_id", "sha256", "size_bytes", F.md5(F.regexp_replace(F.base64("data"), "\r\n", "")).alias("base64_md5"))
@@ -496,7 +502,7 @@ def queries() -> dict[str, Query]:
     found = (
         recall_vector_topk, recall_vector_filtered, recall_bm25_topk, recall_bm25_pair_fallback, lexical_postings, recall_hybrid,
         recall_as_of, recall_day, recall_min_similarity, recall_category, recall_expanded, list_page, list_as_of, search_as_of, list_day,
-        list_media, count_filtered, ttl_expire, mime_detect, sha_base64, media_breakdown, bundle_manifest, stats_overview,
+        list_media, count_filtered, ttl_expire, mime_detect, media_headers, sha_base64, media_breakdown, bundle_manifest, stats_overview,
         stats_by_category, vault_overview, get_by_prefix, get_by_title, find_by_entity, find_by_sha, hydrated, dedup_groups, dedup_merged,
         ingest_merge, rehomed_links, meaningful_tokens, conflicts_pairs, conflicts_nearest, conflicts_resolved, links_all, graph_related,
         graph_related_paths, graph_snapshot, node_degree, node_cards, link_upsert, autolink_titles, autolink_tags, autolink_semantic,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memvault.functions.text import title_of
@@ -112,3 +112,30 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("value") * 1000).cast("long").alias("duration_ms"),
         F.col("ts").alias("created_at"),
     )
+
+
+def _be(n: Column, size: int) -> Column:
+    """A number as big-endian hex of so many bytes."""
+    return F.lpad(F.hex(n), 2 * size, "0")
+
+
+def _le(n: Column, size: int) -> Column:
+    return F.concat(*(_be(F.shiftright(n, 8 * k).bitwiseAND(0xFF), 1) for k in range(size)))
+
+
+def media_files(spark: SparkSession, sf: str) -> DataFrame:
+    """(page_id, filename, data): for each page the header of a JPEG, WebP, MP4, WAV or GIF file whose sizes follow from page_id."""
+    pages = table(spark, sf, "pages").select(F.col("page_id").cast("long").alias("page_id"))
+    w, h = F.col("page_id") % 3000 + 1, F.col("page_id") % 2000 + 1
+    text = lambda s: s.encode().hex().upper()
+    # a comment segment, then the frame header
+    jpeg = F.concat(F.lit("FFD8FFFE0004AAAAFFC0000B08"), _be(h, 2), _be(w, 2), F.lit("01011100FFD9000000000000"))
+    webp = F.concat(F.lit(text("RIFF") + "00000000" + text("WEBPVP8X") + "0A00000000000000"), _le(w - 1, 3), _le(h - 1, 3))
+    movie = F.concat(F.lit("0000001C" + text("mvhd") + "00" * 12), _be(F.lit(1000), 4), _be(w * 500, 4))
+    track = F.concat(F.lit("00000064" + text("trak") + "0000005C" + text("tkhd") + "00" * 76), _be(w * 65536, 4), _be(h * 65536, 4))
+    mp4 = F.concat(F.lit("00000010" + text("ftypisom") + "00000000" + "00000088" + text("moov")), movie, track)
+    wav = F.concat(F.lit(text("RIFF") + "00000000" + text("WAVELIST") + "03000000AABBCC00" + text("fmt ") + "10000000" + "00" * 8), _le(F.lit(8000), 4), F.lit("00" * 4 + text("data")), _le(w * 4000, 4))
+    gif = F.concat(F.lit(text("GIF89a")), _le(w, 2), _le(h, 2), F.lit("00" * 4))
+    turn = F.col("page_id") % 5
+    data = F.when(turn == 0, jpeg).when(turn == 1, webp).when(turn == 2, mp4).when(turn == 3, wav).otherwise(gif)
+    return pages.select("page_id", F.concat(F.col("page_id").cast("string"), F.lit(".bin")).alias("filename"), F.unhex(data).alias("data"))

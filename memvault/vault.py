@@ -25,6 +25,10 @@ TABLES = {
 }
 
 
+#: Names the embedder of a version's vectors among the places of its tables.
+EMBEDDER = "embedder"
+
+
 class Vault:
     """Verbs over one vault; ``now`` is always given, never read from a clock."""
 
@@ -63,6 +67,8 @@ class Vault:
             known = self.spark.createDataFrame([], TABLES[name])
             known.unionByName(rows.select(*[c for c in known.columns if c in rows.columns]), allowMissingColumns=True).write.parquet(where)
             at[name] = where
+            if name == "vectors":
+                at[EMBEDDER] = self.identity
         number = self._pointer()[0]
         if number != self.version:
             raise RuntimeError(f"the vault moved on from version {self.version} to {number}")
@@ -71,6 +77,16 @@ class Vault:
         self.version, self.at = number + 1, at
         return self.version
 
+    @property
+    def identity(self) -> str:
+        """What vectors must share to be compared: the embedder and its number of dimensions."""
+        return f"{self.embedder.identity}/{self.embedder.dims}"
+
+    def _check_identity(self, at: dict[str, str]) -> None:
+        """Vectors of different embedders never mix; a vault without vectors takes any."""
+        if "vectors" in at and at.get(EMBEDDER) != self.identity:
+            raise ValueError(f"the vectors are of {at.get(EMBEDDER, 'an unknown embedder')}, not of {self.identity}; reindex first")
+
     # writing
 
     def remember(self, incoming: DataFrame, now: str) -> int:
@@ -115,6 +131,7 @@ class Vault:
 
     def _vectors_of(self, records: DataFrame) -> DataFrame:
         """Vectors of the active records; only cards that are new or changed are embedded."""
+        self._check_identity(self.at)
         cards, stored = self._cards(records), self.table("vectors")
         same = self._cards(self.table("memories")).join(stored.select("id"), "id", "left_semi")
         kept = cards.join(same, ["id", "card"], "left_semi")
@@ -134,6 +151,7 @@ class Vault:
             out = out.withColumn("status", F.when(F.col("_gone"), "expired").otherwise(F.col("status")))
             return self.commit(memories=out.withColumn("expired_at", F.when(F.col("_gone"), filters.stamp(now)).otherwise(F.col("expired_at"))))
         without = lambda df, column: df.join(ids.select(F.col("id").alias(column)), column, "left_anti")
+        self._check_identity(self.at)
         return self.commit(
             memories=without(rows, "id"),
             vectors=without(self.table("vectors"), "id"),
@@ -183,6 +201,8 @@ class Vault:
 
     def merge(self, other: Vault, replace: bool = False) -> int:
         """Takes over the other vault's records (new ones only, unless replace) with all that hangs on them."""
+        self._check_identity(self.at)
+        self._check_identity(other.at)
         rows, accepted = dedup.merge_vaults(self.table("memories"), other.table("memories"), replace)
         links = dedup.accepted_links(self.table("links"), other.table("links"), accepted)
         vecs = dedup.upserted(self.table("vectors"), other.table("vectors").join(accepted, "id", "left_semi"))
@@ -193,6 +213,7 @@ class Vault:
     # reading
 
     def recall(self, query: str, limit: int = 10, expand: bool = False, **filters_) -> DataFrame:
+        self._check_identity(self.at)
         request = fusion.Request(query=query, vector=[float(x) for x in self.embedder.embed_batch([query])[0]], limit=limit, **filters_)
         hits = fusion.recall(self.table("memories"), self.table("vectors"), request)
         return fusion.expanded(hits, self.table("memories"), self.table("links"), limit, request.category, request.as_of, request.day) if expand else hits

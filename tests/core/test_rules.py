@@ -234,7 +234,7 @@ def test_media(spark):
     png = bytes.fromhex("89504E470D0A1A0A0000000D49484452") + (1920).to_bytes(4, "big") + (1080).to_bytes(4, "big")
     wav = b"RIFF\0\0\0\0WAVEfmt " + bytes(8) + bytes(4) + (32000).to_bytes(4, "little") + bytes(4) + b"data" + (80000).to_bytes(4, "little")
     rows = spark.createDataFrame([("a.bin", bytearray(png)), ("b.wav", bytearray(wav)), ("c.rs", bytearray(b"fn")), ("d", bytearray(b"\xff\x00"))], "f string, d binary")
-    out = rows.withColumn("x", media.detected(F.col("d"), F.col("f"))).select("f", "x.mime", "x.kind", media.dimensions(F.col("d"), F.col("x.mime")).alias("dim"), media.wav_seconds(F.col("d"), F.col("x.mime")).alias("sec"))
+    out = rows.withColumn("x", media.detected(F.col("d"), F.col("f"))).select("f", "x.mime", "x.kind", media.dimensions(F.col("d"), F.col("x.mime")).alias("dim"), media.seconds(F.col("d"), F.col("x.mime")).alias("sec"))
     found = {r["f"]: tuple(r)[1:] for r in out.collect()}
     assert found["a.bin"] == ("image/png", "image", "1920x1080", None)
     assert found["b.wav"] == ("audio/wav", "audio", None, 2.5)

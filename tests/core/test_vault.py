@@ -1,5 +1,6 @@
 """A vault's verbs end to end."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +57,22 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("id string, content string").json(str(tmp_path / "in"))
     ingest.remember_stream(stream, vault, str(tmp_path / "cp"), "2024-01-01").awaitTermination()
     assert {r["category"] for r in vault.table("memories").select(F.col("category")).collect()} == {"learning", "commitment"}
+
+
+def test_vectors_of_another_embedder_are_refused_until_reindexed(spark, vault):
+    class Flat:
+        identity, dims = "card-v1:flat", 2
+
+        def embed_batch(self, texts):
+            return np.ones((len(texts), 2), dtype=np.float32)
+
+    other = Vault(spark, vault.path, Flat())
+    row = spark.createDataFrame([("d", "Quartz")], "id string, content string")
+    for use in (lambda: other.recall("port"), lambda: other.remember(row, "2024-01-02"), lambda: vault.merge(Vault(spark, vault.path + "-none")) and other.merge(vault)):
+        with pytest.raises(ValueError, match="reindex"):
+            use()
+    other = Vault(spark, vault.path, Flat())
+    other.reindex()
+    assert {len(r["embedding"]) for r in other.table("vectors").collect()} == {2}
+    with pytest.raises(ValueError, match="reindex"):
+        Vault(spark, vault.path).recall("port")
