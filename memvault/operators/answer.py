@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memvault.functions.text import content_tokens
+from memvault.functions.modeltext import json_slice
+from memvault.functions.text import content_tokens, trim
 
 #: Score that stands for evidence where no lexical rank does.
 EVIDENCE = 0.35
@@ -31,6 +32,14 @@ FRAMING = (
 # fixed values: signs of a span that says nothing
 EMPTY_SPANS = ("not been ", "not recorded", "not specified", "not provided", "x0000x", "xxxx", "***")
 
+# fixed values: answers, and parts of answers, by which a model says that it found nothing
+NO_ANSWERS = ("null", "none", "n/a", "unknown", "not recorded", "insufficient evidence")
+NO_ANSWER_PARTS = (
+    "not been recorded", "insufficient evidence", "no matching memory", "no relevant memory", "not mentioned in", "cannot determine",
+)
+#: Confidence of an answer that names none.
+UNSTATED = 0.85
+
 
 def has_evidence() -> Column:
     return F.col("bm25_rank").isNotNull() | (F.col("score") >= EVIDENCE)
@@ -163,3 +172,57 @@ def best_span(start: Column, end: Column, longest: int = 20) -> Column:
         return pa.array(rows, fields)
 
     return F.arrow_udf(best, kind)(start, end)
+
+
+def _places(given: Column) -> Column:
+    """The distinct places in a variant: a number, an array of numbers or texts, or a text with commas or blanks."""
+    kind = F.schema_of_variant(given)
+    said = F.try_variant_get(given, "$", "string")
+    listed = (
+        F.when(kind == "STRING", F.transform(F.split(said, r"(?U)[,\s]+"), lambda t: F.btrim(t, F.lit("[]"))))
+        .when(kind.startswith("ARRAY"), F.transform(F.try_variant_get(given, "$", "array<string>"), trim))
+        .when(kind == "BIGINT", F.array(said))
+    )
+    numbers = F.filter(listed, lambda t: t.rlike(r"^\+?[0-9]{1,9}$"))
+    return F.coalesce(F.array_distinct(F.transform(numbers, lambda t: t.cast("int"))), F.array().cast("array<int>"))
+
+
+def model_answers(rows: DataFrame, raw: str, gated: str, synthesis: Column | None = None) -> DataFrame:
+    """rows with answer, memory_index and confidence from a model's JSON; nulls where it says nothing that the records bear out.
+
+    ``raw`` names the column of model texts, ``gated`` an array of (title, content) in order of rank. A plain answer must be
+    grounded in one record, the one it names if it can be; a summary, or an answer of three tokens or more, in all
+    together. Then memory_index is a named record that shares a token, else the last of those that share most.
+    """
+    read = rows.withColumn("_v", F.try_parse_json(json_slice(F.col(raw), "{")))
+    part = lambda name: F.try_variant_get("_v", f"$.{name}", "variant")
+    text_of = F.when(F.schema_of_variant(part("answer")) == "STRING", trim(F.try_variant_get("_v", "$.answer", "string")))
+    number = F.when(F.schema_of_variant(part("confidence")).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get("_v", "$.confidence", "double"))
+    read = read.withColumn("_said", text_of).withColumn("_at", _places(part("memory_index"))).withColumn("_sure", number)
+    several = F.size("_at") > 1
+    listing = F.col("_said").contains("\n") | F.col("_said").rlike("^[-*\u2022] ")
+    read = read.withColumn("_joint", (F.lit(False) if synthesis is None else synthesis) | several | listing)
+    unquoted = F.regexp_replace("_said", r"(?U)^[\s\"'`]+|[\s\"'`]+$", "")
+    read = read.withColumn("_text", F.when(F.col("_joint"), unquoted).otherwise(clean_span(F.col("_said"))))
+    low = F.lower("_text")
+    nothing = (low == "") | low.isin(*NO_ANSWERS)
+    for sign in NO_ANSWER_PARTS:
+        nothing = nothing | low.contains(sign)
+    tokens = content_tokens(F.col("_text"))
+    shares = F.transform(gated, lambda g: F.size(F.array_intersect(tokens, F.array_union(content_tokens(g["content"]), content_tokens(g["title"])))))
+    alone = F.transform(gated, lambda g: is_grounded(F.col("_text"), g["title"], g["content"]))
+    corpus = F.array_join(F.transform(gated, lambda g: F.concat_ws(" ", g["title"], g["content"])), " ")
+    read = read.withColumn("_text", F.when(~nothing, F.col("_text")))
+    read = read.withColumn("_shares", shares).withColumn("_alone", alone).withColumn("_all", is_synthesis_grounded(F.col("_text"), corpus)).withColumn("_n", F.size(tokens))
+    first = F.get("_at", F.lit(0))
+    most = F.when(F.size("_shares") > 0, F.size("_shares") - F.array_position(F.reverse("_shares"), F.array_max("_shares"))).otherwise(0)
+    sharing = F.filter("_at", lambda i: F.get("_shares", i) > 0)
+    jointly = F.when(F.col("_all"), F.coalesce(F.get(sharing, F.lit(0)), most))
+    where = F.array_position("_alone", F.lit(True))
+    named = F.when(F.get("_alone", first), first)
+    loosely = F.when((F.col("_n") >= 3) & F.col("_all"), F.coalesce(F.when(F.get("_shares", first) > 0, first), most))
+    singly = F.coalesce(named, F.when(where > 0, where - 1), loosely)
+    read = read.withColumn("memory_index", F.when(F.col("_text").isNotNull(), F.when(F.col("_joint"), jointly).otherwise(singly)).cast("int"))
+    sure = F.when(F.col("_sure") > 0, F.greatest(F.lit(0.05), F.least(F.lit(1.0), "_sure"))).otherwise(UNSTATED)
+    found = F.col("memory_index").isNotNull()
+    return read.select(*[f"`{c}`" for c in rows.columns], F.when(found, F.col("_text")).alias("answer"), "memory_index", F.when(found, sure).alias("confidence"))

@@ -192,6 +192,10 @@ SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM t WHERE term <> '' GR
     "ttl_expire": f"""{MEM}, t AS (SELECT *, nullif(doc_id % 50, 0) * ([1, 1000, 60000, 3600000, 86400000, 604800000])[doc_id % 6 + 1] AS ttl_ms FROM mem)
 SELECT id, CAST(ttl_ms AS BIGINT) AS ttl_ms, CASE WHEN created_at + to_milliseconds(ttl_ms) <= TIMESTAMP '2024-01-03' THEN 'expired' ELSE status END AS status FROM t""",
     "mime_detect": f"WITH {FILES} SELECT memory_id, 'text/html' AS mime_type, 'code' AS media_kind, CAST(NULL AS VARCHAR) AS dimensions FROM files",
+    "model_answers": """WITH w AS (
+  SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN nullif(regexp_extract(coalesce(text, ''), '(?:^| )([a-z]{5,})(?: |$)', 1), '') END AS answer FROM documents)
+SELECT 'doc-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS id, answer, CASE WHEN answer IS NOT NULL THEN 1 END AS memory_index,
+  CASE WHEN answer IS NOT NULL THEN CAST(0.6 AS DOUBLE) END AS confidence FROM w""",
     "media_headers": """SELECT CAST(page_id AS BIGINT) AS page_id,
   (['image/jpeg', 'image/webp', 'video/mp4', 'audio/wav', 'image/gif'])[page_id % 5 + 1] AS mime_type,
   CASE WHEN page_id % 5 <> 3 THEN (page_id % 3000 + 1) || 'x' || (page_id % 2000 + 1) END AS dimensions,

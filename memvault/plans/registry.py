@@ -306,6 +306,19 @@ def grounding_check(spark, sf):
     return rows.select("id", answer.grounded(said, F.col("content")).alias("grounded"), F.size(text.content_tokens(F.col("content"))).alias("n_tokens"))
 
 
+def model_answers(spark, sf):
+    """What a model might answer from each document: a word of it, nothing, a word that is not in it, or no JSON."""
+    docs = corpus.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("content"))
+    word = F.regexp_extract("content", "(?:^| )([a-z]{5,})(?: |$)", 1)
+    turn = F.col("doc_id") % 4
+    said = F.when(turn == 0, word).when(turn == 1, "Not recorded").otherwise("zzqqzz")
+    told = F.concat(F.lit("<think>{}</think> Here {it} is: "), F.to_json(F.struct(said.alias("answer"), (F.col("doc_id") % 8 / 4).cast("int").alias("memory_index"), F.lit(0.6).alias("confidence"))))
+    memory = lambda title, content: F.struct(title.alias("title"), content.alias("content"))
+    gated = F.array(memory(F.lit("-"), F.lit("-")), memory(F.lit("own"), F.col("content")))
+    rows = docs.select(corpus.doc_key("doc_id").alias("id"), F.when(turn == 3, "no answer").otherwise(told).alias("raw"), gated.alias("gated"))
+    return answer.model_answers(rows, "raw", "gated").select("id", "answer", "memory_index", "confidence")
+
+
 def history_filter(spark, sf):
     return stats.history_page(corpus.history(spark, sf), status="failed", limit=50).select("id", "subcommand", "status", "total")
 
@@ -507,7 +520,7 @@ def queries() -> dict[str, Query]:
         ingest_merge, rehomed_links, meaningful_tokens, conflicts_pairs, conflicts_nearest, conflicts_resolved, links_all, graph_related,
         graph_related_paths, graph_snapshot, node_degree, node_cards, link_upsert, autolink_titles, autolink_tags, autolink_semantic,
         wikilinks, dangling_links, categorize, lenient_categories, observe_conversations, answer_top1, answer_gate,
-        answer_entity_index, grounding_check, history_filter, history_prune, history_latency, merge_vaults_skip,
+        answer_entity_index, grounding_check, model_answers, history_filter, history_prune, history_latency, merge_vaults_skip,
         merge_vaults_replace, merge_vaults_links, hash_embedding, card_texts, import_json, export_markdown, export_json_roundtrip,
         get_many, restore_lookup, node_links, links_restored, graph_khop_nodes, graph_khop_edges, backlinks, write_time_peers, conflict_merged,
         rehomed_entities, batch_files, file_tags, file_texts, recall_expanded_as_of, recall_media, recall_media_part, recall_precision,

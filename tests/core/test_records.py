@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memvault.functions import modeltext
-from memvault.operators import conflict, dedup, filters, fusion, graph
+from memvault.operators import answer, conflict, dedup, filters, fusion, graph
 from memvault.schema import MEMORIES
 from memvault.sources import exporters, importers
 from memvault.vault import Vault
@@ -134,3 +134,21 @@ def test_vaults_keep_children_and_embed_changed_cards_only(spark, tmp_path):
     other = Vault(spark, f"file://{tmp_path}/two")
     other.merge(vault)
     assert other.table("memories").count() == 3 and other.table("entities").count() == 1
+
+
+def test_model_answers_must_be_borne_out(spark):
+    told = [
+        ('{"answer": "port 5432", "memory_index": 0, "confidence": 7}', "port 5432", 1, 1.0),  # the named record doesn't have it
+        ('{"answer": " \\"Port 5432\\" ", "memory_index": "[1]"}', "Port 5432", 1, 0.85),
+        ('{"answer": "- amber lamp\\n- port 5432", "memory_index": ["0", 1], "confidence": 0.001}', "- amber lamp\n- port 5432", 0, 0.05),
+        ('{"answer": "port 5432", "memory_index": 9, "confidence": "0.2"}', "port 5432", 1, 0.85),
+        ('{"answer": "N/A", "memory_index": 0}', None, None, None),
+        ('{"answer": "port 9999 on lamp", "memory_index": 1}', None, None, None),
+        ('{"answer": 5432}', None, None, None),
+        ("no JSON", None, None, None),
+        (None, None, None, None),
+    ]
+    rows = spark.createDataFrame([(k, t[0]) for k, t in enumerate(told)], "k int, raw string")
+    gated = F.expr("array(named_struct('title', 'Light', 'content', 'The amber lamp burns'), named_struct('title', 'Base', 'content', 'It is on port 5432 now'))")
+    got = {r["k"]: (r["answer"], r["memory_index"], r["confidence"]) for r in answer.model_answers(rows.withColumn("g", gated), "raw", "g").collect()}
+    assert got == {k: t[1:] for k, t in enumerate(told)}
