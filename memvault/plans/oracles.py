@@ -196,6 +196,16 @@ SELECT id, CAST(ttl_ms AS BIGINT) AS ttl_ms, CASE WHEN created_at + to_milliseco
   SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN nullif(regexp_extract(coalesce(text, ''), '(?:^| )([a-z]{5,})(?: |$)', 1), '') END AS answer FROM documents)
 SELECT 'doc-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS id, answer, CASE WHEN answer IS NOT NULL THEN 1 END AS memory_index,
   CASE WHEN answer IS NOT NULL THEN CAST(0.6 AS DOUBLE) END AS confidence FROM w""",
+    "import_links": """SELECT CAST(event_id AS VARCHAR) AS source_id, CAST(event_id - event_id % 3 AS VARCHAR) AS target_id,
+  CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'relates_to' END AS relation FROM events WHERE event_id % 3 <> 0""",
+    "import_front_matter": f"""SELECT CAST(doc_id AS VARCHAR) AS path, 'T ' || doc_id AS title, 'decision' AS category, lang || ',' || source AS tags,
+  md5(trim(text, {_BLANKS})) AS content_md5 FROM documents WHERE trim(coalesce(text, ''), {_BLANKS}) <> ''""",
+    "import_sections": """SELECT CAST(doc_id AS VARCHAR) AS path, unnest(['decision', 'goal', 'goal']) AS category,
+  unnest(['Of ' || doc_id, 'read ' || lang, 'keep ' || doc_id]) AS title, unnest(['from ' || source, 'read ' || lang, 'keep ' || doc_id]) AS content FROM documents""",
+    "attachment_decode": f"WITH {FILES} SELECT memory_id, filename, sha256, CAST(size_bytes AS INTEGER) AS size_bytes FROM files",
+    "conversation_turns": """SELECT conv_id || '/' || turn AS doc_id, unnest([0, 1]) AS turn, coalesce(role, 'user') AS role, md5(coalesce(text, '')) AS text_md5
+FROM conversations""",
+    "redacted_args": "SELECT event_id, 'add --TOKEN [REDACTED] --api_key=[REDACTED] --tag ' || event_type AS args FROM events",
     "media_headers": """SELECT CAST(page_id AS BIGINT) AS page_id,
   (['image/jpeg', 'image/webp', 'video/mp4', 'audio/wav', 'image/gif'])[page_id % 5 + 1] AS mime_type,
   CASE WHEN page_id % 5 <> 3 THEN (page_id % 3000 + 1) || 'x' || (page_id % 2000 + 1) END AS dimensions,

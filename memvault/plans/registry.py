@@ -387,6 +387,51 @@ def import_json(spark, sf):
     return importers.json_candidates(importers.json_objects(files)).select("path", "id", "category", "title", "content", F.array_join("tags", ",").alias("tags"))
 
 
+def import_links(spark, sf):
+    """Events as links in two shapes, some of them onto themselves."""
+    events = corpus.table(spark, sf, "events")
+    one, two = F.col("event_id").cast("string"), (F.col("event_id") - F.col("event_id") % 3).cast("string")
+    named = F.to_json(F.struct(one.alias("from"), two.alias("to"), F.col("event_type").alias("relationType")))
+    line = F.when(F.col("event_id") % 2 == 0, named).otherwise(F.to_json(F.struct(one.alias("source_id"), two.alias("target_id"))))
+    return importers.json_links(importers.json_objects(events.select(one.alias("path"), line.alias("text"))))
+
+
+def import_front_matter(spark, sf):
+    """Each document as a Markdown file with a head."""
+    docs = corpus.table(spark, sf, "documents")
+    head = F.concat(F.lit('---\nTitle: "T '), "doc_id", F.lit('"\ntype: Decision\ntags: ['), "lang", F.lit(", "), "source", F.lit("]\n---\n"))
+    files = docs.select(F.col("doc_id").cast("string").alias("path"), F.concat(head, F.coalesce("text", F.lit(""))).alias("text"))
+    return importers.front_matter(files).select("path", "title", "category", F.array_join("tags", ",").alias("tags"), F.md5("content").alias("content_md5"))
+
+
+def import_sections(spark, sf):
+    """Each document's labels as a Markdown file with two sections."""
+    docs = corpus.table(spark, sf, "documents")
+    text = F.concat(F.lit("# All\n\n## DECISION\n### Of "), "doc_id", F.lit("\n\nfrom "), "source", F.lit("\n\n---\n\n## Goal\n- read "), "lang", F.lit("\n* keep "), "doc_id", F.lit("\n"))
+    return importers.sectioned(docs.select(F.col("doc_id").cast("string").alias("path"), text.alias("text")))
+
+
+def attachment_decode(spark, sf):
+    files = corpus.attachments(spark, sf).select("memory_id", "filename", "sha256", F.base64("data").alias("base64"))
+    return importers.attachments(files).select("memory_id", "filename", "sha256", F.octet_length("data").alias("size_bytes"))
+
+
+def conversation_turns(spark, sf):
+    """Each turn twice in a transcript, as a JSON array or as JSON lines."""
+    rows = corpus.table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("said"))
+    one, two = F.struct("role", F.col("said").alias("content")), F.struct(F.col("role").alias("speaker"), F.col("said").alias("text"))
+    array = F.concat(F.lit("["), F.to_json(one), F.lit(", "), F.to_json(two), F.lit("]"))
+    text = F.when(F.col("turn") % 2 == 0, array).otherwise(F.concat_ws("\n", F.to_json(two), F.to_json(one)))
+    found = observe.turns_of_text(rows.select(F.concat_ws("/", "conv_id", "turn").alias("doc_id"), text.alias("text")))
+    return found.select("doc_id", "turn", "role", F.md5("text").alias("text_md5"))
+
+
+def redacted_args(spark, sf):
+    events = corpus.table(spark, sf, "events")
+    args = F.concat(F.lit("add --TOKEN "), "event_id", F.lit(" --api_key="), "event_type", F.lit(" --tag "), "event_type")
+    return events.select("event_id", text.redacted(args).alias("args"))
+
+
 def export_markdown(spark, sf):
     rows = exporters.markdown(_mem(spark, sf))
     return rows.groupBy("category", "place").agg(F.count("*").alias("blocks"))
@@ -521,7 +566,7 @@ def queries() -> dict[str, Query]:
         graph_related_paths, graph_snapshot, node_degree, node_cards, link_upsert, autolink_titles, autolink_tags, autolink_semantic,
         wikilinks, dangling_links, categorize, lenient_categories, observe_conversations, answer_top1, answer_gate,
         answer_entity_index, grounding_check, model_answers, history_filter, history_prune, history_latency, merge_vaults_skip,
-        merge_vaults_replace, merge_vaults_links, hash_embedding, card_texts, import_json, export_markdown, export_json_roundtrip,
+        merge_vaults_replace, merge_vaults_links, hash_embedding, card_texts, import_json, import_links, import_front_matter, import_sections, attachment_decode, conversation_turns, redacted_args, export_markdown, export_json_roundtrip,
         get_many, restore_lookup, node_links, links_restored, graph_khop_nodes, graph_khop_edges, backlinks, write_time_peers, conflict_merged,
         rehomed_entities, batch_files, file_tags, file_texts, recall_expanded_as_of, recall_media, recall_media_part, recall_precision,
         backup_roundtrip, entity_json,
