@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from memvault import schema
 from memvault.functions import rules, text
 from memvault.operators import conflict, dedup, filters, fusion, graph, stats, vectors
+from memvault.sources import exporters
 
 TABLES = {
     "memories": schema.MEMORIES,
@@ -210,6 +211,42 @@ class Vault:
         taken = lambda name: self.table(name).join(owned, "memory_id", "left_anti").unionByName(other.table(name).join(owned, "memory_id", "left_semi"))
         return self.commit(memories=rows, links=links, vectors=vecs, attachments=taken("attachments"), entities=taken("entities"))
 
+    # bundles
+
+    def export_bundle(self, path: str) -> None:
+        """A vault of its own under path, with all tables of this version and their manifest."""
+        self._check_identity(self.at)
+        bundle = Vault(self.spark, path, self.embedder)
+        bundle.commit(**{name: self.table(name) for name in TABLES})
+        bundle.manifest().write.json(f"{bundle.path}/manifest")
+
+    def manifest(self) -> DataFrame:
+        return exporters.manifest(self.table("memories"), self.table("attachments"), self.table("links"))
+
+    def inspect_bundle(self, path: str) -> dict:
+        """What a bundle's manifest says, after its tables were held against it; ValueError if they differ or don't fit together.
+
+        Counts, bytes and kinds must be those of the manifest, the hashes of files those of their bytes, and every link, file,
+        entity and vector must belong to a record.
+        """
+        bundle = Vault(self.spark, path, self.embedder)
+        said = self.spark.read.schema(bundle.manifest().schema).json(f"{bundle.path}/manifest").first()  # one row
+        if said is None or said != bundle.manifest().first():
+            raise ValueError(f"the tables of {path} don't agree with its manifest")
+        records, files = bundle.table("memories").select("id"), bundle.table("attachments")
+        if not files.where(F.sha2("data", 256) != F.lower("sha256")).isEmpty():
+            raise ValueError(f"files of {path} don't agree with their hashes")
+        ends = (("links", "source_id"), ("links", "target_id"), ("attachments", "memory_id"), ("entities", "memory_id"), ("vectors", "id"))
+        for name, column in ends:
+            if not bundle.table(name).join(records.withColumnRenamed("id", column), column, "left_anti").isEmpty():
+                raise ValueError(f"{name} of {path} name records that it lacks")
+        return said.asDict()
+
+    def import_bundle(self, path: str, replace: bool = False) -> int:
+        """Takes over a bundle that passes inspect_bundle, as merge does; nothing is written if it doesn't pass."""
+        self.inspect_bundle(path)
+        return self.merge(Vault(self.spark, path, self.embedder), replace)
+
     # reading
 
     def recall(self, query: str, limit: int = 10, expand: bool = False, **filters_) -> DataFrame:

@@ -76,3 +76,32 @@ def test_vectors_of_another_embedder_are_refused_until_reindexed(spark, vault):
     assert {len(r["embedding"]) for r in other.table("vectors").collect()} == {2}
     with pytest.raises(ValueError, match="reindex"):
         Vault(spark, vault.path).recall("port")
+
+
+def test_bundles_are_verified_before_they_are_taken_over(spark, vault, tmp_path):
+    file = spark.createDataFrame([("a", "n.txt", bytearray(b"hello"))], "memory_id string, filename string, data binary")
+    file = file.withColumn("sha256", F.sha2("data", 256)).withColumn("size_bytes", F.octet_length("data").cast("long")).withColumn("media_kind", F.lit("document"))
+    vault.commit(attachments=file)
+    vault.autolink()
+    vault.export_bundle(str(tmp_path / "good"))
+    fresh = Vault(spark, str(tmp_path / "fresh"))
+    said = fresh.inspect_bundle(str(tmp_path / "good"))
+    assert (said["records"], said["files"], said["bytes"]) == (3, 1, 5)
+    fresh.import_bundle(str(tmp_path / "good"))
+    for name in ("memories", "vectors", "attachments"):
+        assert sorted(map(str, fresh.table(name).collect())) == sorted(map(str, vault.table(name).collect()))
+    assert fresh.table("links").count() == vault.table("links").count() > 0
+
+    changes = {
+        "hashes": {"attachments": file.withColumn("sha256", F.lit("00"))},
+        "lacks": {"vectors": vault.table("vectors").withColumn("id", F.lit("none"))},
+        "manifest": {"memories": vault.table("memories").limit(2)},
+    }
+    version = fresh.version
+    for k, (message, change) in enumerate(changes.items()):
+        path = str(tmp_path / f"bad{k}")
+        vault.export_bundle(path)
+        Vault(spark, path).commit(**change)
+        with pytest.raises(ValueError, match=message):
+            fresh.import_bundle(path)
+    assert Vault(spark, fresh.path).version == version
