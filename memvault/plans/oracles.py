@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from memvault.functions import rules
-from memvault.functions.text import MEANING_STOP
+from memvault.functions.text import FUNCTION_WORDS, MEANING_STOP
 from memvault.schema import CATEGORIES
 from memvault.sources.corpus import PREFIXES
 
@@ -206,6 +206,12 @@ SELECT 'doc-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS id, answer, CASE WHEN
     "conversation_turns": """SELECT conv_id || '/' || turn AS doc_id, unnest([0, 1]) AS turn, coalesce(role, 'user') AS role, md5(coalesce(text, '')) AS text_md5
 FROM conversations""",
     "redacted_args": "SELECT event_id, 'add --TOKEN [REDACTED] --api_key=[REDACTED] --tag ' || event_type AS args FROM events",
+    "grounding_check": f"""{MEM}, said AS (
+  SELECT id, content, array_to_string(list_slice(string_split(content, ' '), 2, 3), ' ') AS said,
+    list_transform(regexp_split_to_array(content, '[^\\p{{L}}\\p{{N}}]+'), lambda w: lower(w)) AS w FROM mem)
+SELECT id, regexp_matches(content, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(said) || '(?:$|[^\\p{{L}}\\p{{N}}_])') AS grounded,
+  CAST(len(list_distinct(list_filter(w, lambda t: t <> '' AND (strlen(t) > 1 OR regexp_matches(t, '[0-9]')) AND NOT list_contains({_list(FUNCTION_WORDS)}, t)))) AS INTEGER) AS n_tokens
+FROM said""",
     "media_headers": """SELECT CAST(page_id AS BIGINT) AS page_id,
   (['image/jpeg', 'image/webp', 'video/mp4', 'audio/wav', 'image/gif'])[page_id % 5 + 1] AS mime_type,
   CASE WHEN page_id % 5 <> 3 THEN (page_id % 3000 + 1) || 'x' || (page_id % 2000 + 1) END AS dimensions,
