@@ -13,6 +13,7 @@ from memvault.llm import (
     jaccard_join,
     line_dedup,
     lm_scoring,
+    merkle,
     packing,
     quality_rules,
     sentencepieces,
@@ -85,6 +86,13 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id's checksum 7 divides are tampered with: one more character than they have."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+    return merkle.dataset_proofs(table(spark, sf_dir, "documents"), tampered, more)
+
+
 def queries() -> dict[str, Query]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -98,6 +106,7 @@ def queries() -> dict[str, Query]:
         "op8_sharding": op8_sharding,
         "op9_packing": op9_packing,
         "op10_lm_scoring": op10_lm_scoring,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -173,6 +182,53 @@ FROM b
 """
 
 
+_FIELDS = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END" for c in merkle.FIELDS)
+
+OP13 = f"""
+WITH RECURSIVE sums AS (
+  SELECT DISTINCT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+    lambda s, c: list_reduce(list_prepend(xor(s, c), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS crc
+  FROM documents WHERE doc_id IS NOT NULL),
+docs AS (
+  SELECT doc_id, coalesce('1' || lang, '') AS tree, sha256({_FIELDS}) AS leaf,
+         sha256({_FIELDS.replace("n_chars", "(n_chars + (crc % 7 = 0)::INT)")}) AS used
+  FROM documents LEFT JOIN sums USING (doc_id)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM docs),
+low(tree, lvl, pos, h, n) AS (
+  SELECT tree, 0, pos, leaf, n FROM placed
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (min(n) + 1) // 2
+  FROM low WHERE n > 1 GROUP BY tree, lvl, pos // 2),
+subs AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+high(lvl, pos, h, n) AS (
+  SELECT 0, pos, h, n FROM subs
+  UNION ALL
+  SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (min(n) + 1) // 2
+  FROM high WHERE n > 1 GROUP BY lvl, pos // 2),
+steps AS (
+  SELECT a.tree, a.pos, l.lvl AS step, (a.pos >> l.lvl) & 1 AS side, s.h
+  FROM placed a JOIN (SELECT DISTINCT tree, lvl FROM low WHERE n > 1) l USING (tree)
+  LEFT JOIN low s ON s.tree = a.tree AND s.lvl = l.lvl AND s.pos = xor(a.pos >> l.lvl, 1)
+  UNION ALL
+  SELECT a.tree, a.pos, 1000 + l.lvl, (t.pos >> l.lvl) & 1, s.h
+  FROM placed a JOIN subs t USING (tree) CROSS JOIN (SELECT DISTINCT lvl FROM high WHERE n > 1) l
+  LEFT JOIN high s ON s.lvl = l.lvl AND s.pos = xor(t.pos >> l.lvl, 1)),
+paths AS (
+  SELECT tree, pos, sha256(coalesce(string_agg(h, '' ORDER BY step), '')) AS proof,
+         list({{'side': side, 'h': h}} ORDER BY step) AS path
+  FROM steps GROUP BY tree, pos),
+folded AS (
+  SELECT a.*, coalesce(p.proof, sha256('')) AS proof_sha256,
+         list_reduce(list_prepend({{'side': 0, 'h': a.used}}, coalesce(path, [])), lambda x, s:
+           {{'side': 0, 'h': sha256(CASE WHEN s.h IS NULL THEN x.h WHEN s.side = 1 THEN s.h || x.h ELSE x.h || s.h END)}}).h AS folded_root
+  FROM placed a LEFT JOIN paths p USING (tree, pos))
+SELECT f.doc_id, f.leaf, t.h AS subroot, r.h AS root, f.proof_sha256, f.folded_root, f.folded_root = r.h AS verified
+FROM folded f JOIN subs t USING (tree) CROSS JOIN (SELECT h FROM high WHERE n = 1) r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return whole | {"op3_line_dedup": OP3, "op5_url_filter": OP5, "op6_quality_rules": OP6}
+    return whole | {"op3_line_dedup": OP3, "op5_url_filter": OP5, "op6_quality_rules": OP6, "op13_merkle_manifest": OP13}
