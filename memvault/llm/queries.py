@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from memvault.llm import (
     fingerprints,
+    genetic_packing,
     jaccard_join,
+    lexical_rank,
     line_dedup,
     lm_scoring,
     merkle,
@@ -86,6 +88,14 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return genetic_packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op12_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_rank.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose id's checksum 7 divides are tampered with: one more character than they have."""
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
@@ -106,6 +116,8 @@ def queries() -> dict[str, Query]:
         "op8_sharding": op8_sharding,
         "op9_packing": op9_packing,
         "op10_lm_scoring": op10_lm_scoring,
+        "op11_best_fit_packing": op11_best_fit_packing,
+        "op12_lexical_rank": op12_lexical_rank,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
@@ -182,6 +194,32 @@ FROM b
 """
 
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP12 = f"""
+WITH items AS (SELECT row_number() OVER () AS item, item_id, text FROM benchmark),
+asked AS (
+  SELECT item, item_id, term, count(*) AS often FROM (
+    SELECT item, item_id, unnest(regexp_extract_all(translate(text, {_AZ}), '{_TERM}')) AS term FROM items)
+  GROUP BY ALL),
+docs AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, {_AZ}), '{_TERM}') AS t FROM documents),
+sized AS (SELECT row, doc_id, len(t)::BIGINT AS n, t FROM docs WHERE len(t) > 0),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sized),
+tf AS (
+  SELECT row, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT row, doc_id, n, unnest(t) AS term FROM sized)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+w AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term),
+scored AS (
+  SELECT item, item_id, row, doc_id,
+         sum(often * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN w USING (term), total GROUP BY ALL),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM best WHERE rank <= 10
+"""
+
 _FIELDS = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END" for c in merkle.FIELDS)
 
 OP13 = f"""
@@ -231,4 +269,4 @@ FROM folded f JOIN subs t USING (tree) CROSS JOIN (SELECT h FROM high WHERE n =
 
 def oracle_sql() -> dict[str, str]:
     whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return whole | {"op3_line_dedup": OP3, "op5_url_filter": OP5, "op6_quality_rules": OP6, "op13_merkle_manifest": OP13}
+    return whole | {"op3_line_dedup": OP3, "op5_url_filter": OP5, "op6_quality_rules": OP6, "op12_lexical_rank": OP12, "op13_merkle_manifest": OP13}
