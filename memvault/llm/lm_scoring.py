@@ -13,11 +13,13 @@ For each order a block sends its distinct n-grams, with their counts, to the par
 of their hashes; a part of about ``PART`` n-grams adds up what all blocks sent and answers each in the
 order of its question. So a hot n-gram is one entry a block, however often it occurs. Steps:
 
-1. Pairs are asked for by 32 bits (hash and count) each: which occur ``LEAST`` times? False
+1. Pairs are asked for by 32 bits (hash and count) each: which occur ``least`` times? False
    positives only cost a later question.
 2. Triples whose two pairs both pass, then the passed pairs, then words: full hashes, counts, and
    the key of the context; each part hands on what the contexts of its arcs keep.
-3. A block has the automaton of its own tokens then, and reads them left to right once.
+3. A block has the automaton of its own tokens then: states, arcs with weights and targets, failure arcs. Texts are
+   read left to right once, a token of each at a time; each carries its state on. A long text is read in lanes of ``LANE``
+   tokens, which reach the state that they begin in by reading the two tokens before.
 
 Words and n-grams are compared by 64-bit hash. Defined cases: a null or blank text is its end alone;
 a null doc_id counts as the empty text in the fold; repeated rows are trained on and
@@ -39,13 +41,15 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from memvault.llm.common import drop, parallelism, written
 from memvault.llm.shingles import batch_words, mix
 
-#: Occurrences that an n-gram of two or three words needs; the same for every corpus.
+#: Occurrences that an n-gram of two or three words needs, unless score() is told otherwise.
 LEAST = 2
 DISCOUNT = 0.75
 #: Tokens of a block, and n-grams of a part, about.
 BLOCK, PART = 1_000_000, 1_000_000
 END = np.array([0x9E3779B97F4A7C15], dtype=np.uint64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Tokens that a lane reads.
+LANE = 1024
 #: Tokens of context that a state holds.
 _CARRIED = 2
 #: Kinds of rows that parts give: answers to blocks, what contexts keep, numbers of tokens and words.
@@ -241,15 +245,18 @@ def _ask_whether(parts: int) -> Callable[[pa.RecordBatch], pa.Table]:
     return ask
 
 
-def _tell_whether(asked: pa.Table) -> pa.Table:
-    short = [_array(x, "<u4") for x in asked["h"]]
-    flat = np.concatenate(short)
-    _, which = np.unique(flat >> 2, return_inverse=True)
-    often = (np.bincount(which, weights=flat & 3) >= LEAST)[which]
-    ends = np.cumsum([len(x) for x in short]).tolist()
-    part = asked["part"][0].as_py()
-    rows = [(_ANSWER, b, part, len(x), np.packbits(often[e - len(x) : e]).tobytes(), None, None) for b, x, e in zip(asked["block"].to_pylist(), short, ends, strict=True)]
-    return _table(rows, _GIVEN_NAMES, _GIVEN_TYPES)
+def _tell_whether(least: int) -> Callable[[pa.Table], pa.Table]:
+    def tell(asked: pa.Table) -> pa.Table:
+        short = [_array(x, "<u4") for x in asked["h"]]
+        flat = np.concatenate(short)
+        _, which = np.unique(flat >> 2, return_inverse=True)
+        often = (np.bincount(which, weights=flat & 3) >= min(least, 3))[which]
+        ends = np.cumsum([len(x) for x in short]).tolist()
+        part = asked["part"][0].as_py()
+        rows = [(_ANSWER, b, part, len(x), np.packbits(often[e - len(x) : e]).tobytes(), None, None) for b, x, e in zip(asked["block"].to_pylist(), short, ends, strict=True)]
+        return _table(rows, _GIVEN_NAMES, _GIVEN_TYPES)
+
+    return tell
 
 
 def _with_passes(row: pa.Table, answers: pa.Table) -> pa.Table:
@@ -275,7 +282,7 @@ def _ask(k: int, parts: int) -> Callable[[pa.RecordBatch], pa.Table]:
     return ask
 
 
-def _tell(k: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _tell(k: int, parts: int, least: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """One part's totals: answers for the blocks, and what contexts keep for the next shorter order."""
 
     def tell(asked: pa.Table, kept: pa.Table) -> pa.Table:
@@ -284,7 +291,7 @@ def _tell(k: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         hashes = [_from_steps(x) for x in asked["h"]]
         keys, which = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.bincount(which, weights=np.concatenate([_from_planes(x, "<i8") for x in asked["c"]]), minlength=len(keys)).astype(np.int64)
-        arc = total >= (LEAST if k > 1 else 1)
+        arc = total >= (least if k > 1 else 1)
         total[~arc] = 0
         stays = np.zeros((2, len(keys)), np.int64)
         if kept.num_rows:
@@ -315,29 +322,99 @@ def _tell(k: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 # --- scores -----------------------------------------------------------------------------------
 
 
-def _walk(block: Block, row: pa.Table, answers: dict[int, tuple[np.ndarray, np.ndarray]], n: int, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token: whether it is known, log10 of its add-one share, log10 p given the state before it.
+@dataclass
+class Automaton:
+    """The states and arcs that a block's tokens need.
 
-    The state after a token is known from what ends there, so places are read side by side.
+    State 0 is the root, 1 + w the word w, then come the pairs. A place's arcs into pairs and by triples are known by
+    their numbers, -1 where there is none; the root has an arc for every word.
     """
-    size = len(block.codes)
-    pairs, triples = block.passed(row)
-    c, back = np.zeros((3, size), np.int64), np.zeros((2, size))
-    c[0], back[0] = answers[1][0][block.codes], answers[1][1][block.codes]
-    for k, at in ((2, pairs), (3, triples)):
-        which = block.distinct(k, at)[1]
-        c[k - 1, at] = answers[k][0][which]
-        if k < 3:
-            back[k - 1, at] = answers[k][1][which]
-    base = np.log10((c[0] + 1) / (n + v + 1))
-    log = base.copy()
-    for k, at in ((1, block.pairs()), (2, np.flatnonzero(block.place >= 2))):
-        failed = log[at] + back[k - 1, at - 1]
-        arc = c[k, at] > 0
-        share = (c[k, at[arc]] - DISCOUNT) / c[k - 1, at[arc] - 1]
-        failed[arc] = np.log10(share + 10 ** failed[arc])
-        log[at] = failed
-    return c[0] > 0, base, log
+
+    n_words: int
+    root_log: np.ndarray  # of each word's arc from the root
+    fail_to: np.ndarray  # of each state but the root
+    fail_log: np.ndarray
+    pair_log: np.ndarray  # arcs from words; pair p leads to the state of the pair p
+    triple_log: np.ndarray  # arcs from pairs
+    triple_to: np.ndarray
+    pair_at: np.ndarray  # of each place
+    triple_at: np.ndarray
+
+    @classmethod
+    def of(cls, block: Block, row: pa.Table, answers: dict[int, tuple[np.ndarray, np.ndarray]], n: int, v: int) -> Automaton:
+        size, n_words = len(block.codes), len(block.words)
+        words, fail_word = answers[1]
+        root_log = np.log10((words + 1) / (n + v + 1))
+        at: list[np.ndarray] = []
+        ends: list[np.ndarray] = []  # a place where each arc's n-gram ends
+        counts: list[np.ndarray] = []
+        fails: list[np.ndarray] = []
+        for k, places in zip((2, 3), block.passed(row), strict=True):
+            which = block.distinct(k, places)[1]
+            count, fail = answers[k]
+            arc = count > 0
+            number = np.where(arc, np.cumsum(arc) - 1, -1)
+            own, end = np.full(size, -1, np.int64), np.zeros(len(count), np.int64)
+            own[places] = number[which]
+            end[which] = places
+            at.append(own)
+            ends.append(end[arc])
+            counts.append(count[arc])
+            fails.append(fail[arc])
+        pair_at, triple_at = at
+        last, before = block.codes[ends[0]], block.codes[ends[0] - 1]
+        pair_log = np.log10((counts[0] - DISCOUNT) / words[before] + 10 ** (fail_word[before] + root_log[last]))
+        end = ends[1]
+        last, before = block.codes[end], block.codes[end - 1]
+        first, second = pair_at[end - 1], pair_at[end]  # a triple's pairs occur as often as it does
+        shorter = np.where(second >= 0, pair_log[second] if len(pair_log) else 0.0, fail_word[before] + root_log[last])
+        of_first, fail_first = (counts[0][first], fails[0][first]) if len(pair_log) else (np.ones(len(first)), np.zeros(len(first)))
+        triple_log = np.log10((counts[1] - DISCOUNT) / of_first + 10 ** (fail_first + shorter))
+        fail_to = np.concatenate([np.zeros(n_words + 1, np.int64), 1 + block.codes[ends[0]].astype(np.int64)])
+        fail_log = np.concatenate([[0.0], fail_word, fails[0]])
+        return cls(n_words, root_log, fail_to, fail_log, pair_log, triple_log, 1 + n_words + second, pair_at, triple_at)
+
+    def step(self, state: np.ndarray, word: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a word of each text, and the weights of the arcs taken, failure arcs included."""
+        first_pair = 1 + self.n_words
+        log = np.zeros(len(state))
+        arc = self.triple_at[place]
+        taken = (state >= first_pair) & (arc >= 0)
+        log[taken] = self.triple_log[arc[taken]]
+        after = np.where(taken, self.triple_to[arc] if len(self.triple_to) else 0, 0)
+        fails = ~taken & (state >= first_pair)
+        log[fails] += self.fail_log[state[fails]]
+        state = np.where(fails, self.fail_to[state], state)
+        arc = self.pair_at[place]
+        open_ = ~taken & (state > 0)
+        hit = open_ & (arc >= 0)
+        log[hit] += self.pair_log[arc[hit]]
+        after = np.where(hit, first_pair + arc, after)
+        fails = open_ & ~hit
+        log[fails] += self.fail_log[state[fails]]
+        at_root = ~taken & ~hit
+        log[at_root] += self.root_log[word[at_root]]
+        return np.where(at_root, 1 + word, after), log
+
+    def read(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log10 p of each token of texts that lie one after another."""
+        first = np.cumsum(sizes) - sizes
+        lanes = -(-sizes // LANE)
+        start = np.repeat(first, lanes) + LANE * (np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes))
+        begin = np.maximum(start - _CARRIED, np.repeat(first, lanes))
+        length = np.minimum(start + LANE, np.repeat(first + sizes, lanes)) - begin
+        order = np.argsort(-length, kind="stable")
+        begin, warm, length = begin[order], (start - begin)[order], length[order]
+        out, state = np.zeros(len(codes)), np.zeros(len(begin), np.int64)
+        active = np.searchsorted(-length, -np.arange(1, length.max(initial=0) + 1), side="right")  # lanes longer than t
+        for t, n in enumerate(active.tolist()):
+            place = begin[:n] + t
+            state[:n], log = self.step(state[:n], codes[place], place)
+            if t < _CARRIED:
+                own = warm[:n] <= t
+                place, log = place[own], log[own]
+            out[place] = log
+        return out
 
 
 def _read(n: int, v: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -349,7 +426,8 @@ def _read(n: int, v: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         block = Block.of(row)
         order = answers["k"].to_numpy()
         found = {k: _answers_for(answers.filter(pa.array(order == k))) for k in (1, 2, 3)}
-        known, base, log = _walk(block, row, found, n, v)
+        machine, codes = Automaton.of(block, row, found, n, v), block.codes.astype(np.int64)
+        known, base, log = found[1][0][codes] > 0, machine.root_log[codes], machine.read(codes, block.sizes)
         first = np.cumsum(block.sizes) - block.sizes
         sums = [np.add.reduceat(np.where(block.own, x, 0), first) for x in (np.ones(len(known), np.int64), known.astype(np.int64), base, log)]
         columns = [pa.array(_array(row["rows"][0], "<i8")), row["ids"][0].values, row["held"][0].values, pa.array(_array(row["pieces"][0], "<i8")), *map(pa.array, sums)]
@@ -358,13 +436,18 @@ def _read(n: int, v: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return read
 
 
-def score(documents: DataFrame, *, text: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of documents."""
+def score(documents: DataFrame, *, text: str = "text", least: int = LEAST) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of documents.
+
+    Pairs and triples count from least occurrences on (1 to 3).
+    """
+    if not 1 <= least <= 3:
+        raise ValueError("least lies between 1 and 3")
     spark = documents.sparkSession
     made = blocks(documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(f"`{text}`").cast("binary").alias("body")))
     tokens = made.agg(F.sum("n")).first()[0] or 0
     parts = max(parallelism(spark), -(-tokens // PART))
-    mask = written(asked(made, _ask_whether(parts)).groupBy("part").applyInArrow(_tell_whether, _GIVEN), "lm-mask")
+    mask = written(asked(made, _ask_whether(parts)).groupBy("part").applyInArrow(_tell_whether(least), _GIVEN), "lm-mask")
     fields = StructType([*made.schema.fields, StructField("passes", BinaryType())])
     masked = written(made.groupBy("block").cogroup(mask.groupBy("block")).applyInArrow(_with_passes, fields), "lm-masked")
     for table in (made, mask):
@@ -372,7 +455,7 @@ def score(documents: DataFrame, *, text: str = "text") -> DataFrame:
     given: dict[int, DataFrame] = {}
     kept = spark.createDataFrame([], _GIVEN)
     for k in (3, 2, 1):
-        told = asked(masked, _ask(k, parts)).groupBy("part").cogroup(kept.groupBy("part")).applyInArrow(_tell(k, parts), _GIVEN)
+        told = asked(masked, _ask(k, parts)).groupBy("part").cogroup(kept.groupBy("part")).applyInArrow(_tell(k, parts, least), _GIVEN)
         given[k] = written(told, f"lm-order{k}")
         kept = given[k].where(F.col("kind") == _KEPT)
     sums = given[1].where(F.col("kind") == _TOTAL).select("a").collect()  # two numbers a part

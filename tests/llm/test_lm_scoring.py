@@ -1,4 +1,4 @@
-"""Language-model scores against a plain model that cuts no word and no n-gram that occurs twice."""
+"""Language-model scores against a plain model that cuts no word and no n-gram that occurs often enough."""
 
 import math
 import os
@@ -16,14 +16,14 @@ from memvault.llm import lm_scoring, queries  # noqa: E402
 SF = "/root/testdata/sf0.001"
 
 
-def expected(docs):
+def expected(docs, least):
     """{doc: (n_tokens, n_known, base_score, score)}."""
     token = {d: [*brute.words((t or "").translate(brute.LOW)), "\0"] for d, t in docs}
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in token}
     grams = [None]
     for k in (1, 2, 3):
         found = Counter(tuple(t[i : i + k]) for d, t in token.items() if not held[d] for i in range(len(t) - k + 1))
-        grams.append({g: c for g, c in found.items() if k == 1 or c >= 2})
+        grams.append({g: c for g, c in found.items() if k == 1 or c >= least})
     n, v = sum(grams[1].values()), len(grams[1])
     left = defaultdict(lambda: 1.0)
     for k in (2, 3):
@@ -44,14 +44,16 @@ def expected(docs):
     return out
 
 
-@pytest.mark.parametrize("block", [lm_scoring.BLOCK, 70])
-def test_no_count_is_lost(spark, monkeypatch, block):
-    """Whole texts in a block, and texts cut into blocks that carry the state on; parts of few n-grams."""
+@pytest.mark.parametrize("block, lane, least", [(lm_scoring.BLOCK, lm_scoring.LANE, 2), (lm_scoring.BLOCK, 7, 1), (70, 3, 2), (70, 1000, 1), (lm_scoring.BLOCK, 1, 3)])
+def test_no_count_is_lost(spark, monkeypatch, block, lane, least):
+    """Whole texts in a block, and texts cut into blocks and lanes that carry the state on; parts of few n-grams; all n-grams, too."""
+    monkeypatch.setattr(lm_scoring, "LANE", lane)
     monkeypatch.setattr(lm_scoring, "BLOCK", block)
     monkeypatch.setattr(lm_scoring, "PART", 3 * block)
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    want = expected(docs)
-    got = queries.op10_lm_scoring(spark, SF).collect()
+    want = expected(docs, least)
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    got = (queries.op10_lm_scoring(spark, SF) if least == lm_scoring.LEAST else lm_scoring.score(given, least=least)).collect()
     assert len(got) == len(docs)
     for r in got:
         n_tokens, n_known, base, score = want[r["doc_id"]]
