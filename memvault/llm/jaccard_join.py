@@ -362,11 +362,12 @@ def _groups(group: pa.Table, percent: int) -> tuple[Tree, np.ndarray]:
     tree = Tree(group["n"].to_numpy(), [x.as_buffer() for x in group["bits"]])
     side = group["side"].to_numpy()[tree.order]
     i, j = group["i"][0].as_py(), group["j"][0].as_py()
-    root = np.arange(len(group))
+    groups = Groups(len(group))
     for a, b in tree.pairs(percent):
         ok = _across(i, j, side, a, b)
-        merge(root, a[ok], b[ok])
-    return tree, root
+        for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
+            groups.join(x, y)
+    return tree, groups.labels()
 
 
 def may_be_linked(members: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
@@ -382,11 +383,35 @@ def may_be_linked(members: DataFrame, signed: DataFrame, percent: int) -> DataFr
     return written(by_part(rows, pair, ["id", "other"], "id long, other long").where("id <> other").distinct(), "maybe")
 
 
-def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Joins the groups (named by a member each) of the pairs (a, b)."""
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        if root[x] != root[y]:
-            root[root == root[y]] = root[x]
+class Groups:
+    """Disjoint groups of n members: union by size, paths halved."""
+
+    def __init__(self, n: int):
+        self.root, self.size = list(range(n)), [1] * n
+
+    def of(self, x: int) -> int:
+        root = self.root
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether x and y were in different groups, which are one now."""
+        x, y = self.of(x), self.of(y)
+        if x == y:
+            return False
+        if self.size[x] < self.size[y]:
+            x, y = y, x
+        self.root[y] = x
+        self.size[x] += self.size[y]
+        return True
+
+    def labels(self) -> np.ndarray:
+        """One member of its group for each member."""
+        out = np.array(self.root, np.int64)
+        while (out[out] != out).any():
+            out = out[out]
+        return out
 
 
 def families(maybe: DataFrame, signed: DataFrame) -> DataFrame:
@@ -455,11 +480,11 @@ def block_links(full: DataFrame, percent: int) -> DataFrame:
         tree = Tree(np.array(list(map(len, items))), [bitmap(x, HELD_BITS).tobytes() for x in items])
         ids, side = group["id"].to_numpy()[tree.order], group["side"].to_numpy()[tree.order]
         items = [items[k] for k in tree.order]
-        root = np.arange(len(ids))
+        groups = Groups(len(ids))
         ends: tuple[list[int], list[int]] = ([], [])
 
         def compare(x: int, y: int) -> None:
-            if root[x] == root[y]:
+            if groups.of(x) == groups.of(y):
                 return
             small, big = sorted((items[x], items[y]), key=len)
             at = np.searchsorted(big, small)
@@ -468,14 +493,14 @@ def block_links(full: DataFrame, percent: int) -> DataFrame:
             if shared >= least_overlap(len(items[x]), len(items[y]), percent):
                 ends[0].append(ids[x])
                 ends[1].append(ids[y])
-                merge(root, np.array([x]), np.array([y]))
+                groups.join(x, y)
 
         if i == j:  # most groups hang on one member: it is tried first
             hub = len(ids) // 2
             for k in range(len(ids)):
                 compare(hub, k)
         for a, b in tree.pairs(percent):
-            ok = _across(i, j, side, a, b) & (root[a] != root[b])
+            ok = _across(i, j, side, a, b)
             for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
                 compare(x, y)
         return np.array(ends[0], np.int64), np.array(ends[1], np.int64)
