@@ -36,7 +36,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: pieces, a checksum of their ids, and the text that they decode to, by its hash."""
     model = tokenizer("piece_bpe_32k.model")
-    done = sentencepieces.joined(sentencepieces.decode(sentencepieces.encode(table(spark, sf_dir, "documents"), model), model))
+    done = sentencepieces.joined(sentencepieces.encode(table(spark, sf_dir, "documents"), model), model)
     return done.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),

@@ -105,11 +105,11 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     return columns.mapInArrow(texts, "row long, doc_id long, chunk int, chunks int, ids binary, part string")
 
 
-def joined(decoded: DataFrame) -> DataFrame:
-    """(doc_id, ids, text) per document; only documents of several chunks are shuffled."""
-    one = decoded.where("chunks = 1").select("doc_id", "ids", F.col("part").alias("text"))
+def joined(encoded: DataFrame, model: str) -> DataFrame:
+    """(doc_id, ids, text) per document of encode()'s chunks, each decoded once; only documents of several chunks are shuffled."""
+    one = decode(encoded.where("chunks = 1"), model).select("doc_id", "ids", F.col("part").alias("text"))
     many = (
-        decoded.where("chunks > 1")
+        decode(encoded.where("chunks > 1"), model)
         .groupBy("row", "doc_id")
         .agg(F.array_sort(F.collect_list(F.struct("chunk", "ids", "part"))).alias("p"))
         .select(
