@@ -1,8 +1,8 @@
 """URL rules by Bloom filter cascades over the corpus's complete key universe.
 
 A rule is a key, host and path prefix in one string such as ``example.org/es/``. A
-url's candidate keys are the host's last labels joined with beginnings of its path, as many
-labels and characters as any rule has. The first level of a cascade encodes the
+url's candidate keys are the host's last labels joined with beginnings of its path, for each
+pair of numbers of labels and characters that some rule has. Lists of any length come in as tables. The first level of a cascade encodes the
 listed keys, the second the corpus keys that pass the first though they aren't listed,
 the third the listed keys that pass the second, and so on until nothing passes
 wrongly. Over that universe the cascade is exact, and rows need no join. Allowed
@@ -15,38 +15,49 @@ one, so repeated rows and null ids are kept.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memvault.llm.common import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bits of one level at most (32 MB); more listed keys than fit give more levels, not wrong answers.
-MAX_BITS = 1 << 28
+#: Bits of one level (32 MB), and bits to which levels grow that let most of the other keys pass; what needs more is refused.
+MAX_BITS, MOST_BITS = 1 << 28, 1 << 31
+#: The share of the other keys that a level may let pass before it grows.
+ENOUGH = 0.75
+#: Pairs of numbers of labels and characters that rules may have.
+SHAPES = 10_000
 
 
 @dataclass(frozen=True)
 class Rules:
-    allow: tuple[str, ...]
-    block: tuple[str, ...]
+    """Lists of keys: few as tuples, any number as tables with a column key."""
 
-    @property
-    def keys(self) -> tuple[str, ...]:
-        return self.allow + self.block
+    allow: tuple[str, ...] | DataFrame
+    block: tuple[str, ...] | DataFrame
 
-    @property
-    def labels(self) -> list[int]:
-        return sorted({k.split("/", 1)[0].count(".") + 1 for k in self.keys})
+    def tables(self, session: SparkSession) -> dict[str, DataFrame]:
+        """Each list as a table, without nulls and repeats."""
+        made = lambda keys: keys if isinstance(keys, DataFrame) else session.createDataFrame([(k,) for k in keys], "key string")
+        return {n: made(k).select("key").where("key is not null").distinct() for n, k in (("allow", self.allow), ("block", self.block))}
 
-    @property
-    def lengths(self) -> list[int]:
-        return sorted({len(k) - k.index("/") for k in self.keys})
+
+def shapes(tables: dict[str, DataFrame]) -> list[tuple[int, int]]:
+    """The pairs of numbers of labels and of path characters that keys have, those with most labels first."""
+    keys = tables["allow"].unionByName(tables["block"])
+    host_ = F.substring_index("key", "/", 1)
+    shape = keys.select(F.size(F.split(host_, r"\.")).alias("k"), (F.char_length("key") - F.char_length(host_)).alias("n")).distinct().limit(SHAPES + 1)
+    found = sorted(((r["k"], r["n"]) for r in shape.collect()), reverse=True)
+    if len(found) > SHAPES:
+        raise ValueError(f"rules have more than {SHAPES} pairs of numbers of labels and characters")
+    return found
 
 
 @dataclass(frozen=True)
@@ -77,16 +88,13 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def candidate_keys(host_: Column, path_: Column, rules: Rules) -> Column:
+def candidate_keys(host_: Column, path_: Column, shapes: list[tuple[int, int]]) -> Column:
     """The keys that could be a rule for this host and path, the longest first; of equally long ones that with the longer host."""
-    found = []
-    for k in sorted(rules.labels, reverse=True):  # the sort below is stable
-        has = (F.size(F.split(host_, r"\.")) >= k) & (host_ != "")
-        for n in rules.lengths:
-            fits = has & (F.char_length(path_) >= n)
-            found.append(F.when(fits, F.concat(F.substring_index(host_, ".", -k), F.substring(path_, 1, n))))
-    keys = F.array_compact(F.array(*found))
-    return F.array_sort(keys, lambda x, y: F.char_length(y) - F.char_length(x))
+    listed = F.from_json(F.lit(json.dumps([{"k": k, "n": n} for k, n in shapes])), "array<struct<k:int,n:int>>")
+    labels = F.when(host_ != "", F.size(F.split(host_, r"\."))).otherwise(0)
+    fits = F.filter(listed, lambda s: (s["k"] <= labels) & (s["n"] <= F.char_length(path_)))
+    keys = F.transform(fits, lambda s: F.concat(F.call_function("substring_index", host_, F.lit("."), -s["k"]), F.substring(path_, F.lit(1), s["n"])))
+    return F.array_sort(keys, lambda x, y: F.char_length(y) - F.char_length(x))  # a stable sort
 
 
 def _hashes(keys: Column) -> tuple[Column, Column]:
@@ -118,9 +126,9 @@ def _inside(cascade: list[Level], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _level(keys: DataFrame, n: int, rate: float, depth: int) -> Level:
-    """A Bloom filter of keys (a, b) at a false-positive rate."""
-    bits = min(MAX_BITS, max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2)))
+def _level(keys: DataFrame, n: int, rate: float, depth: int, most: int) -> Level:
+    """A Bloom filter of keys (a, b) at a false-positive rate, of at most so many bits."""
+    bits = min(most, max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2)))
     n_words = -(-bits // 64)
     hashes = max(1, round(-math.log2(rate)))
     seed = 64 * depth
@@ -151,18 +159,34 @@ def _passing(keys: DataFrame, level: Level) -> DataFrame:
 
 
 def cascade(listed: DataFrame, universe: DataFrame) -> list[Level]:
-    """Levels for listed over universe, each a DataFrame of (key, a, b); only keys that pass a level wrongly are gathered."""
+    """Levels for listed over universe, each a DataFrame of (key, a, b); only keys that pass a level wrongly are gathered.
+
+    A level that lets too many of the other keys pass is made again with twice the bits, so each level
+    leaves fewer; ValueError if MOST_BITS don't suffice.
+    """
     listed = written(listed.distinct(), "listed")
     n, seen = listed.count(), universe.count()
     if not n:
         return []
-    first = _level(listed, n, min(0.5, n / (2 * max(seen, 1))), 0)
-    wrong = written(_passing(universe, first).join(listed.select("key"), "key", "left_anti").select("key", "a", "b").distinct(), "wrong")
-    levels, inside, outside = [first], listed, wrong
-    while count := outside.count():
-        level = _level(outside, count, 0.5, len(levels))
+    others = universe.join(listed.select("key"), "key", "left_anti").select("key", "a", "b").distinct()
+    levels: list[Level] = []
+    inside, outside, most, rate = listed, None, MAX_BITS, min(0.5, n / (2 * max(seen, 1)))
+    count, left = n, None  # keys inside, and of those outside that are still open
+    while count:
+        level = _level(inside, count, rate, len(levels), most)
+        passed = _passing(universe, level).join(listed.select("key"), "key", "left_anti").select("key", "a", "b").distinct() if outside is None else _passing(outside, level)
+        passed = written(passed, "wrong")
+        passing = passed.count()
+        if left is None and passing > 0 and most < MOST_BITS and len(level.words) * 64 >= most:
+            left = others.count()
+        if left is not None and passing > ENOUGH * left and len(level.words) * 64 >= most:
+            if most >= MOST_BITS:
+                raise ValueError(f"{count} keys need levels of more than {MOST_BITS} bits")
+            most = min(2 * most, MOST_BITS)
+            continue
         levels.append(level)
-        inside, outside = outside, written(_passing(inside, level), "wrong")
+        # what has passed wrongly is encoded next, and tried on what this level holds
+        inside, outside, count, left, rate = passed, inside, passing, count, 0.5
     return levels
 
 
@@ -175,14 +199,13 @@ def judge(pages: DataFrame, rules: Rules, *, url: str = "url", default: str = "a
     session = pages.sparkSession
     link = F.col(f"`{url}`")
     parsed = pages.withColumns({"__host": host(link), "__path": path(link)}).drop("host", "path", "rule", "verdict").withColumnsRenamed({"__host": "host", "__path": "path"})
-    keyed = parsed.withColumn("__keys", candidate_keys(F.col("host"), F.col("path"), rules))
-    universe = keyed.select(F.explode("__keys").alias("key"))
+    tables = rules.tables(session)
+    keyed = parsed.withColumn("__keys", candidate_keys(F.col("host"), F.col("path"), shapes(tables)))
     hashed = lambda df: df.select("key", F.xxhash64("key").alias("a"), F.xxhash64(F.lit("second"), F.col("key")).alias("b"))
+    universe = written(hashed(keyed.select(F.explode("__keys").alias("key"))), "universe")
     found = keyed
-    for name, keys in (("__allow", rules.allow), ("__block", rules.block)):
-        listed = hashed(session.createDataFrame([(k,) for k in keys], "key string"))
-        levels = cascade(listed, hashed(universe))
-        found = found.withColumn(name, member(levels, _hashes(F.col("__keys")), session))
+    for name, keys in tables.items():
+        found = found.withColumn(f"__{name}", member(cascade(hashed(keys), universe), _hashes(F.col("__keys")), session))
     hits = F.filter(
         F.arrays_zip("__keys", "__allow", "__block"), lambda x: F.coalesce(x["__allow"], F.lit(False)) | F.coalesce(x["__block"], F.lit(False))
     )

@@ -61,7 +61,7 @@ def df(spark, docs):
 
 EMPTY_OPS = {
     "tokens": lambda d: token_counts.with_token_counts(d, tokenizer("word_bpe_49k.json")),
-    "pieces": lambda d: sentencepieces.joined(sentencepieces.decode(sentencepieces.encode(d, tokenizer("piece_bpe_32k.model")), tokenizer("piece_bpe_32k.model"))),
+    "pieces": lambda d: sentencepieces.joined(sentencepieces.encode(d, tokenizer("piece_bpe_32k.model")), tokenizer("piece_bpe_32k.model")),
     "lines": line_dedup.dedup_lines,
     "jaccard": jaccard_join.jaccard_components,
     "quality": quality_rules.judge,
@@ -119,7 +119,7 @@ def test_sentencepieces(df, docs):
     path = tokenizer("piece_bpe_32k.model")
     lib = sentencepieces.load(path)
     encoded = sentencepieces.encode(df, path, size=300)  # so that many texts are cut
-    got = {r["doc_id"]: r for r in sentencepieces.joined(sentencepieces.decode(encoded, path)).collect()}
+    got = {r["doc_id"]: r for r in sentencepieces.joined(encoded, path).collect()}
     assert encoded.where("chunks > 1").count() > 10
     for d, t in docs:
         ids = lib.encode(t or "")
@@ -232,6 +232,17 @@ def test_url_ties_and_clashing_names(spark):
     assert [(r["host"], r["rule"], r["verdict"], r["_keys"]) for r in got] == [("", None, "allow", "x"), ("a.org", "a.org/b", "block", "x"), *[("org", "org/bcd", "allow", "x")] * 2]
 
 
+def test_groups_are_those_of_the_pairs():
+    rng = random.Random(1)
+    groups, label = jaccard_join.Groups(300), list(range(300))
+    for _ in range(250):
+        x, y = rng.randrange(300), rng.randrange(300)
+        assert groups.join(x, y) == (label[x] != label[y])
+        label = [label[x] if v == label[y] else v for v in label]
+    labels = groups.labels()
+    assert all((labels[x] == labels[y]) == (label[x] == label[y]) for x in range(300) for y in range(300))
+
+
 def test_line_dedup_of_a_dotted_column(spark):
     rows = spark.createDataFrame([(i, LINE + f"\nrest {i}") for i in range(3)], "doc_id long, `my.text` string")
     got = {r["doc_id"]: r["my.text"] for r in line_dedup.dedup_lines(rows, text="my.text").collect()}
@@ -251,6 +262,39 @@ def test_cascade_is_exact_over_its_universe(spark, monkeypatch):
     assert {k for k, x in zip(rows["key"], inside) if x} == {f"k{i}" for i in range(0, 2000, 40)}
 
 
+def _halves(spark, n):
+    keys = spark.range(n).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), "id")
+    hashed = keys.select("key", F.xxhash64("key").alias("a"), F.xxhash64(F.lit("second"), F.col("key")).alias("b"), "id")
+    return hashed.where("id % 2 = 0").drop("id"), hashed.drop("id")
+
+
+def test_full_levels_grow(spark, monkeypatch):
+    """64 bits for 2,000 of 4,000 keys let all pass."""
+    monkeypatch.setattr(url_filter, "MAX_BITS", 64)
+    listed, universe = _halves(spark, 4000)
+    levels = url_filter.cascade(listed, universe)
+    rows = universe.toPandas()
+    inside = url_filter._inside(levels, rows["a"].to_numpy(np.int64).view(np.uint64), rows["b"].to_numpy(np.int64).view(np.uint64))
+    assert {k for k, x in zip(rows["key"], inside) if x} == {f"k{i}" for i in range(0, 4000, 2)}
+    assert len({len(x.words) for x in levels}) > 1 or len(levels[0].words) > 1
+
+
+def test_levels_that_cannot_grow_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_BITS", 64)
+    monkeypatch.setattr(url_filter, "MOST_BITS", 128)
+    with pytest.raises(ValueError, match="128 bits"):
+        url_filter.cascade(*_halves(spark, 4000))
+
+
+def test_lists_of_a_million_keys(spark):
+    block = spark.range(1_000_000).select(F.concat(F.lit("h"), "id", F.lit(".net/"), F.when(F.col("id") % 2 == 0, "x/").otherwise("")).alias("key"))
+    allow = spark.createDataFrame([("h4.net/x/y",), (None,), ("h4.net/x/y",)], "key string")
+    urls = ["http://h4.net/x/y/z", "http://h4.net/x/z", "http://a.h6.net/x/", "http://h6.net/y", "http://h7.net/", "http://h1000001.net/x/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.judge(pages, url_filter.Rules(allow=allow, block=block)).orderBy("page_id").collect()
+    assert [(r["rule"], r["verdict"]) for r in got] == [("h4.net/x/y", "allow"), ("h4.net/x/", "block"), ("h6.net/x/", "block"), (None, "allow"), ("h7.net/", "block"), (None, "allow")]
+
+
 @pytest.mark.parametrize("few", [32, 0])
 def test_quality_rules(df, docs, monkeypatch, few):
     monkeypatch.setattr(quality_rules, "FEW_WINDOWS", few)
