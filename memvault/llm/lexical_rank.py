@@ -302,15 +302,17 @@ def rank(
 ) -> DataFrame:
     """(item_id, rank, doc_id, score): each item's k highest-scoring documents with a score above 0, equal scores by ascending doc_id."""
     spark = documents.sparkSession
-    out, base = None, 0
+    out, base, ids = None, 0, []
     for rows in blocks_of(items, item_id=item_id, text=item_text, block_terms=block_terms):
         block = Items.of(rows)
         found = ranked_block(documents, block, text=text, k=k)
-        names = spark.createDataFrame(pa.table({"at": pa.array(range(len(rows)), pa.int64()), "item_id": pa.array(block.ids, pa.int64())}))
-        found = found.join(F.broadcast(names), found["item"] == names["at"]).select((F.col("item") + base).alias("item"), "item_id", "doc_id", "score")
+        found = found.select((F.col("item") + base).alias("item"), "doc_id", "score")
         out = found if out is None else out.unionByName(found)
+        ids += block.ids
         base += len(rows)
     if out is None:
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     order = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
+    best = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    names = spark.createDataFrame(pa.table({"item": pa.array(range(len(ids)), pa.int64()), "item_id": pa.array(ids, pa.int64())}))
+    return best.join(names, "item").select("item_id", "rank", "doc_id", "score")
