@@ -92,6 +92,10 @@ TAG_WORDS = (
 # fixed values: first-person beginnings of a user's sentence, and what stands for them
 REWRITES = (("i prefer ", "User prefers "), ("i like ", "User likes "), ("i want to ", "User wants to "), ("i always use ", "User always uses "), ("my ", "User's "))
 
+# fixed values: titles and tags that link nothing
+GENERIC_TITLES = ("untitled", "note", "fact", "decision", "memory", "scratch", "test", "todo", "temp")
+GENERIC_TAGS = ("fact", "decision", "imported", "auto", "default", "quick", "general", "temp")
+
 
 def any_of(text: Column, beginnings: tuple[str, ...], parts: tuple[str, ...]) -> Column:
     """Whether a text begins with one of beginnings or holds one of parts; one pattern, so that plans stay small."""

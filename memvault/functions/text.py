@@ -122,6 +122,23 @@ def ttl_ms(raw: Column) -> Column:
     return F.when(number > 0, F.try_multiply(number, factor.cast("bigint")))
 
 
-def redacted(args: Column) -> Column:
-    """An argument string with the values of secret options replaced."""
-    return F.regexp_replace(args, r"(?i)(--?(?:api[-_]?key|token|password|secret)(?:=|\s+))\S+", "$1[REDACTED]")
+# fixed values: options whose values are secret
+SECRET_OPTIONS = ("--api-key", "--ollama-api-key", "--openai-api-key", "--model-api-key")
+
+
+def redacted(args: Column, program: str = "memvault") -> Column:
+    """The arguments of a run (an array, the program first) as one line: values of SECRET_OPTIONS replaced, arguments with blanks quoted."""
+    secret = lambda x: x.isin(*SECRET_OPTIONS)
+    quoted = lambda x, blanks: F.when(x.rlike(blanks), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(x)
+
+    def step(s: Column, x: Column) -> Column:
+        option = F.substring_index(x, "=", 1)
+        said = F.when(x.contains("="), F.when(secret(option), F.concat(option, F.lit("=[REDACTED]"))).otherwise(quoted(x, "[ \t]"))).otherwise(quoted(x, "[ \t\n]"))
+        return F.struct(
+            (~s["hides"] & secret(x)).alias("hides"),
+            F.concat(s["said"], F.array(F.when(s["hides"], "[REDACTED]").when(secret(x), x).otherwise(said))).alias("said"),
+        )
+
+    start = F.struct(F.lit(False).alias("hides"), F.array(F.lit(program)).alias("said"))
+    rest = F.slice(args, F.lit(2), F.greatest(F.size(args) - 1, F.lit(0)))
+    return F.array_join(F.aggregate(rest, start, step)["said"], " ")

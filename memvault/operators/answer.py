@@ -37,8 +37,8 @@ NO_ANSWERS = ("null", "none", "n/a", "unknown", "not recorded", "insufficient ev
 NO_ANSWER_PARTS = (
     "not been recorded", "insufficient evidence", "no matching memory", "no relevant memory", "not mentioned in", "cannot determine",
 )
-#: Confidence of an answer that names none.
-UNSTATED = 0.85
+#: Confidence of an answer that names none; least confidence of an entity's value; margin at which a first span decides alone.
+UNSTATED, SURE, EARLY = 0.85, 0.95, 11.0
 
 
 def has_evidence() -> Column:
@@ -69,17 +69,45 @@ def is_synthesis(question: Column) -> Column:
     return summary | several | asks
 
 
-def entity_answer(hits: DataFrame, entities: DataFrame, question: str) -> DataFrame:
-    """A slot's value, if the question names the slot as whole words, not the value, and no other hit's slot competes."""
+def entity_answer(hits: DataFrame, entities: DataFrame, question: str, memories: DataFrame | None = None) -> DataFrame:
+    """(slot, answer, selected, confidence): at most one row, the first hit's first slot that answers the question by itself.
+
+    The question must name the slot as whole words, but not its value; and no other hit may have a slot of that name or,
+    if the hits' records are given, its words in the content. The confidence is the record's, 0.95 at least.
+    """
     asked = F.lit(" " + " ".join(w for w in re.split(r"[\W_]+", question.lower()) if w) + " ")
     words = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    seen = hits.select(F.col("id").alias("memory_id"), "score")  # the hits of one recall
     name, value = words(F.col("entity_name")), words(F.col("entity_val"))
-    rows = entities.join(F.broadcast(hits.select(F.col("id").alias("memory_id"), "score")), "memory_id")  # the hits of one recall
-    rows = rows.where(asked.contains(name) & ~asked.contains(value) & (name != value))
-    found = rows.groupBy(F.lower("entity_name").alias("slot")).agg(
-        F.countDistinct("entity_val").alias("n"), F.max_by(F.struct("entity_val", "memory_id"), F.struct("score", "memory_id")).alias("best")
-    )
-    return found.where("n = 1").select("slot", F.col("best.entity_val").alias("answer"), F.col("best.memory_id").alias("selected"))
+    slots = entities.join(F.broadcast(seen), "memory_id").withColumns({"_name": name, "_value": value})
+    told = memories.join(F.broadcast(seen.select(F.col("memory_id").alias("id"))), "id", "left_semi") if memories is not None else None
+    sure = F.greatest(F.lit(SURE), F.col("_sure"))
+    if told is None:
+        said, known = slots.select("memory_id", "_name").limit(0), seen.select("memory_id", F.lit(0.0).alias("_sure"))
+    else:
+        named = F.broadcast(slots.select("_name").where("trim(_name) <> ''").distinct())  # slots of the hits
+        said = told.join(named, words(F.col("content")).contains(F.col("_name"))).select(F.col("id").alias("memory_id"), "_name")
+        known = told.select(F.col("id").alias("memory_id"), F.col("confidence").alias("_sure"))
+    held = slots.select("memory_id", "_name").unionByName(said).distinct().groupBy("_name").agg(F.count("*").alias("_n"))
+    fits = (F.trim("_name") != "") & (F.trim("_value") != "") & asked.contains(F.col("_name")) & ~asked.contains(F.col("_value")) & (F.col("_name") != F.col("_value"))
+    found = slots.where(fits).join(held.where("_n = 1"), "_name").join(known, "memory_id")
+    first = found.orderBy(F.col("score").desc(), "memory_id", "entity_name", "entity_val").limit(1)
+    return first.select(F.lower("entity_name").alias("slot"), F.col("entity_val").alias("answer"), F.col("memory_id").alias("selected"), sure.alias("confidence"))
+
+
+def span_answers(spans: DataFrame, paired: bool = True) -> DataFrame:
+    """(question, answer, selected, confidence) from the spans (question, place, id, score, span, margin) that a model found in gated records.
+
+    place counts a question's gated records from 0. Spans that aren't valid don't count. The first record's span decides alone if
+    its margin is EARLY or more; else the largest sum of the margin and half the record's score, the first of equals.
+    A question without a valid span has no row.
+    """
+    valid = spans.where(is_valid_span(F.col("span"), F.col("margin"), F.col("question"), paired))
+    joint = F.col("margin") + F.col("score") * 0.5
+    early = (F.col("place") == 0) & (F.col("margin") >= EARLY)
+    weight = F.when(early, F.col("margin")).otherwise(joint)
+    best = valid.groupBy("question").agg(F.max_by(F.struct("span", "id", weight.alias("weight")), F.struct(early.alias("early"), joint.alias("joint"), (-F.col("place")).alias("place"))).alias("b"))
+    return best.select("question", F.col("b.span").alias("answer"), F.col("b.id").alias("selected"), confidence_of(F.col("b.weight")).alias("confidence"))
 
 
 def _quoted(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memvault.functions.text import dedup_key, title_of, trim
@@ -70,8 +70,72 @@ def groups(memories: DataFrame) -> DataFrame:
     return rows.join(first, ["category", "_k"]).select("id", "primary_id")
 
 
+def last_by_id(rows: DataFrame, place: str) -> DataFrame:
+    """One row per id, the last by place; partial aggregates run before the shuffle, so a hot id stays small."""
+    others = [c for c in rows.columns if c != "id"]
+    found = rows.groupBy("id").agg(F.max_by(F.struct(*others), F.col(place)).alias("_row"))
+    return found.select("id", *[F.col(f"_row.{c}").alias(c) for c in others])
+
+
+def keyed_upsert(held: DataFrame, incoming: DataFrame, hashes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, moved): incoming active records, in order of their column place, put into held ones, as if one by one.
+
+    Ids stay unique, and so do category and key among active records. Of incoming rows with one id only the last counts.
+    It takes the place of a held record of its id, expired or not. Active records of one category and key become one: the last
+    incoming row gives the content, and the title unless that is an auto title and another of them has one of its own, and the tags, to which
+    those of the others come that it lacks in any case; the oldest time of creation, the newest of change and the
+    greatest confidence stay, and the first time of expiry in that order. Its id and provenance are those of the last incoming row
+    whose id was held before, else of the oldest held record, else of the first incoming row. moved says which ids (id) went up in which (primary_id).
+    hashes (id, sha256) are the attachments of records on either side; they are part of the key.
+    """
+    columns = [c for c in held.columns if c != "place"]
+    both = incoming.withColumn("_new", F.lit(True)).unionByName(
+        held.withColumns({"place": F.lit(None).cast("long"), "_new": F.lit(False)}), allowMissingColumns=True
+    )
+    if hashes is not None:
+        files = hashes.groupBy("id").agg(F.collect_set("sha256").alias("_hashes"))  # a record's own files
+        both = both.join(files, "id", "left")
+    listed = F.coalesce("_hashes", F.array().cast("array<string>")) if hashes is not None else None
+    both = both.withColumn("_k", F.sha2(dedup_key(F.col("content"), listed), 256)).drop("_hashes")
+    new = last_by_id(both.where("_new").drop("_new"), "place")
+    old = both.where("not _new").drop("_new", "place")
+    named = new.select("id", F.col("category").alias("_c"), F.col("_k").alias("_nk"))
+    old = old.join(named, "id", "left")
+    stays = old.where("_nk is null or (status = 'active' and category = _c and _k = _nk)").drop("_c")
+    groups_in = new.select("category", "_k").distinct()
+    twins = stays.where("status = 'active'").join(groups_in, ["category", "_k"], "left_semi")
+    same = stays.where("_nk is null").join(twins.select("id"), "id", "left_anti").select(*columns)
+    exact = new.join(old.select("id", F.lit(True).alias("_exact")), "id", "left")
+    rows = exact.unionByName(twins.drop("_nk"), allowMissingColumns=True)
+    from_new = F.col("place").isNotNull()
+    order = F.struct((~from_new).alias("s"), (-F.col("place")).alias("p"), F.col("created_at").alias("c"), "id")
+    own = F.when(~is_auto_title(F.col("title"), F.col("content")), order)
+    giver = F.struct(F.when(F.col("_exact"), 0).when(~from_new, 1).otherwise(2).alias("s"), F.when(F.col("_exact"), -F.col("place")).alias("p"), F.when(~from_new, F.col("created_at")).alias("c"), F.when(~from_new, F.col("id")).alias("i"), "place")
+    fields = rows.groupBy("category", "_k").agg(
+        F.min_by(F.struct("id", "provenance"), giver).alias("_giver"),
+        F.min_by("content", order).alias("content"),
+        F.coalesce(F.min_by("title", own), F.min_by("title", order)).alias("title"),
+        F.max("confidence").alias("confidence"),
+        F.min("created_at").alias("created_at"),
+        F.max("updated_at").alias("updated_at"),
+        F.min_by("expired_at", F.when(F.col("expired_at").isNotNull(), order)).alias("expired_at"),
+        F.coalesce(F.min_by("tags", order), F.array().cast("array<string>")).alias("_own"),
+    )
+    tag = rows.select("category", "_k", order.alias("_o"), F.posexplode("tags").alias("_p", "tag"))
+    seen = tag.groupBy("category", "_k", "tag").agg(F.min(F.struct("_o", "_p")).alias("_at"))
+    tags = seen.groupBy("category", "_k").agg(F.array_sort(F.collect_list(F.struct("_at", "tag"))).alias("_t"))  # a group's distinct tags
+    tags = tags.select("category", "_k", F.col("_t.tag").alias("_all")).select("category", "_k", _distinct_tags(F.col("_all")).alias("tags"))
+    low = F.transform("_own", lambda t: F.lower(t))
+    made = fields.join(tags, ["category", "_k"], "left").withColumns(
+        {"id": F.col("_giver.id"), "provenance": F.col("_giver.provenance"), "status": F.lit("active"), "tags": F.concat("_own", F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: ~F.array_contains(low, F.lower(t))))}
+    )
+    moved = rows.select("id", "category", "_k").join(made.select("category", "_k", F.col("id").alias("primary_id")), ["category", "_k"])
+    return same.unionByName(made.select(*columns)), moved.where("id <> primary_id").select("id", "primary_id")
+
+
 def upserted(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """By id, the incoming row wins."""
+    """By id, the incoming row wins; ids that come in more than once give one row."""
+    incoming = incoming.dropDuplicates(["id"])
     return existing.join(incoming.select("id"), "id", "left_anti").unionByName(incoming, allowMissingColumns=True)
 
 
@@ -126,9 +190,3 @@ def accepted_links(target: DataFrame, source: DataFrame, accepted: DataFrame) ->
         accepted.select(F.col("id").alias("target_id")), "target_id", "left_semi"
     )
     return target.unionByName(both.join(target.select(*key), key, "left_anti").select(*target.columns))
-
-
-def last_wins(rows: DataFrame, order: str) -> DataFrame:
-    """One row per id, the last by order."""
-    latest = Window.partitionBy("id").orderBy(F.col(order).desc())
-    return rows.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")

@@ -61,11 +61,16 @@ def expire_due(memories: DataFrame, now: str) -> DataFrame:
     return memories.withColumn("status", F.when(due, "expired").otherwise(F.col("status")))
 
 
+#: Kinds of files that lists may ask for.
+MEDIA_KINDS = ("image", "audio", "video", "document")
+
+
 def with_media(memories: DataFrame, attachments: DataFrame, kind: str) -> DataFrame:
-    """Records with an attachment of a kind; any: with any, all: no filter."""
-    if kind == "all":
-        return memories
-    wanted = attachments if kind == "any" else attachments.where(F.col("media_kind") == kind)
+    """Records with an attachment of a kind; any and all: with any. Other kinds are refused."""
+    kind = kind.strip().lower()
+    if kind not in ("any", "all", *MEDIA_KINDS):
+        raise ValueError(f"no such kind of media: {kind}")
+    wanted = attachments if kind in ("any", "all") else attachments.where(F.col("media_kind") == kind)
     return memories.join(wanted.select(F.col("memory_id").alias("id")).distinct(), "id", "left_semi")
 
 

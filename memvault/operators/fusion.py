@@ -56,9 +56,9 @@ def _begins(prefix: str):
     return lambda tag: tag.startswith(prefix)
 
 
-def boost(tokens: list[str], title: Column, content: Column, tags: Column) -> Column:
-    """What a record gains for tokens that it holds, or whose letters begin its words."""
-    words = F.filter(F.split(F.concat_ws(" ", title, content), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+def boost(tokens: list[str], title: Column, content: Column, tags: Column, files: Column | None = None) -> Column:
+    """What a record gains for tokens that it holds, or whose letters begin its words; what is known of its files counts too."""
+    words = F.filter(F.split(F.concat_ws(" ", title, content, *([] if files is None else [files])), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     lowered = F.transform(words, lambda w: F.lower(w))
     first = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
     low_tags = F.transform(tags, lambda t: F.lower(t))
@@ -74,11 +74,13 @@ def boost(tokens: list[str], title: Column, content: Column, tags: Column) -> Co
     return F.greatest(F.lit(0.0), F.least(F.lit(MOST), total))
 
 
-def lanes(memories: DataFrame, vecs: DataFrame, request: Request) -> DataFrame:
-    """(id, bm25_rank, vector_rank, similarity): the best of both lanes; each lane is a top-k before it is numbered."""
-    eligible = _eligible(request)
-    words = lexical.top(memories, request.query, request.fetch, eligible)
-    near = vecs.join(memories.where(eligible).select("id"), "id", "left_semi")
+def lanes(memories: DataFrame, vecs: DataFrame, request: Request, words: DataFrame | None = None) -> DataFrame:
+    """(id, bm25_rank, vector_rank, similarity): the best of both lanes; each lane is a top-k before it is numbered.
+
+    words (id, bm25) are the lexical lane's, if a stored index has found them; else all texts are read.
+    """
+    words = lexical.top(memories, request.query, request.fetch, eligible(request)) if words is None else words
+    near = vecs.join(memories.where(eligible(request)).select("id"), "id", "left_semi")
     close = vectors.nearest(near, request.vector, request.fetch, keep_all=request.bare_acronym)
     # at most request.fetch rows are numbered in one task
     one = words.select("id", F.row_number().over(Window.orderBy(F.col("bm25").desc(), "id")).alias("bm25_rank"))
@@ -86,7 +88,8 @@ def lanes(memories: DataFrame, vecs: DataFrame, request: Request) -> DataFrame:
     return one.join(two, "id", "full_outer")
 
 
-def _eligible(request: Request) -> Column:
+def eligible(request: Request) -> Column:
+    """What a request asks of a record's category, status and times."""
     test = F.lit(True)
     if request.category is not None:
         test = test & (F.col("category") == request.category)
@@ -94,9 +97,9 @@ def _eligible(request: Request) -> Column:
     return test & filters.on_day(request.day) if request.day else test
 
 
-def recall(memories: DataFrame, vecs: DataFrame, request: Request) -> DataFrame:
-    """(id, category, title, score, bm25_rank, vector_rank, similarity), best first."""
-    found = lanes(memories, vecs, request)
+def recall(memories: DataFrame, vecs: DataFrame, request: Request, words: DataFrame | None = None) -> DataFrame:
+    """(id, category, title, score, bm25_rank, vector_rank, similarity), best first; words: see lanes()."""
+    found = lanes(memories, vecs, request, words)
     rrf = F.coalesce(1 / (K + F.col("bm25_rank")), F.lit(0.0)) + F.coalesce(1 / (K + F.col("vector_rank")), F.lit(0.0))
     rows = memories.join(F.broadcast(found), "id").withColumn("rrf", F.round(rrf, 9))  # twice request.fetch rows at most
     first = Window.partitionBy("category", dedup_key(F.col("content"))).orderBy(F.col("rrf").desc(), "id")
@@ -104,7 +107,8 @@ def recall(memories: DataFrame, vecs: DataFrame, request: Request) -> DataFrame:
     if request.min_similarity is not None:
         rows = rows.where(F.col("similarity") >= request.min_similarity)
     tokens = query_tokens(request.query)
-    rows = rows.withColumn("boost", boost(tokens, F.col("title"), F.col("content"), F.col("tags")))
+    files = F.col("file_text") if "file_text" in rows.columns else None
+    rows = rows.withColumn("boost", boost(tokens, F.col("title"), F.col("content"), F.col("tags"), files))
     lexical_lane = found.agg((F.count("bm25_rank") > 0).alias("_lexical"))
     rows = rows.join(F.broadcast(lexical_lane))  # one row
     vrank, gain = F.col("vector_rank"), F.col("boost")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memvault.functions import rules
-from memvault.functions.text import trim
+from memvault.functions.text import BLANKS, trim
 
 _SPEAKER = r"^(?i)\[?(user|assistant|human|system|ai|bot|client|agent|person|[A-Z][a-z]+)\]?:\s*"
 _FILLER = "^(?i)(?:(?:" + "|".join(re.escape(f).replace("\\ ", " ") for f in rules.FILLERS) + r")\s*|[-*:.]\s*)+"
@@ -18,22 +18,27 @@ TURN, SENTENCE, BARE = 10, 12, 10
 
 
 def turns_of_text(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, turn, role, text) of plain lines, JSON lines, or a JSON array of messages."""
-    message = "struct<role:string,content:string,speaker:string,text:string>"
+    """(doc_id, turn, role, text) of a JSON array of messages, of JSON lines, or of plain lines.
+
+    Messages of an array hold content (by role) or text (by speaker); JSON lines count only with content. Whoever is
+    not named is the user. Without any such message the lines themselves are the turns.
+    """
     body = F.col(text)
-    array = F.when(F.ltrim(body).startswith("["), F.from_json(body, f"array<{message}>"))
     lines = F.filter(F.transform(F.split(body, r"\r?\n"), trim), lambda x: x != "")
-    parsed = F.transform(F.filter(lines, lambda x: x.startswith("{") & x.endswith("}")), lambda x: F.from_json(x, message))
-    objects = F.filter(F.coalesce(array, parsed), lambda m: m.isNotNull() & F.coalesce(m["content"], m["text"]).isNotNull())
-    said = F.transform(
-        objects,
-        lambda m: F.struct(F.coalesce(m["role"], m["speaker"], F.lit("user")).alias("role"), F.coalesce(m["content"], m["text"]).alias("text")),
-    )
+    said = lambda v, key: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant")) == "STRING", F.try_variant_get(v, f"$.{key}", "string"))
+    by = lambda v, key: F.coalesce(said(v, key), F.lit("user"))
+    content = lambda v: F.when(said(v, "content").isNotNull(), F.struct(by(v, "role").alias("role"), said(v, "content").alias("text")))
+    spoken = lambda v: F.when(said(v, "text").isNotNull(), F.struct(by(v, "speaker").alias("role"), said(v, "text").alias("text")))
+    listed = F.when(F.ltrim(body, F.lit(BLANKS)).startswith("["), F.try_variant_get(F.try_parse_json(body), "$", "array<variant>"))
+    of_array = F.array_compact(F.transform(listed, lambda v: F.coalesce(content(v), spoken(v))))
+    objects = F.transform(F.filter(lines, lambda x: x.startswith("{") & x.endswith("}")), F.try_parse_json)
+    of_lines = F.array_compact(F.transform(objects, content))
     plain = F.transform(
         F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"^(?:- |\* |• )", "")), lambda x: F.octet_length(x) >= TURN),
         lambda x: F.struct(F.lit(None).cast("string").alias("role"), x.alias("text")),
     )
-    rows = documents.select("doc_id", F.posexplode(F.when(F.size(said) > 0, said).otherwise(plain)).alias("turn", "t"))
+    turns = F.when(F.size(of_array) > 0, of_array).when(F.size(of_lines) > 0, of_lines).otherwise(plain)
+    rows = documents.select("doc_id", F.posexplode(turns).alias("turn", "t"))
     return rows.select("doc_id", "turn", "t.role", "t.text")
 
 
@@ -95,24 +100,32 @@ def tags_of(content: Column, category: Column) -> Column:
     return F.array_distinct(F.concat(F.array(category), F.array_compact(F.array(*tests))))
 
 
-def candidates(turns: DataFrame, *, key: tuple[str, ...] = ("conv_id",), threshold: float = 0.85) -> DataFrame:
-    """key, turn, category, title, content, tags, confidence of turns (key, turn, role, text), the first of equal ones."""
+def candidates(turns: DataFrame, *, key: tuple[str, ...] = ("conv_id",), threshold: float = 0.85, category: str | None = None, extra_tags: tuple[str, ...] = ()) -> DataFrame:
+    """key, turn, category, title, content, tags, confidence of turns (key, turn, role, text), the first of equal ones.
+
+    A category given takes the place of the one found, before equal ones are told; extra tags are added where they lack in any case.
+    """
     inline = F.regexp_extract("text", _SPEAKER, 1)
     speaker = F.when(inline != "", inline).otherwise(F.col("role"))
     body = trim(F.regexp_replace(trim(F.regexp_replace("text", _SPEAKER, "")), _FILLER, ""))
     rows = turns.select(*key, "turn", speaker.alias("speaker"), body.alias("b")).where(F.octet_length("b") >= SENTENCE)
     rows = rows.select(*key, "turn", "speaker", F.posexplode(_sentences(F.col("b"))).alias("place", "sentence"))
     found = classified(rows).withColumn("content", _rewritten(F.col("body"), F.col("speaker"))).where(F.col("confidence") >= threshold)
+    found = found.withColumn("_found", F.col("category")).withColumn("category", F.col("category") if category is None else F.lit(category))
     found = found.withColumn("_k", F.concat_ws(":", "category", F.lower(trim(F.col("content")))))
     first = Window.partitionBy(*key, "_k").orderBy("turn", "place")
     found = found.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    more = list(dict.fromkeys(t.strip().lower() for t in extra_tags if t.strip()))
+    own = tags_of(F.col("content"), F.col("_found"))
+    low = F.transform(own, lambda t: F.lower(t))
+    tags = F.concat(own, F.filter(F.array(*map(F.lit, more)), lambda t: ~F.array_contains(low, t))) if more else own
     return found.select(
         *key,
         "turn",
         "place",
         "category",
-        title_of(F.col("content"), F.col("category")).alias("title"),
+        title_of(F.col("content"), F.col("_found")).alias("title"),
         "content",
-        tags_of(F.col("content"), F.col("category")).alias("tags"),
+        tags.alias("tags"),
         "confidence",
     )

@@ -45,6 +45,13 @@ def history_page(history: DataFrame, *, text: str | None = None, status: str | N
     return out.orderBy(F.col("id").desc()).limit(limit).join(F.broadcast(total))  # one row
 
 
+def numbered(runs: DataFrame, last: DataFrame) -> DataFrame:
+    """runs with ids above the one of last (one row), rising with created_at and command; numbers may be left out."""
+    ordered = runs.repartitionByRange("created_at", "command").sortWithinPartitions("created_at", "command")
+    placed = ordered.withColumn("_n", F.monotonically_increasing_id())
+    return placed.join(F.broadcast(last)).withColumn("id", F.col("_last") + 1 + F.col("_n")).drop("_n", "_last")  # one row
+
+
 def pruned(history: DataFrame, keep: int = KEPT) -> DataFrame:
     """The newest rows; their least id is found by a bounded top-k, not by sorting all."""
     edge = history.select("id").orderBy(F.col("id").desc()).limit(keep).agg(F.min("id").alias("_edge"))

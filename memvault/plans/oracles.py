@@ -170,13 +170,15 @@ e AS (SELECT source_id AS x, target_id AS y FROM ok UNION SELECT target_id, sour
 walk(id, d) AS (SELECT id, 0 FROM mem WHERE doc_id % 100 = 0 AND status = 'active' UNION SELECT y, d + 1 FROM walk JOIN e ON x = walk.id WHERE d < 2),
 near AS (SELECT DISTINCT id FROM walk), inside AS (SELECT * FROM links WHERE source_id IN (FROM near) AND target_id IN (FROM near))"""
 
+_TOKENS = f"""list_distinct(list_filter(list_transform(regexp_split_to_array({{}}, '[^\\p{{{{L}}}}\\p{{{{N}}}}]+'), lambda w: lower(w)), lambda t: t <> '' AND (strlen(t) > 1 OR regexp_matches(t, '[0-9]')) AND NOT list_contains({_list(FUNCTION_WORDS)}, t)))"""
+
 SQL: dict[str, str] = {
     "recall_vector_topk": f"WITH {VEC} SELECT * FROM near WHERE similarity > 0 ORDER BY similarity DESC, id LIMIT 10",
     "recall_vector_filtered": f"{MEM}, {VEC} SELECT near.id, similarity FROM near JOIN mem USING (id) WHERE similarity > 0 AND category = 'decision' AND {FOUND.format('2024-01-31 06:00:00')} ORDER BY similarity DESC, near.id LIMIT 10",
     "recall_bm25_topk": f"{MEM}, {_bm25(LEXICAL_QUERY.split())} SELECT * FROM bm ORDER BY bm25 DESC, id LIMIT 20",
     "recall_bm25_pair_fallback": f"{MEM}, {_bm25(PAIR_QUERY.split())} SELECT * FROM bm ORDER BY bm25 DESC, id LIMIT 20",
     "lexical_postings": f"""{MEM}, t AS (SELECT id, unnest(regexp_split_to_array(lower(title || ' ' || content || ' ' || lang || ' ' || source), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM mem)
-SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM t WHERE term <> '' GROUP BY term HAVING count(DISTINCT id) > 1""",
+SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM t WHERE term <> '' GROUP BY term""",
     "recall_hybrid": _recall(),
     "recall_as_of": _recall(FOUND.format("2024-01-31 06:00:00")),
     "recall_day": _recall("status = 'active' AND CAST(created_at AS DATE) = DATE '2024-01-01'"),
@@ -196,16 +198,27 @@ SELECT id, CAST(ttl_ms AS BIGINT) AS ttl_ms, CASE WHEN created_at + to_milliseco
   SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN nullif(regexp_extract(coalesce(text, ''), '(?:^| )([a-z]{5,})(?: |$)', 1), '') END AS answer FROM documents)
 SELECT 'doc-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS id, answer, CASE WHEN answer IS NOT NULL THEN 1 END AS memory_index,
   CASE WHEN answer IS NOT NULL THEN CAST(0.6 AS DOUBLE) END AS confidence FROM w""",
-    "import_links": """SELECT CAST(event_id AS VARCHAR) AS source_id, CAST(event_id - event_id % 3 AS VARCHAR) AS target_id,
-  CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'relates_to' END AS relation FROM events WHERE event_id % 3 <> 0""",
-    "import_front_matter": f"""SELECT CAST(doc_id AS VARCHAR) AS path, 'T ' || doc_id AS title, 'decision' AS category, lang || ',' || source AS tags,
-  md5(trim(text, {_BLANKS})) AS content_md5 FROM documents WHERE trim(coalesce(text, ''), {_BLANKS}) <> ''""",
-    "import_sections": """SELECT CAST(doc_id AS VARCHAR) AS path, unnest(['decision', 'goal', 'goal']) AS category,
-  unnest(['Of ' || doc_id, 'read ' || lang, 'keep ' || doc_id]) AS title, unnest(['from ' || source, 'read ' || lang, 'keep ' || doc_id]) AS content FROM documents""",
+    "import_links": """WITH e AS (SELECT event_id % 5 AS turn, CAST(event_id AS VARCHAR) AS s, CAST(event_id - event_id % 3 AS VARCHAR) AS t, event_type AS k FROM events)
+SELECT s AS source_id, t AS target_id, k AS relation, CAST(unnest([1.0, 0.25]) AS DOUBLE) AS weight FROM e WHERE turn = 0
+UNION ALL SELECT s, t, k, 2.5 FROM e WHERE turn = 1 UNION ALL SELECT s, t, 'relates_to', 4.0 FROM e WHERE turn = 2""",
+    "import_front_matter": f"""SELECT CAST(doc_id AS VARCHAR) AS path, 'd' || doc_id AS id, 'T ' || doc_id AS title, 'decision' AS category,
+  CASE WHEN doc_id % 5 = 1 THEN '' ELSE array_to_string(list_filter([lang, source, 'last'], lambda x: x <> ''), ',') END AS tags, CAST(0.25 AS DOUBLE) AS confidence,
+  coalesce(nullif(source, ''), 'imported:okf') AS provenance, CAST(epoch(TIMESTAMP '2024-03-01') AS BIGINT) AS "at", md5(trim(text, {_BLANKS})) AS content_md5
+FROM documents WHERE doc_id % 5 <> 0 AND trim(coalesce(text, ''), {_BLANKS}) <> '' AND NOT contains(chr(10) || text, chr(10) || '### ')""",
+    "import_sections": f"""SELECT CAST(doc_id AS VARCHAR) AS path, 'r' || doc_id AS id, 'decision' AS category, 'Of ' || doc_id AS title, md5(trim(text, {_BLANKS})) AS content_md5,
+  array_to_string(list_filter([source, 'b'], lambda x: x <> ''), ',') AS tags, CAST(0.5 AS DOUBLE) AS confidence, CAST(epoch(TIMESTAMP '2024-03-01') AS BIGINT) AS "at"
+FROM documents WHERE trim(coalesce(text, ''), {_BLANKS}) <> ''
+UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, 'goal', 'Second', md5('- plain' || chr(10) || '  item ' || doc_id), array_to_string(list_filter(['a', source], lambda x: x <> ''), ','),
+  0.25, CAST(epoch(TIMESTAMP '2024-01-02 03:04:05') AS BIGINT) FROM documents""",
     "attachment_decode": f"WITH {FILES} SELECT memory_id, filename, sha256, CAST(size_bytes AS INTEGER) AS size_bytes FROM files",
-    "conversation_turns": """SELECT conv_id || '/' || turn AS doc_id, unnest([0, 1]) AS turn, coalesce(role, 'user') AS role, md5(coalesce(text, '')) AS text_md5
-FROM conversations""",
-    "redacted_args": "SELECT event_id, 'add --TOKEN [REDACTED] --api_key=[REDACTED] --tag ' || event_type AS args FROM events",
+    "conversation_turns": f"""WITH c AS (SELECT conv_id || '/' || turn AS doc_id, turn % 3 AS shape, coalesce(role, 'user') AS role, coalesce(text, '') AS said FROM conversations),
+p AS (SELECT doc_id, list_filter(list_transform(list_filter(list_transform(string_split('- ' || said, chr(10)), lambda x: trim(x, {_BLANKS})), lambda x: x <> ''),
+  lambda x: regexp_replace(x, '^(- |\\* |• )', '')), lambda x: strlen(x) >= 10) AS l FROM c WHERE shape = 2)
+SELECT doc_id, unnest([0, 1]) AS turn, role, md5(said) AS text_md5 FROM c WHERE shape = 0
+UNION ALL SELECT doc_id, unnest([0, 1]), unnest([role, 'x']), md5(unnest([said, 'by x'])) FROM c WHERE shape = 1
+UNION ALL SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER), NULL, md5(unnest(l)) FROM p""",
+    "redacted_args": """SELECT event_id, 'memvault add --api-key [REDACTED] --openai-api-key=[REDACTED] --note "a \\"b\\" ' || event_type
+  || '" --ollama-api-key [REDACTED] --tag=' || event_type || ' --token ' || event_id || ' "--x=y ' || event_type || '"' AS args FROM events""",
     "grounding_check": f"""{MEM}, said AS (
   SELECT id, content, array_to_string(list_slice(string_split(content, ' '), 2, 3), ' ') AS said,
     list_transform(regexp_split_to_array(content, '[^\\p{{L}}\\p{{N}}]+'), lambda w: lower(w)) AS w FROM mem)
@@ -259,7 +272,7 @@ SELECT start, id, min(d) AS distance FROM walk GROUP BY start, id HAVING min(d)
     "node_cards": f"{MEM} SELECT id, CASE WHEN title <> '' THEN title ELSE left(content, 30) END AS label, CASE WHEN length(content) > 140 THEN left(content, 140) || '...' ELSE content END AS snippet FROM mem",
     "link_upsert": f"WITH {LINKS} SELECT source_id, target_id, relation, CASE WHEN weight = 1 THEN 10.0 ELSE weight END::DOUBLE AS weight FROM links",
     "autolink_titles": f"""{MEM}, act AS (SELECT * FROM mem WHERE status = 'active'),
-t AS (SELECT lower(title) AS t, min(id) AS target_id FROM act WHERE length(title) >= 4 GROUP BY 1),
+t AS (SELECT lower(trim(title, {_BLANKS})) AS t, min(id) AS target_id FROM act WHERE length(trim(title, {_BLANKS})) >= 4 GROUP BY 1),
 p AS (SELECT act.id AS source_id, target_id, lower(content) AS c, t, strpos(lower(content), t) AS pos FROM act, t WHERE contains(lower(content), t) AND act.id <> target_id)
 SELECT DISTINCT source_id, target_id FROM p WHERE (pos = 1 OR NOT regexp_matches(c[pos - 1], '[\\p{{L}}\\p{{N}}]')) AND NOT regexp_matches(c[pos + length(t)], '[\\p{{L}}\\p{{N}}]')
   AND regexp_matches(t, '[\\p{{L}}\\p{{N}}]')""",
@@ -272,7 +285,21 @@ SELECT a AS source_id, b AS target_id, round(s, 2) AS weight FROM pair WHERE s >
     "lenient_categories": f"SELECT event_id, {_lenient_case('lower(event_type)')} AS category FROM events",
     "answer_top1": _recall(extra="SELECT title AS answer, hits.id AS selected, score AS confidence, 'top1' AS engine FROM (SELECT * FROM hits ORDER BY score DESC, id LIMIT 1) hits JOIN mem USING (id) WHERE bm25_rank IS NOT NULL OR score >= 0.35"),
     "answer_gate": _recall(extra="SELECT id, score FROM hits WHERE bm25_rank IS NOT NULL OR score >= 0.35"),
-    "answer_entity_index": _recall(extra=", best AS (SELECT * FROM hits ORDER BY score DESC, id LIMIT 1) SELECT s.slot, CASE s.slot WHEN 'lang' THEN lang ELSE source END AS answer, best.id AS selected FROM best JOIN mem USING (id), (VALUES ('lang'), ('source')) s(slot)"),
+    "answer_entity_index": _recall(extra=""", named AS (SELECT hits.id, score, doc_id % 7 AS kind, source, content, confidence FROM hits JOIN mem USING (id)),
+alone AS (SELECT *, ' ' || trim(regexp_replace(lower(content), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS w FROM named),
+n AS (SELECT a.kind, count(*) AS n FROM (SELECT DISTINCT kind FROM alone) a JOIN alone b ON a.kind = b.kind OR contains(b.w, ' kind ' || a.kind || ' ') GROUP BY a.kind)
+SELECT 'kind-' || kind AS slot, source AS answer, id AS selected, greatest(confidence, 0.95) AS confidence FROM alone JOIN n USING (kind) WHERE n = 1 ORDER BY score DESC, id LIMIT 1"""),
+    "answer_spans": f"""WITH t AS (
+  SELECT 'of ' || conv_id AS question, turn AS place, conv_id || '/' || turn AS id, length(text) % 100 / 100 AS score, CAST(length(text) % 13 AS DOUBLE) AS margin,
+    array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ') AS span FROM conversations WHERE text IS NOT NULL),
+k AS (SELECT *, {_TOKENS.format('span')} AS tok, {_TOKENS.format('question')} AS asked FROM t),
+e AS (SELECT *, len(list_intersect(tok, asked)) AS echo, NOT contains(span, ' ') AND strlen(span) >= 6 AND regexp_matches(span, '[A-Za-z]') AND regexp_matches(span, '[0-9]') AS code FROM k),
+ok AS (
+  SELECT *, place = 0 AND margin >= 11 AS early, margin + score * 0.5 AS joint FROM e
+  WHERE margin >= CASE WHEN code THEN 1.5 ELSE 4.5 END AND NOT regexp_matches(lower(span), 'not been |not recorded|not specified|not provided|x0000x|xxxx|\\*\\*\\*')
+    AND NOT (len(tok) > 0 AND echo = len(tok)) AND NOT (margin < 10 AND echo > 0)),
+r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY early DESC, joint DESC, place) AS n FROM ok)
+SELECT question, span AS answer, id AS selected, round(greatest(0.05, least(0.99, 1 / (1 + exp(-(CASE WHEN early THEN margin ELSE joint END) / 5)))), 6) AS confidence FROM r WHERE n = 1""",
     "history_filter": f"WITH {HISTORY} SELECT id, subcommand, status, (SELECT count(*) FROM history) AS total FROM history WHERE status = 'error' ORDER BY id DESC LIMIT 50",
     "history_prune": f"WITH {HISTORY}, k AS (SELECT id FROM history ORDER BY id DESC LIMIT 700) SELECT count(*) AS kept, min(id) AS oldest FROM k",
     "history_latency": f"""WITH {HISTORY}, r AS (SELECT *, row_number() OVER (PARTITION BY subcommand ORDER BY duration_ms, id) - 1 AS r, count(*) OVER (PARTITION BY subcommand) AS n FROM history)
@@ -282,7 +309,18 @@ SELECT subcommand, max(duration_ms) FILTER (r = least(floor(n * 0.5), n - 1)) AS
     "merge_vaults_replace": f"{_VAULTS} SELECT * FROM other UNION ALL SELECT * FROM held WHERE id NOT IN (SELECT id FROM other)",
     "merge_vaults_links": f"""{_VAULTS}, {LINKS}, acc AS (SELECT id FROM other WHERE id NOT IN (SELECT id FROM held))
 SELECT * FROM links WHERE weight = 1 OR (source_id IN (FROM acc) AND target_id IN (FROM acc))""",
-    "hash_embedding": f"{MEM} SELECT id, 384 AS dims, 1.0::DOUBLE AS norm FROM mem",
+    "hash_embedding": f"""{MEM}, card AS (SELECT id, lower({_CARD}) AS t FROM mem),
+w AS (SELECT id, unnest(list_filter(regexp_split_to_array(t, '[\\s' || {_BLANKS} || ']+'), lambda x: x <> '')) AS w FROM card),
+word AS (SELECT w, id, count(*) AS n FROM w GROUP BY ALL),
+grams AS (
+  SELECT DISTINCT w, w AS g, TRUE AS whole, 1 AS often FROM word
+  UNION ALL SELECT w, g, FALSE, count(*) FROM (SELECT w, unnest(list_transform(range(1, length(w)), lambda i: w[i:i + 1])) AS g FROM (SELECT DISTINCT w FROM word)) GROUP BY w, g),
+bytes AS (SELECT g, list_transform(range(1, strlen(g) + 1), lambda i: ('0x' || substr(hex(encode(g)), 2 * i - 1, 2))::INT::UHUGEINT) AS b FROM (SELECT DISTINCT g FROM grams)),
+fnv AS (SELECT g, list_reduce(list_prepend(14695981039346656037::UHUGEINT, b), lambda h, c: (xor(h, c) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS h FROM bytes),
+part AS (
+  SELECT w, (h % 384)::INT AS i, sum(CASE WHEN NOT whole THEN 0.5 * often WHEN (h // 65536) % 2 = 1 THEN 1.0 ELSE -1.0 END)::DOUBLE AS x FROM grams JOIN fnv USING (g) GROUP BY ALL),
+v AS (SELECT id, i, sum(n * x) AS x FROM word JOIN part USING (w) GROUP BY id, i)
+SELECT id, 384 AS dims, 1.0::DOUBLE AS norm, CAST(count(*) FILTER (x <> 0) AS INTEGER) AS filled, round(sum(abs(x)) / sqrt(sum(x * x)), 2) AS amount FROM v GROUP BY id""",
     "card_texts": f"{MEM} SELECT id, md5({_CARD}) AS card_md5 FROM mem",
     "import_json": f"""WITH e AS (SELECT CAST(event_id AS VARCHAR) AS id, event_type AS kind, event_id % 4 AS turn, 'we decided on ' || event_type AS said FROM events)
 SELECT id AS path, id,
@@ -290,7 +328,11 @@ SELECT id AS path, id,
   CASE turn WHEN 1 THEN 'S ' || kind WHEN 2 THEN said || '; twice' WHEN 3 THEN kind || ' -> Y' ELSE said END AS title,
   CASE turn WHEN 2 THEN said || '; twice' WHEN 3 THEN kind || ' leads to Y' ELSE said END AS content,
   CASE turn WHEN 1 THEN 'a,' || kind WHEN 2 THEN lower(kind) ELSE '' END AS tags FROM e""",
-    "export_markdown": f"{MEM} SELECT category, CAST(list_position({_list(CATEGORIES)}, category) AS INTEGER) AS place, count(*) AS blocks FROM mem WHERE status = 'active' GROUP BY category",
+    "export_markdown": f"""{MEM}, {LINKS}, act AS (SELECT *, CAST(list_position({_list(CATEGORIES)}, category) AS INTEGER) AS place FROM mem WHERE status = 'active')
+SELECT place, category, id, md5('### ' || title || chr(10) || chr(10) || content || chr(10) || chr(10)) AS seen_md5 FROM act
+UNION ALL SELECT DISTINCT place, category, '', md5('## ' || upper(category) || chr(10)) FROM act
+UNION ALL SELECT 0, '', '', md5('---' || chr(10) || 'format: "memvault-markdown-v1"' || chr(10) || '---' || chr(10) || chr(10))
+UNION ALL SELECT {len(CATEGORIES) + 1}, '', source_id || '/' || target_id || '/' || relation, md5('') FROM links""",
     "export_json_roundtrip": f"{MEM} SELECT id, category, trim(title, {_BLANKS}) AS title, md5(trim(content, {_BLANKS})) AS content_md5, lang || ',' || source AS tags FROM mem",
     "get_many": f"{MEM}, {LINKS} SELECT id, title FROM mem WHERE id IN (SELECT target_id FROM links WHERE weight = 1)",
     "restore_lookup": f"{MEM} SELECT id, status FROM mem WHERE id = 'doc-00000007'",
@@ -340,4 +382,31 @@ SELECT memory_id, 'lang' AS entity_name, lang AS entity_val FROM m UNION SELECT
     "backup_roundtrip": f"{MEM} SELECT id, category, status, md5(content) AS content_md5, lang || ',' || source AS tags, confidence, created_at, expired_at FROM mem",
     "entity_json": f"""{MEM}, e AS (SELECT id, 'lang_code' AS entity_name, lang AS v FROM mem UNION ALL SELECT id, 'source', source FROM mem UNION ALL SELECT id, 'n', CAST(doc_id AS VARCHAR) FROM mem)
 SELECT id, entity_name, v AS entity_val FROM e WHERE v <> '' AND lower(v) NOT IN (entity_name, replace(entity_name, '_', ' '))""",
+    "markdown_roundtrip": f"""{MEM} SELECT id || '.md' AS path, id, category, title, md5(content) AS content_md5, lang || ',' || source AS tags, confidence, 'explicit_statement' AS provenance FROM mem WHERE status = 'active'""",
+    "keyed_upsert": f"""{MEM}, m AS (
+  SELECT doc_id, id, CASE WHEN doc_id % 2 = 0 THEN 'fact' ELSE 'goal' END AS category, title, content, trim(content, {_BLANKS}) AS k, tags, confidence, created_at, status,
+    (title = left(string_split(trim(content, {_BLANKS}), chr(10))[1], 80) OR ends_with(title, '...')) AS auto FROM mem),
+h0 AS (SELECT *, row_number() OVER (PARTITION BY category, k ORDER BY created_at, id) AS n FROM m WHERE doc_id % 3 = 0 AND status = 'active'),
+h AS (  -- the held records: active ones merged, expired ones as they are
+  SELECT f.id, category, coalesce(o.title, f.title) AS title, f.content, k, f.tags, o.confidence, o.created_at, 'active' AS status
+  FROM (SELECT * FROM h0 WHERE n = 1) f JOIN (
+    SELECT category, k, min_by(title, n) FILTER (NOT auto) AS title, max(confidence) AS confidence, min(created_at) AS created_at FROM h0 GROUP BY ALL) o USING (category, k)
+  UNION ALL SELECT id, category, title, content, k, tags, confidence, created_at, status FROM m WHERE doc_id % 3 = 0 AND status <> 'active'),
+i0 AS (SELECT *, 'doc-' || lpad(CAST(doc_id - doc_id % 4 AS VARCHAR), 8, '0') AS new_id FROM m WHERE doc_id % 3 <> 0 AND k <> ''),
+i AS (SELECT * EXCLUDE (id, new_id), new_id AS id, new_id IN (SELECT id FROM h) AS exact FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY doc_id DESC) AS n FROM i0) WHERE n = 1),
+r AS (
+  SELECT category, k, id, k AS content, title, auto, tags, confidence, created_at, [0, -doc_id] AS o, CASE WHEN exact THEN [0, -doc_id] ELSE [2, doc_id] END AS g FROM i
+  UNION ALL
+  SELECT h.category, h.k, h.id, h.content, h.title, (h.title = left(string_split(h.k, chr(10))[1], 80) OR ends_with(h.title, '...')), h.tags, h.confidence, h.created_at,
+    [1, epoch_us(h.created_at)], [1, epoch_us(h.created_at)]
+  FROM h LEFT JOIN i USING (id) WHERE h.status = 'active' AND (i.id IS NULL OR (i.category = h.category AND i.k = h.k)) AND (h.category, h.k) IN (SELECT (category, k) FROM i)),
+made AS (
+  SELECT min_by(id, g) AS id, category, coalesce(min_by(title, o) FILTER (NOT auto), min_by(title, o)) AS title, 'active' AS status, max(confidence) AS confidence,
+    md5(k) AS content_md5, list(tags ORDER BY o) AS t, min(created_at) AS created_at FROM r GROUP BY category, k)
+SELECT id, category, title, status, confidence, 'explicit_statement' AS provenance, content_md5,
+  array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), flatten(list_transform(flatten(t), lambda x: [[x]]))), lambda a, x: CASE WHEN list_contains(list_transform(a, lambda y: lower(y)), lower(x[1])) THEN a ELSE a || x END), ',') AS tags,
+  created_at FROM made
+UNION ALL
+SELECT h.id, h.category, h.title, h.status, h.confidence, 'explicit_statement', md5(h.k), array_to_string(h.tags, ','), h.created_at FROM h
+WHERE h.id NOT IN (SELECT id FROM i) AND h.id NOT IN (SELECT id FROM r)""",
 }

@@ -50,7 +50,7 @@ def recall_bm25_pair_fallback(spark, sf):
 
 def lexical_postings(spark, sf):
     index = lexical.postings(_mem(spark, sf))
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df > 1")
+    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def _hits(spark, sf, **more):
@@ -99,7 +99,7 @@ def list_day(spark, sf):
 
 def list_media(spark, sf):
     files = _files(spark, sf)
-    return filters.with_media(_mem(spark, sf).where("status = 'active'"), files, "code").select("id")
+    return filters.with_media(_mem(spark, sf).where("status = 'active'"), files, "all").select("id")
 
 
 def count_filtered(spark, sf):
@@ -252,11 +252,11 @@ def link_upsert(spark, sf):
 
 
 def autolink_titles(spark, sf):
-    return graph.title_mentions(_mem(spark, sf))
+    return graph.title_mentions(_mem(spark, sf), generic=rules.GENERIC_TITLES)
 
 
 def autolink_tags(spark, sf):
-    return graph.shared_tags(_mem(spark, sf))
+    return graph.shared_tags(_mem(spark, sf), rules.GENERIC_TAGS)
 
 
 def autolink_semantic(spark, sf):
@@ -296,8 +296,22 @@ def answer_gate(spark, sf):
 
 
 def answer_entity_index(spark, sf):
-    slots = corpus.entities(spark, sf)
-    return answer.entity_answer(_hits(spark, sf, limit=1), slots, "what is the source and the lang of it?")
+    """Ten hits whose records have a slot named by doc_id % 7 each: names that two of them have don't answer."""
+    rows = _mem(spark, sf)
+    slots = rows.select(F.col("id").alias("memory_id"), F.concat(F.lit("Kind-"), F.col("doc_id") % 7).alias("entity_name"), F.element_at("tags", 2).alias("entity_val"))
+    question = "what are " + ", ".join(f"kind {k}" for k in range(7)) + "?"
+    return answer.entity_answer(_hits(spark, sf), slots, question, rows)
+
+
+def answer_spans(spark, sf):
+    """The first words of each conversation's turns as spans with margins that follow from their lengths."""
+    turns = corpus.table(spark, sf, "conversations").where("text is not null")
+    span = F.substring_index("text", " ", 2)
+    rows = turns.select(
+        F.concat(F.lit("of "), "conv_id").alias("question"), F.col("turn").cast("long").alias("place"), F.concat_ws("/", "conv_id", "turn").alias("id"),
+        (F.char_length("text") % 100 / 100).alias("score"), span.alias("span"), (F.char_length("text") % 13).cast("double").alias("margin"),
+    )
+    return answer.span_answers(rows).select("question", "answer", "selected", F.round("confidence", 6).alias("confidence"))
 
 
 def grounding_check(spark, sf):
@@ -362,8 +376,12 @@ def card_vectors(memories: DataFrame) -> DataFrame:
 
 
 def hash_embedding(spark, sf):
+    """Of each card's vector: its size, its norm, the places that are not zero, and the sum of their amounts."""
     found = card_vectors(_mem(spark, sf))
-    return found.select("id", F.size("embedding").alias("dims"), F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 3).alias("norm"))
+    filled = F.filter("embedding", lambda x: x != 0)
+    amount = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.abs(x).cast("double"))
+    norm = F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 3)
+    return found.select("id", F.size("embedding").alias("dims"), norm.alias("norm"), F.size(filled).alias("filled"), F.round(amount, 2).alias("amount"))
 
 
 def card_texts(spark, sf):
@@ -388,27 +406,41 @@ def import_json(spark, sf):
 
 
 def import_links(spark, sf):
-    """Events as links in two shapes, some of them onto themselves."""
+    """Each event as a file of links, in five shapes; two of them hold none that counts."""
     events = corpus.table(spark, sf, "events")
-    one, two = F.col("event_id").cast("string"), (F.col("event_id") - F.col("event_id") % 3).cast("string")
-    named = F.to_json(F.struct(one.alias("from"), two.alias("to"), F.col("event_type").alias("relationType")))
-    line = F.when(F.col("event_id") % 2 == 0, named).otherwise(F.to_json(F.struct(one.alias("source_id"), two.alias("target_id"))))
-    return importers.json_links(importers.json_objects(events.select(one.alias("path"), line.alias("text"))))
+    one, two, kind = F.col("event_id").cast("string"), (F.col("event_id") - F.col("event_id") % 3).cast("string"), F.col("event_type")
+    whole = F.struct(one.alias("source_id"), two.alias("target_id"), kind.alias("relation"), F.lit(0.25).alias("weight"), F.lit("2024-01-02T03:04:05Z").alias("created_at"))
+    shapes = (
+        F.struct(F.array(F.struct(one.alias("from"), two.alias("to"), kind.alias("relationType"))).alias("relations"), F.array(whole).alias("links")),
+        F.struct(F.array(F.struct(one.alias("source"), two.alias("target"), kind.alias("relation_type"), F.lit("2.5").alias("weight"))).alias("relations")),
+        F.struct(F.array(F.struct(F.struct(one.alias("source_id"), two.alias("target_id"), F.lit(4).alias("weight")).alias("meta"))).alias("relations"), F.array(whole.dropFields("created_at")).alias("links")),
+        F.struct(one.alias("from"), two.alias("to"), kind.alias("relation")),
+        F.struct(F.array(F.struct(one.alias("from"), F.lit(" ").alias("to"))).alias("relations")),
+    )
+    line = F.coalesce(*(F.when(F.col("event_id") % 5 == k, F.to_json(shape)) for k, shape in enumerate(shapes)))
+    return importers.json_links(events.select(one.alias("path"), line.alias("text"))).select("source_id", "target_id", "relation", "weight")
 
 
 def import_front_matter(spark, sf):
-    """Each document as a Markdown file with a head."""
+    """Each document as a Markdown file with a head; every fifth head names neither type nor title, others have their tags in brackets."""
     docs = corpus.table(spark, sf, "documents")
-    head = F.concat(F.lit('---\nTitle: "T '), "doc_id", F.lit('"\ntype: Decision\ntags: ['), "lang", F.lit(", "), "source", F.lit("]\n---\n"))
-    files = docs.select(F.col("doc_id").cast("string").alias("path"), F.concat(head, F.coalesce("text", F.lit(""))).alias("text"))
-    return importers.front_matter(files).select("path", "title", "category", F.array_join("tags", ",").alias("tags"), F.md5("content").alias("content_md5"))
+    turn, source = F.col("doc_id") % 5, F.coalesce("source", F.lit(""))
+    named = F.when(turn == 0, "kind: Decision\n").otherwise(F.concat(F.lit('type: Decision\ntitle: "T '), "doc_id", F.lit('"\n')))
+    tags = F.when(turn == 1, "tags: [a, b]\n").otherwise(F.concat(F.lit("tags:\n  - "), F.coalesce("lang", F.lit("")), F.lit("\n  - \""), source, F.lit('"\n- - last\n')))
+    rest = F.concat(F.lit("id: 'd"), "doc_id", F.lit("'\nconfidence: 0.25\nconfidence: high\nprovenance: "), source, F.lit("\nat: 2024-03-01T00:00:00Z\n- no tag\n---\n"))
+    files = docs.select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("\n---\n"), named, tags, rest, F.coalesce("text", F.lit(""))).alias("text"))
+    found = importers.front_matter(files)
+    return found.select("path", "id", "title", "category", F.array_join("tags", ",").alias("tags"), "confidence", "provenance", F.unix_timestamp("created_at").alias("at"), F.md5("content").alias("content_md5"))
 
 
 def import_sections(spark, sf):
-    """Each document's labels as a Markdown file with two sections."""
+    """Each document, whole, as a quotation in a Markdown file with two sections and lines that belong to no record."""
     docs = corpus.table(spark, sf, "documents")
-    text = F.concat(F.lit("# All\n\n## DECISION\n### Of "), "doc_id", F.lit("\n\nfrom "), "source", F.lit("\n\n---\n\n## Goal\n- read "), "lang", F.lit("\n* keep "), "doc_id", F.lit("\n"))
-    return importers.sectioned(docs.select(F.col("doc_id").cast("string").alias("path"), text.alias("text")))
+    source, quoted = F.coalesce("source", F.lit("")), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n> "))
+    one = F.concat(F.lit("# All\nlost\n\n## Decisions\n### Of "), "doc_id", F.lit("\n- **ID:** `r"), "doc_id", F.lit("`\n- **Tags:** `"), source, F.lit("`, , b\n- **Confidence:** 0.5\n- **Created:** 2024-03-01T00:00:00Z\n- **More:** x\n\n> "), quoted)
+    two = F.concat(F.lit("\n>\n---\nlost\n## Goal\n- read me\n### \nlost\n### Second\n*Confidence: 0.25 | Status: active | Created: 2024-01-02T03:04:05 | Tags: `a`, `"), source, F.lit("`*\n- plain\n  item "), "doc_id", F.lit("\n"))
+    found = importers.sectioned(docs.select(F.col("doc_id").cast("string").alias("path"), F.concat(one, two).alias("text")))
+    return found.select("path", "id", "category", "title", F.md5("content").alias("content_md5"), F.array_join("tags", ",").alias("tags"), "confidence", F.unix_timestamp("created_at").alias("at"))
 
 
 def attachment_decode(spark, sf):
@@ -417,24 +449,49 @@ def attachment_decode(spark, sf):
 
 
 def conversation_turns(spark, sf):
-    """Each turn twice in a transcript, as a JSON array or as JSON lines."""
+    """Each turn as a JSON array, as JSON lines, or as plain lines; numbers, and texts on JSON lines, don't count as turns."""
     rows = corpus.table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("said"))
-    one, two = F.struct("role", F.col("said").alias("content")), F.struct(F.col("role").alias("speaker"), F.col("said").alias("text"))
-    array = F.concat(F.lit("["), F.to_json(one), F.lit(", "), F.to_json(two), F.lit("]"))
-    text = F.when(F.col("turn") % 2 == 0, array).otherwise(F.concat_ws("\n", F.to_json(two), F.to_json(one)))
+    one, two = F.to_json(F.struct("role", F.col("said").alias("content"))), F.to_json(F.struct(F.col("role").alias("speaker"), F.col("said").alias("text")))
+    array = F.concat(F.lit(" ["), one, F.lit(", 5, "), two, F.lit(', {"content": 7}]'))
+    shape = F.col("turn") % 3
+    text = F.when(shape == 0, array).when(shape == 1, F.concat_ws("\n", two, one, F.lit('{"role": "x", "content": "by x"}'))).otherwise(F.concat(F.lit("- "), "said"))
     found = observe.turns_of_text(rows.select(F.concat_ws("/", "conv_id", "turn").alias("doc_id"), text.alias("text")))
     return found.select("doc_id", "turn", "role", F.md5("text").alias("text_md5"))
 
 
 def redacted_args(spark, sf):
     events = corpus.table(spark, sf, "events")
-    args = F.concat(F.lit("add --TOKEN "), "event_id", F.lit(" --api_key="), "event_type", F.lit(" --tag "), "event_type")
+    kind, ident = F.col("event_type"), F.col("event_id").cast("string")
+    args = F.array(
+        F.lit("memvault"), F.lit("add"), F.lit("--api-key"), F.concat(kind, F.lit(" two words")), F.concat(F.lit("--openai-api-key="), ident), F.lit("--note"),
+        F.concat(F.lit('a "b" '), kind), F.lit("--ollama-api-key"), F.lit("--api-key"), F.concat(F.lit("--tag="), kind), F.lit("--token"), ident, F.concat(F.lit("--x=y "), kind),
+    )
     return events.select("event_id", text.redacted(args).alias("args"))
 
 
 def export_markdown(spark, sf):
-    rows = exporters.markdown(_mem(spark, sf))
-    return rows.groupBy("category", "place").agg(F.count("*").alias("blocks"))
+    rows = exporters.markdown(_mem(spark, sf).drop("doc_id"), links=corpus.links(spark, sf))
+    seen = F.substring_index("value", "<!-- record", 1)
+    return rows.select("place", "category", "id", F.md5(F.when(F.col("place") == exporters.LINKS_PLACE, F.lit("")).otherwise(seen)).alias("seen_md5"))
+
+
+def markdown_roundtrip(spark, sf):
+    """Each block of an export as a file of its own, read back."""
+    rows = exporters.markdown(_mem(spark, sf).drop("doc_id"), entities=corpus.entities(spark, sf)).where("id <> ''")
+    files = rows.select(F.concat("id", F.lit(".md")).alias("path"), F.concat(F.lit(exporters.MARKDOWN_HEAD), "value").alias("text"))
+    back = importers.candidates(files)
+    return back.select("path", "id", "category", "title", F.md5("content").alias("content_md5"), F.array_join("tags", ",").alias("tags"), "confidence", "provenance")
+
+
+def keyed_upsert(spark, sf):
+    """Two thirds of the documents arrive in a vault that holds the others; pairs of them share an id, and some have the id of a held record."""
+    rows = _mem(spark, sf).withColumn("category", F.when(F.col("doc_id") % 2 == 0, "fact").otherwise("goal"))
+    new = F.col("doc_id") % 3 != 0
+    held = dedup.merged(rows.where(~new)).withColumn("status", F.lit("active")).unionByName(rows.where(~new & (F.col("status") != "active")), allowMissingColumns=True)
+    incoming = rows.where(new).withColumn("_four", F.col("doc_id") - F.col("doc_id") % 4)
+    incoming = incoming.withColumns({"id": corpus.doc_key("_four"), "place": F.col("doc_id").cast("long"), "status": F.lit("active"), "content": text.trim(F.col("content"))}).where("content <> ''").drop("doc_id", "_four")
+    records, _ = dedup.keyed_upsert(held.select(*[c for c in incoming.columns if c != "place"]), incoming)
+    return records.select("id", "category", "title", "status", "confidence", "provenance", F.md5(text.trim(F.col("content"))).alias("content_md5"), F.array_join("tags", ",").alias("tags"), "created_at")
 
 
 def export_json_roundtrip(spark, sf):
@@ -565,10 +622,10 @@ def queries() -> dict[str, Query]:
         ingest_merge, rehomed_links, meaningful_tokens, conflicts_pairs, conflicts_nearest, conflicts_resolved, links_all, graph_related,
         graph_related_paths, graph_snapshot, node_degree, node_cards, link_upsert, autolink_titles, autolink_tags, autolink_semantic,
         wikilinks, dangling_links, categorize, lenient_categories, observe_conversations, answer_top1, answer_gate,
-        answer_entity_index, grounding_check, model_answers, history_filter, history_prune, history_latency, merge_vaults_skip,
+        answer_entity_index, answer_spans, grounding_check, model_answers, history_filter, history_prune, history_latency, merge_vaults_skip,
         merge_vaults_replace, merge_vaults_links, hash_embedding, card_texts, import_json, import_links, import_front_matter, import_sections, attachment_decode, conversation_turns, redacted_args, export_markdown, export_json_roundtrip,
         get_many, restore_lookup, node_links, links_restored, graph_khop_nodes, graph_khop_edges, backlinks, write_time_peers, conflict_merged,
-        rehomed_entities, batch_files, file_tags, file_texts, recall_expanded_as_of, recall_media, recall_media_part, recall_precision,
+        rehomed_entities, keyed_upsert, markdown_roundtrip, batch_files, file_tags, file_texts, recall_expanded_as_of, recall_media, recall_media_part, recall_precision,
         backup_roundtrip, entity_json,
     )
     return {q.__name__: q for q in found}

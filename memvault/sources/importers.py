@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memvault.functions import rules
-from memvault.functions.text import title_of, trim
-from memvault.schema import BACKUP_FORMAT, MEMORIES
+from memvault.functions.text import BLANKS, title_of, trim
+from memvault.schema import BACKUP_FORMAT, CATEGORIES, MARKDOWN_FORMAT, MEMORIES
 
 # fixed values: keys under which others keep contents, titles, categories, tags, ids and more, the first one first
 CONTENT_KEYS = ("content", "memory", "text", "value", "document", "body", "message", "data", "statement")
@@ -29,11 +29,58 @@ NESTED = ("metadata", "payload", "meta", "attributes", "info")
 TAG_BYTES = 32
 
 
+#: Marks a body that is an index of other files.
+INDEX_MARK = " — OKF bundle"
+#: What a record's provenance says if its Markdown doesn't.
+MARKDOWN_PROVENANCE = "imported:okf"
+#: Plurals that name a category in a heading.
+PLURALS = {f"{c}s": c for c in CATEGORIES}
+#: Lines of a file that may say its format.
+FORMAT_LINES = 8
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of importable files under a folder, but for hidden ones and index.md."""
+    """(path, text) of importable files under a folder, but for index.md and what lies in folders or files with a leading dot."""
     found = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    root = path.rstrip("/").rsplit("/", 1)[-1]
+    below = F.element_at(F.split("path", rf"/\Q{root}\E/", 2), -1)
     name = F.element_at(F.split("path", "/"), -1)
-    return found.where(name.rlike(r"(?i)\.(md|okf|json|jsonl)$") & ~name.startswith(".") & (name != "index.md"))
+    return found.where(name.rlike(r"(?i)\.(md|okf|json|jsonl)$") & ~below.rlike(r"(?:^|/)\.") & (name != "index.md"))
+
+
+def candidates(files: DataFrame) -> DataFrame:
+    """The records in files (path, text), told by their names: JSON, JSON lines, or one of the kinds of Markdown.
+
+    (path, place, id, category, title, content, tags, confidence, provenance, created_at)
+    """
+    json = F.lower("path").rlike(r"\.jsonl?$")
+    own = is_own_markdown(F.col("text"))
+    marked = files.where(~json)
+    told = own_records(marked.where(own)).select(
+        "path", "place", "id", "category", "title", "content", "tags", "confidence", "provenance", F.col("created_at").cast("timestamp").alias("created_at")
+    )
+    plain = marked.where(~own)
+    found = json_candidates(json_objects(files.where(json))).unionByName(told)
+    return found.unionByName(front_matter(plain)).unionByName(sectioned(plain.where(~has_head(F.col("text")))))
+
+
+def file_links(files: DataFrame) -> DataFrame:
+    """(path, source_id, target_id, relation, weight) of the links in files (path, text)."""
+    json = F.lower("path").rlike(r"\.jsonl?$")
+    return json_links(files.where(json)).unionByName(own_links(files.where(~json)))
+
+
+def _lines(text: Column) -> Column:
+    return F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"\r$", ""))
+
+
+def _number(text: Column) -> Column:
+    return F.when(trim(text).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), trim(text).cast("double"))
+
+
+def _moment(text: Column) -> Column:
+    """A time with its offset."""
+    return F.when(text.rlike(r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"), text.try_cast("timestamp"))
 
 
 def json_objects(files: DataFrame) -> DataFrame:
@@ -51,7 +98,7 @@ def json_objects(files: DataFrame) -> DataFrame:
     lines = F.filter(F.transform(F.split("text", r"\r?\n"), read), lambda v: v.isNotNull())
     # the parser stops after a first object, so objects on lines of their own are told by the first line
     first = F.substring_index("text", "\n", 1)
-    by_line = whole.isNull() | (first.startswith("{") & F.try_parse_json(first).isNotNull() & (first != F.col("text")))
+    by_line = whole.isNull() | ((first != F.col("text")) & first.startswith("{") & F.try_parse_json(first).isNotNull())
     found = F.when(by_line, lines).otherwise(F.coalesce(*tries))
     return parsed.select("path", F.posexplode(found).alias("place", "object"))
 
@@ -64,7 +111,9 @@ def _text(obj: Column, path: str) -> Column:
 
 def _field(obj: Column, keys: tuple[str, ...]) -> Column:
     """The first of keys that holds a filled string, a number or a boolean, here or in a nested object."""
-    return F.coalesce(*[_text(obj, f"$.{k}") for k in keys], *[_text(obj, f"$.{n}.{k}") for n in NESTED for k in keys])
+    nested = F.coalesce(*[F.try_variant_get(obj, f"$.{n}", "variant") for n in NESTED])
+    deep = F.when(nested.isNotNull(), F.coalesce(*[_text(obj, f"$.{n}.{k}") for n in NESTED for k in keys]))
+    return F.coalesce(*[_text(obj, f"$.{k}") for k in keys], deep)
 
 
 def _strings(obj: Column, path: str) -> Column:
@@ -111,17 +160,18 @@ def json_candidates(objects: DataFrame) -> DataFrame:
         F.lower(_field(obj, ENTITY_KEYS)).alias("entity"),
         F.concat(start, F.lit(" "), relation, F.lit(" "), end).alias("related"),
         F.concat(start, F.lit(" -> "), end).alias("ends"),
-        _longest(obj).alias("longest"),
+        "object",
         F.concat(*[_tags(obj, f"$.{k}") for k in TAG_KEYS]).alias("tags"),
         _tags(obj, "$.metadata.tags").alias("more_tags"),
         F.coalesce(_field(obj, CONFIDENCE_KEYS).try_cast("double"), F.lit(0.9)).alias("confidence"),
         F.coalesce(_field(obj, PROVENANCE_KEYS), F.lit("imported")).alias("provenance"),
         _field(obj, CREATED_KEYS).alias("made"),
     )
+    found = found.withColumn("longest", F.when(F.coalesce("plain", "observed", "related").isNull(), _longest(obj))).drop("object")
     by_observation, by_relation = F.col("plain").isNull() & F.col("observed").isNotNull(), F.coalesce("plain", "observed").isNull() & F.col("related").isNotNull()
     content = F.coalesce("plain", "observed", "related", "longest.content")
     guessed = F.when(by_observation & F.col("entity").isNotNull(), F.array("entity")).when(F.coalesce("plain", "observed", "related").isNull(), F.col("longest.tags")).otherwise(blank)
-    made = F.when(F.col("made").rlike(r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"), F.col("made").try_cast("timestamp"))
+    made = _moment(F.col("made"))
     return found.where(content.isNotNull()).select(
         "path",
         "place",
@@ -144,50 +194,181 @@ def backup(files: DataFrame, name: str = BACKUP_FORMAT) -> DataFrame:
     return read.where(known).select(F.explode("b.memories").alias("m")).select("m.*")
 
 
-def json_links(objects: DataFrame) -> DataFrame:
-    """(source_id, target_id, relation) of objects that relate two others."""
-    get = lambda *keys: F.coalesce(*[F.try_variant_get(F.col("object"), f"$.{k}", "string") for k in keys])
-    rows = objects.select(get("source_id", "from").alias("source_id"), get("target_id", "to").alias("target_id"), F.coalesce(get("relation", "relationType"), F.lit("relates_to")).alias("relation"))
-    return rows.where("source_id is not null and target_id is not null and source_id <> target_id")
+def json_links(files: DataFrame) -> DataFrame:
+    """(path, source_id, target_id, relation, weight) of the links in files (path, text) that are one JSON object.
+
+    links counts only if each of its items is a whole link: two ends, relation, weight and created_at. Of relations, each item
+    with two ends counts; its relation is relates_to and its weight 1 unless it says so.
+    """
+    whole = F.try_parse_json("text")
+    parsed = files.select("path", F.try_variant_get(whole, "$.links", "array<variant>").alias("links"), F.try_variant_get(whole, "$.relations", "array<variant>").alias("relations"))
+    is_text = lambda v, k: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")) == "STRING", F.lit(False))
+    text = lambda v, k: F.try_variant_get(v, f"$.{k}", "string")
+    number = lambda v, k: F.when(~F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")).isin("STRING", "BOOLEAN"), F.try_variant_get(v, f"$.{k}", "double"))
+    full = lambda v: is_text(v, "source_id") & is_text(v, "target_id") & is_text(v, "relation") & number(v, "weight").isNotNull() & _moment(text(v, "created_at")).isNotNull()
+    links = F.transform(
+        F.when(F.forall("links", full), F.col("links")),
+        lambda v: F.struct(text(v, "source_id").alias("source_id"), text(v, "target_id").alias("target_id"), text(v, "relation").alias("relation"), number(v, "weight").alias("weight")),
+    )
+    related = F.transform(
+        "relations",
+        lambda v: F.struct(
+            _field(v, ("from", "source", "source_id")).alias("source_id"),
+            _field(v, ("to", "target", "target_id")).alias("target_id"),
+            F.coalesce(_field(v, (*RELATION_KEYS, "relation")), F.lit("relates_to")).alias("relation"),
+            F.coalesce(_number(_field(v, ("weight",))), F.lit(1.0)).alias("weight"),
+        ),
+    )
+    none = F.array().cast("array<struct<source_id:string,target_id:string,relation:string,weight:double>>")
+    rows = parsed.select("path", F.explode(F.concat(F.coalesce(links, none), F.coalesce(related, none))).alias("l")).select("path", "l.*")
+    return rows.where("source_id is not null and target_id is not null")
+
+
+def _head(text: Column) -> tuple[Column, Column]:
+    """What stands between a first --- and the next line that begins so, and what follows; null without these."""
+    after = F.substring(F.ltrim(text, F.lit(BLANKS)), 4, 1 << 30)
+    end = F.instr(after, "\n---")
+    there = F.ltrim(text, F.lit(BLANKS)).startswith("---") & (end > 0)
+    return F.when(there, F.substring(after, F.lit(1), end - 1)), F.when(there, trim(F.substring(after, end + 4, F.lit(1 << 30))))
+
+
+def _unquoted(text: Column) -> Column:
+    return F.btrim(F.btrim(trim(text), F.lit("'")), F.lit('"'))
+
+
+def _facts(head: Column) -> Column:
+    """What the lines of a head say: (in_tags, type, title, id, confidence, provenance, at, tags); a later line overrides an earlier one."""
+    none = F.lit(None)
+    start = F.struct(
+        F.lit(False).alias("in_tags"), *[none.cast("string").alias(k) for k in ("type", "title", "id")], F.lit(0.9).alias("confidence"),
+        F.lit(MARKDOWN_PROVENANCE).alias("provenance"), none.cast("timestamp").alias("at"), F.array().cast("array<string>").alias("tags"),
+    )
+
+    def step(s: Column, line: Column) -> Column:
+        t = trim(line)
+        item = s["in_tags"] & t.startswith("- ")
+        tag = _unquoted(F.regexp_replace(t, "^(?:- )+", ""))
+        said = lambda key: F.when(~item & t.startswith(f"{key}:"), F.substring(t, len(key) + 2, 1 << 30))
+        goes_on = item | ((line.startswith(" ") | line.startswith("-")) & s["in_tags"])
+        return F.struct(
+            (goes_on | (t == "tags:")).alias("in_tags"),
+            *[F.coalesce(_unquoted(said(k)), s[k]).alias(k) for k in ("type", "title", "id")],
+            F.coalesce(_number(said("confidence")), s["confidence"]).alias("confidence"),
+            F.coalesce(F.nullif(_unquoted(said("provenance")), F.lit("")), s["provenance"]).alias("provenance"),
+            F.coalesce(_moment(_unquoted(said("at"))), s["at"]).alias("at"),
+            F.when(item & (tag != ""), F.concat(s["tags"], F.array(tag))).otherwise(s["tags"]).alias("tags"),
+        )
+
+    return F.aggregate(_lines(head), start, step)
+
+
+def has_head(text: Column) -> Column:
+    """Whether a Markdown file is one record with a head that names its type or title, and a body."""
+    head, body = _head(text)
+    facts = _facts(head)
+    index = body.startswith("# ") & body.contains(INDEX_MARK)
+    return F.coalesce(~text.contains("\n### ") & (body != "") & ~index & (facts["type"].isNotNull() | facts["title"].isNotNull()), F.lit(False))
 
 
 def front_matter(files: DataFrame) -> DataFrame:
-    """(path, title, category, tags, content) of Markdown files that begin with --- key: value lines ---."""
-    head = F.regexp_extract("text", r"(?s)\A---\r?\n(.*?)\r?\n---\s*(?:\r?\n|\z)", 1)
-    value = lambda key: F.nullif(trim(F.regexp_extract(head, rf"(?im)^{key}\s*:\s*[\"']?(.*?)[\"']?\s*$", 1)), F.lit(""))
-    body = trim(F.regexp_replace("text", r"(?s)\A---\r?\n.*?\r?\n---\s*(?:\r?\n|\z)", ""))
-    tags = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(value("tags"), F.lit("")), r"[\[\]\"']", ""), ","), trim), lambda t: t != "")
-    rows = files.where(head != "").select("path", value("title").alias("t"), value("(?:category|type)").alias("c"), tags.alias("tags"), body.alias("content"))
+    """The records of Markdown files (path, text) with a head, as in candidates().
+
+    Block lists under tags: give the tags; unlike lists in brackets, which don't count.
+    """
+    head, body = _head(F.col("text"))
+    rows = files.where(has_head(F.col("text"))).select("path", body.alias("content"), _facts(head).alias("h"))
     return rows.select(
         "path",
-        F.coalesce("t", title_of(F.col("content"))).alias("title"),
-        F.coalesce(rules.lenient_category(F.col("c")), rules.category_of(F.col("content"))).alias("category"),
-        "tags",
+        F.lit(0).alias("place"),
+        "h.id",
+        F.coalesce(rules.lenient_category(F.col("h.type")), rules.category_of(F.col("content"))).alias("category"),
+        F.coalesce("h.title", title_of(F.col("content"))).alias("title"),
         "content",
-    ).where("content <> ''")
+        "h.tags",
+        "h.confidence",
+        "h.provenance",
+        F.col("h.at").alias("created_at"),
+    )
 
 
 def sectioned(files: DataFrame) -> DataFrame:
-    """(path, category, title, content) of ## category, ### title, text, and of bullets without a title."""
-    lines = files.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("n", "line")).where(trim(F.col("line")) != "---")
-    by = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.regexp_extract("line", r"^##\s+(?!#)(.*)$", 1)
-    name = F.regexp_extract("line", r"^###\s+(.*)$", 1)
-    bullet = F.col("line").rlike(r"^[-*]\s+")
-    rows = lines.withColumn("category", F.last(F.when(head != "", head), True).over(by))
-    starts = F.when(name != "", F.col("n")).when(bullet & F.lit(True), F.col("n")).when(head != "", F.lit(-1))
-    rows = rows.withColumn("at", F.last(starts, True).over(by)).where("at >= 0").where(head == "")
-    title = F.max(F.when(name != "", name)).alias("t")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(name == "", F.struct("n", "line")))), lambda x: F.regexp_replace(x["line"], r"^[-*]\s+", "")), "\n")
-    done = rows.groupBy("path", "at").agg(F.first("category", True).alias("category"), title, trim(text).alias("content")).where("content <> ''")
-    return done.select(
-        "path", F.coalesce(rules.lenient_category(F.col("category")), rules.category_of(F.col("content"))).alias("category"), F.coalesce("t", title_of(F.col("content"))).alias("title"), "content"
+    """The records of Markdown files (path, text) with ## categories and ### titles, as in candidates().
+
+    A record's text goes on to the next heading or ---; without a title before it, text belongs to no record. Lines that begin with - ** hold
+    its id, tags, confidence and time of creation, as a last line in asterisks may; marks of quotations are taken off.
+    """
+    lines = files.select("path", F.posexplode(_lines(F.col("text"))).alias("n", "line")).withColumn("t", trim(F.col("line")))
+    t = F.col("t")
+    heading, name = t.startswith("## "), t.startswith("### ")
+    ends = heading | name | (t == "---")
+    by = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)  # one file's lines
+    kind = F.lower(trim(F.substring(t, 4, 1 << 30)))
+    plural = F.lit(None).cast("string")
+    for word, category in PLURALS.items():
+        plural = F.when(kind == word, category).otherwise(plural)
+    rows = lines.withColumn("category", F.last(F.when(heading, F.coalesce(plural, rules.lenient_category(kind), F.lit("fact"))), True).over(by))
+    rows = rows.withColumn("card", F.last(F.when(ends, F.struct("n", F.when(name, F.nullif(trim(F.substring(t, 5, 1 << 30)), F.lit(""))).alias("title"))), True).over(by))
+    bare = F.regexp_replace(t, "`", "")
+    after = lambda x, mark: F.when(x.startswith(mark), trim(F.substring(x, len(mark) + 1, 1 << 30)))
+    footer = t.startswith("*Confidence:") & t.endswith("*")
+    parts = F.when(footer, F.transform(F.split(F.btrim(bare, F.lit("*")), r"\|"), trim))
+    of_footer = lambda mark: F.try_element_at(F.filter(F.transform(parts, lambda x: after(x, mark)), lambda x: x.isNotNull()), F.lit(-1))
+    local = lambda x: F.when(x.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d$"), F.concat(x, F.lit("+00:00")).try_cast("timestamp"))
+    tags = F.coalesce(after(bare, "- **Tags:**"), of_footer("Tags:"))
+    meta = t.startswith("- **") | footer
+    quoted = F.when(F.col("line").startswith("> "), F.substring("line", 3, 1 << 30)).when(t == ">", "").otherwise(F.col("line"))
+    told = rows.where(F.col("card.title").isNotNull() & ~ends).select(
+        "path",
+        F.col("card.n").alias("place"),
+        F.col("card.title").alias("title"),
+        F.coalesce("category", F.lit("fact")).alias("category"),
+        "n",
+        F.when(~meta, quoted).alias("text"),
+        after(bare, "- **ID:**").alias("id"),
+        tags.alias("tags"),
+        F.coalesce(_number(after(bare, "- **Confidence:**")), _number(of_footer("Confidence:"))).alias("confidence"),
+        F.coalesce(_moment(after(bare, "- **Created:**")), _moment(of_footer("Created:")), local(of_footer("Created:"))).alias("made"),
+    )
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("n")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("n", "text")))), lambda x: x["text"]), "\n")
+    done = told.groupBy("path", "place", "title", "category").agg(
+        trim(body).alias("content"), last("id").alias("id"), last("tags").alias("_tags"), last("confidence").alias("confidence"), last("made").alias("created_at")
     )
+    listed = F.filter(F.transform(F.split("_tags", ","), trim), lambda x: x != "")
+    return done.where("content <> ''").select(
+        "path", F.col("place").cast("int").alias("place"), "id", "category", "title", "content", F.coalesce(listed, F.array().cast("array<string>")).alias("tags"),
+        F.coalesce("confidence", F.lit(0.9)).alias("confidence"), F.lit(MARKDOWN_PROVENANCE).alias("provenance"), "created_at",
+    )
+
+
+def is_own_markdown(text: Column) -> Column:
+    """Whether a file says in its first lines that it is of exporters.markdown."""
+    return F.exists(F.slice(_lines(text), 1, FORMAT_LINES), lambda x: trim(x) == F.lit(f'format: "{MARKDOWN_FORMAT}"'))
+
+
+def _comments(files: DataFrame, name: str) -> DataFrame:
+    """(path, place, said): the JSON in the comments of a name, a line each; a comment that doesn't end fails."""
+    rows = files.select("path", F.posexplode(_lines(F.col("text"))).alias("place", "line")).where(F.col("line").startswith(f"<!-- {name} "))
+    whole = F.when(F.col("line").endswith(" -->"), True).otherwise(F.raise_error(F.concat(F.lit("malformed record in "), "path")))
+    said = F.regexp_replace("line", rf"^<!-- {name} (.*) -->$", "$1")
+    return rows.where(whole).select("path", "place", said.alias("said"))
+
+
+def own_records(files: DataFrame) -> DataFrame:
+    """(path, place, and the columns of memories, attachments and entities) of exporters.markdown's files."""
+    kind = f"{MEMORIES}, attachments array<struct<filename:string,sha256:string,base64:string>>, entities array<struct<entity_name:string,entity_val:string>>"
+    return _comments(files, "record").select("path", "place", F.from_json("said", kind, {"mode": "FAILFAST"}).alias("r")).select("path", "place", "r.*")
+
+
+def own_links(files: DataFrame) -> DataFrame:
+    """(path, source_id, target_id, relation, weight) of exporters.markdown's files."""
+    kind = "source_id string, target_id string, relation string, weight double"
+    return _comments(files, "link").select("path", F.from_json("said", kind, {"mode": "FAILFAST"}).alias("l")).select("path", "l.*")
 
 
 def attachments(rows: DataFrame) -> DataFrame:
     """(memory_id, filename, data, sha256) of base64 attachments; fails on a wrong hash or a path in a file name."""
     data = F.unbase64("base64")
-    ok = (F.col("sha256").isNull() | (F.sha2(data, 256) == F.col("sha256"))) & F.col("filename").rlike(r"^[^/\\]+$") & ~F.col("filename").isin(".", "..")
+    ok = (F.col("sha256").isNull() | (F.sha2(data, 256) == F.col("sha256"))) & F.col("filename").rlike(r"^[^/\\]+$") & (trim(F.col("filename")) != "") & ~F.col("filename").contains("..")
     checked = rows.where(F.when(ok, True).otherwise(F.raise_error(F.concat(F.lit("bad attachment "), "filename"))))
     return checked.select("memory_id", "filename", data.alias("data"), F.sha2(data, 256).alias("sha256"))
