@@ -5,7 +5,8 @@ only keys of ``min_chars`` code points or more count. Keys are compared by
 their 128-bit XXH3 hash. ``LineRuns`` holds what is known of the keys as sorted
 runs: each new batch is merge-anti-joined with the runs, adds its fresh keys
 (with the largest doc_id that holds them) and its counts as a run of its own, and
-``fanout`` runs of a level are compacted into one of the next. Batches come in
+``fanout`` runs of a level are compacted into one of the next. Runs are tables in the same number of buckets by
+hash, each sorted, so that a batch meets them without moving their rows; these move when they are compacted. Batches come in
 descending doc_id order here, but counts add and owners take the maximum, so
 any order gives the same state.
 
@@ -17,6 +18,7 @@ through, whatever their names.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memvault.llm.common import BLANKS, written
+from memvault.llm.common import BLANKS, drop, parallelism, shared_dir, written
 
 _BLANKS = BLANKS.encode()
 #: Keys in more than one in so many (document, key) pairs are hot: there are at most as many of them.
@@ -62,46 +64,65 @@ class LineRuns:
     """Sorted runs of (h, owner, n_docs) in levels; owner is null where a run only adds to the count."""
 
     def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout = spark, fanout
-        self.levels: list[list[DataFrame]] = []
+        self.spark, self.fanout, self.buckets = spark, fanout, parallelism(spark)
+        self.levels: list[list[str]] = []
+
+    def _names(self) -> list[str]:
+        return [name for level in self.levels for name in level]
+
+    def _merged(self, names: list[str]) -> DataFrame:
+        """One row per key over some runs, read as files: a union of bucketed tables would not be shuffled, and lose sums (Spark 4.1)."""
+        rows = self.spark.read.schema("h binary, owner long, n_docs long").parquet(*(f"{shared_dir(self.spark)}/{name}" for name in names))
+        return rows.groupBy("h").agg(F.max("owner").alias("owner"), F.sum("n_docs").alias("n_docs"))
 
     def merged(self) -> DataFrame | None:
         """One row per key over all runs."""
-        runs = [run for level in self.levels for run in level]
-        if not runs:
-            return None
-        out = runs[0]
-        for run in runs[1:]:
-            out = out.unionByName(run)
-        return out.groupBy("h").agg(F.max("owner").alias("owner"), F.sum("n_docs").alias("n_docs"))
+        return self._merged(self._names()) if self._names() else None
 
     def add(self, keys: DataFrame) -> None:
         """Merge-anti-joins a batch of distinct (doc_id, h) with the runs and adds its own run."""
         batch = keys.groupBy("h").agg(F.max("doc_id").alias("owner"), F.count("*").alias("n_docs"))
-        known = self.merged()
-        if known is not None:
-            seen = known.select("h", F.col("owner").alias("had"))
-            batch = batch.join(seen, "h", "left").select(
-                "h", F.when(F.col("had").isNull() | (F.col("owner") > F.col("had")), F.col("owner")).alias("owner"), "n_docs"
-            )
+        had = []
+        for i, name in enumerate(self._names()):
+            batch = batch.join(self.spark.table(name).select("h", F.col("owner").alias(f"_had{i}")), "h", "left")
+            had.append(F.col(f"_had{i}"))
+        if had:
+            known = F.greatest(*had, F.lit(None).cast("long"))  # nulls are passed over
+            batch = batch.select("h", F.when(known.isNull() | (F.col("owner") > known), F.col("owner")).alias("owner"), "n_docs")
         self._push(0, batch)
 
     def unseen(self, keys: DataFrame) -> DataFrame:
         """The rows of keys whose key no run holds."""
-        known = self.merged()
-        return keys if known is None else keys.join(known.select("h"), "h", "left_anti")
+        for name in self._names():
+            keys = keys.join(self.spark.table(name).select("h"), "h", "left_anti")
+        return keys
+
+    def _stored(self, rows: DataFrame, level: int) -> str:
+        """Writes rows as a run; its name."""
+        name = f"line_run_{level}_{uuid.uuid4().hex}"
+        out = rows.write.option("compression", "zstd").bucketBy(self.buckets, "h").sortBy("h").format("parquet")
+        out.option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
+        return name
+
+    def _dropped(self, names: list[str]) -> None:
+        for name in names:
+            if (rows := self.spark.table(name)).inputFiles():
+                drop(rows)
+            self.spark.sql(f"DROP TABLE {name}")
+
+    def close(self) -> None:
+        """Drops all runs."""
+        self._dropped(self._names())
+        self.levels = []
 
     def _push(self, level: int, rows: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(written(rows.sortWithinPartitions("h"), f"line-run-{level}"))
+        self.levels[level].append(self._stored(rows, level))
         if len(self.levels[level]) >= self.fanout:
-            runs, self.levels[level] = self.levels[level], []
-            out = runs[0]
-            for run in runs[1:]:
-                out = out.unionByName(run)
-            out = out.groupBy("h").agg(F.max("owner").alias("owner"), F.sum("n_docs").alias("n_docs"))
-            self._push(level + 1, out)
+            names, self.levels[level] = self.levels[level], []
+            self._push(level + 1, self._merged(names))
+            self._dropped(names)
 
 
 def _cut(documents: DataFrame, n: int) -> list[int]:
@@ -116,6 +137,7 @@ def drops(keys: DataFrame, runs: LineRuns, min_docs: int) -> DataFrame:
     A hot key (at most HOT_SHARE of them can exist) meets its documents by broadcast, the others by shuffle.
     """
     state = written(runs.merged(), "line-state")
+    runs.close()
     pairs = state.agg(F.sum("n_docs")).first()[0] or 0
     over = state.where(F.col("n_docs") >= min_docs).select("h", "owner", "n_docs")
     hot = F.col("n_docs") * HOT_SHARE > F.lit(pairs)

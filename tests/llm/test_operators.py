@@ -139,7 +139,14 @@ def test_line_runs_compact_and_anti_join(spark):
     assert [len(level) for level in runs.levels] == [1, 0, 1]
     state = {bytes(r["h"]): (r["owner"], r["n_docs"]) for r in runs.merged().collect()}
     assert state[b"all"] == (10, 5) and state[bytes([4])] == (6, 1)
+    assert all(state[bytes([k])] == (10 - k, 1) for k in range(5))
     new = spark.createDataFrame([(1, b"all"), (1, b"new")], "doc_id long, h binary")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = runs.unseen(new)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Bucketed: true") == 2  # the batch moves, the runs don't
     assert [bytes(r["h"]) for r in runs.unseen(new).collect()] == [b"new"]
 
 
