@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memvault.llm.common import BLANKS, drop, parallelism, shared_dir, written
+from memvault.llm.common import BLANKS, drop, parallelism, shared_dir, tidy, written
 
 _BLANKS = BLANKS.encode()
 #: Keys in more than one in so many (document, key) pairs are hot: there are at most as many of them.
@@ -101,7 +101,8 @@ class LineRuns:
         """Writes rows as a run; its name."""
         name = f"line_run_{level}_{uuid.uuid4().hex}"
         out = rows.write.option("compression", "zstd").bucketBy(self.buckets, "h").sortBy("h").format("parquet")
-        out.option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
+        with tidy(self.spark):
+            out.option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
         return name
 
     def _dropped(self, names: list[str]) -> None:
