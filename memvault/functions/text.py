@@ -95,7 +95,7 @@ def card_text(category: Column, title: Column, content: Column, tags: Column, at
     if attachments is not None:
         parts.append(F.when(F.size(attachments) > 0, F.concat(F.lit("Attachments: "), F.array_join(attachments, "; "))))
     if entities is not None:
-        parts.append(F.when(F.size(entities) > 0, F.concat(F.lit("Entities: "), F.array_join(entities, ", "))))
+        parts.append(F.when(F.size(entities) > 0, F.concat(F.lit("Entities: "), F.array_join(entities, "; "))))
     parts.append(F.when(F.size(tags) > 0, F.concat(F.lit("Tags: "), F.array_join(tags, ", "))))
     return F.concat_ws("\n\n", *parts)
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memvault.functions.text import card_text
+
 DIMS = 384
 #: Vectors of a cell that meet in one task; larger cells are dealt out in pairs of parts.
 PART = 2_000
@@ -20,7 +22,7 @@ PIVOTS = 64
 
 
 class Embedder(Protocol):
-    """What the vault needs of an embedding backend."""
+    """What the vault needs of an embedding backend; a blank text is an error."""
 
     identity: str
     dims: int
@@ -45,6 +47,35 @@ def valid(vector: Column) -> Column:
     return (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
+def checked(vectors: DataFrame, dims: int) -> DataFrame:
+    """vectors, failing on one that is not of dims finite numbers."""
+    ok = F.coalesce((F.size("embedding") == dims) & valid(F.col("embedding")), F.lit(False))
+    return vectors.where(F.when(ok, True).otherwise(F.raise_error(F.concat(F.lit(f"not a vector of {dims} finite numbers: "), "id"))))
+
+
+def file_summary() -> Column:
+    """What a card tells of an attachment, from its columns."""
+    long = F.format_string("%.1fs", "duration_secs")
+    facts = F.concat_ws(
+        ", ", "media_kind", "mime_type", F.concat(F.col("size_bytes").cast("string"), F.lit(" bytes")), "dimensions",
+        F.when(F.col("duration_secs").isNotNull(), long), F.concat(F.lit("sha256:"), F.substring("sha256", 1, 12)),
+    )
+    return F.concat("filename", F.lit(" ("), facts, F.lit(")"))
+
+
+def cards(memories: DataFrame, attachments: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
+    """(id, card): what is embedded of records, with their files in order of name and their entities in order of name and value."""
+    rows, files, slots = memories, None, None
+    if attachments is not None:
+        listed = attachments.groupBy(F.col("memory_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("filename", "sha256", file_summary().alias("said")))).getField("said").alias("_files"))  # a record's own files
+        rows, files = rows.join(listed, "id", "left"), F.coalesce("_files", F.array().cast("array<string>"))
+    if entities is not None:
+        listed = entities.groupBy(F.col("memory_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("entity_name", "entity_val"))).alias("_slots"))  # a record's own entities
+        said = F.transform("_slots", lambda e: F.concat(e["entity_name"], F.lit(": "), e["entity_val"]))
+        rows, slots = rows.join(listed, "id", "left"), F.coalesce(said, F.array().cast("array<string>"))
+    return rows.select("id", card_text(F.col("category"), F.col("title"), F.col("content"), F.col("tags"), files, slots).alias("card"))
+
+
 def nearest(vectors: DataFrame, query: list[float], limit: int, keep_all: bool = False) -> DataFrame:
     """(id, similarity): the exact nearest, ties by id; keep_all also keeps those not above 0."""
     literal = F.array(*[F.lit(float(x)) for x in query])
@@ -69,6 +100,8 @@ class HashEmbedder:
     dims = DIMS
 
     def embed_batch(self, texts: list[str]) -> np.ndarray:
+        if not all(t.strip() for t in texts):
+            raise ValueError("a blank text can't be embedded")
         out = np.zeros((len(texts), DIMS), dtype=np.float32)
         for row, text in zip(out, texts, strict=True):
             for word in text.lower().split():

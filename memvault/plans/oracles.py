@@ -172,6 +172,9 @@ near AS (SELECT DISTINCT id FROM walk), inside AS (SELECT * FROM links WHERE sou
 
 _TOKENS = f"""list_distinct(list_filter(list_transform(regexp_split_to_array({{}}, '[^\\p{{{{L}}}}\\p{{{{N}}}}]+'), lambda w: lower(w)), lambda t: t <> '' AND (strlen(t) > 1 OR regexp_matches(t, '[0-9]')) AND NOT list_contains({_list(FUNCTION_WORDS)}, t)))"""
 
+#: The distinct tags of a list of lists of tags, in any case the first spelling.
+_FOLDED = "list_reduce(list_prepend(CAST([] AS VARCHAR[]), flatten(list_transform(flatten({}), lambda x: [[x]]))), lambda a, x: CASE WHEN list_contains(list_transform(a, lambda y: lower(y)), lower(x[1])) THEN a ELSE a || x END)"
+
 SQL: dict[str, str] = {
     "recall_vector_topk": f"WITH {VEC} SELECT * FROM near WHERE similarity > 0 ORDER BY similarity DESC, id LIMIT 10",
     "recall_vector_filtered": f"{MEM}, {VEC} SELECT near.id, similarity FROM near JOIN mem USING (id) WHERE similarity > 0 AND category = 'decision' AND {FOUND.format('2024-01-31 06:00:00')} ORDER BY similarity DESC, near.id LIMIT 10",
@@ -260,6 +263,16 @@ SELECT source_id, target_id, relation, max(weight) AS weight FROM m WHERE source
 SELECT id, CAST(len(t) AS INTEGER) AS n_tokens, CAST(len(list_filter(t, lambda w: regexp_matches(w, '\\p{{L}}'))) AS INTEGER) AS n_words FROM t""",
     "conflicts_pairs": f"{_CONFLICT} SELECT * FROM pairs",
     "conflicts_nearest": _NEAREST,
+    "conflicts_resolved": f"""WITH RECURSIVE {_NEAREST.removeprefix('WITH ').replace('SELECT DISTINCT least(me', ', near AS (SELECT DISTINCT least(me').replace('best AS (', 'best AS (', 1)}),
+con AS (SELECT * FROM near UNION SELECT raw.id, cls.id, 1.0, 1.0 FROM raw JOIN cls USING (k) WHERE raw.id <> cls.id),
+ord AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, older_id, newer_id) AS n FROM con),
+walk(n, gone, kept) AS (
+  SELECT 0::BIGINT, CAST([] AS VARCHAR[]), FALSE
+  UNION ALL
+  SELECT o.n, CASE WHEN list_contains(gone, older_id) OR list_contains(gone, newer_id) THEN gone ELSE list_append(gone, older_id) END,
+    NOT (list_contains(gone, older_id) OR list_contains(gone, newer_id))
+  FROM walk JOIN ord o ON o.n = walk.n + 1)
+SELECT older_id, newer_id, similarity, overlap_ratio FROM walk JOIN ord USING (n) WHERE kept""",
     "links_all": f"WITH {LINKS} SELECT * FROM links",
     "graph_related": f"""WITH RECURSIVE {MEM.removeprefix('WITH ')}, {LINKS}, ok AS (
   SELECT l.* FROM links l JOIN mem a ON a.id = source_id AND a.status = 'active' JOIN mem b ON b.id = target_id AND b.status = 'active'),
@@ -267,6 +280,20 @@ e AS (SELECT source_id AS x, target_id AS y FROM ok UNION SELECT target_id, sour
 walk(start, id, d) AS (SELECT id, id, 0 FROM mem WHERE doc_id % 100 = 0 AND status = 'active'
   UNION SELECT start, y, d + 1 FROM walk JOIN e ON x = walk.id WHERE d < 3)
 SELECT start, id, min(d) AS distance FROM walk GROUP BY start, id HAVING min(d) > 0""",
+    "graph_related_paths": f"""WITH RECURSIVE {MEM.removeprefix('WITH ')}, {LINKS}, ok AS (
+  SELECT l.* FROM links l JOIN mem a ON a.id = source_id AND a.status = 'active' JOIN mem b ON b.id = target_id AND b.status = 'active'),
+e AS (
+  SELECT source_id AS x, target_id AS y, relation AS label, weight, 0 AS back FROM ok
+  UNION ALL SELECT target_id, source_id, relation || ' (incoming)', weight, 1 FROM ok),
+far(start, id, d) AS (SELECT id, id, 0 FROM mem WHERE doc_id % 100 = 0 AND status = 'active' UNION SELECT start, y, d + 1 FROM far JOIN e ON x = far.id WHERE d < 2),
+dist AS (SELECT start, id, min(d) AS d FROM far GROUP BY start, id),
+walk(start, id, d, score, path, ord) AS (
+  SELECT start, id, 0, 1.0::DOUBLE, CAST([] AS VARCHAR[]), '' FROM dist WHERE d = 0
+  UNION ALL
+  SELECT w.start, y, w.d + 1, score * weight / (w.d + 1), list_append(path, label), ord || '/' || back || ':' || label || ':' || y
+  FROM walk w JOIN e ON x = w.id JOIN dist t ON t.start = w.start AND t.id = y AND t.d = w.d + 1
+  QUALIFY row_number() OVER (PARTITION BY w.start, y ORDER BY ord || '/' || back || ':' || label || ':' || y) = 1)
+SELECT start, id, d AS distance, round(score, 6) AS score, array_to_string(path, ' > ') AS path FROM walk WHERE d > 0""",
     "graph_snapshot": f"{_ACTIVE_EDGES} SELECT * FROM ok",
     "node_degree": f"{_ACTIVE_EDGES}, e AS (SELECT source_id AS id FROM ok UNION ALL SELECT target_id FROM ok) SELECT mem.id, count(e.id) AS degree FROM mem LEFT JOIN e USING (id) WHERE status = 'active' GROUP BY mem.id",
     "node_cards": f"{MEM} SELECT id, CASE WHEN title <> '' THEN title ELSE left(content, 30) END AS label, CASE WHEN length(content) > 140 THEN left(content, 140) || '...' ELSE content END AS snippet FROM mem",
@@ -322,6 +349,10 @@ part AS (
 v AS (SELECT id, i, sum(n * x) AS x FROM word JOIN part USING (w) GROUP BY id, i)
 SELECT id, 384 AS dims, 1.0::DOUBLE AS norm, CAST(count(*) FILTER (x <> 0) AS INTEGER) AS filled, round(sum(abs(x)) / sqrt(sum(x * x)), 2) AS amount FROM v GROUP BY id""",
     "card_texts": f"{MEM} SELECT id, md5({_CARD}) AS card_md5 FROM mem",
+    "card_texts_whole": f"""{MEM}, {FILES} SELECT id, md5('[' || upper(category) || '] ' || title || chr(10) || chr(10) || content
+  || coalesce(chr(10) || chr(10) || 'Attachments: ' || filename || ' (code, text/html, ' || size_bytes || ' bytes, sha256:' || left(sha256, 12) || ')', '')
+  || chr(10) || chr(10) || 'Entities: lang: ' || lang || '; source: ' || source || chr(10) || chr(10) || 'Tags: ' || lang || ', ' || source) AS card_md5
+FROM mem LEFT JOIN files ON memory_id = id""",
     "import_json": f"""WITH e AS (SELECT CAST(event_id AS VARCHAR) AS id, event_type AS kind, event_id % 4 AS turn, 'we decided on ' || event_type AS said FROM events)
 SELECT id AS path, id,
   CASE turn WHEN 0 THEN coalesce({_lenient_case('lower(kind)')}, 'decision') WHEN 3 THEN 'relationship' ELSE 'decision' END AS category,
@@ -388,9 +419,9 @@ SELECT id, entity_name, v AS entity_val FROM e WHERE v <> '' AND lower(v) NOT IN
     (title = left(string_split(trim(content, {_BLANKS}), chr(10))[1], 80) OR ends_with(title, '...')) AS auto FROM mem),
 h0 AS (SELECT *, row_number() OVER (PARTITION BY category, k ORDER BY created_at, id) AS n FROM m WHERE doc_id % 3 = 0 AND status = 'active'),
 h AS (  -- the held records: active ones merged, expired ones as they are
-  SELECT f.id, category, coalesce(o.title, f.title) AS title, f.content, k, f.tags, o.confidence, o.created_at, 'active' AS status
+  SELECT f.id, category, coalesce(o.title, f.title) AS title, f.content, k, {_FOLDED.format('o.tt')} AS tags, o.confidence, o.created_at, 'active' AS status
   FROM (SELECT * FROM h0 WHERE n = 1) f JOIN (
-    SELECT category, k, min_by(title, n) FILTER (NOT auto) AS title, max(confidence) AS confidence, min(created_at) AS created_at FROM h0 GROUP BY ALL) o USING (category, k)
+    SELECT category, k, min_by(title, n) FILTER (NOT auto) AS title, max(confidence) AS confidence, min(created_at) AS created_at, list(tags ORDER BY n) AS tt FROM h0 GROUP BY category, k) o USING (category, k)
   UNION ALL SELECT id, category, title, content, k, tags, confidence, created_at, status FROM m WHERE doc_id % 3 = 0 AND status <> 'active'),
 i0 AS (SELECT *, 'doc-' || lpad(CAST(doc_id - doc_id % 4 AS VARCHAR), 8, '0') AS new_id FROM m WHERE doc_id % 3 <> 0 AND k <> ''),
 i AS (SELECT * EXCLUDE (id, new_id), new_id AS id, new_id IN (SELECT id FROM h) AS exact FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY doc_id DESC) AS n FROM i0) WHERE n = 1),
@@ -404,7 +435,7 @@ made AS (
   SELECT min_by(id, g) AS id, category, coalesce(min_by(title, o) FILTER (NOT auto), min_by(title, o)) AS title, 'active' AS status, max(confidence) AS confidence,
     md5(k) AS content_md5, list(tags ORDER BY o) AS t, min(created_at) AS created_at FROM r GROUP BY category, k)
 SELECT id, category, title, status, confidence, 'explicit_statement' AS provenance, content_md5,
-  array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), flatten(list_transform(flatten(t), lambda x: [[x]]))), lambda a, x: CASE WHEN list_contains(list_transform(a, lambda y: lower(y)), lower(x[1])) THEN a ELSE a || x END), ',') AS tags,
+  array_to_string({_FOLDED.format('t')}, ',') AS tags,
   created_at FROM made
 UNION ALL
 SELECT h.id, h.category, h.title, h.status, h.confidence, 'explicit_statement', md5(h.k), array_to_string(h.tags, ','), h.created_at FROM h

@@ -388,6 +388,12 @@ def card_texts(spark, sf):
     return _mem(spark, sf).select("id", F.md5(text.card_text(F.col("category"), F.col("title"), F.col("content"), F.col("tags"))).alias("card_md5"))
 
 
+def card_texts_whole(spark, sf):
+    """Cards with files and entities."""
+    cards = vectors.cards(_mem(spark, sf), _files(spark, sf).withColumns({"dimensions": F.lit(None).cast("string"), "duration_secs": F.lit(None).cast("double")}), corpus.entities(spark, sf))
+    return cards.select("id", F.md5("card").alias("card_md5"))
+
+
 def import_json(spark, sf):
     """Events as foreign JSON lines."""
     events = corpus.table(spark, sf, "events")
@@ -623,7 +629,7 @@ def queries() -> dict[str, Query]:
         graph_related_paths, graph_snapshot, node_degree, node_cards, link_upsert, autolink_titles, autolink_tags, autolink_semantic,
         wikilinks, dangling_links, categorize, lenient_categories, observe_conversations, answer_top1, answer_gate,
         answer_entity_index, answer_spans, grounding_check, model_answers, history_filter, history_prune, history_latency, merge_vaults_skip,
-        merge_vaults_replace, merge_vaults_links, hash_embedding, card_texts, import_json, import_links, import_front_matter, import_sections, attachment_decode, conversation_turns, redacted_args, export_markdown, export_json_roundtrip,
+        merge_vaults_replace, merge_vaults_links, hash_embedding, card_texts, card_texts_whole, import_json, import_links, import_front_matter, import_sections, attachment_decode, conversation_turns, redacted_args, export_markdown, export_json_roundtrip,
         get_many, restore_lookup, node_links, links_restored, graph_khop_nodes, graph_khop_edges, backlinks, write_time_peers, conflict_merged,
         rehomed_entities, keyed_upsert, markdown_roundtrip, batch_files, file_tags, file_texts, recall_expanded_as_of, recall_media, recall_media_part, recall_precision,
         backup_roundtrip, entity_json,

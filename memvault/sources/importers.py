@@ -103,17 +103,22 @@ def json_objects(files: DataFrame) -> DataFrame:
     return parsed.select("path", F.posexplode(found).alias("place", "object"))
 
 
-def _text(obj: Column, path: str) -> Column:
+def _text(obj: Column, path: Column) -> Column:
     """The filled string, number or boolean at a path; null if there is none."""
-    plain = ~F.schema_of_variant(F.try_variant_get(obj, path, "variant")).rlike("^(OBJECT|ARRAY)")
-    return F.when(plain, F.nullif(trim(F.try_variant_get(obj, path, "string")), F.lit("")))
+    value = F.try_variant_get(obj, path, "variant")
+    plain = ~F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)")
+    return F.when(plain, F.nullif(trim(F.try_variant_get(value, "$", "string")), F.lit("")))
 
 
 def _field(obj: Column, keys: tuple[str, ...]) -> Column:
-    """The first of keys that holds a filled string, a number or a boolean, here or in a nested object."""
-    nested = F.coalesce(*[F.try_variant_get(obj, f"$.{n}", "variant") for n in NESTED])
-    deep = F.when(nested.isNotNull(), F.coalesce(*[_text(obj, f"$.{n}.{k}") for n in NESTED for k in keys]))
-    return F.coalesce(*[_text(obj, f"$.{k}") for k in keys], deep)
+    """The first of keys that holds a filled string, a number or a boolean, here or in a nested object.
+
+    The keys are data that one small expression goes through; an expression for each would be too large to compile.
+    """
+    paths = lambda names: F.split(F.lit(" ".join(names)), " ")
+    first = lambda names: F.get(F.filter(F.transform(paths(names), lambda p: _text(obj, p)), lambda x: x.isNotNull()), F.lit(0))
+    nested = F.exists(paths([f"$.{n}" for n in NESTED]), lambda p: F.try_variant_get(obj, p, "variant").isNotNull())
+    return F.coalesce(first([f"$.{k}" for k in keys]), F.when(nested, first([f"$.{n}.{k}" for n in NESTED for k in keys])))
 
 
 def _strings(obj: Column, path: str) -> Column:

@@ -237,7 +237,7 @@ class Vault:
         if links is not None:
             others = self.table("memories", set(range(self.buckets)) - buckets)
             children["links"] = graph.restored(children.get("links", self.table("links")), others.unionByName(records), links)
-        self.commit(memories=Part(records, buckets), vectors=self._vectors_part(held, records), **children)
+        self.commit(memories=Part(records, buckets), vectors=self._vectors_part(held, records, children), **children)
         came = rows.select("id").join(moved, "id", "left").select(F.coalesce("primary_id", "id").alias("id")).distinct()
         peers = self.peers(came)
         if supersede:
@@ -272,16 +272,18 @@ class Vault:
             "entities": dedup.rehomed_children(self.table("entities"), mapping, ["entity_name", "entity_val"]),
         }
 
-    @staticmethod
-    def _cards(rows: DataFrame) -> DataFrame:
-        """What is embedded of active records; what hangs on them is left out, so that their vectors follow the records alone."""
-        card = text.card_text(F.col("category"), F.col("title"), F.col("content"), F.col("tags"))
-        return rows.where("status = 'active'").select("id", card.alias("card"))
+    def _cards(self, rows: DataFrame, children: dict[str, DataFrame] | None = None) -> DataFrame:
+        """What is embedded of active records, with what hangs on them: as it is stored, or as children have it."""
+        held = {n: self.table(n) for n in ("attachments", "entities") if self.entry["tables"].get(n)} | {n: t for n, t in (children or {}).items() if n in ("attachments", "entities")}
+        return vectors.cards(rows.where("status = 'active'"), held.get("attachments"), held.get("entities"))
 
-    def _vectors_part(self, before: DataFrame, after: DataFrame) -> Part:
-        """The buckets of vectors whose records' cards differ between two states of some records; only changed cards are embedded."""
+    def _vectors_part(self, before: DataFrame, after: DataFrame, children: dict[str, DataFrame] | None = None) -> Part:
+        """The buckets of vectors whose records' cards differ between two states of some records; only changed cards are embedded.
+
+        children are the new tables of what hangs on records, where they change too.
+        """
         self._check_identity()
-        old, new = self._cards(before), self._cards(after)
+        old, new = self._cards(before), self._cards(after, children)
         changed = graph.cut(new.join(old, ["id", "card"], "left_anti"))
         stale = changed.select("id").unionByName(old.join(new, "id", "left_anti").select("id"))
         missing = new.join(self.table("vectors").select("id"), "id", "left_anti").join(changed, "id", "left_anti")
@@ -364,7 +366,8 @@ class Vault:
         into = graph.cut(conflict.survivors(pairs))
         records = conflict.merged_pairs(into, self.table("memories"), now)
         mapping = into.select(F.col("older_id").alias("id"), F.col("newer_id").alias("primary_id"))
-        self.commit(memories=records, vectors=self._vectors_part(self.table("memories"), records), **self._rehomed(graph.cut(mapping)))
+        children = self._rehomed(graph.cut(mapping))
+        self.commit(memories=records, vectors=self._vectors_part(self.table("memories"), records, children), **children)
         return pairs
 
     def merge(self, other: Vault, replace: bool = False) -> int:
@@ -478,7 +481,7 @@ class Vault:
         rows = self.table("memories")
         if self.entry["tables"].get("attachments"):
             rows = lexical.file_texts(rows, self.table("attachments"))
-        hits = fusion.recall(rows, self.table("vectors"), request, words)
+        hits = fusion.recall(rows, vectors.checked(self.table("vectors"), self.embedder.dims), request, words)
         return fusion.expanded(hits, self.table("memories"), self.table("links"), limit, request.category, request.as_of, request.day) if expand else hits
 
     def list(self, page: int = 1, size: int = 20, **filters_) -> DataFrame:
