@@ -414,6 +414,10 @@ SELECT memory_id, 'lang' AS entity_name, lang AS entity_val FROM m UNION SELECT
     "entity_json": f"""{MEM}, e AS (SELECT id, 'lang_code' AS entity_name, lang AS v FROM mem UNION ALL SELECT id, 'source', source FROM mem UNION ALL SELECT id, 'n', CAST(doc_id AS VARCHAR) FROM mem)
 SELECT id, entity_name, v AS entity_val FROM e WHERE v <> '' AND lower(v) NOT IN (entity_name, replace(entity_name, '_', ' '))""",
     "markdown_roundtrip": f"""{MEM} SELECT id || '.md' AS path, id, category, title, md5(content) AS content_md5, lang || ',' || source AS tags, confidence, 'explicit_statement' AS provenance FROM mem WHERE status = 'active'""",
+    "backup_children": f"""{MEM}, {LINKS}, {FILES}
+SELECT 'entities' AS kind, id AS a, unnest(['lang', 'source']) AS b, unnest([lang, source]) AS c FROM mem
+UNION ALL SELECT 'links', source_id, target_id, relation FROM links
+UNION ALL SELECT 'attachments', memory_id, filename, sha256 FROM files JOIN mem ON id = memory_id""",
     "keyed_upsert": f"""{MEM}, m AS (
   SELECT doc_id, id, CASE WHEN doc_id % 2 = 0 THEN 'fact' ELSE 'goal' END AS category, title, content, trim(content, {_BLANKS}) AS k, tags, confidence, created_at, status,
     (title = left(string_split(trim(content, {_BLANKS}), chr(10))[1], 80) OR ends_with(title, '...')) AS auto FROM mem),

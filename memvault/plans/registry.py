@@ -608,6 +608,16 @@ def backup_roundtrip(spark, sf):
     return back.select("id", "category", "status", F.md5("content").alias("content_md5"), F.array_join("tags", ",").alias("tags"), "confidence", "created_at", "expired_at")
 
 
+def backup_children(spark, sf):
+    """What hangs on records, and links, read back from a backup."""
+    files = _files(spark, sf).withColumns({"dimensions": F.lit(None).cast("string"), "duration_secs": F.lit(None).cast("double")})
+    lines = exporters.backup(_mem(spark, sf).drop("doc_id"), files, corpus.entities(spark, sf), corpus.links(spark, sf).withColumn("created_at", F.lit(None).cast("timestamp_ntz")))
+    parts = importers.backup_parts(lines.select(F.md5("value").alias("path"), F.col("value").alias("text")))
+    kind = lambda name, *columns: parts[name].select(F.lit(name).alias("kind"), *[F.col(c).alias(n) for c, n in zip(columns, "abc", strict=True)])
+    rows = kind("entities", "memory_id", "entity_name", "entity_val").unionByName(kind("links", "source_id", "target_id", "relation"))
+    return rows.unionByName(kind("attachments", "memory_id", "filename", "sha256"))
+
+
 def entity_json(spark, sf):
     """Entities of each document as a model might tell them."""
     docs = corpus.table(spark, sf, "documents")
@@ -632,7 +642,7 @@ def queries() -> dict[str, Query]:
         merge_vaults_replace, merge_vaults_links, hash_embedding, card_texts, card_texts_whole, import_json, import_links, import_front_matter, import_sections, attachment_decode, conversation_turns, redacted_args, export_markdown, export_json_roundtrip,
         get_many, restore_lookup, node_links, links_restored, graph_khop_nodes, graph_khop_edges, backlinks, write_time_peers, conflict_merged,
         rehomed_entities, keyed_upsert, markdown_roundtrip, batch_files, file_tags, file_texts, recall_expanded_as_of, recall_media, recall_media_part, recall_precision,
-        backup_roundtrip, entity_json,
+        backup_roundtrip, backup_children, entity_json,
     )
     return {q.__name__: q for q in found}
 

@@ -20,10 +20,22 @@ def json_lines(memories: DataFrame, attachments: DataFrame | None = None) -> Dat
     return rows.select(F.to_json(F.struct("*")).alias("value"))
 
 
-def backup(memories: DataFrame) -> DataFrame:
-    """(value): versioned envelopes as importers.backup reads them, one per record, so that none gathers a vault."""
-    record = F.struct(*[c for c in memories.columns])
-    return memories.select(F.to_json(F.struct(F.lit(BACKUP_FORMAT).alias("format"), F.array(record).alias("memories"))).alias("value"))
+def backup(memories: DataFrame, attachments: DataFrame | None = None, entities: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+    """(value): versioned envelopes as importers.backup_parts reads them, one per record with its files and entities and one per link, so that none gathers a vault."""
+    rows, fields = memories, list(memories.columns)
+    if attachments is not None:
+        file = F.struct(*[c for c in attachments.columns if c not in ("memory_id", "data")], F.base64("data").alias("base64"))
+        files = attachments.groupBy(F.col("memory_id").alias("id")).agg(F.array_sort(F.collect_list(file)).alias("attachments"))  # a record's own files
+        rows, fields = rows.join(files, "id", "left"), [*fields, "attachments"]
+    if entities is not None:
+        slots = entities.groupBy(F.col("memory_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("entity_name", "entity_val"))).alias("entities"))  # a record's own entities
+        rows, fields = rows.join(slots, "id", "left"), [*fields, "entities"]
+    name = F.lit(BACKUP_FORMAT).alias("format")
+    out = rows.select(F.to_json(F.struct(name, F.array(F.struct(*fields)).alias("memories"))).alias("value"))
+    if links is None:
+        return out
+    none = F.array().cast("array<string>").alias("memories")
+    return out.unionByName(links.select(F.to_json(F.struct(name, none, F.array(F.struct(*links.columns)).alias("links"))).alias("value")))
 
 
 #: The first lines of a Markdown export.

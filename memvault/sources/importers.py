@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memvault.functions import rules
 from memvault.functions.text import BLANKS, title_of, trim
-from memvault.schema import BACKUP_FORMAT, CATEGORIES, MARKDOWN_FORMAT, MEMORIES
+from memvault.schema import ATTACHMENTS, BACKUP_FORMAT, CATEGORIES, LINKS, MARKDOWN_FORMAT, MEMORIES
 
 # fixed values: keys under which others keep contents, titles, categories, tags, ids and more, the first one first
 CONTENT_KEYS = ("content", "memory", "text", "value", "document", "body", "message", "data", "statement")
@@ -191,12 +191,33 @@ def json_candidates(objects: DataFrame) -> DataFrame:
     )
 
 
-def backup(files: DataFrame, name: str = BACKUP_FORMAT) -> DataFrame:
-    """The records in files (path, text) that each hold one envelope {format, memories}; any other format fails with the path."""
-    read = files.select("path", F.from_json("text", f"format string, memories array<struct<{MEMORIES}>>").alias("b"))
+def _envelopes(files: DataFrame, name: str) -> DataFrame:
+    """(b): the envelopes in files (path, text), one each; any other format fails with the path."""
+    children = f"attachments array<struct<{ATTACHMENTS.removeprefix('memory_id string, ').removesuffix('data binary')} base64 string>>, entities array<struct<entity_name string, entity_val string>>"
+    read = files.select("path", F.from_json("text", f"format string, memories array<struct<{MEMORIES}, {children}>>, links array<struct<{LINKS}>>").alias("b"))
     known = F.when(F.coalesce(F.col("b.format"), F.lit("")) != name, F.raise_error(F.concat(F.lit("unsupported backup format in "), "path")))
     known = known.when(F.col("b.memories").isNull(), F.raise_error(F.concat(F.lit("backup without memories: "), "path"))).otherwise(True)
-    return read.where(known).select(F.explode("b.memories").alias("m")).select("m.*")
+    return read.where(known).select("b")
+
+
+def backup(files: DataFrame, name: str = BACKUP_FORMAT) -> DataFrame:
+    """The records in files (path, text) that each hold one envelope {format, memories}; any other format fails with the path."""
+    rows = _envelopes(files, name).select(F.explode("b.memories").alias("m")).select("m.*")
+    return rows.drop("attachments", "entities")
+
+
+def backup_parts(files: DataFrame, name: str = BACKUP_FORMAT) -> dict[str, DataFrame]:
+    """The tables in the envelopes of exporters.backup: memories, attachments, whose bytes must agree with their hashes, entities and links."""
+    read = _envelopes(files, name)
+    rows = read.select(F.explode("b.memories").alias("m"))
+    said = rows.select(F.col("m.id").alias("memory_id"), F.explode("m.attachments").alias("a")).select("memory_id", "a.*").withColumn("data", F.unbase64("base64"))
+    whole = F.when(F.sha2("data", 256) == F.lower("sha256"), True).otherwise(F.raise_error(F.concat(F.lit("damaged attachment "), "filename")))
+    return {
+        "memories": rows.select("m.*").drop("attachments", "entities"),
+        "attachments": said.where(whole).drop("base64"),
+        "entities": rows.select(F.col("m.id").alias("memory_id"), F.explode("m.entities").alias("e")).select("memory_id", "e.*"),
+        "links": read.select(F.explode("b.links").alias("l")).select("l.*"),
+    }
 
 
 def json_links(files: DataFrame) -> DataFrame:

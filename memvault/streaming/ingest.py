@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,15 +11,15 @@ from pyspark.sql.streaming import StreamingQuery
 from memvault.vault import Vault
 
 
-def remember_stream(stream: DataFrame, vault: Vault, checkpoint: str, now: str) -> StreamingQuery:
-    """Merges each micro-batch of records into the vault.
+def remember_stream(stream: DataFrame, vault: Vault, checkpoint: str, now: str | Callable[[int], str]) -> StreamingQuery:
+    """Merges each micro-batch of records into the vault; now is one time for all, or that of each batch by its number.
 
     A batch that is run again after a failure merges into its own first run: records are keyed by content, so nothing doubles.
     """
 
-    def batch(rows: DataFrame, _: int) -> None:
+    def batch(rows: DataFrame, number: int) -> None:
         if not rows.isEmpty():
-            vault.remember(rows, now)
+            vault.remember(rows, now if isinstance(now, str) else now(number))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

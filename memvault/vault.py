@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import asdict, dataclass
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -262,6 +261,21 @@ class Vault:
         named = parts.select(F.concat(F.when(first, head).otherwise(""), "value").alias("value"))
         exporters.write_text(named, path, ".md")
 
+    def export_backup(self, path: str) -> None:
+        """Writes all records, with what hangs on them, and all links as JSON envelopes, one a line."""
+        names = ("memories", "attachments", "entities", "links")
+        exporters.backup(*(self.table(n) for n in names)).write.text(path)
+
+    def import_backup(self, path: str) -> int:
+        """Puts the records of a backup, by id, with what hangs on them and their links into the vault, as one version."""
+        lines = self.spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+        parts = {name: graph.cut(rows) for name, rows in importers.backup_parts(lines).items()}
+        came = parts["memories"].select(F.col("id").alias("memory_id")).distinct()
+        records = dedup.upserted(self.table("memories"), parts["memories"])
+        children = {n: self.table(n).join(came, "memory_id", "left_anti").unionByName(parts[n], allowMissingColumns=True) for n in ("attachments", "entities")}
+        links = graph.restored(self.table("links"), records, parts["links"])
+        return self.commit(memories=records, links=links, vectors=self._vectors_part(self.table("memories"), records, children), **children)
+
     def _rehomed(self, mapping: DataFrame) -> dict[str, DataFrame]:
         """The tables of children with those of id given to primary_id."""
         if mapping.isEmpty():
