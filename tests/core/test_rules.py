@@ -570,3 +570,13 @@ def test_grounding(spark):
     joint = [("quarries at 70 and slate", "quarry slate 70 quarries", True), ("slate at 71", "slate 70", False), ("iron copper zinc slate", "slate", False)]
     rows = spark.createDataFrame(joint, "a string, c string, ok boolean")
     assert not [r for r in rows.select("*", answer.is_synthesis_grounded(F.col("a"), F.col("c")).alias("got")).collect() if r["got"] != r["ok"]]
+
+
+def test_similar_pairs_of_two_sizes_and_two_sides(spark):
+    rng = np.random.default_rng(4)
+    x = [rng.normal(size=3 + i % 2).tolist() for i in range(60)]
+    rows = spark.createDataFrame([(i, i % 5 == 0, v) for i, v in enumerate(x)], "id long, asks boolean, embedding array<float>")
+    near = {(i, j) for i in range(60) for j in range(i + 1, 60) if len(x[i]) == len(x[j]) and np.dot(x[i], x[j]) >= 0.6 * np.linalg.norm(x[i]) * np.linalg.norm(x[j])}
+    assert sorted((r["a"], r["b"]) for r in vectors.similar_pairs(rows, 0.6).collect()) == sorted(near)
+    sides = {(i, j) for i, j in near if (i % 5 == 0) != (j % 5 == 0)}
+    assert sorted((r["a"], r["b"]) for r in vectors.similar_pairs(rows, 0.6, "asks").collect()) == sorted(sides)
