@@ -580,3 +580,12 @@ def test_similar_pairs_of_two_sizes_and_two_sides(spark):
     assert sorted((r["a"], r["b"]) for r in vectors.similar_pairs(rows, 0.6).collect()) == sorted(near)
     sides = {(i, j) for i, j in near if (i % 5 == 0) != (j % 5 == 0)}
     assert sorted((r["a"], r["b"]) for r in vectors.similar_pairs(rows, 0.6, "asks").collect()) == sorted(sides)
+
+
+def test_titles_of_any_length_are_found(spark):
+    """Titles of 1 to 20 terms, whole and with their last term cut or carried on."""
+    titles = {n: " ".join(f"term{n}x{i}" for i in range(n)) for n in (1, 2, 3, 4, 7, 8, 9, 20)}
+    rows = [{"id": f"t{n}", "title": t.title(), "content": "-"} for n, t in titles.items()]
+    rows += [{"id": f"c{n}", "content": f"so, {t.upper()}; end"} for n, t in titles.items()] + [{"id": f"d{n}", "content": f"so {t}1 {t[:-1]}"} for n, t in titles.items()]
+    got = {(r["source_id"], r["target_id"]) for r in graph.title_mentions(memories(spark, rows)).collect()}
+    assert {g for g in got if g[0][0] != "t" and g[1][0] == "t"} == {(f"c{n}", f"t{n}") for n in titles}
