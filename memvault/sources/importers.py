@@ -103,22 +103,36 @@ def json_objects(files: DataFrame) -> DataFrame:
     return parsed.select("path", F.posexplode(found).alias("place", "object"))
 
 
-def _text(obj: Column, path: Column) -> Column:
-    """The filled string, number or boolean at a path; null if there is none."""
-    value = F.try_variant_get(obj, path, "variant")
-    plain = ~F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)")
-    return F.when(plain, F.nullif(trim(F.try_variant_get(value, "$", "string")), F.lit("")))
+_ENTRIES = "map<string, variant>"
 
 
-def _field(obj: Column, keys: tuple[str, ...]) -> Column:
-    """The first of keys that holds a filled string, a number or a boolean, here or in a nested object.
+def _texts(entries: Column) -> Column:
+    """The filled strings, numbers and booleans of an object's entries, by their keys."""
+    plain = lambda v: ~F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)")
+    text = lambda v: F.when(plain(v), F.nullif(trim(F.try_variant_get(v, "$", "string")), F.lit("")))
+    return F.transform_values(entries, lambda _, v: text(v))
 
-    The keys are data that one small expression goes through; an expression for each would be too large to compile.
-    """
-    paths = lambda names: F.split(F.lit(" ".join(names)), " ")
-    first = lambda names: F.get(F.filter(F.transform(paths(names), lambda p: _text(obj, p)), lambda x: x.isNotNull()), F.lit(0))
-    nested = F.exists(paths([f"$.{n}" for n in NESTED]), lambda p: F.try_variant_get(obj, p, "variant").isNotNull())
-    return F.coalesce(first([f"$.{k}" for k in keys]), F.when(nested, first([f"$.{n}.{k}" for n in NESTED for k in keys])))
+
+def _settled(rows: DataFrame) -> DataFrame:
+    """rows, whose columns are worked out once: no later filter or column is merged into their expressions."""
+    return rows.select(F.inline(F.array(F.struct("*"))))
+
+
+def _opened(objects: DataFrame) -> DataFrame:
+    """objects with the texts of each object (own) and of its nested objects in order (nested), taken apart once for all keys."""
+    read = objects.withColumn("entries", F.try_variant_get("object", "$", _ENTRIES))
+    there = F.filter(F.array(*map(F.lit, NESTED)), lambda n: F.map_contains_key("entries", n))
+    inner = F.transform(there, lambda n: _texts(F.try_variant_get(F.element_at("entries", n), "$", _ENTRIES)))
+    return _settled(_settled(read).withColumn("own", _texts(F.col("entries"))).withColumn("nested", F.when(F.size(there) > 0, inner)))
+
+
+def _field(keys: tuple[str, ...]) -> Column:
+    """The first of keys that holds a filled string, a number or a boolean, here or in a nested object (of _opened)."""
+    listed = F.split(F.lit(" ".join(keys)), " ")
+    first = lambda texts: F.get(F.filter(texts, lambda x: x.isNotNull()), F.lit(0))
+    each = lambda m: F.transform(listed, lambda k: F.try_element_at(m, k))
+    inner = F.flatten(F.transform(F.filter("nested", lambda m: m.isNotNull()), each))
+    return F.coalesce(first(each(F.col("own"))), F.when(F.col("nested").isNotNull(), first(inner)))
 
 
 def _strings(obj: Column, path: str) -> Column:
@@ -152,27 +166,29 @@ def json_candidates(objects: DataFrame) -> DataFrame:
     created_at is null unless it is a time with its offset.
     """
     obj, blank = F.col("object"), F.array().cast("array<string>")
-    observed = F.filter(F.transform(_strings(obj, "$.observations"), trim), lambda x: x != "")
-    start, end, relation = _field(obj, ("from",)), _field(obj, ("to",)), _field(obj, RELATION_KEYS)
-    found = objects.select(
+    observed = F.filter(F.transform(F.when(F.map_contains_key("entries", "observations"), _strings(obj, "$.observations")), trim), lambda x: x != "")
+    start, end, relation = _field(("from",)), _field(("to",)), _field(RELATION_KEYS)
+    found = _opened(objects).select(
         "path",
         "place",
-        _field(obj, ID_KEYS).alias("id"),
-        _field(obj, TITLE_KEYS).alias("t"),
-        _field(obj, CATEGORY_KEYS).alias("kind"),
-        _field(obj, CONTENT_KEYS).alias("plain"),
+        _field(ID_KEYS).alias("id"),
+        _field(TITLE_KEYS).alias("t"),
+        _field(CATEGORY_KEYS).alias("kind"),
+        _field(CONTENT_KEYS).alias("plain"),
         F.when(F.size(observed) > 0, F.array_join(observed, "; ")).alias("observed"),
-        F.lower(_field(obj, ENTITY_KEYS)).alias("entity"),
+        F.lower(_field(ENTITY_KEYS)).alias("entity"),
         F.concat(start, F.lit(" "), relation, F.lit(" "), end).alias("related"),
         F.concat(start, F.lit(" -> "), end).alias("ends"),
         "object",
-        F.concat(*[_tags(obj, f"$.{k}") for k in TAG_KEYS]).alias("tags"),
-        _tags(obj, "$.metadata.tags").alias("more_tags"),
-        F.coalesce(_field(obj, CONFIDENCE_KEYS).try_cast("double"), F.lit(0.9)).alias("confidence"),
-        F.coalesce(_field(obj, PROVENANCE_KEYS), F.lit("imported")).alias("provenance"),
-        _field(obj, CREATED_KEYS).alias("made"),
+        F.concat(*[F.when(F.map_contains_key("entries", k), _tags(obj, f"$.{k}")).otherwise(blank) for k in TAG_KEYS]).alias("tags"),
+        F.when(F.map_contains_key("entries", "metadata"), _tags(obj, "$.metadata.tags")).otherwise(blank).alias("more_tags"),
+        F.coalesce(_field(CONFIDENCE_KEYS).try_cast("double"), F.lit(0.9)).alias("confidence"),
+        F.coalesce(_field(PROVENANCE_KEYS), F.lit("imported")).alias("provenance"),
+        _field(CREATED_KEYS).alias("made"),
     )
+    found = _settled(found)
     found = found.withColumn("longest", F.when(F.coalesce("plain", "observed", "related").isNull(), _longest(obj))).drop("object")
+    found = _settled(found)
     by_observation, by_relation = F.col("plain").isNull() & F.col("observed").isNotNull(), F.coalesce("plain", "observed").isNull() & F.col("related").isNotNull()
     content = F.coalesce("plain", "observed", "related", "longest.content")
     guessed = F.when(by_observation & F.col("entity").isNotNull(), F.array("entity")).when(F.coalesce("plain", "observed", "related").isNull(), F.col("longest.tags")).otherwise(blank)
@@ -236,17 +252,14 @@ def json_links(files: DataFrame) -> DataFrame:
         F.when(F.forall("links", full), F.col("links")),
         lambda v: F.struct(text(v, "source_id").alias("source_id"), text(v, "target_id").alias("target_id"), text(v, "relation").alias("relation"), number(v, "weight").alias("weight")),
     )
-    related = F.transform(
-        "relations",
-        lambda v: F.struct(
-            _field(v, ("from", "source", "source_id")).alias("source_id"),
-            _field(v, ("to", "target", "target_id")).alias("target_id"),
-            F.coalesce(_field(v, (*RELATION_KEYS, "relation")), F.lit("relates_to")).alias("relation"),
-            F.coalesce(_number(_field(v, ("weight",))), F.lit(1.0)).alias("weight"),
-        ),
+    related = _opened(parsed.select("path", F.explode("relations").alias("object"))).select(
+        "path",
+        _field(("from", "source", "source_id")).alias("source_id"),
+        _field(("to", "target", "target_id")).alias("target_id"),
+        F.coalesce(_field((*RELATION_KEYS, "relation")), F.lit("relates_to")).alias("relation"),
+        F.coalesce(_number(_field(("weight",))), F.lit(1.0)).alias("weight"),
     )
-    none = F.array().cast("array<struct<source_id:string,target_id:string,relation:string,weight:double>>")
-    rows = parsed.select("path", F.explode(F.concat(F.coalesce(links, none), F.coalesce(related, none))).alias("l")).select("path", "l.*")
+    rows = parsed.select("path", F.explode(links).alias("l")).select("path", "l.*").unionByName(related)
     return rows.where("source_id is not null and target_id is not null")
 
 
