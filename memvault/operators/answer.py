@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from memvault.functions.modeltext import json_slice
 from memvault.functions.text import content_tokens, trim
+from memvault.plans.cut import stored
 
 #: Score that stands for evidence where no lexical rank does.
 EVIDENCE = 0.35
@@ -77,10 +78,12 @@ def entity_answer(hits: DataFrame, entities: DataFrame, question: str, memories:
     """
     asked = F.lit(" " + " ".join(w for w in re.split(r"[\W_]+", question.lower()) if w) + " ")
     words = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    seen = hits.select(F.col("id").alias("memory_id"), "score")  # the hits of one recall
+    seen = stored(hits.select(F.col("id").alias("memory_id"), "score"))  # the hits of one recall, found once
     name, value = words(F.col("entity_name")), words(F.col("entity_val"))
-    slots = entities.join(F.broadcast(seen), "memory_id").withColumns({"_name": name, "_value": value})
-    told = memories.join(F.broadcast(seen.select(F.col("memory_id").alias("id"))), "id", "left_semi") if memories is not None else None
+    slots = stored(entities.join(F.broadcast(seen), "memory_id").withColumns({"_name": name, "_value": value}))
+    told = None
+    if memories is not None:
+        told = stored(memories.join(F.broadcast(seen.select(F.col("memory_id").alias("id"))), "id", "left_semi").select("id", "content", "confidence"))
     sure = F.greatest(F.lit(SURE), F.col("_sure"))
     if told is None:
         said, known = slots.select("memory_id", "_name").limit(0), seen.select("memory_id", F.lit(0.0).alias("_sure"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from memvault.functions.text import dedup_key, query_tokens
 from memvault.operators import filters, lexical, vectors
+from memvault.plans.cut import stored
 
 K = 60
 # fixed values: words that are never read as initials
@@ -99,7 +100,7 @@ def eligible(request: Request) -> Column:
 
 def recall(memories: DataFrame, vecs: DataFrame, request: Request, words: DataFrame | None = None) -> DataFrame:
     """(id, category, title, score, bm25_rank, vector_rank, similarity), best first; words: see lanes()."""
-    found = lanes(memories, vecs, request, words)
+    found = stored(lanes(memories, vecs, request, words))  # read twice
     rrf = F.coalesce(1 / (K + F.col("bm25_rank")), F.lit(0.0)) + F.coalesce(1 / (K + F.col("vector_rank")), F.lit(0.0))
     rows = memories.join(F.broadcast(found), "id").withColumn("rrf", F.round(rrf, 9))  # twice request.fetch rows at most
     first = Window.partitionBy("category", dedup_key(F.col("content"))).orderBy(F.col("rrf").desc(), "id")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memvault.functions.text import lexical_query, terms
+from memvault.plans.cut import stored
 
 K1, B = 1.2, 0.75
 #: Least weight of a term that most records have.
@@ -50,7 +51,7 @@ def _hits(words: Column, phrase: list[str]) -> Column:
 def scored(memories: DataFrame, query: str, eligible: Column | None = None) -> DataFrame:
     """(id, bm25, matched) for the eligible records that have all of a query's phrases, or any two of three to six if none has all.
 
-    Statistics are those of the whole index; one pass finds them, another scores.
+    Statistics are those of the whole index. Texts are read and split once: the counts of each record are written, then summed and scored.
     """
     phrases = lexical_query(query)
     if not phrases:
@@ -58,6 +59,7 @@ def scored(memories: DataFrame, query: str, eligible: Column | None = None) -> D
     words = terms(indexed_text(memories))
     base = memories.select("id", (F.lit(True) if eligible is None else eligible).alias("_ok"), words.alias("_w"))
     tf = base.select("id", "_ok", F.size("_w").alias("dl"), *[_hits(F.col("_w"), p).alias(f"tf{i}") for i, p in enumerate(phrases)])
+    tf = stored(tf)
     cols = [F.col(f"tf{i}") for i in range(len(phrases))]
     has = [F.when(c > 0, 1).otherwise(0) for c in cols]
     matched = sum(has[1:], has[0])

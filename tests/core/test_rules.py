@@ -589,3 +589,10 @@ def test_titles_of_any_length_are_found(spark):
     rows += [{"id": f"c{n}", "content": f"so, {t.upper()}; end"} for n, t in titles.items()] + [{"id": f"d{n}", "content": f"so {t}1 {t[:-1]}"} for n, t in titles.items()]
     got = {(r["source_id"], r["target_id"]) for r in graph.title_mentions(memories(spark, rows)).collect()}
     assert {g for g in got if g[0][0] != "t" and g[1][0] == "t"} == {(f"c{n}", f"t{n}") for n in titles}
+
+
+def test_the_lexical_lane_splits_texts_once(spark):
+    rows = spark.createDataFrame([(f"r{i}", "t", f"deep sea {i}", ["a"]) for i in range(4)], "id string, title string, content string, tags array<string>")
+    found = lexical.scored(rows, "deep sea")
+    assert "split(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 4
