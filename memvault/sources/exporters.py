@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memvault.operators import stats
-from memvault.schema import BACKUP_FORMAT, CATEGORIES, MARKDOWN_FORMAT
+from memvault.schema import BACKUP_FORMAT, CATEGORIES, JSON_FORMAT, MARKDOWN_FORMAT
 
 
 def json_lines(memories: DataFrame, attachments: DataFrame | None = None) -> DataFrame:
-    """(value): one JSON record per line, expired ones too, with base64 attachments."""
+    """(value): one JSON record per line, expired ones too, with base64 attachments; importers.json_candidates knows them by their format and loses none."""
     rows = memories
     if attachments is not None:
         files = attachments.groupBy(F.col("memory_id").alias("id")).agg(
             F.array_sort(F.collect_list(F.struct("filename", "sha256", F.base64("data").alias("base64")))).alias("attachments")
         )
         rows = rows.join(files, "id", "left")
-    return rows.select(F.to_json(F.struct("*")).alias("value"))
+    return rows.select(F.to_json(F.struct(F.lit(JSON_FORMAT).alias("format"), *[F.col(f"`{c}`") for c in rows.columns])).alias("value"))
 
 
 def backup(memories: DataFrame, attachments: DataFrame | None = None, entities: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:

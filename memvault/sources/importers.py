@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memvault.functions import rules
 from memvault.functions.text import BLANKS, title_of, trim
-from memvault.schema import ATTACHMENTS, BACKUP_FORMAT, CATEGORIES, LINKS, MARKDOWN_FORMAT, MEMORIES
+from memvault.schema import ATTACHMENTS, BACKUP_FORMAT, CATEGORIES, JSON_FORMAT, LINKS, MARKDOWN_FORMAT, MEMORIES
 
 # fixed values: keys under which others keep contents, titles, categories, tags, ids and more, the first one first
 CONTENT_KEYS = ("content", "memory", "text", "value", "document", "body", "message", "data", "statement")
@@ -163,24 +163,30 @@ def json_candidates(objects: DataFrame) -> DataFrame:
     """(path, place, id, category, title, content, tags, confidence, provenance, created_at) of objects that hold any text.
 
     A content is the first filled of its keys, else the observations, else what a relation says, else the longest other string.
+    Lines of exporters.json_lines are told by their format: their titles, contents and tags are kept, blank ones too.
     created_at is null unless it is a time with its offset.
     """
     obj, blank = F.col("object"), F.array().cast("array<string>")
     observed = F.filter(F.transform(F.when(F.map_contains_key("entries", "observations"), _strings(obj, "$.observations")), trim), lambda x: x != "")
     start, end, relation = _field(("from",)), _field(("to",)), _field(RELATION_KEYS)
+    kept = F.element_at("own", "format").eqNullSafe(JSON_FORMAT)
+    said = lambda key: F.when(kept & F.map_contains_key("entries", key), F.coalesce(F.element_at("own", key), F.lit("")))
     found = _opened(objects).select(
         "path",
         "place",
         _field(ID_KEYS).alias("id"),
-        _field(TITLE_KEYS).alias("t"),
+        F.coalesce(said("title"), _field(TITLE_KEYS)).alias("t"),
         _field(CATEGORY_KEYS).alias("kind"),
-        _field(CONTENT_KEYS).alias("plain"),
+        F.coalesce(said("content"), _field(CONTENT_KEYS)).alias("plain"),
         F.when(F.size(observed) > 0, F.array_join(observed, "; ")).alias("observed"),
         F.lower(_field(ENTITY_KEYS)).alias("entity"),
         F.concat(start, F.lit(" "), relation, F.lit(" "), end).alias("related"),
         F.concat(start, F.lit(" -> "), end).alias("ends"),
         "object",
-        F.concat(*[F.when(F.map_contains_key("entries", k), _tags(obj, f"$.{k}")).otherwise(blank) for k in TAG_KEYS]).alias("tags"),
+        F.coalesce(
+            F.when(kept, F.try_variant_get(obj, "$.tags", "array<string>")),
+            F.concat(*[F.when(F.map_contains_key("entries", k), _tags(obj, f"$.{k}")).otherwise(blank) for k in TAG_KEYS]),
+        ).alias("tags"),
         F.when(F.map_contains_key("entries", "metadata"), _tags(obj, "$.metadata.tags")).otherwise(blank).alias("more_tags"),
         F.coalesce(_field(CONFIDENCE_KEYS).try_cast("double"), F.lit(0.9)).alias("confidence"),
         F.coalesce(_field(PROVENANCE_KEYS), F.lit("imported")).alias("provenance"),
