@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from memvault.operators import graph
 from memvault.plans import registry
 
 TEXTS = [
@@ -35,3 +36,18 @@ def test_exports_lose_no_blank_record(spark, odd):
     """Blank titles stay blank, and records without a content come back."""
     got = agrees(spark, odd, "export_json_roundtrip")
     assert len(got) == 2 * len(TEXTS) and len([r for r in got if r[2] == ""]) >= 12
+
+
+def test_backlinks_are_those_of_the_sql(spark, odd):
+    """Titles and links with brackets of their own, unclosed ones, and records without a partner."""
+    assert agrees(spark, odd, "backlinks")
+
+
+def test_backlinks_move_no_content_and_deal_out_common_titles(spark, odd, monkeypatch):
+    want = agrees(spark, odd, "backlinks")
+    monkeypatch.setattr(graph, "MET", 2)
+    assert agrees(spark, odd, "backlinks") == want
+    plan = registry.backlinks(spark, odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert "quality" not in plan  # no labels are joined
+    joined = [line for line in plan.splitlines() if "Join" in line]
+    assert joined and "_open" in plan
