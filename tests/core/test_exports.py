@@ -51,3 +51,15 @@ def test_backlinks_move_no_content_and_deal_out_common_titles(spark, odd, monkey
     assert "quality" not in plan  # no labels are joined
     joined = [line for line in plan.splitlines() if "Join" in line]
     assert joined and "_open" in plan
+
+
+def test_titles_meet_contents_on_all_their_terms(spark):
+    """A content that only begins like a title doesn't meet it, whatever the title's length; whole titles are found."""
+    words = [f"w{i}" for i in range(90)]
+    rows = [(f"t{n:02}", " ".join(words[:n]), "") for n in (1, 2, 3, 5, 8, 13, 16, 17, 33, 64, 90)]
+    contents = {"c-none": "w1 w0 w5", "c-two": "so w0, w1. w9 w2", "c-three": "w0 w1! w2 w9", "c-all": "x " + " ".join(words) + " y", "c-glued": "xw0 w1"}
+    table = spark.createDataFrame([(i, t, c, "active") for i, t, c in rows + [(i, "", c) for i, c in contents.items()]], "id string, title string, content string, status string")
+    met = {(r["id"], r["target_id"]) for r in graph.title_runs(table, 1).collect()}
+    assert met == {("c-none", "t01"), *[("c-two", t) for t in ("t01", "t02")], *[("c-three", t) for t in ("t01", "t02", "t03")], *[("c-all", i) for i, *_ in rows]}
+    found = {tuple(r) for r in graph.title_mentions(table, 1).collect()}
+    assert found == met - {("c-two", "t02"), ("c-three", "t03")}
